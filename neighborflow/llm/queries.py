@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborflow.llm import chat, media
+from neighborflow.llm import chat, media, quality, toxicity
 from neighborflow.llm.common import table
 
 #: The added conversation of op1: texts that hold a head and the end mark.
@@ -22,7 +22,29 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op3_media_columns": op3_media_columns}
+def _remainder(n: int):
+    """crc32 of doc_id as text, mod n: the fold of a row."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, _remainder(4) != 2)
+    return quality.score(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, _remainder(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op3_media_columns": op3_media_columns,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op8_toxicity": op8_toxicity,
+}
 
 ORACLES = {
     "op1_chat_formatting": """
