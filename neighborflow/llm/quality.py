@@ -232,3 +232,15 @@ def score(docs: DataFrame, model) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": network.score(pooler.matrix(pdf["text"].tolist()))})
 
     return id_text(docs).mapInPandas(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, whole and with all their columns, that score at least the threshold."""
+    pooler, network = model
+
+    def run(batches):
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            yield pdf[network.score(pooler.matrix(texts)) >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborflow.llm import chat, media, quality, toxicity
+from neighborflow.llm import chat, media, minhash, packing, quality, toxicity
 from neighborflow.llm.common import table
 
 #: The added conversation of op1: texts that hold a head and the end mark.
@@ -39,11 +39,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the public tokenizers installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), minhash.MinHashParams(k=2))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_media_columns": op3_media_columns,
     "op4_quality_classifier": op4_quality_classifier,
     "op8_toxicity": op8_toxicity,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {

@@ -319,3 +319,14 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(model.evidence(pdf["text"]))})
 
     return id_text(docs).mapInPandas(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whole and with all their columns, that score under the threshold."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            yield pdf[model.score(model.evidence(texts)) < threshold]
+
+    return docs.mapInPandas(run, docs.schema)
