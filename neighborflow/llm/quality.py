@@ -196,7 +196,8 @@ def fit_vectors(sample: DataFrame) -> Pooler:
                         if len(at):
                             near[pairs[at] // len(base)] += np.add.reduceat(base[pairs % len(base)] * n[:, None].astype(np.float32), at)
         hit = np.flatnonzero(np.abs(near).sum(1))
-        yield pd.DataFrame({"unit": hit, "near": [near[i].tolist() for i in hit]})
+        if len(hit):  # an empty frame cannot carry arrays
+            yield pd.DataFrame({"unit": hit, "near": [near[i].tolist() for i in hit]})
 
     parts = sample.mapInPandas(neighbours, "unit int, near array<float>")
     total = parts.select("unit", F.posexplode("near").alias("d", "x")).groupBy("unit", "d").agg(F.sum(F.col("x").cast("double")).alias("x")).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("near")).toPandas()
@@ -213,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE_ROWS):
     pooler = fit_vectors(sample)
 
     def pooled(batches):
-        for pdf in batches:
+        for pdf in filter(len, batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "y": pdf["y"].to_numpy(), "x": [v.tolist() for v in pooler.matrix(pdf["text"].tolist())]})
 
     got = sample.mapInPandas(pooled, "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
@@ -241,6 +242,7 @@ def keep(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
     def run(batches):
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            yield pdf[network.score(pooler.matrix(texts)) >= threshold]
+            if len(out := pdf[network.score(pooler.matrix(texts)) >= threshold]):
+                yield out
 
     return docs.mapInPandas(run, docs.schema)

@@ -327,6 +327,7 @@ def keep(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     def run(batches):
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            yield pdf[model.score(model.evidence(texts)) < threshold]
+            if len(out := pdf[model.score(model.evidence(texts)) < threshold]):
+                yield out
 
     return docs.mapInPandas(run, docs.schema)
