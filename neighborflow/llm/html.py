@@ -3,7 +3,7 @@
 A page becomes a flat list of blocks, cut at block-level tags. Each has a word count and a link density, those of the
 blocks before and after it, and what surrounds it: whether a main container or a container of page furniture (by tag,
 role or words of its class and id) holds it, and whether the page has a main container at all. A decision tree, grown on
-the small labelled table below, keeps or drops each block.
+the small labelled tables below, keeps or drops each block.
 
 Defined results: a null or empty page, or one without kept blocks, gives the empty text; character references are
 decoded, white space within a block becomes one blank, and blocks are joined in page order by one line break; a line
@@ -155,27 +155,37 @@ def features(page: list[Block]) -> np.ndarray:
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], [b.main for b in page], [b.furniture for b in page], [has_main] * n, [b.heading for b in page]]).astype(np.float64)
 
 
-#: The labelled table: FEATURES of blocks, then 1 for main text and 0 for the rest.
-LABELLED = """
-1 1 0 0 1 1 0 1 1 0 0 | 2 1 1 1 3 1 0 1 1 0 0 | 6 0 2 1 9 0 0 1 1 0 0 | 9 0 60 0 0 0 0 1 1 0 0 | 40 0 9 0 12 0 0 1 1 0 0 | 12 .5 80 0 3 1 0 1 1 0 0
-11 0 6 0 70 0 1 0 1 1 1 | 70 0 11 0 1 0 1 0 1 0 1 | 1 0 70 0 120 0 1 0 1 0 1 | 120 0 1 0 9 0 1 0 1 0 1 | 2 0 5 0 3 0 1 0 1 0 1 | 30 .1 45 0 22 0 1 0 1 0 1
-6 .8 40 0 55 0 1 0 1 0 1 | 1 1 80 0 30 0 1 0 1 0 1 | 4 0 90 0 8 0 1 0 1 1 1 | 300 0 12 0 2 0 1 0 1 0 1 | 15 0 1 1 200 0 1 0 1 1 1 | 3 0 33 0 0 0 1 0 1 0 1
-8 .2 60 0 20 0 1 1 1 0 0 | 45 0 110 0 50 0 1 1 1 0 0 | 5 1 70 0 5 1 1 1 1 0 0 | 25 0 6 0 30 0 1 1 1 0 0 | 3 0 80 0 25 0 1 1 1 1 0 | 2 0 9 0 40 0 1 1 1 0 0
-14 0 3 1 20 0 0 0 1 0 0 | 60 0 8 0 9 0 0 0 1 0 0 | 2 1 2 1 2 1 0 0 1 0 0 | 7 0 50 0 0 0 0 0 1 1 0 | 25 .3 30 .5 4 1 0 0 1 0 0 | 5 .9 4 1 6 1 0 0 1 0 0
-80 0 10 0 90 0 0 0 0 0 1 | 45 .05 60 0 30 0 0 0 0 0 1 | 30 0 100 0 75 0 0 0 0 0 1 | 12 0 55 0 40 0 0 0 0 0 1 | 9 0 3 1 85 0 0 0 0 1 1 | 22 .1 40 0 5 .5 0 0 0 0 1
-150 0 0 0 0 0 0 0 0 0 1 | 18 0 90 0 60 0 0 0 0 0 1 | 6 0 70 0 65 0 0 0 0 1 1 | 11 0 4 1 50 0 0 0 0 1 1 | 5 0 60 0 80 0 0 0 0 0 1 | 40 0 2 1 3 1 0 0 0 0 1
-1 1 1 1 1 1 0 0 0 0 0 | 3 1 2 1 4 1 0 0 0 0 0 | 4 .9 60 0 3 1 0 0 0 0 0 | 2 1 0 0 2 1 0 0 0 0 0 | 12 .7 5 1 6 .9 0 0 0 0 0 | 30 .8 3 1 2 1 0 0 0 0 0
-4 0 3 1 2 1 0 0 0 0 0 | 3 0 2 .8 4 .5 0 0 0 0 0 | 6 .4 4 .9 2 1 0 0 0 0 0 | 8 .6 70 0 5 1 0 0 0 0 0 | 5 .2 2 1 1 1 0 0 0 0 0 | 2 0 1 1 0 0 0 0 0 0 0
-7 0 2 1 5 0 0 1 0 0 0 | 55 0 3 1 20 0 0 1 0 0 0 | 1 1 40 0 1 1 0 1 0 0 0 | 30 0 80 0 10 0 0 1 0 0 0 | 3 0 90 0 0 0 0 1 0 1 0 | 12 .5 9 0 4 1 0 1 0 0 0
+#: The labelled table for pages with a main container: words, link density, in main, in furniture, heading, and 1 for main
+#: text or 0 for the rest. There the surroundings decide, so each row was labelled beside each of NEIGHBOURS.
+WITH_MAIN = """
+1 1 0 1 0 0 | 6 0 0 1 0 0 | 40 0 0 1 0 0 | 12 .5 0 1 0 0 | 8 .2 1 1 0 0 | 45 0 1 1 0 0 | 5 1 1 1 0 0 | 3 0 1 1 1 0 | 130 0 1 1 0 0 | 90 0 0 1 0 0
+11 0 1 0 1 1 | 70 0 1 0 0 1 | 1 0 1 0 0 1 | 120 0 1 0 0 1 | 30 .1 1 0 0 1 | 6 .8 1 0 0 1 | 1 1 1 0 0 1 | 4 0 1 0 1 1 | 300 0 1 0 0 1 | 15 0 1 0 0 1
+14 0 0 0 0 0 | 60 0 0 0 0 0 | 2 1 0 0 0 0 | 7 0 0 0 1 0 | 25 .3 0 0 0 0 | 5 .9 0 0 0 0 | 130 0 0 0 0 0 | 1 0 0 0 0 0
+"""
+#: Words and link density of a block before or after.
+NEIGHBOURS = ((0, 0), (2, 1), (9, 0), (80, 0))
+#: The labelled table for pages without one: words, link density, those of the block before and after, in furniture,
+#: heading, and the label.
+WITHOUT_MAIN = """
+80 0 10 0 90 0 0 0 1 | 45 .05 60 0 30 0 0 0 1 | 30 0 100 0 75 0 0 0 1 | 12 0 55 0 40 0 0 0 1 | 9 0 3 1 85 0 0 1 1 | 22 .1 40 0 5 .5 0 0 1 | 35 0 1 1 6 0 0 0 1
+150 0 0 0 0 0 0 0 1 | 18 0 90 0 60 0 0 0 1 | 6 0 70 0 65 0 0 1 1 | 11 0 4 1 50 0 0 1 1 | 5 0 60 0 80 0 0 0 1 | 40 0 2 1 3 1 0 0 1 | 3 0 40 0 30 0 0 0 1
+1 1 1 1 1 1 0 0 0 | 3 1 2 1 4 1 0 0 0 | 4 .9 60 0 3 1 0 0 0 | 2 1 0 0 2 1 0 0 0 | 12 .7 5 1 6 .9 0 0 0 | 30 .8 3 1 2 1 0 0 0 | 1 1 40 0 1 1 0 0 0
+4 0 3 1 2 1 0 0 0 | 3 0 2 .8 4 .5 0 0 0 | 6 .4 4 .9 2 1 0 0 0 | 8 .6 70 0 5 1 0 0 0 | 5 .2 2 1 1 1 0 0 0 | 2 0 1 1 0 0 0 0 0 | 1 1 1 1 40 0 0 0 0
+7 0 2 1 5 0 1 0 0 | 55 0 3 1 20 0 1 0 0 | 1 1 40 0 1 1 1 0 0 | 30 0 80 0 10 0 1 0 0 | 3 0 90 0 0 0 1 1 0 | 12 .5 9 0 4 1 1 0 0 | 80 0 60 0 70 0 1 0 0
+20 0 45 0 50 0 1 0 0 | 100 0 12 0 0 0 1 0 0 | 40 0 40 0 40 0 1 0 0 | 15 0 70 0 90 0 1 0 0
 """
 
 
 def table() -> tuple[np.ndarray, np.ndarray]:
-    rows = np.array([[float(x) for x in r.split()] for line in LABELLED.strip().splitlines() for r in line.split("|")])
-    return rows[:, :-1], rows[:, -1]
+    """FEATURES and labels of both tables."""
+    parse = lambda text: [[float(x) for x in r.split()] for line in text.strip().splitlines() for r in line.split("|")]
+    rows = [[w, d, *before, *after, m, f, 1, h, y] for w, d, m, f, h, y in parse(WITH_MAIN) for before in NEIGHBOURS for after in NEIGHBOURS]
+    rows += [[w, d, w0, d0, w1, d1, 0, f, 0, h, y] for w, d, w0, d0, w1, d1, f, h, y in parse(WITHOUT_MAIN)]
+    out = np.array(rows, np.float64)
+    return out[:, :-1], out[:, -1]
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
     """A tree by Gini impurity: (feature, threshold, low branch, high branch), or the share of label 1 at a leaf. Of
     equally good cuts the first feature's widest gap wins."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():

@@ -170,7 +170,7 @@ class Arcs:
 class Encoder:
     """Whole texts, word by word, with a bounded memory; and the steps of the scan over a chunk."""
 
-    ROOM, BLOCK, LONG = 250_000, 1 << 18, 40
+    ROOM, BLOCK, LONG = 800_000, 1 << 18, 40
 
     def __init__(self, v: Vocabulary):
         self.v, self.known, self.arcs = v, {}, Arcs(v)
@@ -362,6 +362,16 @@ class Encoder:
         return as_bytes(head) + b"".join(map(self.unit, units(w[cut[0] : cut[1]]))) + as_bytes(tail)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process, so that later tasks find its memory filled."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(Vocabulary(path))
+    return _encoders[path]
+
+
 def normal(text: str) -> str:
     return BLANK + text.replace(" ", BLANK)
 
@@ -425,7 +435,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
     src = id_text(docs)
 
     def plain(batches):
-        encoder = Encoder(Vocabulary(model_path))
+        encoder = encoder_of(model_path)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
@@ -454,7 +464,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
     chunks = s.save(cut.repartition("digest", "n"), "chunks")
 
     def matrices(batches):
-        encoder = Encoder(Vocabulary(model_path))
+        encoder = encoder_of(model_path)
         for pdf in batches:
             rows = [(d, n, *cell) for d, n, lo, hi, last, w in pdf.itertuples(index=False) for cell in encoder.matrix(w, lo, hi, n == 0, last)]
             yield pd.DataFrame(rows, columns=["digest", "n", "reach_in", "piece_in", "reach_out", "piece_out", "weight"])
@@ -471,7 +481,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
     states = cells.groupBy("digest").applyInPandas(combine, "digest string, n int, reach_in int, piece_in int, reach_out int, piece_out int")
 
     def back(batches):
-        encoder = Encoder(Vocabulary(model_path))
+        encoder = encoder_of(model_path)
         for pdf in batches:
             ids = [encoder.between(w, lo, hi, n == 0, last, (a, b), (c, d)) for n, lo, hi, last, w, a, b, c, d in pdf.drop(columns="digest").itertuples(index=False)]
             yield pd.DataFrame({"digest": pdf["digest"], "n": pdf["n"], "ids": ids})
@@ -491,7 +501,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, text."""
 
     def run(batches):
-        v = Vocabulary(model_path)
+        v = encoder_of(model_path).v
         for pdf in batches:
             yield pdf.assign(text=[decode_ids(v, x) if x is not None else None for x in pdf["ids"]])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborflow.llm import chat, media, minhash, packing, quality, toxicity
+from neighborflow.llm import chat, fingerprint, html, media, minhash, packing, pieces, quality, tokencount, toxicity
 from neighborflow.llm.common import table
 
 #: The added conversation of op1: texts that hold a head and the end mark.
@@ -46,6 +46,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
+    ids = F.col("ids")
+    return pieces.decode(pieces.encode(spark, docs, model), model).select(
+        "doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.length("text").cast("long").alias("decoded_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), minhash.MinHashParams(k=2))
 
@@ -56,8 +78,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_token_counts": op2_token_counts,
     "op3_media_columns": op3_media_columns,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
