@@ -20,6 +20,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,10 +37,11 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordEncoder:
     """Ids of whole texts for a vocabulary whose pieces never cross white space and whose normalizer is NFC, white
     space to blanks, lower case. Texts of plain Latin letters are split at white space and each chunk is looked up in a
-    bounded memory of what the tokenizer said; any other text goes to the tokenizer whole."""
+    bounded memory of what the tokenizer said; a mark after a letter is a word of its own. Any other text goes to the
+    tokenizer whole."""
 
-    PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*")
-    ROOM = 300_000
+    PLAIN, MARKS = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*"), frozenset(".,;:!?")
+    ROOM = 1_500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,26 +51,41 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         chunks = [t.lower().split() if self.PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        if len(self.known) > self.ROOM:
-            self.known.clear()
-        known = self.known
-        new = list({w for c in chunks if c for w in set(c)} - known.keys())
-        known.update(zip(new, self._ids(new), strict=True))
+        known, marks, new = self.known, self.MARKS, set()
+        for c in chunks:
+            if c:
+                new.update(c)
+        if len(known) + len(new) // 2 > self.ROOM:
+            known.clear()
+        marked = [w for w in new if w not in known and w[-1] in marks and w[-2:-1].isalpha()]
+        alone = [w for w in {*new.difference(marked), *(w[:-1] for w in marked), *marks} if w not in known]
+        known.update(zip(alone, self._ids(alone), strict=True))
+        known.update([(w, known[w[:-1]] + known[w[-1]]) for w in marked])
         other = iter(self._ids([t for t, c in zip(texts, chunks, strict=True) if c is None]))
         return [next(other) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker process, so that later tasks find its memory filled."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def encode_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
     end, width = np.array([end_id], "<u4").tobytes(), 4 * length
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part, rows = pdf.iloc[at : at + 512], []
@@ -149,10 +166,12 @@ def plan(counts: dict[int, int], capacity: int = LENGTH) -> Plan:
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
     """The pieces with sequence_id and offset."""
     s = scratch or Scratch(spark, "packing")
+    pieces = s.save(pieces, "pieces")  # sorting by range reads its input twice
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col("length").desc(), F.col("doc_id").asc(), F.col("piece").asc()]
     ordered = pieces.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
     ordered = s.save(ordered, "ordered")
+    s.drop("pieces")
     part = F.shiftright("at", 33)
     runs = ordered.groupBy(part.alias("part"), "length").agg(F.count("*").alias("n"), F.min("at").alias("at")).orderBy(F.col("length").desc(), "part").toPandas()
     counts = {int(k): int(v) for k, v in runs.groupby("length")["n"].sum().items()}

@@ -174,6 +174,7 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v, self.known, self.arcs = v, {}, Arcs(v)
+        self.pair_key, self.pair_ok = np.full(1 << 20, np.iinfo(np.int64).min), np.zeros(1 << 20, bool)
 
     def unit(self, w: str) -> bytes:
         got = self.known.get(w)
@@ -207,7 +208,7 @@ class Encoder:
 
     def _together(self, block: list[str]) -> None:
         """The walk of many words side by side: all arcs that end at a word's r-th place, for r = 1, 2, ..."""
-        v, known = self.v, self.v.known
+        v = self.v
         codes = np.frombuffer("".join(block).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         lengths = np.fromiter(map(len, block), np.int64, len(block))
         first = np.cumsum(lengths) - lengths
@@ -240,14 +241,7 @@ class Encoder:
             before, p, na, ne = last[node_a[s]], piece[s], node_a[s], node_e[s]
             live = before != nothing
             before, p, na, ne = before[live], p[live], na[live], ne[live]
-            keys, which = np.unique(np.where(p == UNKNOWN, np.int64(1) << 50, np.where(before >= 0, before << 20 | p, -1 - p)), return_inverse=True)
-            ok = np.zeros(len(keys), bool)
-            for i, k in enumerate(keys.tolist()):
-                got = known.get(k)
-                if got is None:
-                    got = True if k == 1 << 50 else v.follows(START, -1 - k) if k < 0 else v.follows(k >> 20, k & 0xFFFFF)
-                ok[i] = got
-            yes = ok[which]
+            yes = self._may_follow(np.where(p == UNKNOWN, np.int64(1) << 50, np.where(before >= 0, before << 20 | p, -1 - p)))
             last[ne[yes]], back[ne[yes]] = p[yes], (ne - na)[yes]
         node, who = first + np.arange(len(block)) + lengths, np.arange(len(block))
         begin = node - lengths
@@ -272,6 +266,18 @@ class Encoder:
                 self.known[w] = flat[at_byte:stop]
             at_byte = stop
 
+    def _may_follow(self, keys: np.ndarray) -> np.ndarray:
+        """What is known of many successions, from a table of the latest; the rest one by one."""
+        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        ok, miss = self.pair_ok[slot], np.flatnonzero(self.pair_key[slot] != keys)
+        if len(miss):
+            v = self.v
+            new, which = np.unique(keys[miss], return_inverse=True)
+            got = np.array([True if k == 1 << 50 else v.follows(START, -1 - k) if k < 0 else v.follows(k >> 20, k & 0xFFFFF) for k in new.tolist()])
+            ok[miss] = got[which]
+            self.pair_key[slot[miss]], self.pair_ok[slot[miss]] = keys[miss], ok[miss]
+        return ok
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Texts as little-endian unsigned 32-bit ids."""
         split = [self._units(t) for t in texts]
