@@ -8,8 +8,9 @@ probability; survivors are confirmed on their full word sets.
 
 Groups of near copies share buckets, and pairs within a bucket are never all emitted. First each class is compared with
 the bucket mate it meets most often. Then rounds of new centres per bucket compare only members whose components still
-differ, and at last all pairs of a bucket that still lie in different components are compared. So the components are
-those of the graph of all candidates, without its edges inside components.
+differ. At last the buckets that still hold several components are compared whole, in blocks of bounded size: a task
+gets two blocks, tests their pairs in place and returns only links that join components. So the components are those
+of the graph of all candidates, without its edges inside components.
 
 Defined results: null and empty texts, and those of white space only, have no shingles, link to nothing and are their
 own component; rows that share a doc_id count as one node; a null doc_id keeps its row, with its class's component;
@@ -34,7 +35,8 @@ from neighborflow.llm.common import Scratch, id_text
 @dataclass(frozen=True)
 class MinHashParams:
     """k words a shingle; link at numerator/denominator or more; bands of rows; hashes compared at once; the posterior
-    probability under which a candidate is given up; rounds of bucket centres before the exhaustive one."""
+    probability under which a candidate is given up; rounds of bucket centres before the exhaustive one, and members of
+    its blocks."""
 
     k: int = 5
     numerator: int = 80
@@ -44,6 +46,7 @@ class MinHashParams:
     batch: int = 25
     miss: float = 1e-6
     rounds: int = 2
+    block: int = 512
 
     @property
     def hashes(self) -> int:
@@ -222,6 +225,54 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links (a, b) between members (key, rep, comp) of one bucket in different components. A bucket is split into
+    blocks by a hash; each two blocks meet in one task, so a hot bucket is dealt over many. A pair is tested in the
+    first band that it shares only, by batches of hashes, then on full sets."""
+    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "key")
+    own = sized.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = dealt.join(reps.select("rep", "sig"), "rep").join(texts.toDF("rep", "text"), "rep")
+    fewest = p.fewest()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
+        keys = Hasher(p).keys(sig)
+        band = int(np.flatnonzero((keys == pdf["key"].iloc[0]).all(0))[0])
+        rep, own, two = pdf["rep"].tolist(), pdf["own"].to_numpy(), pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        sets: dict = {}
+        out = []
+
+        def words_of(i: int) -> set:
+            if i not in sets:
+                sets[i] = shingles(pdf["text"].iat[i], p.k)
+            return sets[i]
+
+        for x in range(len(pdf) - 1):
+            rest = np.arange(x + 1, len(pdf))
+            rest = rest[comp[rest] != comp[x]]
+            if two:
+                rest = rest[own[rest] != own[x]]
+            if band:
+                rest = rest[~(keys[rest, :band] == keys[x, :band]).any(1)]
+            hits, done = np.zeros(len(rest), np.int64), 0
+            for n, least in fewest:
+                hits += (sig[rest, done:n] == sig[x, done:n]).sum(1)
+                rest, hits, done = rest[hits >= least], hits[hits >= least], n
+            for y in rest.tolist():
+                if comp[y] != comp[x]:
+                    u, v = words_of(x), words_of(y)
+                    same = len(u & v)
+                    if same and p.denominator * same >= p.numerator * (len(u) + len(v) - same):
+                        out.append((rep[x], rep[y]))
+                        comp[comp == comp[y]] = comp[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return full.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp: the smallest node reachable. Each pass takes the least label around and then that label's own label;
     every pass is a written table, and the number of passes grows with the logarithm of a component's width."""
@@ -263,19 +314,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = Min
     comp = components(links, s, "comp-0")
     for r in range(1, p.rounds + 2):
         at = live.select("key", "rep").join(comp.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("comp"))
-        split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "key", F.lit(r))).alias("centre")).where("lo <> hi")
+        split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "key", F.lit(r))).alias("centre")).where("lo <> hi").select("key", "centre")
+        open_ = s.save(at.join(split, "key"), f"open-{r}")
+        if open_.isEmpty():
+            break
         if r <= p.rounds:  # one new centre per bucket
-            raw = at.join(split, "key").where(F.col("comp") != F.col("centre.comp")).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
+            raw = open_.where(F.col("comp") != F.col("centre.comp")).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
+            fresh = s.save(raw.distinct().join(tested, ["a", "b"], "left_anti"), f"tested-{r}")
+            more = checked(fresh, f"round-{r}")
+            tested = tested.unionByName(fresh)
         else:  # whatever is left
-            open_ = at.join(split.select("key"), "key")
-            raw = open_.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(open_.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb")), "key").where("a < b AND ca <> cb").select("a", "b")
-        fresh = s.save(raw.distinct().join(tested, ["a", "b"], "left_anti"), f"tested-{r}")
-        if fresh.isEmpty():
-            if r <= p.rounds:
-                continue
-            break
-        more = checked(fresh, f"round-{r}")
-        tested = tested.unionByName(fresh)
+            more = s.save(exhaust(open_.select("key", "rep", "comp"), reps, texts, p), f"round-{r}-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links, s, f"comp-{r}")
