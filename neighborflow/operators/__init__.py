@@ -1 +1 @@
-""""""
+"""Graph, table, sampling, negative, optimizer and analytic operators."""

@@ -1,3 +1,222 @@
-"""DuckDB twins of the queries."""
+"""DuckDB twins of the queries: the same rows, columns and names in plain SQL."""
 
-ORACLES = {}
+from __future__ import annotations
+
+SEED = 62
+
+
+def _u(*parts: str) -> str:
+    """A uniform number from the key of SQL expressions."""
+    return f"(({_int(*parts)} + 0.5) / 4294967296.0)"
+
+
+def _key(*parts: str) -> str:
+    return "md5(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"
+
+
+def _int(*parts: str) -> str:
+    return f"CAST(CAST('0x' || substr({_key(*parts)}, 1, 8) AS UBIGINT) AS BIGINT)"
+
+
+OF = "(SELECT o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr, o_totalprice AS wgt, CAST(epoch(o_orderdate) AS BIGINT) AS etime FROM orders)"
+LIVES = "(SELECT c_custkey AS eid, c_custkey AS nbr, CAST(c_nationkey AS BIGINT) AS ctr FROM customer)"
+NATION = "(SELECT CAST(n_nationkey AS BIGINT) AS eid, CAST(n_nationkey AS BIGINT) AS nbr, CAST(n_regionkey AS BIGINT) AS ctr FROM nation)"
+#: Customers' orders as graphs by nation, with local ids.
+GRAPHS = """
+    e AS (SELECT c_nationkey AS graph, o_orderkey AS eid, o_orderkey + 10000000 AS nbr, o_custkey AS ctr FROM orders JOIN customer ON c_custkey = o_custkey),
+    n AS (SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY node) - 1 AS local FROM (SELECT graph, nbr AS node FROM e UNION SELECT graph, ctr FROM e)),
+    l AS (SELECT e.graph, eid, a.local AS nbr_local, b.local AS ctr_local FROM e JOIN n a ON a.graph = e.graph AND a.node = e.nbr JOIN n b ON b.graph = e.graph AND b.node = e.ctr)
+"""
+ONEHOP = f"SELECT o_custkey AS pos, o_custkey AS ctr, o_orderkey AS eid, o_orderkey AS nbr, row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey', 'o_custkey', 'o_orderkey')}, o_orderkey) AS rn FROM orders"
+#: Two hops: nation to customers (8), customers to orders (3). The type customer-lives-nation is number 0, order-of-customer 1.
+HETERO = f"""
+    h0 AS (SELECT c_nationkey // 5 AS batch_id, c_custkey AS eid, c_custkey AS nbr, c_nationkey AS ctr FROM customer
+           QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY {_key(SEED, 'c_nationkey // 5', 0, 0, 'c_nationkey', 'c_custkey')}, c_custkey) <= 8),
+    h1 AS (SELECT batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders JOIN (SELECT DISTINCT batch_id, nbr AS c FROM h0) ON c = o_custkey
+           QUALIFY row_number() OVER (PARTITION BY batch_id, o_custkey ORDER BY {_key(SEED, 'batch_id', 1, 1, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3),
+    e AS (SELECT CAST(batch_id AS BIGINT) AS batch_id, 0 AS hop, 'customer__lives__nation' AS etype, eid, nbr, CAST(ctr AS BIGINT) AS ctr FROM h0
+          UNION ALL SELECT CAST(batch_id AS BIGINT), 1, 'order__of__customer', eid, nbr, ctr FROM h1),
+    v AS (SELECT CAST(n_nationkey // 5 AS BIGINT) AS batch_id, 'nation' AS vtype, CAST(n_nationkey AS BIGINT) AS id, 0 AS hop, CAST(n_nationkey % 5 AS BIGINT) AS pos FROM nation
+          UNION ALL SELECT DISTINCT CAST(batch_id AS BIGINT), 'customer', nbr, 1, NULL FROM h0
+          UNION ALL SELECT DISTINCT CAST(batch_id AS BIGINT), 'order', nbr, 2, NULL FROM h1)
+"""
+GRADS = """
+    g0 AS (SELECT o_custkey % (SELECT count(*) FROM embeddings) AS id, unnest(range(8)) AS dim, o_totalprice / 1e6 AS p FROM orders WHERE o_custkey % 3 <> 1),
+    g AS (SELECT id, dim, sum(p * CASE WHEN dim % 2 = 0 THEN 1.0 ELSE -0.5 END) AS g FROM g0 GROUP BY ALL),
+    t AS (SELECT vec_id AS id, unnest(range(8)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS w FROM embeddings)
+"""
+
+
+def _optimizer(first: str, columns: dict[str, str], steps: int) -> str:
+    """``steps`` passes of expressions over (w, g, states); rows without a gradient stay."""
+    sql, last = f"s0 AS (SELECT t.id, t.dim, w, g.g, {first} FROM t LEFT JOIN g USING (id, dim))", "s0"
+    for i in range(1, steps + 1):
+        stages = [f"{e} AS {c}" for c, e in columns.items()]
+        sql += f", s{i} AS (SELECT id, dim, g, {', '.join(stages)} FROM (SELECT *, g + 0.01 * w AS gd FROM {last}))"
+        last = f"s{i}"
+    return f"WITH {GRADS}, {sql} SELECT id, CAST(dim AS INTEGER) AS dim, round(w, 6) AS val FROM {last}"
+
+
+def _adam(decoupled: bool) -> str:
+    g = "g" if decoupled else "gd"
+    w = "(w - 0.1 * 0.01 * w)" if decoupled else "w"
+    m, v = f"(0.9 * m + 0.1 * {g})", f"(0.999 * v + 0.001 * {g} * {g})"
+    new = f"{w} - 0.1 * ({m} / (1 - 0.9 * b1)) / (sqrt({v} / (1 - 0.999 * b2)) + 1e-8)"
+    keep = lambda e, c: f"CASE WHEN g IS NULL THEN {c} ELSE {e} END"
+    return _optimizer("0.0::DOUBLE AS m, 0.0::DOUBLE AS v, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2", {"w": keep(new, "w"), "m": keep(m, "m"), "v": keep(v, "v"), "b1": keep("b1 * 0.9", "b1"), "b2": keep("b2 * 0.999", "b2")}, 2)
+
+
+CSR = lambda by, n: f"SELECT row, CAST(coalesce(sum(deg) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM (SELECT r.row, count(o_orderkey) AS deg FROM (SELECT unnest(range((SELECT count(*) + 1 FROM {n}))) AS row) r LEFT JOIN orders ON {by} = r.row GROUP BY 1)"
+
+ORACLES = {
+    "minimum_slice": f"""
+        WITH s AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_mktsegment = 'BUILDING' QUALIFY place < 100),
+        b AS (SELECT place // 16 AS batch_id, place % 16 AS pos, id FROM s),
+        e AS (SELECT b.batch_id, o_orderkey AS eid, o_custkey AS ctr, o_totalprice FROM b JOIN orders ON o_custkey = b.id
+              QUALIFY row_number() OVER (PARTITION BY b.batch_id, o_custkey ORDER BY {_key(SEED, 'b.batch_id', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3)
+        SELECT CAST(e.batch_id AS BIGINT) AS batch_id, 0 AS hop, eid, eid AS nbr, ctr, row_number() OVER (PARTITION BY e.batch_id ORDER BY eid) - 1 AS row, b.pos AS col, o_totalprice
+        FROM e JOIN b ON b.batch_id = e.batch_id AND b.id = e.ctr""",
+    "degree": "SELECT o_custkey AS ctr, count(*) AS deg FROM orders GROUP BY 1",
+    "csr_row_ptr": CSR("o_custkey", "customer"),
+    "csr_columns": "SELECT o_custkey AS row, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos_in_row, o_orderkey AS col FROM orders",
+    "csc_columns": "SELECT c_custkey AS row, 0::BIGINT AS pos_in_row, CAST(c_nationkey AS BIGINT) AS col FROM customer",
+    "csr_self_loop": f"SELECT unnest(range(25)) AS row, 0::BIGINT AS pos_in_row, unnest(range(25)) AS col UNION ALL SELECT ctr, row_number() OVER (PARTITION BY ctr ORDER BY eid), nbr FROM {NATION}",
+    "append_unique": """
+        WITH t AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_mktsegment = 'BUILDING'),
+        f AS (SELECT id, (SELECT count(*) FROM t) + row_number() OVER (ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT id FROM t)))
+        SELECT o_orderkey AS npos, u.id, u.pos FROM orders JOIN (SELECT id, pos FROM t UNION ALL SELECT id, pos FROM f) u ON u.id = o_custkey""",
+    "vertex_offsets": """
+        WITH c AS (SELECT 'customer' AS vtype, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'order', count(*) FROM orders UNION ALL SELECT 'region', count(*) FROM region)
+        SELECT vtype, n, CAST(sum(n) OVER (ORDER BY vtype) - n AS BIGINT) AS "offset" FROM c""",
+    "typed_edges": """
+        WITH o AS (SELECT (SELECT count(*) FROM customer) AS n0, (SELECT count(*) FROM nation) AS n1, (SELECT count(*) FROM orders) AS n2)
+        SELECT 0 AS etype, c_custkey AS eid, c_custkey AS nbr, c_nationkey + n0 AS ctr FROM customer, o
+        UNION ALL SELECT 1, n_nationkey, n_nationkey + n0, n_regionkey + n0 + n1 + n2 FROM nation, o
+        UNION ALL SELECT 2, o_orderkey, o_orderkey + n0 + n1, o_custkey FROM orders, o""",
+    "reverse_edges": "SELECT o_orderkey AS eid, o_custkey AS nbr, o_orderkey AS ctr FROM orders",
+    "edge_ids": "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS eid, l_orderkey AS ctr, l_partkey AS nbr, l_extendedprice FROM lineitem",
+    "cooccurrence": "SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS cnt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 3",
+    "subgraph_relabel": f"WITH {GRAPHS} SELECT graph, eid, nbr_local, ctr_local FROM l",
+    "collate_graphs": f"""WITH {GRAPHS}, s AS (SELECT graph, count(*) AS n FROM n GROUP BY 1), o AS (SELECT graph, CAST(sum(n) OVER (ORDER BY graph) - n AS BIGINT) AS off FROM s)
+        SELECT l.graph, eid, nbr_local + off AS nbr_batch, ctr_local + off AS ctr_batch FROM l JOIN o ON o.graph = l.graph""",
+    "endpoint_mean": f"SELECT eid, round((a.p_retailprice + b.p_retailprice) / 2, 6) AS prior_mean FROM {NATION} e LEFT JOIN part a ON a.p_partkey = e.nbr LEFT JOIN part b ON b.p_partkey = e.ctr",
+    "gather_vec": """
+        WITH i AS (SELECT o_orderkey AS pos, o_orderkey % (SELECT count(*) FROM embeddings) - 3 AS id FROM orders),
+        v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+        SELECT pos, id, round(e[1], 6) AS v0, round(list_reduce(e, lambda a, x: a + x, 0.0::DOUBLE), 6) AS total FROM i LEFT JOIN v ON vec_id = id""",
+    "gather_cast": "SELECT o AS pos, id, round(CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE), 2) AS value FROM (SELECT l_orderkey AS o, min(l_partkey) AS id FROM lineitem GROUP BY 1) LEFT JOIN part ON p_partkey = id",
+    "scatter_upsert": "SELECT c_custkey AS id, coalesce(v, c_acctbal) AS value FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS v FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1) ON o_custkey = c_custkey",
+    "slice_vec": "SELECT vec_id AS id, CAST(unnest(range(8)) AS INTEGER) AS dim, round(CAST(unnest(embedding[5:12]) AS DOUBLE), 6) AS val FROM embeddings WHERE vec_id >= 10 AND vec_id < 40",
+    "local_slice": "SELECT c_custkey AS id, c_acctbal AS value FROM customer, (SELECT count(*) AS n FROM customer) WHERE c_custkey >= 2 * CAST(ceil(n / 7) AS BIGINT) AND c_custkey < least(n, 3 * CAST(ceil(n / 7) AS BIGINT))",
+    "truncate_vec": "SELECT vec_id AS id, CAST(unnest(range(16)) AS INTEGER) AS dim, round(CAST(unnest(embedding[1:16]) AS DOUBLE), 6) AS val FROM embeddings",
+    "partition_even": "SELECT o_orderkey // CAST(ceil(n / 7) AS BIGINT) AS rank, count(*) AS cnt, min(o_orderkey) AS first FROM orders, (SELECT count(*) AS n FROM orders) GROUP BY 1",
+    "partition_near_even": """
+        SELECT CASE WHEN o_orderkey < (n % 7) * (n // 7 + 1) THEN o_orderkey // (n // 7 + 1) ELSE (o_orderkey - (n % 7) * (n // 7 + 1)) // (n // 7) + n % 7 END AS rank, count(*) AS cnt, min(o_orderkey) AS first
+        FROM orders, (SELECT count(*) AS n FROM orders) GROUP BY 1""",
+    "partition_round_robin": "SELECT o_orderkey AS id, (o_orderkey // 64) % 5 AS rank, (o_orderkey // 64) // 5 * 64 + o_orderkey % 64 AS slot FROM orders",
+    "rank_counts": "SELECT (o_custkey - 2) // CAST(ceil(n / 6) AS BIGINT) AS rank, count(*) AS cnt FROM orders, (SELECT count(*) AS n FROM customer) WHERE o_custkey >= 2 GROUP BY 1",
+    "dedup_ids": "SELECT o_custkey AS id, count(*) AS cnt FROM orders GROUP BY 1",
+    "sort_places": "SELECT o_custkey - 5 AS id, o_orderkey AS pos, row_number() OVER (ORDER BY o_custkey < 5, o_custkey, o_orderkey) - 1 AS place FROM orders",
+    "link_inverse": """
+        WITH p AS (SELECT o_orderkey // 256 AS batch_id, o_orderkey % 256 AS pos, 0 AS side, o_custkey AS id FROM orders UNION ALL SELECT o_orderkey // 256, o_orderkey % 256, 1, o_custkey % 97 FROM orders)
+        SELECT batch_id, side, pos, dense_rank() OVER (PARTITION BY batch_id ORDER BY id) - 1 AS inverse FROM p""",
+    "onehop_all": "SELECT o_custkey AS pos, o_orderkey AS eid, o_orderkey AS nbr FROM orders",
+    "onehop_uniform": f"SELECT pos, eid, nbr FROM ({ONEHOP}) WHERE rn <= 3",
+    "onehop_weighted": f"""
+        SELECT o_custkey AS pos, o_orderkey AS eid, o_orderkey AS nbr FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY ln({_u(SEED, 'o_custkey', 'o_custkey', 'o_orderkey')}) / o_totalprice DESC, {_key(SEED, 'o_custkey', 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3""",
+    "sample_offsets": "SELECT pos, CAST(coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT c_custkey AS pos, least(count(o_orderkey), 3) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)",
+    "twohop_resample_all": f"""
+        WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS c FROM nation),
+        e AS (SELECT c * 3 AS eid, (c * 3 + 1) % 25 AS nbr, c AS ctr FROM c UNION ALL SELECT c * 3 + 1, (c + 7) % 25, c FROM c UNION ALL SELECT c * 3 + 2, (c * 5 + 2) % 25, c FROM c),
+        n0 AS (SELECT c AS pos, c AS id FROM c WHERE c < 4),
+        g0 AS (SELECT nbr FROM n0 JOIN e ON e.ctr = n0.id QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {_key(62000, 'pos', 'ctr', 'eid')}, eid) <= 2),
+        n1 AS (SELECT pos, id FROM n0 UNION ALL SELECT 4 + row_number() OVER (ORDER BY nbr) - 1, nbr FROM (SELECT DISTINCT nbr FROM g0 WHERE nbr NOT IN (SELECT id FROM n0))),
+        g1 AS (SELECT nbr FROM n1 JOIN e ON e.ctr = n1.id QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {_key(62001, 'pos', 'ctr', 'eid')}, eid) <= 2)
+        SELECT pos, id FROM n1 UNION ALL SELECT (SELECT count(*) FROM n1) + row_number() OVER (ORDER BY nbr) - 1, nbr FROM (SELECT DISTINCT nbr FROM g1 WHERE nbr NOT IN (SELECT id FROM n1))""",
+    "hetero_twohop": f"WITH {HETERO} SELECT batch_id, hop, etype, eid, nbr, ctr FROM e",
+    "hetero_nodes": f"WITH {HETERO} SELECT batch_id, vtype, id, hop, row_number() OVER (PARTITION BY batch_id, vtype ORDER BY hop, pos NULLS LAST, id) - 1 AS local_id FROM v",
+    "hop_counts": f"WITH {HETERO} SELECT batch_id, etype, hop, count(*) AS num_sampled_edges FROM e GROUP BY ALL",
+    "batch_statistics": f"WITH {HETERO} SELECT v.batch_id, v.batch_size, v.num_nodes, coalesce(e.n, 0) AS num_edges FROM (SELECT batch_id, count(*) FILTER (WHERE hop = 0) AS batch_size, count(*) AS num_nodes FROM v GROUP BY 1) v LEFT JOIN (SELECT batch_id, count(*) AS n FROM e GROUP BY 1) e ON e.batch_id = v.batch_id",
+    "biased_onehop": f"""
+        SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders WHERE o_orderkey % 3 <> 0 AND o_totalprice > 0
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY ln({_u(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}) / o_totalprice DESC, o_orderkey) <= 3""",
+    "temporal_onehop": f"""
+        SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders WHERE epoch(o_orderdate) <= 852076800
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3""",
+    "temporal_last": """
+        WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), s AS (SELECT user_id AS u, (min(t) + max(t)) // 2 AS t0 FROM e GROUP BY 1)
+        SELECT user_id AS ctr, event_id AS eid, event_id AS nbr FROM e JOIN s ON u = user_id WHERE t <= t0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id) <= 4""",
+    "disjoint_onehop": f"""
+        WITH g AS (SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey % 50 AS nbr, o_custkey AS ctr, o_custkey % 64 AS root FROM orders
+                   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 2)
+        SELECT batch_id, eid, nbr, ctr FROM g QUALIFY root = min(root) OVER (PARTITION BY batch_id, nbr)""",
+    "replace_onehop": f"""
+        WITH p AS (SELECT o_custkey // 64 AS batch_id, o_custkey AS ctr, o_orderkey AS eid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_custkey) AS deg FROM orders),
+        d AS (SELECT DISTINCT batch_id, ctr, deg, i FROM p, (SELECT unnest(range(4)) AS i)), x AS (SELECT batch_id, ctr, {_int(SEED, 'batch_id', 'ctr', 'i')} % deg AS place FROM d)
+        SELECT x.batch_id, x.ctr, eid, count(*) AS draws FROM x JOIN p ON p.ctr = x.ctr AND p.place = x.place GROUP BY ALL""",
+    "seed_batches": "SELECT o_orderkey AS input_id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 1000 AS pos FROM orders",
+    "shuffle_drop_last": f"""
+        WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_key(SEED, 'o_orderkey')}, o_orderkey) - 1 AS r FROM orders)
+        SELECT o_orderkey AS input_id, r // 1024 AS batch_id, r % 1024 AS pos FROM p WHERE r < (SELECT count(*) FROM orders) // 1024 * 1024""",
+    "replica_slices": "SELECT CAST(o_orderkey % 4 AS INTEGER) AS replica, count(*) AS cnt FROM orders GROUP BY 1",
+    "batch_offsets": """
+        WITH b AS (SELECT c_custkey // CAST(ceil(n / 6) AS BIGINT) AS rank, CAST(ceil(count(*) / 16) AS BIGINT) AS batches FROM customer, (SELECT count(*) AS n FROM customer) GROUP BY 1)
+        SELECT rank, batches, CAST(sum(batches) OVER (ORDER BY rank) - batches AS BIGINT) AS "offset" FROM b""",
+    "negative_binary": f"SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % n AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % c AS ctr FROM (SELECT count(*) AS n, unnest(range(CAST(greatest(ceil(0.5 * count(*)), ceil(count(*) / 512)) AS BIGINT))) AS i FROM orders), (SELECT count(*) AS c FROM customer)",
+    "negative_triplet": f"""
+        WITH d AS (SELECT i, n, {_int(SEED, chr(39) + 'pick' + chr(39), 'i')} % n AS pos FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(0.25 * count(*)) AS BIGINT))) AS i FROM orders))
+        SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % n AS nbr, o_custkey AS ctr FROM d JOIN orders ON o_orderkey = pos""",
+    "negative_temporal": f"""
+        WITH f AS (SELECT o_custkey AS id, min(CAST(epoch(o_orderdate) AS BIGINT)) AS t FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, coalesce(t, 1099511627776) AS t FROM customer LEFT JOIN f ON id = c_custkey),
+        a AS (SELECT o_orderkey AS neg_pos, CAST(epoch(o_orderdate) AS BIGINT) AS t, i, {_int(SEED, chr(39) + 'dst' + chr(39), 'o_orderkey', 'i')} % (SELECT count(*) FROM customer) AS node FROM orders, (SELECT unnest(range(6)) AS i)),
+        g AS (SELECT neg_pos, arg_min(node, i) AS node FROM a JOIN c ON c.id = a.node WHERE c.t <= a.t GROUP BY 1)
+        SELECT o_orderkey AS neg_pos, coalesce(g.node, (SELECT id FROM c ORDER BY t, id LIMIT 1)) AS node FROM orders LEFT JOIN g ON neg_pos = o_orderkey""",
+    "negative_weighted": f"""
+        WITH w AS (SELECT o_custkey AS id, count(*) AS w FROM orders GROUP BY 1), s AS (SELECT id, sum(w) OVER (ORDER BY id) AS hi, sum(w) OVER (ORDER BY id) - w AS lo FROM w),
+        d AS (SELECT i, {_u(SEED, chr(39) + 'src' + chr(39), 'i')} * (SELECT count(*) FROM orders) AS u FROM (SELECT unnest(range(5000)) AS i))
+        SELECT i AS neg_pos, id AS node FROM d JOIN s ON u >= lo AND u < hi""",
+    "link_batches": f"""
+        WITH k AS (SELECT count(*) AS n, CAST(ceil(count(*) / 512) AS BIGINT) AS b, CAST(ceil(count(*) / ceil(count(*) / 512)) AS BIGINT) AS share FROM orders)
+        SELECT o_orderkey // 512 AS batch_id, o_orderkey % 512 AS pos, o_orderkey AS input_id, o_orderkey AS nbr, o_custkey AS ctr, 1.0::DOUBLE AS label FROM orders
+        UNION ALL SELECT i // share, least(512, n - i // share * 512) + i % share, -1, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % n, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % c, 0.0
+        FROM (SELECT n, share, unnest(range(n)) AS i FROM k), (SELECT count(*) AS c FROM customer)""",
+    "false_negatives": f"SELECT neg_pos, nbr, ctr FROM (SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % 25 AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % 5 AS ctr FROM (SELECT unnest(range(200)) AS i)) WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = nbr AND n_regionkey = ctr)",
+    "link_split": f"""
+        WITH s AS (SELECT o_orderkey AS eid, {_u(SEED, chr(39) + 'split' + chr(39), 'o_orderkey')} AS u FROM orders)
+        SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS cnt, CAST(sum(eid) AS BIGINT) AS eids FROM s GROUP BY 1""",
+    "temporal_split": """
+        WITH r AS (SELECT event_id, row_number() OVER (ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) - 1 AS r FROM events)
+        SELECT event_id, CASE WHEN r < CAST(floor(0.8 * (SELECT count(*) FROM events)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM r""",
+    "rating_filter": "SELECT l_partkey AS p, count(*) AS cnt FROM lineitem WHERE l_quantity >= 4 GROUP BY 1",
+    "dedup_grads": f"WITH {GRADS} SELECT id, CAST(dim AS INTEGER) AS dim, round(g, 6) AS val FROM g",
+    "sgd_step": _optimizer("0 AS x", {"w": "CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd END"}, 1),
+    "adam_step": _adam(False),
+    "adamw_step": _adam(True),
+    "adagrad_step": _optimizer("0.0::DOUBLE AS s", {"w": "CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd / (sqrt(s + gd * gd) + 1e-8) END", "s": "CASE WHEN g IS NULL THEN s ELSE s + gd * gd END"}, 2),
+    "rmsprop_step": _optimizer("0.0::DOUBLE AS v", {"w": "CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd / (sqrt(0.99 * v + 0.01 * gd * gd) + 1e-8) END", "v": "CASE WHEN g IS NULL THEN v ELSE 0.99 * v + 0.01 * gd * gd END"}, 2),
+    "xavier_init": f"SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(dim AS INTEGER) AS dim, round(({_u(SEED, chr(39) + 'init' + chr(39), 'n_nationkey', 'dim')} * 2 - 1) * sqrt(6.0 / 33), 6) AS val FROM nation, (SELECT unnest(range(8)) AS dim)",
+    "mean_aggregate": f"""
+        SELECT ctr, CAST(dim AS INTEGER) AS dim, round(avg(w), 6) AS val FROM (SELECT ctr, nbr % (SELECT count(*) FROM embeddings) AS v FROM ({ONEHOP}) WHERE rn <= 3)
+        JOIN (SELECT vec_id, unnest(range(8)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS w FROM embeddings) ON vec_id = v GROUP BY 1, 2""",
+    "attention_aggregate": f"""
+        WITH e AS (SELECT o_custkey AS ctr, o_orderkey % (SELECT count(*) FROM embeddings) AS v, exp(o_totalprice / 100000 - max(o_totalprice / 100000) OVER (PARTITION BY o_custkey)) AS x FROM orders),
+        a AS (SELECT ctr, v, x / sum(x) OVER (PARTITION BY ctr) AS a FROM e)
+        SELECT ctr, CAST(dim AS INTEGER) AS dim, round(sum(a * w), 6) AS val FROM a JOIN (SELECT vec_id, unnest(range(8)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS w FROM embeddings) ON vec_id = v GROUP BY 1, 2""",
+    "full_inference": "SELECT c_custkey AS id, coalesce(round(avg(o_totalprice), 6), 0.0) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    "mrr": "WITH r AS (SELECT l_orderkey, l_returnflag, rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS r FROM lineitem) SELECT round(avg(1.0 / r), 6) AS mrr FROM (SELECT min(r) AS r FROM r WHERE l_returnflag = 'R' GROUP BY l_orderkey)",
+    "auc": """
+        WITH s AS (SELECT l_quantity AS s, count(*) FILTER (WHERE l_returnflag = 'R') AS p, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT p, n, sum(n) OVER (ORDER BY s) - n AS below FROM s),
+        t AS (SELECT sum(p * (below + (n + 1) / 2)) AS r, sum(p) AS p, sum(n) - sum(p) AS q FROM r)
+        SELECT round(CAST((r - p * (p + 1) / 2) / (p * q) AS DOUBLE), 6) AS auc FROM t""",
+    "confusion": """
+        WITH c AS (SELECT count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE a AND NOT b) AS fp, count(*) FILTER (WHERE NOT a AND NOT b) AS tn, count(*) FILTER (WHERE NOT a AND b) AS fn FROM (SELECT l_quantity > 25 AS a, l_returnflag = 'R' AS b FROM lineitem))
+        SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy FROM c""",
+    "argmax_accuracy": "SELECT round(avg(CASE WHEN list_position(v, list_max(v)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings)",
+    "weighted_mean_loss": "SELECT round(sum(l * n) / sum(n), 4) AS mean FROM (SELECT avg(o_totalprice) AS l, count(*) AS n FROM orders GROUP BY o_orderkey // 512)",
+    "lfu_admission": "SELECT id, id // 128 AS set_id, cnt FROM (SELECT o_custkey AS id, count(*) AS cnt FROM orders GROUP BY 1) QUALIFY row_number() OVER (PARTITION BY id // 128 ORDER BY cnt DESC, id) <= 32",
+    "cache_hit_rate": """
+        WITH c AS (SELECT o_custkey AS id, count(*) AS cnt FROM orders GROUP BY 1), a AS (SELECT cnt, row_number() OVER (PARTITION BY id // 128 ORDER BY cnt DESC, id) AS r FROM c)
+        SELECT round(sum(cnt) FILTER (WHERE r <= 32) / sum(cnt), 6) AS hit_rate FROM a""",
+    "earliest_latest": "SELECT o_custkey AS id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1",
+}

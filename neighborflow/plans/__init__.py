@@ -1 +1 @@
-""""""
+"""Stores and loaders: the public entry points."""

@@ -1,3 +1,525 @@
-"""The queries of the library's own operators."""
+"""The queries of the library's own operators over the driver's tables; ``oracles`` holds their SQL twins."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from neighborflow.functions import partition as P
+from neighborflow.functions.keys import key, uniform
+from neighborflow.functions.vectors import exploded
+from neighborflow.model import EdgeType, merged_edges
+from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
+from neighborflow.operators.numbering import number_rows, prefix_sum
+from neighborflow.session import load
+
+SEED = 62
+OF = EdgeType("order", "of", "customer")
+LIVES = EdgeType("customer", "lives", "nation")
+IN = EdgeType("nation", "in", "region")
+DONE = EdgeType("event_type", "done_by", "user")
+
+
+def epoch(c: str):
+    return F.unix_timestamp(F.col(c).cast("timestamp")).cast("long")
+
+
+def order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """order -> customer, weighted by price, timed by date."""
+    return load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("eid"), F.col("o_orderkey").cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"), F.col("o_totalprice").alias("wgt"), epoch("o_orderdate").alias("etime"))
+
+
+def lives_edges(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("eid"), F.col("c_custkey").cast("long").alias("nbr"), F.col("c_nationkey").cast("long").alias("ctr"), F.col("c_acctbal").alias("wgt"))
+
+
+def nation_edges(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("eid"), F.col("n_nationkey").cast("long").alias("nbr"), F.col("n_regionkey").cast("long").alias("ctr"))
+
+
+def event_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as an edge to its user; the neighbour is the event."""
+    return load(spark, d, "events").select(F.col("event_id").cast("long").alias("eid"), F.col("event_id").cast("long").alias("nbr"), F.col("user_id").cast("long").alias("ctr"), F.abs("value").alias("wgt"), epoch("ts").alias("etime"))
+
+
+def line_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_partkey").cast("long").alias("p"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_custkey").cast("long").alias("pos"))
+
+
+def n_rows(spark: SparkSession, d: str, t: str) -> int:
+    return load(spark, d, t).count()
+
+
+def seeds_of(spark: SparkSession, d: str, batch: int = 64) -> DataFrame:
+    """All customers in batches by number."""
+    return customers(spark, d).select(F.floor(F.col("id") / batch).cast("long").alias("batch_id"), (F.col("id") % batch).alias("pos"), F.lit("customer").alias("vtype"), "id")
+
+
+def nation_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "nation").select(F.floor(F.col("n_nationkey") / 5).cast("long").alias("batch_id"), (F.col("n_nationkey") % 5).cast("long").alias("pos"), F.lit("nation").alias("vtype"), F.col("n_nationkey").cast("long").alias("id"))
+
+
+# -- layout ------------------------------------------------------------------------------------------------------------
+
+
+def minimum_slice(spark, d):
+    """Up to 100 customers of one segment, at most 3 of each one's orders, with the order's price."""
+    # The limit is the feature: the first 100 seeds.
+    seeds = load(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id")).orderBy("id").limit(100)
+    batches = sample.seed_batches(seeds.withColumn("input_id", F.col("id")), 16).withColumn("vtype", F.lit("customer"))
+    edges, nodes = sample.neighbor_sample({OF: order_edges(spark, d)}, batches, {OF: [3]}, sample.Options(seed=SEED))
+    edges, _ = sample.renumber(edges, nodes)
+    price = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_totalprice"))
+    out = tensor.gather(price, edges.withColumn("id", F.col("nbr")), ["o_totalprice"])
+    return out.select("batch_id", "hop", "eid", "nbr", "ctr", "row", "col", "o_totalprice")
+
+
+def degree(spark, d):
+    return layout.degree(order_edges(spark, d)).select("ctr", "deg")
+
+
+def csr_row_ptr(spark, d):
+    return layout.row_pointers(order_edges(spark, d), n_rows(spark, d, "customer"))
+
+
+def csr_columns(spark, d):
+    return layout.column_list(order_edges(spark, d)).select("row", "pos_in_row", "col")
+
+
+def csc_columns(spark, d):
+    return layout.column_list(lives_edges(spark, d), "nbr", "ctr").select("row", "pos_in_row", "col")
+
+
+def csr_self_loop(spark, d):
+    nations = nation_edges(spark, d)
+    return layout.add_self_loops(nations, n_rows(spark, d, "nation"))
+
+
+def append_unique(spark, d):
+    targets = load(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id"))
+    targets = number_rows(targets, ["id"], "pos")
+    near = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("npos"), F.col("o_custkey").cast("long").alias("id"))
+    unique, mapped = layout.append_unique(targets, near)
+    return mapped.select("npos", "id", "pos")
+
+
+def vertex_offsets(spark, d):
+    counts = load(spark, d, "customer").agg(F.count("*").alias("n")).withColumn("vtype", F.lit("customer"))
+    for t, name in (("nation", "nation"), ("orders", "order"), ("region", "region")):
+        counts = counts.unionByName(load(spark, d, t).agg(F.count("*").alias("n")).withColumn("vtype", F.lit(name)))
+    return prefix_sum(counts, ["vtype"], "n", "offset").select("vtype", "n", "offset")
+
+
+def typed_edges(spark, d):
+    counts = {"customer": n_rows(spark, d, "customer"), "nation": n_rows(spark, d, "nation"), "order": n_rows(spark, d, "orders"), "region": n_rows(spark, d, "region")}
+    edges = {OF: order_edges(spark, d).drop("wgt", "etime"), LIVES: lives_edges(spark, d).drop("wgt"), IN: nation_edges(spark, d)}
+    return merged_edges(edges, counts).select("etype", "eid", "nbr", "ctr")
+
+
+def reverse_edges(spark, d):
+    return layout.reverse(order_edges(spark, d)).select("eid", "nbr", "ctr")
+
+
+def edge_ids(spark, d):
+    """Edges numbered in the order of all their columns."""
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    lines = load(spark, d, "lineitem").select(*cols)
+    out = number_rows(lines, cols, "eid")
+    return out.select("eid", F.col("l_orderkey").cast("long").alias("ctr"), F.col("l_partkey").cast("long").alias("nbr"), "l_extendedprice")
+
+
+def cooccurrence(spark, d):
+    return layout.cooccurrence(line_pairs(spark, d), "p", "o", 3).select("a", "b", "cnt")
+
+
+def subgraph_relabel(spark, d):
+    """A graph per nation: its customers and their orders, relabelled."""
+    edges = order_edges(spark, d).join(load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("ctr"), F.col("c_nationkey").alias("graph")), "ctr")
+    shifted = edges.select("graph", "eid", (F.col("nbr") + 10_000_000).alias("nbr"), "ctr")
+    return layout.relabel_subgraphs(shifted).select("graph", "eid", "nbr_local", "ctr_local")
+
+
+def collate_graphs(spark, d):
+    edges = order_edges(spark, d).join(load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("ctr"), F.col("c_nationkey").alias("graph")), "ctr")
+    shifted = edges.select("graph", "eid", (F.col("nbr") + 10_000_000).alias("nbr"), "ctr")
+    return layout.collate(layout.relabel_subgraphs(shifted)).select("graph", "eid", "nbr_batch", "ctr_batch")
+
+
+def endpoint_mean(spark, d):
+    """Edges customer-nation with the mean of a prior that both ends look up by number."""
+    prior = load(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_retailprice").alias("value"))
+    out = layout.endpoint_mean(nation_edges(spark, d), prior)
+    return out.select("eid", F.round("prior_mean", 6).alias("prior_mean"))
+
+
+# -- tables ------------------------------------------------------------------------------------------------------------
+
+
+def gather_vec(spark, d):
+    """A vector for every order: index order mod n - 3, so that some are negative."""
+    n = n_rows(spark, d, "embeddings")
+    idx = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), (F.col("o_orderkey") % n - 3).cast("long").alias("id"))
+    out = tensor.gather(vectors(spark, d), idx, ["vec"])
+    return out.select("pos", "id", F.round(F.element_at("vec", 1), 6).alias("v0"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def gather_cast(spark, d):
+    """A double column gathered as float."""
+    from neighborflow.model import cast_within
+
+    price = load(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_retailprice").alias("value"))
+    idx = line_pairs(spark, d).groupBy("o").agg(F.min("p").alias("id")).withColumnRenamed("o", "pos")
+    return tensor.gather(price, idx, ["value"]).select("pos", "id", F.round(cast_within(F.col("value"), "float64", "float32").cast("double"), 2).alias("value"))
+
+
+def scatter_upsert(spark, d):
+    """Prices of orders overwrite customers' balances; the last order wins."""
+    table = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    upd = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), F.when(F.col("o_orderkey") % 7 == 0, -1).otherwise(F.col("o_custkey")).cast("long").alias("id"), F.col("o_totalprice").alias("value"))
+    return tensor.scatter(table, upd, "value").select("id", "value")
+
+
+def slice_vec(spark, d):
+    return exploded(tensor.sub_table(vectors(spark, d), 10, 40, 4, 12), ["id"], "vec")
+
+
+def local_slice(spark, d):
+    n = n_rows(spark, d, "customer")
+    t = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    return tensor.local_table(t, 2, n, 7).select("id", "value")
+
+
+def truncate_vec(spark, d):
+    return exploded(vectors(spark, d).withColumn("vec", F.slice("vec", 1, 16)), ["id"], "vec")
+
+
+def partition_even(spark, d):
+    n = n_rows(spark, d, "orders")
+    return load(spark, d, "orders").groupBy(P.even_rank(F.col("o_orderkey"), n, 7).alias("rank")).agg(F.count("*").alias("cnt"), F.min("o_orderkey").cast("long").alias("first"))
+
+
+def partition_near_even(spark, d):
+    n = n_rows(spark, d, "orders")
+    return load(spark, d, "orders").groupBy(P.near_even_rank(F.col("o_orderkey"), n, 7).alias("rank")).agg(F.count("*").alias("cnt"), F.min("o_orderkey").cast("long").alias("first"))
+
+
+def partition_round_robin(spark, d):
+    rank, slot = P.round_robin(F.col("o_orderkey"), 64, 5)
+    return load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), rank.alias("rank"), slot.alias("slot"))
+
+
+def rank_counts(spark, d):
+    ids = load(spark, d, "orders").select((F.col("o_custkey") - 2).cast("long").alias("id"))
+    return tensor.rank_counts(ids, n_rows(spark, d, "customer"), 6)
+
+
+def dedup_ids(spark, d):
+    return tensor.unique_ids(load(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("id")))
+
+
+def sort_places(spark, d):
+    ids = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), (F.col("o_custkey") - 5).cast("long").alias("id"))
+    return tensor.sorted_with_places(ids)
+
+
+def link_inverse(spark, d):
+    pairs = load(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 256).cast("long").alias("batch_id"), (F.col("o_orderkey") % 256).cast("long").alias("pos"), F.col("o_custkey").cast("long").alias("a"), (F.col("o_custkey") % 97).cast("long").alias("b"))
+    return tensor.unique_inverse(pairs, "batch_id", ["a", "b"]).select("batch_id", F.col("side").cast("int").alias("side"), "pos", "inverse")
+
+
+# -- sampling ----------------------------------------------------------------------------------------------------------
+
+
+def onehop_all(spark, d):
+    return sample.one_hop(customers(spark, d), order_edges(spark, d), -1, SEED).select("pos", "eid", "nbr")
+
+
+def onehop_uniform(spark, d):
+    return sample.one_hop(customers(spark, d), order_edges(spark, d), 3, SEED).select("pos", "eid", "nbr")
+
+
+def onehop_weighted(spark, d):
+    return sample.one_hop(customers(spark, d), order_edges(spark, d), 3, SEED, "wgt").select("pos", "eid", "nbr")
+
+
+def sample_offsets(spark, d):
+    return sample.sample_offsets(customers(spark, d), order_edges(spark, d), 3)
+
+
+def twohop_resample_all(spark, d):
+    """Nation numbers as one graph: nations reach nations whose number is a step of 3 or 7 away."""
+    n = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("c"))
+    edges = n.select((F.col("c") * 3).alias("eid"), ((F.col("c") * 3 + 1) % 25).alias("nbr"), F.col("c").alias("ctr")).unionByName(n.select((F.col("c") * 3 + 1).alias("eid"), ((F.col("c") + 7) % 25).alias("nbr"), F.col("c").alias("ctr"))).unionByName(
+        n.select((F.col("c") * 3 + 2).alias("eid"), ((F.col("c") * 5 + 2) % 25).alias("nbr"), F.col("c").alias("ctr"))
+    )
+    seeds = n.where("c < 4").select(F.col("c").alias("pos"), F.col("c").alias("id"))
+    nodes, _ = sample.resample_all(seeds, edges, [2, 2], SEED)
+    return nodes
+
+
+def _hetero(spark, d, options, fanout=None, seeds=None):
+    edges = {OF: order_edges(spark, d), LIVES: lives_edges(spark, d)}
+    return sample.neighbor_sample(edges, seeds if seeds is not None else nation_seeds(spark, d), fanout or {LIVES: [8, 0], OF: [0, 3]}, options)
+
+
+def hetero_twohop(spark, d):
+    e, _ = _hetero(spark, d, sample.Options(seed=SEED))
+    return e.select("batch_id", "hop", "etype", "eid", "nbr", "ctr")
+
+
+def hetero_nodes(spark, d):
+    e, n = _hetero(spark, d, sample.Options(seed=SEED))
+    return sample.renumber(e, n)[1].select("batch_id", "vtype", "id", "hop", "local_id")
+
+
+def hop_counts(spark, d):
+    e, n = _hetero(spark, d, sample.Options(seed=SEED))
+    return analytics.hop_counts(e, n)[1].select("batch_id", "etype", "hop", "num_sampled_edges")
+
+
+def batch_statistics(spark, d):
+    e, n = _hetero(spark, d, sample.Options(seed=SEED))
+    return analytics.batch_statistics(e, n)
+
+
+def biased_onehop(spark, d):
+    edges = {OF: order_edges(spark, d).withColumn("wgt", F.when(F.col("eid") % 3 == 0, 0.0).otherwise(F.col("wgt")))}
+    e, _ = sample.neighbor_sample(edges, seeds_of(spark, d), {OF: [3]}, sample.Options(weighted=True, seed=SEED))
+    return e.select("batch_id", "eid", "nbr", "ctr")
+
+
+def temporal_onehop(spark, d):
+    seeds = seeds_of(spark, d).withColumn("t", F.lit(852076800).cast("long"))
+    e, _ = sample.neighbor_sample({OF: order_edges(spark, d)}, seeds, {OF: [3]}, sample.Options(time="monotonically_decreasing", seed=SEED))
+    return e.select("batch_id", "eid", "nbr", "ctr")
+
+
+def temporal_last(spark, d):
+    seeds = load(spark, d, "events").groupBy(F.col("user_id").cast("long").alias("id")).agg(F.floor((F.min(epoch("ts")) + F.max(epoch("ts"))) / 2).cast("long").alias("t")).select(F.lit(0).cast("long").alias("batch_id"), F.col("id").alias("pos"), F.lit("user").alias("vtype"), "id", "t")
+    e, _ = sample.neighbor_sample({DONE: event_edges(spark, d)}, seeds, {DONE: [4]}, sample.Options(time="last", seed=SEED))
+    return e.select("ctr", "eid", "nbr")
+
+
+def disjoint_onehop(spark, d):
+    """Orders shared by customers with equal remainders: each belongs to one seed of a batch."""
+    edges = order_edges(spark, d).select("eid", (F.col("nbr") % 50).alias("nbr"), "ctr")
+    e, _ = sample.neighbor_sample({OF: edges}, seeds_of(spark, d), {OF: [2]}, sample.Options(disjoint=True, seed=SEED))
+    return e.select("batch_id", "eid", "nbr", "ctr")
+
+
+def replace_onehop(spark, d):
+    e, _ = sample.neighbor_sample({OF: order_edges(spark, d)}, seeds_of(spark, d), {OF: [4]}, sample.Options(replace=True, seed=SEED))
+    return e.groupBy("batch_id", "ctr", "eid").agg(F.count("*").alias("draws"))
+
+
+def seed_batches(spark, d):
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("input_id"))
+    return sample.seed_batches(rows, 1000).select("input_id", "batch_id", "pos")
+
+
+def shuffle_drop_last(spark, d):
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("input_id"))
+    return sample.seed_batches(rows, 1024, shuffle_seed=SEED, drop_last=True).select("input_id", "batch_id", "pos")
+
+
+def replica_slices(spark, d):
+    return load(spark, d, "orders").groupBy((F.col("o_orderkey") % 4).cast("int").alias("replica")).agg(F.count("*").alias("cnt"))
+
+
+def batch_offsets(spark, d):
+    """Batches per rank of customers, and the number of batches before."""
+    n = n_rows(spark, d, "customer")
+    per = load(spark, d, "customer").groupBy(P.even_rank(F.col("c_custkey"), n, 6).alias("rank")).agg(F.ceil(F.count("*") / 16).cast("long").alias("batches"))
+    return prefix_sum(per, ["rank"], "batches", "offset").select("rank", "batches", "offset")
+
+
+# -- links and negatives -----------------------------------------------------------------------------------------------
+
+
+def negative_binary(spark, d):
+    n, c = n_rows(spark, d, "orders"), n_rows(spark, d, "customer")
+    return negative.binary_negatives(spark, n, 0.5, 512, n, c, SEED)
+
+
+def negative_triplet(spark, d):
+    pos = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr")
+    n = n_rows(spark, d, "orders")
+    return negative.triplet_negatives(pos, n, 0.25, 512, n, SEED)
+
+
+def negative_temporal(spark, d):
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("neg_pos"), epoch("o_orderdate").alias("t"))
+    first = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.min(epoch("o_orderdate")).alias("t"))
+    cust = customers(spark, d).select("id").join(first, "id", "left").select("id", F.coalesce("t", F.lit(2**40)).cast("long").alias("t"))
+    return negative.temporal_negatives(rows, cust, n_rows(spark, d, "customer"), SEED, "dst")
+
+
+def negative_weighted(spark, d):
+    """Customers drawn by their number of orders."""
+    w = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.count("*").cast("double").alias("w"))
+    return negative.draw_weighted(spark.range(5000).select(F.col("id").alias("neg_pos")), w, SEED, "src", "node")
+
+
+def link_batches(spark, d):
+    n = n_rows(spark, d, "orders")
+    pos = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr")
+    neg = negative.binary_negatives(spark, n, 1.0, 512, n, n_rows(spark, d, "customer"), SEED)
+    return negative.interleave(pos, neg, n, negative.how_many(n, 1.0, 512), 512)
+
+
+def false_negatives(spark, d):
+    neg = negative.binary_negatives(spark, n_rows(spark, d, "nation") * 8, 1.0, 16, 25, 5, SEED)
+    return negative.without_false_negatives(neg, nation_edges(spark, d)).select("neg_pos", "nbr", "ctr")
+
+
+def link_split(spark, d):
+    return negative.link_split(order_edges(spark, d), SEED).groupBy("split").agg(F.count("*").alias("cnt"), F.sum("eid").cast("long").alias("eids"))
+
+
+def temporal_split(spark, d):
+    """The first four fifths by time train."""
+    n = n_rows(spark, d, "events")
+    rows = number_rows(load(spark, d, "events").select(F.col("event_id").cast("long").alias("event_id"), epoch("ts").alias("t")), ["t", "event_id"], "r")
+    return rows.select("event_id", F.when(F.col("r") < int(0.8 * n), "train").otherwise("test").alias("split"))
+
+
+def rating_filter(spark, d):
+    return load(spark, d, "lineitem").where("l_quantity >= 4").groupBy(F.col("l_partkey").cast("long").alias("p")).agg(F.count("*").alias("cnt"))
+
+
+# -- optimizers --------------------------------------------------------------------------------------------------------
+
+
+def _grads(spark, d):
+    """A gradient for each order: its price over a million, alternating in sign by dimension, to vector custkey mod n."""
+    n = n_rows(spark, d, "embeddings")
+    price = F.col("o_totalprice") / 1e6
+    return load(spark, d, "orders").where("o_custkey % 3 <> 1").select((F.col("o_custkey") % n).cast("long").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: price * F.when(i % 2 == 0, 1.0).otherwise(-0.5)).alias("grad"))
+
+
+def _table(spark, d):
+    return vectors(spark, d).withColumn("vec", F.slice("vec", 1, 8))
+
+
+def dedup_grads(spark, d):
+    return exploded(optim.dedup_gradients(_grads(spark, d)), ["id"], "grad")
+
+
+def _steps(spark, d, kind, params, n=2):
+    t, g = optim.with_state(_table(spark, d), kind), _grads(spark, d)
+    for _ in range(n):
+        t = optim.step(t, g, kind, 0.1, params)
+    return exploded(t, ["id"], "vec")
+
+
+def sgd_step(spark, d):
+    return _steps(spark, d, "sgd", {"weight_decay": 0.01}, 1)
+
+
+def adam_step(spark, d):
+    return _steps(spark, d, "adam", {"weight_decay": 0.01})
+
+
+def adamw_step(spark, d):
+    return _steps(spark, d, "adam", {"weight_decay": 0.01, "adam_w": 1.0})
+
+
+def adagrad_step(spark, d):
+    return _steps(spark, d, "adagrad", {"weight_decay": 0.01})
+
+
+def rmsprop_step(spark, d):
+    return _steps(spark, d, "rmsprop", {"weight_decay": 0.01})
+
+
+def xavier_init(spark, d):
+    """Uniform in plus or minus the square root of 6 / (fan in + fan out)."""
+    a = (6 / (25 + 8)) ** 0.5
+    cells = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("dim"))
+    return cells.select("id", "dim", F.round((uniform(key(SEED, "init", F.col("id"), F.col("dim"))) * 2 - 1) * a, 6).alias("val"))
+
+
+# -- aggregation and metrics -------------------------------------------------------------------------------------------
+
+
+def _feats(spark, d):
+    n = n_rows(spark, d, "embeddings")
+    t = _table(spark, d).toDF("v", "vec")
+    return load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), (F.col("o_orderkey") % n).cast("long").alias("v")).join(t, "v").select("id", "vec")
+
+
+def mean_aggregate(spark, d):
+    e = sample.one_hop(customers(spark, d), order_edges(spark, d), 3, SEED)
+    return exploded(analytics.mean_aggregate(e, _feats(spark, d), ["ctr"], with_root=False), ["ctr"], "agg")
+
+
+def attention_aggregate(spark, d):
+    e = order_edges(spark, d).withColumn("score", F.col("wgt") / 100000)
+    return exploded(analytics.attention_aggregate(e, _feats(spark, d), ["ctr"], "score"), ["ctr"], "agg")
+
+
+def full_inference(spark, d):
+    """All neighbours' mean price written back over the customers' balances."""
+    e = sample.one_hop(customers(spark, d), order_edges(spark, d), -1, SEED).join(order_edges(spark, d).select("eid", "wgt"), "eid")
+    got = e.groupBy(F.col("ctr").alias("id")).agg(F.round(F.avg("wgt"), 6).alias("value")).withColumn("pos", F.col("id"))
+    table = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.lit(0.0).alias("value"))
+    return tensor.scatter(table, got, "value").select("id", "value")
+
+
+def mrr(spark, d):
+    s = load(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice")).alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return analytics.mean_reciprocal_rank(s, "l_orderkey", "score", "label").select(F.round("mrr", 6).alias("mrr"))
+
+
+def auc(spark, d):
+    s = load(spark, d, "lineitem").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return analytics.auc(s, "score", "label").select(F.round("auc", 6).alias("auc"))
+
+
+def confusion(spark, d):
+    s = load(spark, d, "lineitem").select((F.col("l_quantity") > 25).cast("int").alias("pred"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return analytics.confusion(s, "pred", "label").withColumn("accuracy", F.round("accuracy", 6))
+
+
+def argmax_accuracy(spark, d):
+    v = load(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("vec"), "label")
+    return analytics.argmax_accuracy(v, "vec", "label").select(F.round("accuracy", 6).alias("accuracy"))
+
+
+def weighted_mean_loss(spark, d):
+    b = load(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 512).alias("b")).agg(F.avg("o_totalprice").alias("loss"), F.count("*").alias("n"))
+    return analytics.weighted_mean(b, "loss", "n").select(F.round("mean", 4).alias("mean"))
+
+
+def lfu_admission(spark, d):
+    acc = load(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("id"))
+    return analytics.cache_admission(acc, 0.25)
+
+
+def cache_hit_rate(spark, d):
+    acc = load(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("id"))
+    return analytics.hit_rate(acc, analytics.cache_admission(acc, 0.25)).select(F.round("hit_rate", 6).alias("hit_rate"))
+
+
+def earliest_latest(spark, d):
+    return load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).cast("long").alias("first"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).cast("long").alias("dearest"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        minimum_slice, degree, csr_row_ptr, csr_columns, csc_columns, csr_self_loop, append_unique, vertex_offsets, typed_edges, reverse_edges, edge_ids, cooccurrence, subgraph_relabel, collate_graphs, endpoint_mean,
+        gather_vec, gather_cast, scatter_upsert, slice_vec, local_slice, truncate_vec, partition_even, partition_near_even, partition_round_robin, rank_counts, dedup_ids, sort_places, link_inverse,
+        onehop_all, onehop_uniform, onehop_weighted, sample_offsets, twohop_resample_all, hetero_twohop, hetero_nodes, hop_counts, batch_statistics, biased_onehop, temporal_onehop, temporal_last, disjoint_onehop, replace_onehop, seed_batches, shuffle_drop_last,
+        replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter,
+        dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
+    )
+}

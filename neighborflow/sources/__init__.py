@@ -1 +1 @@
-""""""
+"""Readers and writers of row tables."""
