@@ -48,7 +48,8 @@ def vertex_counts(edges: dict[EdgeType, DataFrame], sizes: dict[EdgeType, tuple[
         else:
             row = df.agg(F.max("nbr").alias("n"), F.max("ctr").alias("c")).first()
             n, c = ((row["n"] if row["n"] is not None else -1) + 1), ((row["c"] if row["c"] is not None else -1) + 1)
-        found[t.nbr], found[t.ctr] = max(found.get(t.nbr, 0), n), max(found.get(t.ctr, 0), c)
+        for kind, size in ((t.nbr, n), (t.ctr, c)):
+            found[kind] = max(found.get(kind, 0), size)
     return found
 
 

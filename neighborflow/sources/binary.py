@@ -98,6 +98,16 @@ def write_binary(table: DataFrame, prefix: str, count: int, dtype: str, n: int)
     return names
 
 
+def _frame(spark: SparkSession, a: np.ndarray) -> DataFrame:
+    """An array as a row table."""
+    kind = COLUMN_TYPES.get(a.dtype.name)
+    if kind is None:
+        raise ValueError(f"unknown element type {a.dtype}")
+    if a.ndim == 1:
+        return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "value": a}), f"id long, value {kind}")
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "vec": list(a)}), f"id long, vec array<{kind}>")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """A one- or two-dimensional array in C order, little-endian, as (id, value) or (id, vec)."""
     raw = spark.read.format("binaryFile").load(path).select("content").first()
@@ -114,15 +124,13 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("only arrays of one or two dimensions in C order are read")
     a = np.frombuffer(data[head:], meta["descr"]).reshape(meta["shape"])
     a = a.astype("<f4") if a.dtype == np.dtype("<f2") else a
-    if a.ndim == 1:
-        return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "value": a}))
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "vec": list(a)}))
+    return _frame(spark, a)
 
 
 def read_table(spark: SparkSession, src, dtype: str | None = None, shape: tuple | None = None) -> DataFrame:
     """By kind of source: a .npy or .parquet path, a list of binary files with dtype and shape, or a numpy array."""
     if isinstance(src, np.ndarray):
-        return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(src)), "value": src} if src.ndim == 1 else {"id": np.arange(len(src)), "vec": list(src)}))
+        return _frame(spark, src)
     if isinstance(src, (list, tuple)):
         if dtype is None or shape is None:
             raise ValueError("a list of files needs shape and dtype")
