@@ -105,7 +105,7 @@ def _frame(spark: SparkSession, a: np.ndarray) -> DataFrame:
         raise ValueError(f"unknown element type {a.dtype}")
     if a.ndim == 1:
         return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "value": a}), f"id long, value {kind}")
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "vec": list(a)}), f"id long, vec array<{kind}>")
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "vec": a.tolist()}), f"id long, vec array<{kind}>")
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
