@@ -93,12 +93,11 @@ def format_chats(rows: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame
         return F.array(seg(head, F.lit(False)), seg(escape(x["text"], t), x["role"].isin(*t.loss)), seg(F.lit(t.end), F.lit(False)))
 
     moves = _literal_map({f"{state}\n{role}": to for state, by in t.moves.items() for role, to in by.items()})
+    to = lambda state, role: F.coalesce(F.try_element_at(moves, F.concat(state, F.lit("\n"), role)), F.lit(""))  # noqa: E731  the empty state has refused
     walked = F.aggregate(
         F.transform("turns", lambda x: x["role"]),
         F.struct(F.lit("start").alias("state"), F.lit(0).cast("long").alias("at")),
-        lambda acc, role: F.when(acc["state"].isNull(), acc).otherwise(
-            F.struct(F.try_element_at(moves, F.concat(acc["state"], F.lit("\n"), role)).alias("state"), (acc["at"] + F.when(F.try_element_at(moves, F.concat(acc["state"], F.lit("\n"), role)).isNull(), 0).otherwise(1)).alias("at"))
-        ),
+        lambda acc, role: F.when(acc["state"] == "", acc).otherwise(F.struct(to(acc["state"], role).alias("state"), (acc["at"] + F.when(to(acc["state"], role) == "", 0).otherwise(1)).alias("at"))),
     )
     out = conv.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.transform("turns", pieces)).alias("segments"), walked.alias("walked"))
     valid = F.coalesce(F.col("walked.state").isin(*t.final), F.lit(False))

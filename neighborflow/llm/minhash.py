@@ -232,7 +232,8 @@ def exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHashPar
     sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "key")
     own = sized.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    full = dealt.join(reps.select("rep", "sig"), "rep").join(texts.toDF("rep", "text"), "rep")
+    needed = members.select("rep").distinct().join(reps.select("rep", "sig"), "rep").join(texts.toDF("rep", "text"), "rep")
+    full = dealt.join(needed, "rep")
     fewest = p.fewest()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,7 @@ ignored. Long texts are encoded whole. Special-token strings inside a text are r
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -34,38 +35,106 @@ LENGTH, END_ID = 4096, 1
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: the byte's own if it is visible,
+    else the next one from 256 on."""
+    out, more = [], 256
+    for b in range(256):
+        visible = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b if visible else more))
+        more += not visible
+    return out
+
+
+class Merges:
+    """Many words at once by the merges of a word-level BPE file, run by a byte-pair coder.
+
+    The end-of-word suffix becomes a mark of three bytes that joins the last byte before any merge of the file. A coder
+    that ranks joined strings does what ranked pairs do, as each string of the file has one pair that makes it: before
+    that pair's turn, all lower merges inside the string have been made, and they leave just the pair.
+    """
+
+    END = "\ue000"
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        model = spec["model"]
+        suffix, mark = model["end_of_word_suffix"], self.END.encode()
+        byte = {c: bytes([b]) for b, c in enumerate(_byte_characters())}
+        raw = lambda x: b"".join(byte[c] for c in x.removesuffix(suffix)) + mark * x.endswith(suffix)
+        order = [*(bytes([b]) for b in range(256)), mark[:2], mark, *(bytes([b]) + mark for b in range(256))]
+        order += [raw(a + b) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        ranks: dict[bytes, int] = {}
+        for x in order:
+            ranks.setdefault(x, len(ranks))
+        self.coder = tiktoken.Encoding("words", pat_str="[^\n]+", mergeable_ranks=ranks, special_tokens={})
+        self.id, self.ends = np.full(len(ranks), -1, np.int64), np.zeros(len(ranks), bool)
+        special = {t["content"] for t in spec["added_tokens"]}
+        for token, i in model["vocab"].items():
+            if token not in special and (x := raw(token)) in ranks:
+                self.id[ranks[x]], self.ends[ranks[x]] = i, token.endswith(suffix)
+
+    def encode(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """Ids of words without line breaks, and the byte at which each word's ids end."""
+        got = np.array(self.coder.encode_ordinary("\n".join([w + self.END for w in words])), np.int64)
+        return self.id[got].astype("<u4").tobytes(), ((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()
+
+
 class WordEncoder:
     """Ids of whole texts for a vocabulary whose pieces never cross white space and whose normalizer is NFC, white
-    space to blanks, lower case. Texts of plain Latin letters are split at white space and each chunk is looked up in a
-    bounded memory of what the tokenizer said; a mark after a letter is a word of its own. Any other text goes to the
+    space to blanks, lower case. Texts of plain Latin letters are split at white space; each chunk's words, by the file's
+    own pattern, are merged once and stay in a bounded memory. Any other text, and any other kind of file, goes to the
     tokenizer whole."""
 
     PLAIN, MARKS = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*"), frozenset(".,;:!?")
-    ROOM = 1_500_000
+    ROOM = 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.merges = Tokenizer.from_file(path), {}, None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if (
+            model["type"] == "BPE" and model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+            and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        ):
+            self.merges, self.find = Merges(spec), regex.compile(steps[0]["pattern"]["Regex"]).findall
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        marks, words, upto = self.MARKS, [], []
+        for w in new:
+            if w.isalpha():
+                words.append(w)
+            elif w[-1] in marks and w[:-1].isalpha():
+                words += (w[:-1], w[-1])
+            else:
+                words += self.find(w)
+            upto.append(len(words))
+        ids, ends = self.merges.encode(words)
+        ends = [0, *ends]
+        stops = [ends[n] for n in upto]
+        self.known.update(zip(new, [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [t.lower().split() if self.PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        known, marks, new = self.known, self.MARKS, set()
+        chunks = [t.lower().split() if self.merges and self.PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        known, new = self.known, set()
         for c in chunks:
             if c:
                 new.update(c)
         if len(known) + len(new) // 2 > self.ROOM:
             known.clear()
-        marked = [w for w in new if w not in known and w[-1] in marks and w[-2:-1].isalpha()]
-        alone = [w for w in {*new.difference(marked), *(w[:-1] for w in marked), *marks} if w not in known]
-        known.update(zip(alone, self._ids(alone), strict=True))
-        known.update([(w, known[w[:-1]] + known[w[-1]]) for w in marked])
+        self._learn([w for w in new if w not in known])
         other = iter(self._ids([t for t, c in zip(texts, chunks, strict=True) if c is None]))
         return [next(other) if c is None else b"".join(map(known.__getitem__, c)) for c in chunks]
 
