@@ -33,8 +33,8 @@ def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The document with the smallest doc_id of each group of near copies (five-word shingles, 0.8 or more), one row of
     it; rows without a doc_id cannot be told apart and stay."""
     groups = minhash.near_duplicates(spark, docs, minhash.MinHashParams())
-    kept = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = groups.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -138,7 +138,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every text."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in filter(len, batches):
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "fingerprint": fingerprints_of(part["text"].tolist())})
@@ -149,12 +149,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 def near_pairs(fingerprints: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:
     """Search: (query, doc_id, likeness) of all documents that share a band with a query text and verify. Documents with
     one fingerprint are one candidate, and come back through their membership, so copies are never paired."""
-    keyed = lambda df: df.mapInPandas(lambda it: (pd.DataFrame({"fingerprint": p["fingerprint"], "band": [bands(f) for f in p["fingerprint"]]}) for p in it), "fingerprint string, band array<string>").select("fingerprint", F.explode("band").alias("band"))
+    keyed = lambda df: df.mapInPandas(lambda it: (pd.DataFrame({"fingerprint": p["fingerprint"], "band": [bands(f) for f in p["fingerprint"]]}) for p in filter(len, it)), "fingerprint string, band array<string>").select("fingerprint", F.explode("band").alias("band"))
     left, right = queries.select("fingerprint").distinct(), fingerprints.select("fingerprint").distinct()
     pairs = keyed(left).toDF("f", "band").join(keyed(right).toDF("g", "band"), "band").select("f", "g").distinct()
 
     def verify(batches):
-        for p in batches:
+        for p in filter(len, batches):
             yield p.assign(likeness=[likeness(f, g) for f, g in zip(p["f"], p["g"], strict=True)])
 
     near = pairs.mapInPandas(verify, "f string, g string, likeness double").where(F.col("likeness") >= least)
@@ -215,7 +215,7 @@ def edited_likeness(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held, chars, last = [], 0, None
-        for pdf in batches:
+        for pdf in filter(len, batches):
             for b, d, t, guest in zip(pdf["bucket"], pdf["doc_id"], pdf["text"], pdf["guest"], strict=True):
                 if held and (b != last or chars > _BLOCK or len(held) > 512):
                     if len(held) > 1:

@@ -173,11 +173,12 @@ def fit_vectors(sample: DataFrame) -> Pooler:
 
     def count(batches):
         seen: Counter = Counter()
-        for pdf in batches:
+        for pdf in filter(len, batches):
             for text in pdf["text"]:
                 words = text.split()
                 seen.update({u for w in set(words) for u in units(w)} | set(whole_units(text, words)))
-        yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
+        if seen:  # an empty frame cannot carry strings or arrays
+            yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
 
     top = sample.mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(~F.col("unit").startswith("~"), F.col("n").desc(), "unit").limit(VOCABULARY).toPandas()
     names = top["unit"].tolist()
@@ -186,7 +187,7 @@ def fit_vectors(sample: DataFrame) -> Pooler:
 
     def neighbours(batches):
         near = np.zeros_like(base)
-        for pdf in batches:
+        for pdf in filter(len, batches):
             for text in pdf["text"]:
                 s = np.array([i for w in text.split() for i in pooler.ids(w)], np.int64)
                 for d in range(1, WINDOW + 1):
@@ -196,7 +197,7 @@ def fit_vectors(sample: DataFrame) -> Pooler:
                         if len(at):
                             near[pairs[at] // len(base)] += np.add.reduceat(base[pairs % len(base)] * n[:, None].astype(np.float32), at)
         hit = np.flatnonzero(np.abs(near).sum(1))
-        if len(hit):  # an empty frame cannot carry arrays
+        if len(hit):
             yield pd.DataFrame({"unit": hit, "near": [near[i].tolist() for i in hit]})
 
     parts = sample.mapInPandas(neighbours, "unit int, near array<float>")
@@ -229,7 +230,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     pooler, network = model
 
     def run(batches):
-        for pdf in batches:
+        for pdf in filter(len, batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": network.score(pooler.matrix(pdf["text"].tolist()))})
 
     return id_text(docs).mapInPandas(run, "doc_id long, score double")
@@ -240,7 +241,7 @@ def keep(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
     pooler, network = model
 
     def run(batches):
-        for pdf in batches:
+        for pdf in filter(len, batches):
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             if len(out := pdf[network.score(pooler.matrix(texts)) >= threshold]):
                 yield out
