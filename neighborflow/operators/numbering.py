@@ -6,7 +6,7 @@ partitions before. Only one count per partition reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neighborflow.scratch import written
@@ -18,9 +18,10 @@ def _ordered(df: DataFrame, order: list) -> DataFrame:
     return written(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()), "ordered")
 
 
-def _lookup(values: dict[int, int]) -> Column:
-    pairs = [F.lit(x) for kv in sorted(values.items()) for x in kv]
-    return F.element_at(F.create_map(*pairs), F.shiftright("_at", 33)) if pairs else F.lit(0)
+def _with_base(rows: DataFrame, values: dict[int, int]) -> DataFrame:
+    """Each row with its partition's base: a look-up table of one row per partition, sent to every task."""
+    table = rows.sparkSession.createDataFrame(sorted(values.items()), "_p long, _base long")
+    return rows.join(F.broadcast(table), F.shiftright("_at", 33) == F.col("_p")).drop("_p")
 
 
 def number_rows(df: DataFrame, order: list, name: str = "eid") -> DataFrame:
@@ -31,7 +32,7 @@ def number_rows(df: DataFrame, order: list, name: str = "eid") -> DataFrame:
     for r in sizes:
         before[r["p"]] = total
         total += r["count"]
-    return rows.withColumn(name, (_lookup(before) + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at")
+    return _with_base(rows, before).withColumn(name, (F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at", "_base")
 
 
 def prefix_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
@@ -46,4 +47,4 @@ def prefix_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
         before[r["p"]] = int(total)
         total += r["s"] or 0
     inside = Window.partitionBy(part).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, (_lookup(before) + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_at")
+    return _with_base(rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))), before).withColumn(name, (F.col("_base") + F.col(name)).cast("long")).drop("_at", "_base")

@@ -189,6 +189,27 @@ ORACLES = {
         WITH r AS (SELECT event_id, row_number() OVER (ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) - 1 AS r FROM events)
         SELECT event_id, CASE WHEN r < CAST(floor(0.8 * (SELECT count(*) FROM events)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM r""",
     "rating_filter": "SELECT l_partkey AS p, count(*) AS cnt FROM lineitem WHERE l_quantity >= 4 GROUP BY 1",
+    "coo_to_csr_both_ways": f"""
+        WITH b AS (SELECT nbr, ctr FROM {NATION} UNION SELECT ctr, nbr FROM {NATION}), d AS (SELECT r.row, count(b.nbr) AS deg FROM (SELECT unnest(range(26)) AS row) r LEFT JOIN b ON b.ctr = r.row GROUP BY 1)
+        SELECT row, CAST(coalesce(sum(deg) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM d""",
+    "split_tables": f"""
+        WITH s AS (SELECT label, {_u(SEED, chr(39) + 'node' + chr(39), 'vec_id')} AS u FROM embeddings)
+        SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'valid' ELSE 'test' END AS split, label, count(*) AS cnt FROM s GROUP BY ALL""",
+    "mask_index_split": """
+        WITH m AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT count(*) AS n FROM m)
+        SELECT id, place, CASE WHEN place < (n % 5) * (n // 5 + 1) THEN place // (n // 5 + 1) ELSE (place - (n % 5) * (n // 5 + 1)) // (n // 5) + n % 5 END AS rank FROM m, n""",
+    "batch_caps": "SELECT * FROM (SELECT o_orderkey AS input_id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 1000 AS pos FROM orders) WHERE batch_id < 3",
+    "no_leakage_onehop": f"""
+        WITH s AS (SELECT o_custkey AS c, max(CAST(epoch(o_orderdate) AS BIGINT)) - 1 AS t FROM orders WHERE o_orderkey % 10 = 3 GROUP BY 1)
+        SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders JOIN s ON c = o_custkey WHERE epoch(o_orderdate) <= t
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 2""",
+    "temporal_increasing": f"""
+        WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), s AS (SELECT user_id AS u, (min(t) + max(t)) // 2 AS t0 FROM e GROUP BY 1)
+        SELECT user_id AS ctr, event_id AS eid, event_id AS nbr FROM e JOIN s ON u = user_id WHERE t > t0
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_key(SEED, '0', 0, 0, 'user_id', 'event_id')}, event_id) <= 3""",
+    "biased_temporal": f"""
+        SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders WHERE epoch(o_orderdate) < 852076800 AND o_totalprice > 0
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY ln({_u(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}) / o_totalprice DESC, o_orderkey) <= 3""",
     "dedup_grads": f"WITH {GRADS} SELECT id, CAST(dim AS INTEGER) AS dim, round(g, 6) AS val FROM g",
     "sgd_step": _optimizer("0 AS x", {"w": "CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd END"}, 1),
     "adam_step": _adam(False),

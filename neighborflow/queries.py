@@ -395,6 +395,53 @@ def rating_filter(spark, d):
     return load(spark, d, "lineitem").where("l_quantity >= 4").groupBy(F.col("l_partkey").cast("long").alias("p")).agg(F.count("*").alias("cnt"))
 
 
+def coo_to_csr_both_ways(spark, d):
+    """Nations as a graph with reverse edges, duplicates collapsed: the compressed list's pointers."""
+    e = nation_edges(spark, d).select("nbr", "ctr")
+    both = e.unionByName(e.select(F.col("ctr").alias("nbr"), F.col("nbr").alias("ctr"))).dropDuplicates(["nbr", "ctr"]).withColumn("eid", F.col("ctr") * 1000 + F.col("nbr"))
+    return layout.row_pointers(both, n_rows(spark, d, "nation"))
+
+
+def split_tables(spark, d):
+    """Node splits by key with their labels, counted."""
+    u = uniform(key(SEED, "node", F.col("vec_id")))
+    return load(spark, d, "embeddings").withColumn("split", F.when(u < 0.8, "train").when(u < 0.9, "valid").otherwise("test")).groupBy("split", "label").agg(F.count("*").alias("cnt"))
+
+
+def mask_index_split(spark, d):
+    """Rows under a mask, numbered, near-evenly dealt to ranks."""
+    masked = load(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("long").alias("id"))
+    n = masked.count()
+    rows = number_rows(masked, ["id"], "place")
+    return rows.select("id", "place", P.near_even_rank(F.col("place"), n, 5).alias("rank"))
+
+
+def batch_caps(spark, d):
+    """The first three batches of a loader: the cap is the feature."""
+    return seed_batches(spark, d).where("batch_id < 3")
+
+
+def no_leakage_onehop(spark, d):
+    """Edges strictly before each order's own date: label times are one less."""
+    seeds = load(spark, d, "orders").where("o_orderkey % 10 = 3").groupBy(F.col("o_custkey").cast("long").alias("id")).agg((F.max(epoch("o_orderdate")) - 1).alias("t"))
+    seeds = seeds.select(F.floor(F.col("id") / 64).cast("long").alias("batch_id"), (F.col("id") % 64).alias("pos"), F.lit("customer").alias("vtype"), "id", "t")
+    e, _ = sample.neighbor_sample({OF: order_edges(spark, d)}, seeds, {OF: [2]}, sample.Options(time="monotonically_decreasing", seed=SEED))
+    return e.select("batch_id", "eid", "nbr", "ctr")
+
+
+def temporal_increasing(spark, d):
+    """Events after a user's own middle time, at most three."""
+    seeds = load(spark, d, "events").groupBy(F.col("user_id").cast("long").alias("id")).agg(F.floor((F.min(epoch("ts")) + F.max(epoch("ts"))) / 2).cast("long").alias("t")).select(F.lit(0).cast("long").alias("batch_id"), F.col("id").alias("pos"), F.lit("user").alias("vtype"), "id", "t")
+    e, _ = sample.neighbor_sample({DONE: event_edges(spark, d)}, seeds, {DONE: [3]}, sample.Options(time="strictly_increasing", seed=SEED))
+    return e.select("ctr", "eid", "nbr")
+
+
+def biased_temporal(spark, d):
+    seeds = seeds_of(spark, d).withColumn("t", F.lit(852076800).cast("long"))
+    e, _ = sample.neighbor_sample({OF: order_edges(spark, d)}, seeds, {OF: [3]}, sample.Options(weighted=True, time="strictly_decreasing", seed=SEED))
+    return e.select("batch_id", "eid", "nbr", "ctr")
+
+
 # -- optimizers --------------------------------------------------------------------------------------------------------
 
 
@@ -519,7 +566,7 @@ QUERIES = {
         minimum_slice, degree, csr_row_ptr, csr_columns, csc_columns, csr_self_loop, append_unique, vertex_offsets, typed_edges, reverse_edges, edge_ids, cooccurrence, subgraph_relabel, collate_graphs, endpoint_mean,
         gather_vec, gather_cast, scatter_upsert, slice_vec, local_slice, truncate_vec, partition_even, partition_near_even, partition_round_robin, rank_counts, dedup_ids, sort_places, link_inverse,
         onehop_all, onehop_uniform, onehop_weighted, sample_offsets, twohop_resample_all, hetero_twohop, hetero_nodes, hop_counts, batch_statistics, biased_onehop, temporal_onehop, temporal_last, disjoint_onehop, replace_onehop, seed_batches, shuffle_drop_last,
-        replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter,
+        replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
     )
 }
