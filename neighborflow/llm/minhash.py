@@ -45,7 +45,7 @@ class MinHashParams:
     rows: int = 5
     batch: int = 25
     miss: float = 1e-6
-    rounds: int = 2
+    rounds: int = 1
     block: int = 512
 
     @property
