@@ -194,7 +194,8 @@ def edited_likeness(spark: SparkSession, docs: DataFrame) -> DataFrame:
     the next one, so whole texts are shuffled once."""
     src = id_text(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = src.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    ranges = 4 * parts  # several to a task, so that tasks come out even
+    found = src.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] or []
     cuts = sorted(set(found), reverse=True)
     coarse = cuts[63::64]
     above = lambda values: F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in values]), lambda x: x > F.col("doc_id"))) if values else F.lit(0)
@@ -205,11 +206,13 @@ def edited_likeness(spark: SparkSession, docs: DataFrame) -> DataFrame:
     else:
         bucket = above(cuts)
     dealt = src.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(bucket))
-    first = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "text")).alias("head"))
+    # The first document of each range: its id from the ids alone, then its text; one row per range is sent to all tasks.
+    heads = dealt.groupBy(F.col("bucket").alias("of")).agg(F.max("doc_id").alias("head"))
+    first = dealt.join(F.broadcast(heads), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     from pyspark.sql import Window
 
     over = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row per range
-    guests = first.select(F.coalesce(F.lag("bucket").over(over), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("bucket"), (-F.col("head.down")).alias("doc_id"), F.col("head.text").alias("text"), F.lit(1).alias("guest"))
+    guests = first.select(F.coalesce(F.lag("bucket").over(over), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("bucket"), "doc_id", "text", F.lit(1).alias("guest"))
     both = dealt.select("bucket", "doc_id", "text", F.lit(0).alias("guest")).unionByName(guests)
     ordered = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neighborflow.llm.common import small_batches
+
 #: Tags that start or end a block, tags whose content is no text, and words that mark page furniture.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 RAW_TAGS = frozenset("script style title textarea xmp iframe noembed noframes noscript".split())
@@ -228,6 +230,7 @@ def extract(page: str | None, tree) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks of every page."""
     tree = grow(*table())
+    small_batches(pages.sparkSession)
 
     def run(batches):
         for pdf in filter(len, batches):

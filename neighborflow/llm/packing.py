@@ -88,7 +88,7 @@ class WordEncoder:
     tokenizer whole."""
 
     PLAIN, MARKS = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*"), frozenset(".,;:!?")
-    ROOM = 700_000
+    ROOM = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,7 +143,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder_of(path: str) -> WordEncoder:
-    """One encoder per worker process, so that later tasks find its memory filled."""
+    """One encoder per worker process: reading the merges takes a second."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -164,6 +164,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, en
                         cut = ids[i : i + width]
                         rows.append((doc, n, i // 4, len(cut) // 4, zlib.crc32(cut), *([cut] if keep_ids else [])))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
+        encoder.known.clear()  # the memory goes with the task; the merges stay with the process
 
     return id_text(docs).mapInPandas(run, PIECE_SCHEMA + ", ids binary" * keep_ids)
 

@@ -170,7 +170,7 @@ class Arcs:
 class Encoder:
     """Whole texts, word by word, with a bounded memory; and the steps of the scan over a chunk."""
 
-    ROOM, BLOCK, LONG = 800_000, 1 << 18, 40
+    ROOM, BLOCK, LONG = 250_000, 1 << 18, 40
 
     def __init__(self, v: Vocabulary):
         self.v, self.known, self.arcs = v, {}, Arcs(v)
@@ -179,14 +179,14 @@ class Encoder:
     def unit(self, w: str) -> bytes:
         got = self.known.get(w)
         if got is None:
-            self.learn([w])
+            if len(self.known) > self.ROOM:
+                self.known.clear()
+            self._alone(w)
             got = self.known[w]
         return got
 
     def learn(self, new: list[str]) -> None:
         """Put words into the memory: short ones of known characters many at once, others by themselves."""
-        if len(self.known) > self.ROOM:
-            self.known.clear()
         block, size = [], 0
         for w in new:
             if len(w) > self.LONG:
@@ -280,12 +280,12 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Texts as little-endian unsigned 32-bit ids."""
-        split = [self._units(t) for t in texts]
-        new = list({u for x in split for u in x} - self.known.keys())
-        if len(self.known) + len(new) > self.ROOM:
+        split, seen = [self._units(t) for t in texts], set()
+        for x in split:
+            seen.update(x)
+        if len(self.known) + len(seen) // 2 > self.ROOM:
             self.known.clear()
-            new = list({u for x in split for u in x})
-        self.learn(new)
+        self.learn([u for u in seen if u not in self.known])
         return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
     def encode(self, text: str) -> bytes:
@@ -296,6 +296,9 @@ class Encoder:
         if not text:
             return []
         full, br = normal(text), self.v.breaks
+        if BLANK * 2 not in full and not full.endswith(BLANK):  # one blank before each word: no loop is needed
+            full = full.replace(BLANK, " " + BLANK)
+            return list(filter(None, (full if br is None else full.replace(br, f" {br} ")).split(" ")))
         if br is None or br not in full:
             return units(full)
         lines = full.split(br)
@@ -368,13 +371,21 @@ class Encoder:
         return as_bytes(head) + b"".join(map(self.unit, units(w[cut[0] : cut[1]]))) + as_bytes(tail)
 
 
+_vocabularies: dict[str, Vocabulary] = {}
 _encoders: dict[str, Encoder] = {}
 
 
+def vocabulary_of(path: str) -> Vocabulary:
+    """One per worker process."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
 def encoder_of(path: str) -> Encoder:
-    """One encoder per worker process, so that later tasks find its memory filled."""
+    """One per worker process."""
     if path not in _encoders:
-        _encoders[path] = Encoder(Vocabulary(path))
+        _encoders[path] = Encoder(vocabulary_of(path))
     return _encoders[path]
 
 
@@ -446,6 +457,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": encoder.encode_many(part["text"].tolist())})
+        encoder.known.clear()  # words go with the task; which pieces may follow which stays
 
     small = src.where(F.length("text") <= giant).mapInPandas(plain, "doc_id long, ids binary")
     s = scratch or Scratch(spark, "pieces")
@@ -507,8 +519,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, text."""
 
     def run(batches):
-        v = encoder_of(model_path).v
+        v = vocabulary_of(model_path)
         for pdf in filter(len, batches):
-            yield pdf.assign(text=[decode_ids(v, x) if x is not None else None for x in pdf["ids"]])
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                yield part.assign(text=[decode_ids(v, x) if x is not None else None for x in part["ids"]])
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, text string")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neighborflow.llm.common import small_batches
+
 RULES = ("majority", "first", "last", "share")
 SCHEMA = "doc_id long, section int, field string, start long, end long, n_tokens double"
 
@@ -87,6 +89,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, fields: tuple[str, ..
     """A row per document and section: its interval and tokens; section -1, from 0 to 0, holds the tokens of none."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)])
 
     def run(batches):

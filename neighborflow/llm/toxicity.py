@@ -160,7 +160,7 @@ def decode(span: str, model: CharModel) -> str:
 class Restorer:
     """Words of a text after deobfuscation. known: a bounded memory of words already restored."""
 
-    ROOM = 200_000
+    ROOM = 120_000
 
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}
