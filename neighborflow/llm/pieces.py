@@ -292,10 +292,12 @@ class Encoder:
         return self.encode_many([text])[0]
 
     def _units(self, text: str) -> list[str]:
-        """Words of a text; a line break that no piece holds is a word of its own."""
-        if not text:
-            return []
-        full, br = normal(text), self.v.breaks
+        """Words of a text."""
+        return self._split(normal(text)) if text else []
+
+    def _split(self, full: str) -> list[str]:
+        """Words of a normal text; a line break that no piece holds is a word of its own."""
+        br = self.v.breaks
         if BLANK * 2 not in full and not full.endswith(BLANK):  # one blank before each word: no loop is needed
             full = full.replace(BLANK, " " + BLANK)
             return list(filter(None, (full if br is None else full.replace(br, f" {br} ")).split(" ")))
@@ -308,6 +310,16 @@ class Encoder:
             out += units(x)
         return out
 
+    def prepare(self, chunks: list[tuple]) -> None:
+        """Learn the whole words of many chunks together."""
+        seen = set()
+        for w, lo, hi, first, last in chunks:
+            if cut := self.parts(w, lo, hi, first, last):
+                seen.update(self._split(w[cut[0] : cut[1]]))
+        if len(self.known) + len(seen) // 2 > self.ROOM:
+            self.known.clear()
+        self.learn([u for u in seen if u not in self.known])
+
     def entries(self, w: str, c: int) -> list[tuple[int, int]]:
         """States at cut c of window w: (reach over the cut, piece)."""
         out = [] if w[c - 1] in self.v.id else [(0, UNKNOWN)]
@@ -344,7 +356,7 @@ class Encoder:
             return cells
         tail = walk(self.v, w, cut[1], START, stop)
         out = [(r, p, self._steps(tail, e, cut[1])) for r, p, e in self.exits(tail, hi, last, size)]
-        middle = sum(len(self.unit(u)) // 4 for u in units(w[cut[0] : cut[1]]))
+        middle = sum(map(len, map(self.unit, self._split(w[cut[0] : cut[1]])))) // 4
         for reach, piece in heads:
             ends = walk(self.v, w, lo + reach, piece, cut[0])
             if cut[0] in ends:
@@ -368,7 +380,7 @@ class Encoder:
             return as_bytes(trace(self.v, w, walk(self.v, w, at, came[1], stop), stop, at))
         head = trace(self.v, w, walk(self.v, w, at, came[1], cut[0]), cut[0], at)
         tail = trace(self.v, w, walk(self.v, w, cut[1], START, stop), stop, cut[1])
-        return as_bytes(head) + b"".join(map(self.unit, units(w[cut[0] : cut[1]]))) + as_bytes(tail)
+        return as_bytes(head) + b"".join(map(self.unit, self._split(w[cut[0] : cut[1]]))) + as_bytes(tail)
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -484,8 +496,12 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
     def matrices(batches):
         encoder = encoder_of(model_path)
         for pdf in filter(len, batches):
-            rows = [(d, n, *cell) for d, n, lo, hi, last, w in pdf.itertuples(index=False) for cell in encoder.matrix(w, lo, hi, n == 0, last)]
-            yield pd.DataFrame(rows, columns=["digest", "n", "reach_in", "piece_in", "reach_out", "piece_out", "weight"])
+            for at in range(0, len(pdf), 64):
+                part = [(d, n, (w, lo, hi, n == 0, last)) for d, n, lo, hi, last, w in pdf.iloc[at : at + 64].itertuples(index=False)]
+                encoder.prepare([c for _, _, c in part])
+                rows = [(d, n, *cell) for d, n, c in part for cell in encoder.matrix(*c)]
+                yield pd.DataFrame(rows, columns=["digest", "n", "reach_in", "piece_in", "reach_out", "piece_out", "weight"])
+        encoder.known.clear()
 
     cells = chunks.select("digest", "n", "lo", "hi", "last", "w").mapInPandas(matrices, "digest string, n int, reach_in int, piece_in int, reach_out int, piece_out int, weight double")
 
@@ -501,8 +517,12 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
     def back(batches):
         encoder = encoder_of(model_path)
         for pdf in filter(len, batches):
-            ids = [encoder.between(w, lo, hi, n == 0, last, (a, b), (c, d)) for n, lo, hi, last, w, a, b, c, d in pdf.drop(columns="digest").itertuples(index=False)]
-            yield pd.DataFrame({"digest": pdf["digest"], "n": pdf["n"], "ids": ids})
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                rows = [((w, lo, hi, n == 0, last), (a, b), (c, d)) for n, lo, hi, last, w, a, b, c, d in part.drop(columns="digest").itertuples(index=False)]
+                encoder.prepare([x for x, _, _ in rows])
+                yield pd.DataFrame({"digest": part["digest"], "n": part["n"], "ids": [encoder.between(*x, came, goes) for x, came, goes in rows]})
+        encoder.known.clear()
 
     traced = chunks.join(states, ["digest", "n"]).select("digest", "n", "lo", "hi", "last", "w", "reach_in", "piece_in", "reach_out", "piece_out").mapInPandas(back, "digest string, n int, ids binary")
     whole = traced.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("parts")).select("digest", F.concat_ws("", F.transform("parts", lambda p: F.hex(p["ids"]))).alias("ids"))
