@@ -35,8 +35,8 @@ from neighborflow.llm.common import Scratch, id_text
 @dataclass(frozen=True)
 class MinHashParams:
     """k words a shingle; link at numerator/denominator or more; bands of rows; hashes compared at once; the posterior
-    probability under which a candidate is given up; rounds of bucket centres before the exhaustive one, and members of
-    its blocks."""
+    probability under which a candidate is given up; rounds of bucket centres before the exhaustive one, members and
+    shingles of its blocks."""
 
     k: int = 5
     numerator: int = 80
@@ -47,6 +47,7 @@ class MinHashParams:
     miss: float = 1e-6
     rounds: int = 1
     block: int = 512
+    block_shingles: int = 500_000
 
     @property
     def hashes(self) -> int:
@@ -175,16 +176,16 @@ def signatures(docs: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def band_keys(reps: DataFrame, p: MinHashParams) -> DataFrame:
-    """rep, key: one row per band."""
+    """rep, n (shingles), key: one row per band."""
 
     def run(batches):
         hasher = Hasher(p)
         for pdf in filter(len, batches):
             if len(pdf):
                 keys = hasher.keys(np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1))
-                yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "keys": list(keys)})
+                yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "n": pdf["n"].to_numpy(), "keys": list(keys)})
 
-    return reps.select("rep", "sig").mapInPandas(run, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    return reps.select("rep", "n", "sig").mapInPandas(run, "rep long, n int, keys array<long>").select("rep", "n", F.explode("keys").alias("key"))
 
 
 def bayes(pairs: DataFrame, reps: DataFrame, p: MinHashParams) -> DataFrame:
@@ -226,10 +227,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """Links (a, b) between members (key, rep, comp) of one bucket in different components. A bucket is split into
-    blocks by a hash; each two blocks meet in one task, so a hot bucket is dealt over many. A pair is tested in the
+    """Links (a, b) between members (key, rep, n, comp) of one bucket in different components. A bucket is split into
+    blocks by a hash, of bounded members and shingles on average; each two blocks meet in one task, so a hot bucket is dealt over many. A pair is tested in the
     first band that it shares only, by batches of hashes, then on full sets."""
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")), "key")
+    sized = members.join(members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("blocks")), "key")
     own = sized.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     needed = members.select("rep").distinct().join(reps.select("rep", "sig"), "rep").join(texts.toDF("rep", "text"), "rep")
@@ -244,11 +245,16 @@ def exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHashPar
         rep, own, two = pdf["rep"].tolist(), pdf["own"].to_numpy(), pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
         sets: dict = {}
-        out = []
+        out, held = [], 0
 
         def words_of(i: int) -> set:
+            nonlocal held
             if i not in sets:
+                if held > p.block_shingles:  # sets are large; at most so many shingles stay
+                    sets.clear()
+                    held = 0
                 sets[i] = shingles(pdf["text"].iat[i], p.k)
+                held += len(sets[i])
             return sets[i]
 
         for x in range(len(pdf) - 1):
@@ -298,10 +304,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = Min
     s = scratch or Scratch(spark, "minhash")
     texts = id_text(docs)
     sigs = s.save(signatures(docs, p), "sigs")
-    reps = s.save(sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "reps")
+    reps = s.save(sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").cast("int").alias("n")), "reps")
     bands = s.save(band_keys(reps, p), "bands")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    live = s.save(bands.join(shared, "key").select("key", "rep", "centre"), "live")
+    shared = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("many")).where("many > 1")
+    live = s.save(bands.join(shared, "key").select("key", "rep", "n", "centre"), "live")
     s.drop("bands")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
@@ -314,7 +320,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = Min
     links = checked(tested, "round-0")
     comp = components(links, s, "comp-0")
     for r in range(1, p.rounds + 2):
-        at = live.select("key", "rep").join(comp.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("comp"))
+        at = live.select("key", "rep", "n").join(comp.toDF("rep", "c"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("comp"))
         split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "key", F.lit(r))).alias("centre")).where("lo <> hi").select("key", "centre")
         open_ = s.save(at.join(split, "key"), f"open-{r}")
         if open_.isEmpty():
@@ -325,7 +331,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = Min
             more = checked(fresh, f"round-{r}")
             tested = tested.unionByName(fresh)
         else:  # whatever is left
-            more = s.save(exhaust(open_.select("key", "rep", "comp"), reps, texts, p), f"round-{r}-links")
+            more = s.save(exhaust(open_.select("key", "rep", "n", "comp"), reps, texts, p), f"round-{r}-links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links, s, f"comp-{r}")
