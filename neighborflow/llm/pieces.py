@@ -34,7 +34,7 @@ GIANT, CHUNK = 1 << 15, 1 << 13
 class Vocabulary:
     """Pieces and scores of a model file, and which piece may follow which."""
 
-    ROOM = 1_000_000
+    ROOM = 600_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -170,11 +170,11 @@ class Arcs:
 class Encoder:
     """Whole texts, word by word, with a bounded memory; and the steps of the scan over a chunk."""
 
-    ROOM, BLOCK, LONG = 250_000, 1 << 18, 40
+    ROOM, BLOCK, LONG = 180_000, 1 << 17, 40
 
     def __init__(self, v: Vocabulary):
         self.v, self.known, self.arcs = v, {}, Arcs(v)
-        self.pair_key, self.pair_ok = np.full(1 << 20, np.iinfo(np.int64).min), np.zeros(1 << 20, bool)
+        self.pair_key, self.pair_ok = np.full(1 << 21, np.iinfo(np.int64).min), np.zeros(1 << 21, bool)
 
     def unit(self, w: str) -> bytes:
         got = self.known.get(w)
@@ -268,7 +268,7 @@ class Encoder:
 
     def _may_follow(self, keys: np.ndarray) -> np.ndarray:
         """What is known of many successions, from a table of the latest; the rest one by one."""
-        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
         ok, miss = self.pair_ok[slot], np.flatnonzero(self.pair_key[slot] != keys)
         if len(miss):
             v = self.v
