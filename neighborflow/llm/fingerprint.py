@@ -4,8 +4,9 @@ A walk reads a text with shared random bits: at step j it writes the current cha
 character's class is one. Two texts with few edits fall back in step soon after each edit, so edit distance turns into
 Hamming distance of what they write. As the bits are shared, a character's stay is one table look-up, and a walk takes
 one look-up per character, done for many texts side by side. A fingerprint keeps one random bit of what was written at
-sampled steps, on two scales of step numbers, so texts of similar length share a scale. Bands of bits propose near
-texts, and the Hamming distance over all sampled steps that either walk reached verifies them.
+sampled steps, on two scales of step numbers, so texts of similar length share a scale. Bands of bits, drawn from all
+sampled steps that a walk reached, propose near texts: at likeness 0.5 three bits in four agree, so 256 bands of 16 miss
+a pair on one scale with a chance of 8 %. The Hamming distance over all sampled steps that either walk reached verifies.
 
 Defined results: null and empty texts have an all-zero fingerprint with no steps; equal texts have equal fingerprints
 and likeness 1; texts more than two scales apart have likeness 0. Documents are ordered by doc_id descending, nulls
@@ -16,6 +17,7 @@ their own; an empty table gives an empty one; extra columns are ignored. Texts a
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from neighborflow.llm.common import id_text
 
 CLASSES, PERIOD, SAMPLES, SCALES = 64, 1 << 14, 1024, 2
 #: Bits of a band, and bands taken from each scale's samples.
-BAND_BITS, BANDS = 16, 24
+BAND_BITS, BANDS = 16, 256
 _BLOCK = 1 << 21
 
 _rng = np.random.default_rng(40961)
@@ -41,7 +43,8 @@ for _j in range(PERIOD - 1, -1, -1):
 _STAY = STAY.ravel()
 _FRACTIONS = np.sort(_rng.random(SAMPLES))
 _BITS = _rng.integers(0, 2, (64, CLASSES, SAMPLES), dtype=np.uint8)
-_PICKS = np.stack([_rng.choice(SAMPLES, BAND_BITS, replace=False) for _ in range(BANDS)])
+#: For each bit of a band, samples in the order in which they are tried: the first that the walk reached is taken.
+_TRIES = _rng.integers(0, SAMPLES, (48, BANDS, BAND_BITS), dtype=np.int16)
 
 
 def classes(text: str) -> np.ndarray:
@@ -119,16 +122,36 @@ def likeness(f: str, g: str) -> float:
     return max(0.0, 1.0 - 2.0 * float(differ) / reached)
 
 
-def bands(f: str) -> list[str]:
-    """Keys of sampled bits on each scale. Samples past the walk's end are taken anew from those it reached."""
+@lru_cache(SAMPLES + 1)
+def picks(reached: int) -> np.ndarray:
+    """The samples of each band among the first ``reached``. Walks of about one length share nearly all their picks, as
+    a pick differs only if it falls between the two ends."""
+    fits = reached > _TRIES
+    first = np.take_along_axis(_TRIES, fits.argmax(0)[None], 0)[0]
+    return np.where(fits.any(0), first, first % max(1, reached))
+
+
+def band_bits(f: str) -> dict[int, np.ndarray]:
+    """For each scale, the bits of its bands, packed to one number a band."""
     scale, steps, body = parse(f)
-    out = []
+    out = {}
     for s in range(SCALES):
-        one = np.unpackbits(body[s])
-        out += [f"{scale + s}:{b}:{one[pick % max(1, SAMPLES // 4)].tobytes().hex()}" for b, pick in enumerate(_PICKS)]
+        reached = int(np.searchsorted((_FRACTIONS * (1 << (scale + s))).astype(np.int64), steps))
+        out[scale + s] = np.packbits(np.unpackbits(body[s])[picks(reached)], axis=1).view(np.uint16)[:, 0]
     return out
 
 
+def bands(f: str) -> list[str]:
+    """Keys of sampled bits on each scale, from all the samples that the walk reached there."""
+    return [f"{scale}:{b}:{x:04x}" for scale, got in band_bits(f).items() for b, x in enumerate(got.tolist())]
+
+
+def banded(f: str, g: str) -> bool:
+    """Whether two fingerprints share a band."""
+    one, other = band_bits(f), band_bits(g)
+    return any((one[scale] == other[scale]).any() for scale in one.keys() & other.keys())
+
+
 def fingerprints_of(texts: list[str]) -> list[str]:
     codes = [classes(t) for t in texts]
     return [fingerprint(c, w) for c, w in zip(codes, walks(codes, [0] * len(codes)), strict=True)]
@@ -184,7 +207,7 @@ def _compare(rows: list[tuple]) -> pd.DataFrame:
     out = []
     for i, n in enumerate(kept):
         f = fingerprint(np.concatenate([codes[i][:n], tails[i]]), np.concatenate([left[i][:n], more[i]]))
-        out.append((ids[i], len(texts[i]), hashlib.sha256(edited[i].encode("utf-8", "surrogatepass")).hexdigest(), own[i], f, likeness(own[i], f), likeness(own[i], own[i + 1]), not set(bands(own[i])).isdisjoint(bands(f))))
+        out.append((ids[i], len(texts[i]), hashlib.sha256(edited[i].encode("utf-8", "surrogatepass")).hexdigest(), own[i], f, likeness(own[i], f), likeness(own[i], own[i + 1]), banded(own[i], f)))
     return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
 

@@ -86,3 +86,24 @@ def test_search_finds_near_texts(spark):
     brute = {(a, b) for a in range(10) for b in range(45) if M.likeness(*M.fingerprints_of([(texts + near)[a], (texts + near)[b]])) >= 0.5}
     assert found == brute and {(i, 30 + i) for i in range(10)} <= found and {(i, 40 + i) for i in range(5)} <= found
     assert np.isclose(M.likeness(*M.fingerprints_of(["", ""])), 1.0)
+
+
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+def test_bands_find_pairs_near_the_threshold(place):
+    """Of the pairs just above likeness 0.5, nine in ten share a band wherever the edit is."""
+    rng, found = random.Random(6), []
+    for _ in range(260):
+        a = prose(rng, 300)
+        n = int(len(a) * rng.uniform(0.2, 0.5))
+        at = {"start": 0, "middle": (len(a) - n) // 2, "end": len(a) - n}[place]
+        f, g = M.fingerprints_of([a, a[:at] + prose(rng, 300)[:n] + a[at + n :]])
+        if 0.5 <= M.likeness(f, g) < 0.65:
+            found.append(bool(set(M.bands(f)) & set(M.bands(g))))
+            assert found[-1] == M.banded(f, g)
+    assert len(found) >= 30 and np.mean(found) >= 0.9
+
+
+def test_bands_draw_from_all_that_was_reached():
+    for reached in (1, 70, 300, 1024):
+        got = np.unique(M.picks(reached))
+        assert got.max() < reached and len(got) > 0.9 * reached
