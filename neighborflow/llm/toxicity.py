@@ -1,6 +1,6 @@
 """Toxicity by noisy-channel deobfuscation: Viterbi over character lattices, then a score of the restored text.
 
-A character trigram model is counted over the whole corpus. Words that may hide another one (digits or symbols among
+A character trigram model is counted over the whole corpus, for all letters of any script that it holds. Words that may hide another one (digits or symbols among
 letters, runs of one letter, single letters kept apart by spaces or marks) become a lattice: each run of one observed
 character may stand for itself, for the letters it looks like, for fewer copies, for nothing or for a word boundary,
 each at a channel cost. The best path under the model is the restored text. A word of plain letters has one path
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,19 +35,23 @@ SAMPLE_ROWS = 10_000
 LEXICON = 20_000
 MIN_TOXIC = 3
 BEGINNINGS = (4, 5, 6)
-ALPHABET = " abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûü"
-K = len(ALPHABET)
 #: The letters that a character can be written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Log costs of the channel: a look-alike, a shorter run, a dropped mark, a mark taken as a boundary.
 LOOK, SHORTER, DROPPED, BOUNDARY = -1.5, -0.7, -0.5, -1.0
 
-_LUT = np.zeros(0x250, np.uint8)
-for _i, _c in enumerate(ALPHABET):
-    _LUT[ord(_c)] = _i
-    if len(_c.upper()) == 1 and ord(_c.upper()) < len(_LUT):
-        _LUT[ord(_c.upper())] = _i
-_CODE = {c: i for i, c in enumerate(ALPHABET)}
+
+class _Codes(dict):
+    """The number of a letter is its code point, that of a boundary 0."""
+
+    def __missing__(self, char: str) -> int:
+        return ord(char)
+
+
+_CODE = _Codes({" ": 0})
+#: A cell is three numbers of BITS bits.
+BITS = 21
+_LOW = (1 << BITS) - 1
 _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$") + "¡¿«»“”’"
 _LEFT = _OUTER.replace("!", "").replace("|", "")
 _RUN = re.compile(r"(.)\1{2,}")
@@ -54,17 +60,55 @@ _EDGE = re.compile(r"^([@$])\1{2,}|([@$])\2{2,}$")
 _BLOCK = 1 << 20
 
 
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """For each code point the number of its letter in lower case, or 0."""
+    out = np.zeros(sys.maxunicode + 1, np.int32)
+    for i in range(len(out)):
+        if (c := chr(i)).isalpha():
+            out[i] = ord(c.lower()[0])
+    return out
+
+
+def _summed(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and their counts' sums."""
+    if not cells:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, at = np.unique(np.concatenate(cells), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    return found, total
+
+
 def trigram_cells(texts) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero cells and counts of (before, before, letter); anything but a letter is a boundary, code 0."""
-    total = np.zeros(K * K * K, np.int64)
+    lut, place, names = _letters(), np.full(sys.maxunicode + 1, -1, np.int32), np.zeros(1, np.int64)
+    place[0] = 0
+    cells, counts = [], []
 
     def add(joined: str) -> None:
-        u = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = _LUT[np.where(u < len(_LUT), u, 0)].astype(np.int64)
+        nonlocal names, cells, counts
+        code = lut[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        c = place[code]
+        if len(new := np.unique(code[c < 0])):
+            place[new] = len(names) + np.arange(len(new))
+            names = np.concatenate([names, new])
+            c = place[code]
+        k, c = len(names), c.astype(np.int64)
         a, b, c = c[:-2].copy(), c[1:-1], c[2:]
         a[b == 0] = 0
-        keep = (b != 0) | (c != 0)
-        np.add(total, np.bincount(((a * K + b) * K + c)[keep], minlength=len(total)), out=total)
+        cell = ((a * k + b) * k + c)[(b != 0) | (c != 0)]
+        if k**3 <= 4 * _BLOCK:
+            n = np.bincount(cell, minlength=k**3)
+            local = np.flatnonzero(n)
+            n = n[local]
+        else:
+            local, n = np.unique(cell, return_counts=True)
+        cells.append((names[local // (k * k)] << 2 * BITS) | (names[local // k % k] << BITS) | names[local % k])
+        counts.append(n)
+        if len(cells) > 1 and sum(map(len, cells)) > max(_BLOCK, 2 * len(cells[0])):
+            got = _summed(cells, counts)
+            cells, counts = [got[0]], [got[1]]
 
     held, size = [], 0
     for t in texts:
@@ -76,26 +120,69 @@ def trigram_cells(texts) -> tuple[np.ndarray, np.ndarray]:
                 held, size = [], 0
     if held:
         add("".join(held))
-    cells = np.flatnonzero(total)
-    return cells, total[cells]
+    return _summed(cells, counts)
 
 
-class CharModel:
-    """Interpolated log probabilities from trigram counts."""
+class _Row(dict):
+    """Log probabilities of the letters after two others; letters never seen there back off."""
+
+    def __init__(self, seen: dict, unseen):
+        super().__init__(seen)
+        self.unseen = unseen
+
+    def __missing__(self, c: int) -> float:
+        got = self[c] = self.unseen(c)
+        return got
+
+
+class _Lazy(dict):
+    """Made entry by entry as they are asked for."""
 
-    def __init__(self, counts: np.ndarray):
-        n3 = counts.reshape(K, K, K).astype(np.float64)
-        n2 = n3.sum(0)
-        n1 = n2.sum(0) + 1
-        p1 = n1 / n1.sum()
-        p2 = (n2 + 5 * p1) / (n2.sum(1, keepdims=True) + 5)
-        p3 = (n3 + 5 * p2[None]) / (n3.sum(2, keepdims=True) + 5)
-        self.log = np.log(p3).astype(np.float32)
-        self.rows = self.log.tolist()
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, k: int):
+        got = self[k] = self.make(k)
+        return got
+
+
+class CharModel:
+    """Interpolated log probabilities from sparse trigram counts. A letter never seen counts as one seen once, so that
+    every letter has a probability."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray):
+        order = np.argsort(cells)
+        self.cells, self.counts = cells[order], counts[order]
+        self.pairs, n2 = _summed([self.cells & ((1 << 2 * BITS) - 1)], [self.counts])
+        letters, n1 = _summed([self.cells & _LOW], [self.counts])
+        total = n1.sum() + len(letters) + 1
+        self.p1 = _Row(dict(zip(letters.tolist(), ((n1 + 1) / total).tolist(), strict=True)), lambda c: 1 / total)
+        self.n2 = n2
+        self.p2 = _Lazy(self._after_one)
+        self.rows = _Lazy(lambda a: _Lazy(lambda b: self._after_two(a, b)))
+
+    def __reduce__(self):
+        return CharModel, (self.cells, self.counts)
+
+    @staticmethod
+    def _after(keys: np.ndarray, counts: np.ndarray, before: int) -> dict[int, int]:
+        at, end = np.searchsorted(keys, [before << BITS, (before + 1) << BITS])
+        return dict(zip((keys[at:end] & _LOW).tolist(), counts[at:end].tolist(), strict=True))
+
+    def _after_one(self, b: int) -> _Row:
+        seen, p1 = self._after(self.pairs, self.n2, b), self.p1
+        of = sum(seen.values()) + 5
+        return _Row({c: (n + 5 * p1[c]) / of for c, n in seen.items()}, lambda c: 5 * p1[c] / of)
+
+    def _after_two(self, a: int, b: int) -> _Row:
+        seen, p2 = self._after(self.cells, self.counts, (a << BITS) | b), self.p2[b]
+        of = sum(seen.values()) + 5
+        return _Row({c: math.log((n + 5 * p2[c]) / of) for c, n in seen.items()}, lambda c: math.log(5 * p2[c] / of))
 
 
 def fit_chars(docs: DataFrame) -> CharModel:
-    """The model from every text; at most K cubed cells reach the driver."""
+    """The model from every text; what reaches the driver is one row for each distinct trigram of letters."""
 
     def count(batches):
         def texts():
@@ -106,15 +193,13 @@ def fit_chars(docs: DataFrame) -> CharModel:
         yield pd.DataFrame({"cell": cells, "n": n})
 
     got = id_text(docs).select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(K * K * K)
-    counts[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    return CharModel(counts)
+    return CharModel(got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
 
 def _options(char: str, run: int) -> list[tuple[str, float]]:
     """What a run of one observed character may stand for, with the channel's log cost."""
     out = []
-    letters = [(char, 0.0)] if char in _CODE and char != " " else []
+    letters = [(char, 0.0)] if char.isalpha() else []
     letters += [(c, LOOK) for c in LOOKS_LIKE.get(char, "")]
     for c, cost in letters:
         if run <= 2:

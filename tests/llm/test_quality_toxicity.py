@@ -62,6 +62,19 @@ def test_toxicity_hard_texts(spark, corpus):
     assert toxicity.score(docs, none).agg(F.max("score")).first()[0] == 0.0
 
 
+def test_letters_of_any_script(spark, corpus):
+    """Hidden words count in whatever letters they are written."""
+    bad = {"idiot": "дурень", "moron": "głąbøł", "scum": "βλάκας"}
+    texts = [" ".join(bad.get(w, w) for w in t.split()) for t in corpus[0]]
+    docs, labels = frames(spark, (texts, *corpus[1:]))
+    model = toxicity.fit(docs, labels, F.lit(True))
+    hidden = ["an д.у.р.е.н.ь on", "an дуреееень on", "th głą.bøł ing", "th gggłąbøł ing", "re βλά-κας st", "re β λ ά κ α ς st"]
+    scores = model.score(model.evidence(hidden))
+    assert (scores >= 0.5).all(), scores
+    assert toxicity.decode("щ.ж", model.chars).replace(" ", "") == "щж"  # letters never seen stand for themselves
+    assert (model.score(model.evidence(["ан.он ррррин", "щ.ж.щ æ.œ"])) < 0.5).all()
+
+
 def test_lattice_against_all_paths(spark, corpus):
     """The decoder's path is the best of every way to read the span."""
     model = toxicity.fit_chars(documents(spark, corpus[0]))
