@@ -29,12 +29,29 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels"), _fold(4) != 2))
 
 
+def _by_row(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that names a doc_id's text: the doc_id for the first of its texts by digest, for others a
+    hash of both that comes after all ids under 2^62."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    clashes = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias(f"{name}_lo"), F.max(digest).alias(f"{name}_hi")).where(f"{name}_lo <> {name}_hi").drop(f"{name}_hi")
+    clashes = Scratch(spark, "clashes").save(clashes, "ids")
+    own = F.col("doc_id").cast("long")
+    if clashes.isEmpty():
+        return docs.withColumn(name, own)
+    other = F.xxhash64("doc_id", digest).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return docs.join(clashes, "doc_id", "left").withColumn(name, F.when(digest != F.col(f"{name}_lo"), other).otherwise(own)).select(*docs.columns, name)
+
+
 def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies (five-word shingles, 0.8 or more), one row of
-    it; rows without a doc_id cannot be told apart and stay."""
-    groups = minhash.near_duplicates(spark, docs, minhash.MinHashParams())
-    kept = groups.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    it. Different texts under one doc_id are documents of their own; rows without a doc_id cannot be told apart and stay."""
+    name = "row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    rows = _by_row(spark, docs, name)
+    groups = minhash.near_duplicates(spark, rows.select(F.col(name).alias("doc_id"), "text"), minhash.MinHashParams())
+    kept = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
+    named = rows.where(F.col(name).isNotNull()).join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -43,6 +43,14 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert sorted(str(r["doc_id"]) for r in got.collect()) == ["2", "9", "None", "None"]
 
 
+def test_dedup_keeps_each_text_of_a_shared_id(spark):
+    rows = [(1, "a b c d e f g h", "x"), (3, "a b c d e f g h", "x"), (3, "p q r s t u v w", "x"), (3, "i j k l m n o p", "x"), (3, "i j k l m n o p", "x"), (4, "p q r s t u v w", "x"), (5, "y z", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Row string")
+    got = corpus_pipeline.drop_repeated(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r["text"] for r in got.collect()) == ["a b c d e f g h", "i j k l m n o p", "p q r s t u v w", "y z"]
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
