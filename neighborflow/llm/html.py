@@ -1,21 +1,26 @@
 """HTML extraction: flat text blocks, classified by a decision tree over their own and their neighbours' features.
 
 A page becomes a flat list of blocks, cut at block-level tags. Each has a word count and a link density, those of the
-blocks before and after it, and what surrounds it: whether a main container or a container of page furniture (by tag,
-role or words of its class and id) holds it, and whether the page has a main container at all. A decision tree, grown on
-the small labelled tables below, keeps or drops each block.
+blocks before and after it, and hints of what surrounds it: how surely a main container holds it (2 by tag or role, 1 by
+a word of its class or id), the surest such container of the page, how surely page furniture holds it (3 by tag or role,
+2 where all words of a class are of that kind, 1 where some are), and whether it is a heading. A decision tree, grown on
+the labelled table below, keeps or drops each block: hints weigh for and against, but a link list inside an article goes
+and prose under an odd class name stays.
 
 Defined results: a null or empty page, or one without kept blocks, gives the empty text; character references are
 decoded, white space within a block becomes one blank, and blocks are joined in page order by one line break; a line
-break tag is white space. Unclosed tags end with what holds them, unclosed comments and scripts with the page. Repeated
-rows are extracted each; an empty table gives an empty one; extra columns are ignored. Pages are read whole.
+break tag is white space. Unclosed tags end with what holds them; unclosed comments, scripts and tags without a closing
+bracket end with the page. A leaf of the tree with as many rows of either label keeps. Repeated rows are extracted each;
+an empty table gives an empty one; extra columns are ignored. Pages are read whole, in time proportional to their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -31,18 +36,24 @@ SKIP_TAGS = frozenset("head template svg math object canvas select button audio
 MAIN_TAGS = frozenset("article main".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that end with the next of their kind, and a paragraph with any block.
+CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice "
     "notification pagination pager popup promo promotion promoted recommended related replies reply respond responses share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
+COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond responses shoutbox".split())
+#: Words that say nothing about what holds the text.
+NEUTRAL_WORDS = frozenset("area bar bottom box container global group holder inner item items left link links list outer page panel primary right secondary section site slot top unit wrap wrapper".split())
 MAIN_WORDS = frozenset("article articlebody content entry main maincontent post story".split())
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|type)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|\Z)""", re.I)
+_TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>?))", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADING = re.compile(r"h[1-6]\Z")
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in main", "in furniture", "page has main", "heading")
+_NUMBER = re.compile(r"&#(?:[xX]0*([0-9a-fA-F]{7,})|0*([0-9]{8,}));?")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "main", "page's main", "furniture", "heading")
 
 
 @dataclass
@@ -50,49 +61,82 @@ class Block:
     text: str
     words: int
     linked: int
-    main: bool
-    furniture: bool
+    main: int
+    furniture: int
     heading: bool
 
 
-def _context(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(main, furniture, hidden) of an opening tag."""
-    main, furniture, hidden = tag in MAIN_TAGS, tag in FURNITURE_TAGS, tag in SKIP_TAGS
+@dataclass
+class Place:
+    """What surrounds a text: its element, the hints, and whether the furniture is a form, which may hold a whole page."""
+
+    tag: str = ""
+    main: int = 0
+    furniture: int = 0
+    form: bool = False
+    hidden: bool = False
+    heading: bool = False
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond all code points become the replacement character."""
+    return html.unescape(_NUMBER.sub("\ufffd", text)) if "&" in text else text
+
+
+def _class_hint(value: str) -> tuple[int, int]:
+    """(main, furniture) of a class or id."""
+    main = furniture = 0
+    for token in value.split():
+        parts = {token.lower()} if token.lower() in FURNITURE_WORDS | MAIN_WORDS else {w.lower() for w in _WORD.findall(token)}
+        if hit := parts & FURNITURE_WORDS:
+            furniture = max(furniture, 2 if parts <= FURNITURE_WORDS | NEUTRAL_WORDS or hit & COMMENT_WORDS else 1)
+        main = max(main, int(not parts.isdisjoint(MAIN_WORDS)))
+    return main, furniture
+
+
+def _enter(tag: str, attrs: str, outer: Place) -> Place:
+    """The place inside an opening tag."""
+    main, furniture, form = 2 * (tag in MAIN_TAGS), 3 * (tag in FURNITURE_TAGS and tag != "form"), tag == "form"
+    hidden = tag in SKIP_TAGS
     if attrs.strip(" /"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
-                main, furniture = main or value.lower() in ("main", "article"), furniture or value.lower() in FURNITURE_ROLES
-            elif name in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(value)} | {x.lower() for x in value.split()}
-                furniture = furniture or not words.isdisjoint(FURNITURE_WORDS)
-                main = main or not words.isdisjoint(MAIN_WORDS)
+                main, furniture = max(main, 2 * (value.lower() in ("main", "article"))), max(furniture, 3 * (value.lower() in FURNITURE_ROLES))
+            elif name in ("class", "id") and tag != "body":
+                m, f = _class_hint(value)
+                main, furniture = max(main, m), max(furniture, f)
             elif name == "style":
                 hidden = hidden or bool(_HIDDEN.search(value))
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 hidden = True
-    return main and not furniture, furniture, hidden
+    inherited = 0 if main == 2 and (outer.furniture <= 1 or outer.form) else outer.furniture  # a main container outweighs faint hints around it
+    own = max(furniture, 2 * form)
+    return Place(tag, max(main, outer.main), max(own, inherited), (form and furniture < 3) if own >= inherited else outer.form, hidden or outer.hidden, outer.heading or bool(_HEADING.match(tag)))
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # open elements that change the context: tag, main, furniture, hidden, heading
+    stack: list[Place] = []  # open elements that may change what surrounds a text
+    open_: Counter = Counter()
     text: list[str] = []
     links: list[str] = []
-    in_link = main = furniture = hidden = heading = False
+    in_link, here, nowhere = False, Place(), Place()
 
     def flush() -> None:
-        nonlocal text, links
         if text:
-            words = " ".join(html.unescape("".join(text)).split())
-            if words and not hidden:
-                out.append(Block(words, words.count(" ") + 1, len(html.unescape(" ".join(links)).split()), main, furniture, heading))
-            text, links = [], []
-
-    def look() -> None:
-        nonlocal main, furniture, hidden, heading
-        main, furniture, hidden, heading = stack[-1][1:] if stack else (False, False, False, False)
+            words = " ".join(decoded("".join(text)).split())
+            if words and not here.hidden:
+                out.append(Block(words, words.count(" ") + 1, len(decoded(" ".join(links)).split()), here.main, here.furniture, here.heading))
+            text.clear()
+            links.clear()
+
+    def leave(upto: int) -> None:
+        nonlocal here
+        while len(stack) > upto:
+            open_[stack.pop().tag] -= 1
+        here = stack[-1] if stack else nowhere
 
     at, size = 0, len(page)
     while at < size:
@@ -107,11 +151,12 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
+        if not m[4]:  # a tag without its closing bracket holds the rest of the page
+            break
         tag = m[2].lower()
         if tag == "br":
             text.append(" ")
-            continue
-        if not m[1]:
+        elif not m[1]:
             if tag in RAW_TAGS:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 close = page.find(">", end.start()) if end else -1
@@ -121,29 +166,34 @@ def blocks(page: str) -> list[Block]:
                 in_link = True
                 continue
             block = tag in BLOCK_TAGS or tag in SKIP_TAGS
-            own = _context(tag, m[3]) if block or m[3] else (False, False, False)
             if block:
                 flush()
-                in_link = False
-            if tag not in VOID_TAGS and (block and tag not in ("p", "li", "tr", "td", "th", "dt", "dd", "option") or any(own)) and not m[3].endswith("/"):
-                if any(own[1:]) and not block:
-                    flush()
-                stack.append((tag, main or own[0], furniture or own[1], hidden or own[2], heading or bool(_HEADING.match(tag))))
-                look()
+                if stack and (stack[-1].tag == "p" or tag in CLOSED_BY_NEXT and stack[-1].tag == tag):
+                    leave(len(stack) - 1)
             if tag == "body":
-                stack[:] = [("body", *own, False)]
-                look()
+                leave(0)
+            if not (block or m[3]) or tag in VOID_TAGS or m[3].endswith("/") and not block:
+                continue
+            inner = _enter(tag, m[3], here)
+            changed = (inner.main, inner.furniture, inner.hidden, inner.heading) != (here.main, here.furniture, here.hidden, here.heading)
+            if changed and not block:
+                flush()
+            if changed or block and tag not in CLOSED_BY_NEXT:
+                stack.append(inner)
+                open_[tag] += 1
+                here = inner
         elif tag == "a":
             in_link = False
         else:
-            if tag in BLOCK_TAGS or any(x[0] == tag for x in stack[-1:]):
+            if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    look()
-                    break
+                in_link = in_link and tag in ("div", "figure", "h1", "h2", "h3", "h4", "h5", "h6")
+            if open_[tag]:
+                flush()
+                n = len(stack) - 1
+                while stack[n].tag != tag:
+                    n -= 1
+                leave(n)
     flush()
     return out
 
@@ -153,41 +203,61 @@ def features(page: list[Block]) -> np.ndarray:
     n = len(page)
     words = np.array([0, *(b.words for b in page), 0], np.float64)
     density = np.array([0, *(min(1.0, b.linked / b.words) for b in page), 0], np.float64)
-    has_main = any(b.main and not b.furniture for b in page)
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], [b.main for b in page], [b.furniture for b in page], [has_main] * n, [b.heading for b in page]]).astype(np.float64)
-
-
-#: The labelled table for pages with a main container: words, link density, in main, in furniture, heading, and 1 for main
-#: text or 0 for the rest. There the surroundings decide, so each row was labelled beside each of NEIGHBOURS.
-WITH_MAIN = """
-1 1 0 1 0 0 | 6 0 0 1 0 0 | 40 0 0 1 0 0 | 12 .5 0 1 0 0 | 8 .2 1 1 0 0 | 45 0 1 1 0 0 | 5 1 1 1 0 0 | 3 0 1 1 1 0 | 130 0 1 1 0 0 | 90 0 0 1 0 0
-11 0 1 0 1 1 | 70 0 1 0 0 1 | 1 0 1 0 0 1 | 120 0 1 0 0 1 | 30 .1 1 0 0 1 | 6 .8 1 0 0 1 | 1 1 1 0 0 1 | 4 0 1 0 1 1 | 300 0 1 0 0 1 | 15 0 1 0 0 1
-14 0 0 0 0 0 | 60 0 0 0 0 0 | 2 1 0 0 0 0 | 7 0 0 0 1 0 | 25 .3 0 0 0 0 | 5 .9 0 0 0 0 | 130 0 0 0 0 0 | 1 0 0 0 0 0
-"""
-#: Words and link density of a block before or after.
-NEIGHBOURS = ((0, 0), (2, 1), (9, 0), (80, 0))
-#: The labelled table for pages without one: words, link density, those of the block before and after, in furniture,
-#: heading, and the label.
-WITHOUT_MAIN = """
-80 0 10 0 90 0 0 0 1 | 45 .05 60 0 30 0 0 0 1 | 30 0 100 0 75 0 0 0 1 | 12 0 55 0 40 0 0 0 1 | 9 0 3 1 85 0 0 1 1 | 22 .1 40 0 5 .5 0 0 1 | 35 0 1 1 6 0 0 0 1
-150 0 0 0 0 0 0 0 1 | 18 0 90 0 60 0 0 0 1 | 6 0 70 0 65 0 0 1 1 | 11 0 4 1 50 0 0 1 1 | 5 0 60 0 80 0 0 0 1 | 40 0 2 1 3 1 0 0 1 | 3 0 40 0 30 0 0 0 1
-1 1 1 1 1 1 0 0 0 | 3 1 2 1 4 1 0 0 0 | 4 .9 60 0 3 1 0 0 0 | 2 1 0 0 2 1 0 0 0 | 12 .7 5 1 6 .9 0 0 0 | 30 .8 3 1 2 1 0 0 0 | 1 1 40 0 1 1 0 0 0
-4 0 3 1 2 1 0 0 0 | 3 0 2 .8 4 .5 0 0 0 | 6 .4 4 .9 2 1 0 0 0 | 8 .6 70 0 5 1 0 0 0 | 5 .2 2 1 1 1 0 0 0 | 2 0 1 1 0 0 0 0 0 | 1 1 1 1 40 0 0 0 0
-7 0 2 1 5 0 1 0 0 | 55 0 3 1 20 0 1 0 0 | 1 1 40 0 1 1 1 0 0 | 30 0 80 0 10 0 1 0 0 | 3 0 90 0 0 0 1 1 0 | 12 .5 9 0 4 1 1 0 0 | 80 0 60 0 70 0 1 0 0
-20 0 45 0 50 0 1 0 0 | 100 0 12 0 0 0 1 0 0 | 40 0 40 0 40 0 1 0 0 | 15 0 70 0 90 0 1 0 0
+    best = max((b.main for b in page if b.furniture < 2), default=0)
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], [b.main for b in page], [best] * n, [b.furniture for b in page], [b.heading for b in page]]).astype(np.float64)
+
+
+#: The labelled table: words; link density; words:density of the block before; of the block after; main; the page's main;
+#: furniture; heading; and 1 for main text or 0 for the rest. Values of one field stand side by side; a row stands for
+#: all their combinations.
+TABLE = """
+1 4 12 40 150; 0 .2; 0:0 3:1 9:0 80:0; 0:0 3:1 9:0 80:0; 2; 2; 0; 0 1; 1
+1 4 12 40; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 1; 1; 0; 0 1; 1
+1 4 12 40; .5 1; 0:0 3:1 80:0; 0:0 3:1 80:0; 1 2; 2; 0; 1; 1
+4 12; .5; 0:0 9:0 80:0; 0:0 9:0 80:0; 1 2; 2; 0; 0; 1
+4 12; .5; 3:1 8:.8; 3:1 8:.8; 2; 2; 0; 0; 0
+4 12; .5; 3:1 8:.8; 3:1 8:.8; 1; 1; 0; 0; 0
+1 4 12; .8 1; 0:0 3:1 9:0 80:0; 0:0 3:1 9:0 80:0; 2; 2; 0; 0; 0
+1 4 12; .8 1; 0:0 3:1 9:0 80:0; 0:0 3:1 9:0 80:0; 1; 1; 0; 0; 0
+20 40 150; .5 1; 0:0 9:0 80:0; 0:0 9:0 80:0; 2; 2; 0; 0; 1
+20 40 150; .5 1; 3:1 25:1; 3:1 25:1; 1 2; 2; 0; 0; 0
+10 40 150; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 1 2; 2; 1; 0 1; 1
+10 40 150; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 1; 1; 1; 0 1; 1
+1 4; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 1 2; 1 2; 1; 0; 0
+1 4; 0 .2; 0:0 80:0; 0:0 80:0; 2; 2; 1; 1; 1
+1 4 12; .5 1; 0:0 3:1 80:0; 0:0 3:1 80:0; 1 2; 2; 1; 0 1; 0
+1 4 12 40 150; 0 .2 .5 1; 0:0 3:1 80:0; 0:0 3:1 80:0; 0 1 2; 0 1 2; 2 3; 0 1; 0
+1 4 12 40 150; 0 .2 .5 1; 0:0 3:1 80:0; 0:0 3:1 80:0; 0; 1 2; 0 1; 0 1; 0
+25 40 150; 0 .2; 0:0 3:1 9:0 80:0; 0:0 3:1 9:0 80:0; 0; 0; 0; 0 1; 1
+12; 0 .2; 0:0 3:1 9:0 80:0; 9:0 80:0; 0; 0; 0; 0; 1
+12; 0 .2; 9:0 80:0; 0:0 3:1 9:0 80:0; 0; 0; 0; 0; 1
+12; 0 .2; 3:1 8:.8; 3:1 8:.8; 0; 0; 0; 0; 0
+1 4 12; 0; 0:0; 0:0; 0; 0; 0; 0 1; 1
+1 4; 0; 0:0 9:0 80:0; 9:0 80:0; 0; 0; 0; 0; 1
+1 4; 0; 4:0 80:0; 0:0; 0; 0; 0; 0; 1
+1 4 12; 0; 0:0 3:1 9:0 80:0; 0:0 1:0 9:0 80:0; 0; 0; 0; 1; 1
+1 4 12; 0 .2; 0:0 3:1 9:0 80:0; 2:1 8:.8; 0; 0; 0; 1; 0
+1 4; 0; 3:1 8:.8; 0:0 3:1 8:.8; 0; 0; 0; 0; 0
+1 4 12; .5 1; 0:0 3:1 9:0 80:0; 0:0 3:1 9:0 80:0; 0; 0; 0; 0 1; 0
+25 40; .5 1; 3:1 25:1; 3:1 25:1; 0; 0; 0; 0; 0
+25 40 150; .5; 9:0 80:0; 9:0 80:0; 0; 0; 0; 0; 1
+10 40 150; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 0; 0; 1; 0; 1
+1 4 12; .5 1; 0:0 3:1 80:0; 0:0 3:1 80:0; 0; 0; 1; 0 1; 0
+1 4; 0; 3:1 8:.8; 0:0 3:1 8:.8; 0; 0; 1; 0; 0
 """
 
 
 def table() -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES and labels of both tables."""
-    parse = lambda text: [[float(x) for x in r.split()] for line in text.strip().splitlines() for r in line.split("|")]
-    rows = [[w, d, *before, *after, m, f, 1, h, y] for w, d, m, f, h, y in parse(WITH_MAIN) for before in NEIGHBOURS for after in NEIGHBOURS]
-    rows += [[w, d, w0, d0, w1, d1, 0, f, 0, h, y] for w, d, w0, d0, w1, d1, f, h, y in parse(WITHOUT_MAIN)]
-    out = np.array(rows, np.float64)
+    """FEATURES and labels of the table."""
+    rows = []
+    for line in TABLE.strip().splitlines():
+        fields = [[tuple(map(float, v.split(":"))) for v in f.split()] for f in line.split(";")]
+        rows += [sum(r, ()) for r in product(*fields)]
+    out = np.unique(np.array(rows), axis=0)
     return out[:, :-1], out[:, -1]
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 24, least: int = 1):
     """A tree by Gini impurity: (feature, threshold, low branch, high branch), or the share of label 1 at a leaf. Of
     equally good cuts the first feature's widest gap wins."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -228,7 +298,7 @@ def extract(page: str | None, tree) -> str:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks of every page."""
+    """page_id, url, text, n_chars of every page."""
     tree = grow(*table())
     small_batches(pages.sparkSession)
 

@@ -52,3 +52,47 @@ def test_frame(spark):
     assert got == [(1, "u", "x y", 3), (1, "u", "x y", 3), (2, None, "", 0)]
     assert M.extract_pages(df.limit(0)).count() == 0
     assert np.isfinite(M.features(M.blocks("<p>a</p>"))).all()
+
+
+def features_used(tree):
+    return {M.FEATURES[tree[0]]} | features_used(tree[2]) | features_used(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_tree_uses_neighbours():
+    used = features_used(TREE)
+    assert {"words", "link density", "words before", "link density before", "link density after"} <= used
+
+
+def in_article(extra):
+    return f"<body><nav><a>x</a></nav><article><h1>T</h1><p>{'word ' * 30}</p>{extra}<p>{'more ' * 40}</p></article><footer>f</footer></body>"
+
+
+def test_container_and_text_disagree():
+    frame = ["T", ("word " * 30).strip(), ("more " * 40).strip()]
+    for gone in ("<ul><li><a href=x>Read more</a></li></ul>", '<p><a href="x">Great shoes at shop now</a></p>', '<div class="ad-slot">Buy this now please</div>', '<div id="entry-comments"><p>' + "I agree with it " * 12 + "</p></div>", "<ul>" + "<li><a href=x>" + "long title " * 12 + "</a></li>" * 3 + "</ul>"):
+        assert M.extract(in_article(gone), TREE).split("\n") == frame, gone
+    for stays, text in (
+        ('<p class="intro social-history">It began in the year of our lord with a great deal of noise.</p>', "It began in the year of our lord with a great deal of noise."),
+        ("<h2><a href=x>Linked title</a></h2>", "Linked title"),
+        ('<p title="the hidden role of class">ok</p>', "ok"),
+        ("<p>see <a href=x>this one</a> now</p>", "see this one now"),
+    ):
+        assert M.extract(in_article(stays), TREE).split("\n") == [*frame[:2], text, frame[2]], stays
+    prose_ = "<p>" + "b " * 30 + "</p><p>" + "c " * 20 + "</p>"
+    assert M.extract(f'<body><div class="post-notice">{prose_}</div></body>', TREE) == ("b " * 30).strip() + "\n" + ("c " * 20).strip()
+    assert M.extract("<body><nav><a>x</a></nav><h1>Title of it</h1><p>One</p></body>", TREE) == "Title of it\nOne"
+    assert M.extract(f'<body><form id="all"><div class="has-sidebar"><main>{prose_}</main></div></form></body>', TREE).count("\n") == 1
+
+
+def test_parsing_is_linear():
+    import time
+
+    start = time.perf_counter()
+    for page_ in ('<a "' * 250_000, "<div>" * 100_000 + "</section>" * 100_000, '<a href="' * 120_000, "<!--" * 250_000, "<script>" * 130_000, '<p class="x">' * 80_000, "<section>" + "<div>" * 100_000 + "</section>" * 100_000, "<" * 1_000_000):
+        M.extract(page_, TREE)
+    assert time.perf_counter() - start < 12
+    assert M.extract("<article>&#9" + "9" * 100_000 + "; &#00000000065;</article>", TREE) == "� A"
+
+
+def test_leaf_ties_keep():
+    assert M.classify(0.5, np.zeros((2, 10))).all()
