@@ -52,7 +52,8 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADING = re.compile(r"h[1-6]\Z")
-_NUMBER = re.compile(r"&#(?:[xX]0*([0-9a-fA-F]{7,})|0*([0-9]{8,}));?")
+_ZEROS = re.compile(r"&#([xX]?)0{2,}+(?=[0-9a-fA-F])")
+_NUMBER = re.compile(r"&#(?:[xX][0-9a-fA-F]{7,}|[0-9]{8,});?")
 FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "main", "page's main", "furniture", "heading")
 
 
@@ -80,7 +81,7 @@ class Place:
 
 def decoded(text: str) -> str:
     """Character references decoded; numbers beyond all code points become the replacement character."""
-    return html.unescape(_NUMBER.sub("\ufffd", text)) if "&" in text else text
+    return html.unescape(_NUMBER.sub("\ufffd", _ZEROS.sub(r"&#\1", text) if "&#" in text else text)) if "&" in text else text
 
 
 def _class_hint(value: str) -> tuple[int, int]:
@@ -220,7 +221,8 @@ TABLE = """
 1 4 12; .8 1; 0:0 3:1 9:0 80:0; 0:0 3:1 9:0 80:0; 2; 2; 0; 0; 0
 1 4 12; .8 1; 0:0 3:1 9:0 80:0; 0:0 3:1 9:0 80:0; 1; 1; 0; 0; 0
 20 40 150; .5 1; 0:0 9:0 80:0; 0:0 9:0 80:0; 2; 2; 0; 0; 1
-20 40 150; .5 1; 3:1 25:1; 3:1 25:1; 1 2; 2; 0; 0; 0
+20 40 150; .5 1; 3:1 25:1; 0:0 9:0 80:0 3:1 25:1; 1 2; 2; 0; 0; 0
+20 40 150; .5 1; 0:0 9:0 80:0; 3:1 25:1; 1 2; 2; 0; 0; 0
 10 40 150; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 1 2; 2; 1; 0 1; 1
 10 40 150; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 1; 1; 1; 0 1; 1
 1 4; 0 .2; 0:0 3:1 80:0; 0:0 3:1 80:0; 1 2; 1 2; 1; 0; 0
