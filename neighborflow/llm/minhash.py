@@ -10,7 +10,8 @@ Groups of near copies share buckets, and pairs within a bucket are never all emi
 the bucket mate it meets most often. Then rounds of new centres per bucket compare only members whose components still
 differ. At last the buckets that still hold several components are compared whole, in blocks of bounded size: a task
 gets two blocks, tests their pairs in place and returns only links that join components. So the components are those
-of the graph of all candidates, without its edges inside components.
+of the graph of all candidates, without its edges inside components. A bucket, a centre or a group of copies with many
+rows is dealt over tasks by a salt before any shuffle on its key, and only rows that a pair names are shuffled.
 
 Defined results: null and empty texts, and those of white space only, have no shingles, link to nothing and are their
 own component; rows that share a doc_id count as one node; a null doc_id keeps its row, with its class's component;
@@ -176,22 +177,60 @@ def signatures(docs: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def band_keys(reps: DataFrame, p: MinHashParams) -> DataFrame:
-    """rep, n (shingles), key: one row per band."""
+    """rep, key: one row per band."""
 
     def run(batches):
         hasher = Hasher(p)
         for pdf in filter(len, batches):
             if len(pdf):
                 keys = hasher.keys(np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1))
-                yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "n": pdf["n"].to_numpy(), "keys": list(keys)})
+                yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "keys": list(keys)})
 
-    return reps.select("rep", "n", "sig").mapInPandas(run, "rep long, n int, keys array<long>").select("rep", "n", F.explode("keys").alias("key"))
+    return reps.select("rep", "sig").mapInPandas(run, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
 
 
-def bayes(pairs: DataFrame, reps: DataFrame, p: MinHashParams) -> DataFrame:
+#: Rows of one key that a task takes before the rest of them go to others, and most ids or keys that are sent to every
+#: task; beyond that they are joined by a shuffle.
+SPREAD, FEW = 1024, 500_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table, marked to be sent to every task if it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _salts(many) -> F.Column:
+    return F.greatest(F.ceil(many / SPREAD), F.lit(1)).cast("int")
+
+
+def dealt(big: DataFrame, small: DataFrame, key: str, by: str, s: Scratch, name: str, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, which has one row a key and in ``many`` how often it occurs in ``big``. A key with
+    more than SPREAD rows is dealt to several tasks by a salt, a hash of the column ``by``; keeps salt and salts."""
+    crowds = _sent(s.save(small.where(F.col("many") > SPREAD).select(key, _salts(F.col("many")).alias("salts")), f"{name}-crowds"))
+    left = big.join(crowds, key, "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64(by), F.col("salts")).cast("int"))
+    return left.join(_fan(small.withColumn("salts", _salts(F.col("many")))).drop("many", "salts"), [key, "salt"], how)
+
+
+def _fan(small: DataFrame) -> DataFrame:
+    """A row for each salt."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+
+def _meet(pairs: DataFrame, held: DataFrame, s: Scratch, name: str) -> DataFrame:
+    """pairs (a, b) with what ``held`` (rep, one more column) has for both. Only rows that a pair names are shuffled, and
+    a centre with many mates is dealt over tasks."""
+    column = held.columns[1]
+    ends = pairs.select(F.col("a").alias("rep"), F.lit(True).alias("first")).union(pairs.select("b", F.lit(False)))
+    ids = s.save(ends.groupBy("rep").agg(F.max("first").alias("first"), F.sum(F.col("first").cast("long")).alias("many")), f"{name}-ids")
+    need = s.save(held.join(_sent(ids), "rep"), f"{name}-need")
+    right = pairs.join(need.select(F.col("rep").alias("b"), F.col(column).alias(f"{column}_b")), "b")
+    left = need.where("first").select(F.col("rep").alias("a"), "many", F.col(column).alias(f"{column}_a"))
+    return dealt(right, left, "a", "b", s, name).select("a", "b", f"{column}_a", f"{column}_b")
+
+
+def bayes(pairs: DataFrame, reps: DataFrame, p: MinHashParams, s: Scratch, name: str) -> DataFrame:
     """The candidates (a, b) that no batch of hashes rules out."""
-    sig = reps.select("rep", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    both = _meet(pairs, reps.select("rep", "sig"), s, f"{name}-sig")
     fewest = p.fewest()
 
     def run(batches):
@@ -204,12 +243,12 @@ def bayes(pairs: DataFrame, reps: DataFrame, p: MinHashParams) -> DataFrame:
                 live, done = live[hits[live] >= least], n
             yield pdf.iloc[live][["a", "b"]]
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
+    return both.mapInPandas(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, p: MinHashParams, s: Scratch, name: str) -> DataFrame:
     """The pairs that reach the threshold on their full sets."""
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    both = _meet(pairs, texts.toDF("rep", "text"), s, f"{name}-text")
 
     def run(batches):
         last, held = None, set()
@@ -223,18 +262,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
                 keep.append(p.denominator * same >= p.numerator * (len(held) + len(other) - same) and same > 0)
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
-
-
-def exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """Links (a, b) between members (key, rep, n, comp) of one bucket in different components. A bucket is split into
-    blocks by a hash, of bounded members and shingles on average; each two blocks meet in one task, so a hot bucket is dealt over many. A pair is tested in the
-    first band that it shares only, by batches of hashes, then on full sets."""
-    sized = members.join(members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("blocks")), "key")
-    own = sized.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    needed = members.select("rep").distinct().join(reps.select("rep", "sig"), "rep").join(texts.toDF("rep", "text"), "rep")
-    full = dealt.join(needed, "rep")
+    return both.mapInPandas(run, "a long, b long")
+
+
+def exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHashParams, s: Scratch, name: str) -> DataFrame:
+    """Links (a, b) between members (key, salt, salts, rep, comp) of one bucket in different components. A bucket is split
+    into blocks by a hash, of bounded members and shingles on average; each two blocks meet in one task, so a hot bucket
+    is dealt over many, and its members are dealt to blocks by salt. A pair is tested in the first band that it shares
+    only, by batches of hashes, then on full sets."""
+    ids = _sent(s.save(members.select("rep").distinct(), f"{name}-ids"))
+    needed = s.save(reps.select("rep", "n", "sig").join(ids, "rep").join(texts.toDF("rep", "text").join(ids, "rep", "left_semi"), "rep"), f"{name}-need")
+    sized = members.join(needed.select("rep", "n"), "rep")
+    blocks = _fan(sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum("n") / p.block_shingles)).cast("int").alias("blocks"), F.max("salts").alias("salts"))).drop("salts")
+    own = members.join(blocks, ["key", "salt"]).withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = placed.join(needed.drop("n"), "rep")
     fewest = p.fewest()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -281,22 +323,40 @@ def exhaust(members: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHashPar
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, comp: the smallest node reachable. Each pass takes the least label around and then that label's own label;
-    every pass is a written table, and the number of passes grows with the logarithm of a component's width."""
-    edges = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = scratch.save(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), f"{name}-0")
-    step = 0
-    while True:
-        near = edges.join(labels.toDF("b", "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        hooked = labels.join(near, labels.node == near.a).select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        target = hooked.select(F.col("node").alias("at"), F.col("comp").alias("root"))
-        step += 1
-        new = scratch.save(hooked.join(target, hooked.comp == target.at).select("node", F.col("root").alias("comp"), "old"), f"{name}-{step}")
-        if new.where("comp <> old").isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
-        if step > 1:
-            scratch.drop(f"{name}-{step - 2}")
+    """node, comp: the smallest node reachable. In each round every node moves to its neighbour of least priority, a hash
+    that changes with the round, and on to that one's choice; edges then join what the nodes moved to. A round keeps about
+    half of the nodes, whatever the order of ids, so the number of rounds grows with the logarithm of a chain's length.
+    The moves are put together from the last round back, at a cost that halves likewise. Every step is a written table."""
+    s = scratch
+    edges = s.save(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
+    moves: list[DataFrame] = []
+    while not edges.isEmpty():
+        r = len(moves)
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        least = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("m"))
+        choice = s.save(least.select(F.col("a").alias("node"), F.least("m", rank("a"))["id"].alias("to")), f"{name}-choice-{r}")
+        move = s.save(choice.join(choice.toDF("to", "on"), "to").select("node", F.col("on").alias("to")), f"{name}-move-{r}")
+        new = edges.join(move.toDF("a", "c"), "a").join(move.toDF("b", "d"), "b").where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+        edges = s.save(new, f"{name}-edges-{r + 1}")
+        s.drop(f"{name}-edges-{r}", f"{name}-choice-{r}")
+        moves.append(move)
+    if not moves:
+        return edges.toDF("node", "comp")
+    root = moves[-1]
+    for r in range(len(moves) - 2, -1, -1):
+        root = s.save(moves[r].join(root.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("to")), f"{name}-root-{r}")
+    least = root.groupBy("to").agg(F.min("node").alias("comp"), F.count("*").alias("many"))
+    out = s.save(dealt(root, s.save(least, f"{name}-least"), "to", "node", s, name).select("node", "comp"), name)
+    s.drop(f"{name}-least", *[f"{name}-move-{r}" for r in range(len(moves))], *[f"{name}-root-{r}" for r in range(len(moves) - 1)])
+    return out
+
+
+def joined(comp: DataFrame, links: DataFrame, s: Scratch, name: str) -> DataFrame:
+    """Components (node, comp) with more links: those of the links between components, put on top."""
+    between = links.join(comp.toDF("a", "c"), "a", "left").join(comp.toDF("b", "d"), "b", "left").select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+    top = components(between, s, f"{name}-top")
+    moved = comp.join(_sent(top).toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return s.save(moved.unionByName(top.join(comp.select("node"), "node", "left_anti")), name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = MinHashParams(), scratch: Scratch | None = None) -> DataFrame:
@@ -304,25 +364,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = Min
     s = scratch or Scratch(spark, "minhash")
     texts = id_text(docs)
     sigs = s.save(signatures(docs, p), "sigs")
-    reps = s.save(sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").cast("int").alias("n")), "reps")
+    reps = s.save(sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.min("n_shingles").cast("int").alias("n"), F.count("*").alias("many")), "reps")
     bands = s.save(band_keys(reps, p), "bands")
-    shared = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("many")).where("many > 1")
-    live = s.save(bands.join(shared, "key").select("key", "rep", "n", "centre"), "live")
-    s.drop("bands")
+    shared = s.save(bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("many")).where("many > 1"), "shared")
+    live = s.save(dealt(bands, shared, "key", "rep", s, "live"), "live")
+    s.drop("bands", "shared")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        kept = s.save(bayes(pairs, reps, p), f"{name}-kept")
-        return s.save(confirm(kept, texts, p), f"{name}-links")
+        kept = s.save(bayes(pairs, reps, p, s, name), f"{name}-kept")
+        found = s.save(confirm(kept, texts, p, s, name), f"{name}-links")
+        s.drop(f"{name}-sig-need", f"{name}-text-need")
+        return found
 
     # Each class against the mate it shares most buckets with.
     first = live.where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
     tested = s.save(first.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "tested-0")
-    links = checked(tested, "round-0")
-    comp = components(links, s, "comp-0")
+    comp = components(checked(tested, "round-0"), s, "comp-0")
     for r in range(1, p.rounds + 2):
-        at = live.select("key", "rep", "n").join(comp.toDF("rep", "c"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("comp"))
-        split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "key", F.lit(r))).alias("centre")).where("lo <> hi").select("key", "centre")
-        open_ = s.save(at.join(split, "key"), f"open-{r}")
+        at = live.select("key", "salt", "salts", "rep").join(comp.toDF("rep", "c"), "rep", "left").select("key", "salt", "salts", "rep", F.coalesce("c", "rep").alias("comp"))
+        split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "key", F.lit(r))).alias("centre"), F.max("salts").alias("salts")).where("lo <> hi")
+        open_ = s.save(at.join(_fan(split).select("key", "salt", "centre"), ["key", "salt"]), f"open-{r}")
         if open_.isEmpty():
             break
         if r <= p.rounds:  # one new centre per bucket
@@ -331,10 +392,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = Min
             more = checked(fresh, f"round-{r}")
             tested = tested.unionByName(fresh)
         else:  # whatever is left
-            more = s.save(exhaust(open_.select("key", "rep", "n", "comp"), reps, texts, p), f"round-{r}-links")
+            more = s.save(exhaust(open_.drop("centre"), reps, texts, p, s, f"round-{r}"), f"round-{r}-links")
+            s.drop(f"round-{r}-need")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = components(links, s, f"comp-{r}")
-    classes = reps.select("digest", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+            comp = joined(comp, more, s, f"comp-{r}")
+    classes = s.save(reps.select("digest", "rep", "many").join(comp.toDF("rep", "comp"), "rep", "left").select("digest", "many", F.coalesce("comp", "rep").alias("comp")), "classes")
+    rows = sigs.select("doc_id", "n_shingles", "digest", F.coalesce("doc_id", F.monotonically_increasing_id()).alias("at"))
+    out = dealt(rows, classes, "digest", "at", s, "rows", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -73,3 +73,37 @@ def test_bounds_keep_what_reaches_the_threshold():
         hits = [rng.random() < 0.8 for _ in range(150)]
         lost += any(sum(hits[:n]) < m for n, m in p.fewest())
     assert lost <= 3
+
+
+def test_components_of_long_chains(spark):
+    """A chain under random ids takes few rounds; a star, a sorted chain and a pair come out too."""
+    from neighborflow.llm.common import Scratch
+
+    rng = random.Random(4)
+    ids = rng.sample(range(1_000_000), 10_000)
+    chain = list(zip(ids, ids[1:]))
+    star = [(2_000_000, 2_000_000 + i) for i in range(1, 3000)]
+    row = [(3_000_000 + i, 3_000_001 + i) for i in range(2000)]
+    links = spark.createDataFrame([*chain, *star, *row, (7_000_001, 7_000_000), (8, 8)], "a long, b long")
+    rounds = []
+
+    class Counted(Scratch):
+        def save(self, df, name):
+            rounds.extend([name] * ("move" in name))
+            return super().save(df, name)
+
+    got = {r["node"]: r["comp"] for r in M.components(links, Counted(spark, "chain"), "c").collect()}
+    want = {i: min(ids) for i in ids} | {2_000_000 + i: 2_000_000 for i in range(3000)} | {3_000_000 + i: 3_000_000 for i in range(2001)} | {7_000_000: 7_000_000, 7_000_001: 7_000_000}
+    assert got == want and len(rounds) <= 20, len(rounds)
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """Buckets, centres and groups of copies far over the bound of a task give the same components."""
+    monkeypatch.setattr(M, "SPREAD", 7)
+    monkeypatch.setattr(M, "FEW", 3)
+    rng = random.Random(11)
+    base = prose(rng, 60)
+    texts = [base] * 40 + [edited(rng, base, 0.02) for _ in range(60)] + [prose(rng, 30) for _ in range(20)]
+    p = M.MinHashParams(k=2, block=16)
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(spark, documents(spark, texts), p).collect()}
+    assert [got[i] for i in range(len(texts))] == truth(texts, p)[0]
