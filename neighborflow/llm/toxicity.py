@@ -1,17 +1,19 @@
 """Toxicity by noisy-channel deobfuscation: Viterbi over character lattices, then a score of the restored text.
 
-A character trigram model is counted over the whole corpus, for all letters of any script that it holds. Words that may hide another one (digits or symbols among
-letters, runs of one letter, single letters kept apart by spaces or marks) become a lattice: each run of one observed
-character may stand for itself, for the letters it looks like, for fewer copies, for nothing or for a word boundary,
-each at a channel cost. The best path under the model is the restored text. A word of plain letters has one path
-through its lattice, itself, so it skips the decoder. Evidence is learned from labelled rows: words and word
-beginnings of the restored texts, weighted by the lower bound of their log odds, then a logistic curve over a
-document's summed evidence.
+A character trigram model is counted over the whole corpus, for all letters of any script that it holds. Every word is a
+lattice: each run of one observed character may stand for itself, for the letters it looks like, for fewer copies, for
+nothing or for a word boundary, each at a channel cost. The best path under the model is the restored text. Where a word
+shows no sign of disguise but doubled letters, taking one back costs an entry fee, so plain words survive by themselves;
+for such words the best path has a closed form, as taking back a double changes two terms of the model only, and a word
+without doubled letters has the one path. Single characters and pairs kept apart by spaces are decoded as rows. Evidence
+is learned from labelled rows: words and word beginnings of the restored texts, weighted by the lower bound of their log
+odds where chance is ruled out for all features that could pass, then a logistic curve over a document's summed evidence.
 
 Defined results: null and empty texts hold no evidence and get the curve's lowest score; equal texts get equal scores;
 without labels of both kinds every score is 0.0 and nothing is rejected; labels of one document that disagree count as
-toxic; a null label counts as none; repeated rows are scored each; an empty table gives an empty one; extra columns
-are ignored. Texts are used whole at any length.
+toxic; a null label counts as none; of equally good paths the first in the order of the options wins, of equally good
+evidence the larger weight counts once; repeated rows are scored each; an empty table gives an empty one; extra columns
+are ignored. Plain numbers are no words. Texts are used whole at any length.
 """
 
 from __future__ import annotations
@@ -27,18 +29,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborflow.llm.common import id_text
+from neighborflow.llm.common import Scratch, id_text
 
 #: Bound of the labelled sample that the evidence is fitted on.
 SAMPLE_ROWS = 10_000
-#: Bound of the evidence table.
-LEXICON = 20_000
-MIN_TOXIC = 3
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: The letters that a character can be written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
-#: Log costs of the channel: a look-alike, a shorter run, a dropped mark, a mark taken as a boundary.
-LOOK, SHORTER, DROPPED, BOUNDARY = -1.5, -0.7, -0.5, -1.0
+#: Log costs of the channel: a look-alike, a shorter run, a dropped mark, a mark taken as a boundary, a look-alike that
+#: stands for nothing or a boundary, and the first double taken back in a word without other signs.
+LOOK, SHORTER, DROPPED, BOUNDARY, NO_LETTER, ENTRY = -1.2, -0.7, -0.5, -1.0, -7.0, -4.0
 
 
 class _Codes(dict):
@@ -56,6 +56,8 @@ _OUTER = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c no
 _LEFT = _OUTER.replace("!", "").replace("|", "")
 _RUN = re.compile(r"(.)\1{2,}")
 _UNIT = re.compile(r"(.)\1*", re.S)
+_DOUBLE = re.compile(r"(.)\1", re.S)
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 _EDGE = re.compile(r"^([@$])\1{2,}|([@$])\2{2,}$")
 _BLOCK = 1 << 20
 
@@ -202,7 +204,7 @@ def _options(char: str, run: int) -> list[tuple[str, float]]:
     letters = [(char, 0.0)] if char.isalpha() else []
     letters += [(c, LOOK) for c in LOOKS_LIKE.get(char, "")]
     for c, cost in letters:
-        if run <= 2:
+        if c == char or run <= 2:
             out.append((c * run, cost))
         if run > 1:
             out.append((c, cost + SHORTER))
@@ -211,7 +213,7 @@ def _options(char: str, run: int) -> list[tuple[str, float]]:
     if not letters:
         out += [("", DROPPED), (" ", BOUNDARY)]
     elif not char.isalpha():  # it looks like a letter, so that it means none is less likely
-        out += [("", 3 * DROPPED + 2 * LOOK), (" ", 3 * BOUNDARY + LOOK)]
+        out += [("", NO_LETTER), (" ", NO_LETTER)]
     return out
 
 
@@ -248,27 +250,55 @@ class Restorer:
     ROOM = 120_000
 
     def __init__(self, model: CharModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.gains = model, {}, {}
+
+    def gain(self, x: int, y: int, z: int) -> float:
+        """What a path gains if of two letters y between x and z one is taken back."""
+        got = self.gains.get((x, y, z))
+        if got is None:
+            rows = self.model.rows
+            got = self.gains[(x, y, z)] = SHORTER + rows[x][y][z] - rows[x][y][y] - rows[y][y][z]
+        return got
+
+    def undouble(self, core: str) -> str:
+        """The best path of a word of letters with runs of at most two."""
+        total, out, at = ENTRY, [], 0
+        for m in _DOUBLE.finditer(core):
+            i, j = m.span()
+            gain = self.gain(_CODE[core[i - 1]] if i else 0, _CODE[m[1]], _CODE[core[j]] if j < len(core) else 0)
+            if gain > 0:
+                total += gain
+                out.append(core[at : i + 1])
+                at = j
+        return "".join([*out, core[at:]]) if total > 0 else core
 
     def word(self, w: str) -> tuple[str, ...]:
         core = _EDGE.sub("", w.lstrip(_LEFT).rstrip(_OUTER)).lstrip(_LEFT).rstrip(_OUTER)
         if core.isalpha():
-            if not _RUN.search(core):
+            if not _DOUBLE.search(core):
                 return (core,)
-        elif not any(c.isalpha() for c in core):
+            if not _RUN.search(core):
+                return (self.undouble(core),)
+            return (*decode(core, self.model).split(), core)  # the word as written is a reading too
+        if core.isdigit() or not any(c.isalpha() or c in LOOKS_LIKE for c in core):
             return ()
-        return tuple(decode(core, self.model).split())
+        return (*decode(core, self.model).split(), *_LETTERS.findall(core))
 
     def spaced(self, words: list[str]) -> list[str]:
-        """What rows of three or more single characters spell."""
-        out, run = [], []
-        for w in [*words, "  "]:
-            if len(w) == 1 and (w.isalpha() or w in LOOKS_LIKE):
+        """What rows of single characters and pairs spell: at least two single ones, or one in a row of three or more."""
+        out, run, single = [], [], 0
+        for w in [*words, "   "]:
+            if len(w) <= 2 and (w.isalpha() or all(c.isalpha() or c in LOOKS_LIKE for c in w)):
                 run.append(w)
+                single += len(w) == 1
                 continue
-            if len(run) > 2 and any(x.isalpha() for x in run):
-                out += decode(" ".join(run), self.model).split()
-            run = []
+            if single > 1 or single and len(run) > 2:
+                row = " ".join(run)
+                if (got := self.known.get(row)) is None:
+                    got = self.known[row] = tuple(decode(row, self.model).split()) if any(x.isalpha() for x in row) else ()
+                out += got
+            if run:
+                run, single = [], 0
         return out
 
     def words(self, text: str) -> set[str]:
@@ -276,12 +306,14 @@ class Restorer:
         known, found = self.known, set()
         if len(known) > self.ROOM:
             known.clear()
+        single = False
         for w in set(raw):
             got = known.get(w)
             if got is None:
                 got = known[w] = self.word(w)
             found.update(got)
-        if sum(len(w) == 1 for w in raw) > 2:
+            single = single or len(w) == 1
+        if single:
             found.update(self.spaced(raw))
         return found
 
@@ -341,49 +373,49 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _spread(counts: dict[str, int]) -> dict[str, int]:
-    """For each word beginning, the most toxic documents that any one word with it accounts for."""
-    most: dict[str, int] = {}
-    for f, n in counts.items():
-        if not f.endswith("*"):
-            for k in BEGINNINGS:
-                if len(f) >= k:
-                    most[f"{f[:k]}*"] = max(n, most.get(f"{f[:k]}*", 0))
-    return most
+def _least_surprise(sizes: dict[int, int], rate: float) -> float:
+    """The surprise that rules out chance: sizes says how many features occur in n documents. Only features that could
+    reach it at all count as tries, so rare ones do not raise the bar for the others."""
+    most = {n: -n * math.log(rate) for n in sizes}
+    for bar in sorted(most.values()):
+        if bar >= math.log(sum(sizes[n] for n in sizes if most[n] >= bar)) + 2:
+            return max(bar - math.log(1 / rate), math.log(sum(sizes[n] for n in sizes if most[n] >= bar)) + 2)
+    return math.inf
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Character counts from all texts; evidence and curve from the labelled sample that ``keep`` admits."""
+    """Character counts from all texts; evidence and curve from the labelled sample that ``keep`` admits, which is
+    written once."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.save(labelled_sample(docs, labels, "toxic", keep, rows), "sample")
+    total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     chars = fit_chars(docs)
-    sample = labelled_sample(docs, labels, "toxic", keep, rows)
+    n0, n1 = total.get(0, 0), total.get(1, 0)
+    if not n0 or not n1:
+        scratch.drop()
+        return ToxicityModel(chars, {}, fitted=False)
 
     def count(batches):
-        restorer, seen, n = Restorer(chars), (Counter(), Counter()), [0, 0]
+        restorer, seen = Restorer(chars), (Counter(), Counter())
         for pdf in filter(len, batches):
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                n[y] += 1
                 seen[y].update({f for w in restorer.words(text) for f in features(w)})
-        for y in (0, 1):
-            seen[y][""] = n[y]
         both = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"feature": both, "clean": [seen[0][f] for f in both], "toxic": [seen[1][f] for f in both]})
-
-    counts = sample.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    got = counts.where((F.col("feature") == "") | ((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") > F.col("clean")))).orderBy((F.col("feature") != ""), F.col("toxic").desc(), "feature").limit(LEXICON + 1).toPandas()
-    total = got[got["feature"] == ""]
-    n0, n1 = (int(total["clean"].sum()), int(total["toxic"].sum()))
-    if not n0 or not n1:
-        return ToxicityModel(chars, {}, fitted=False)
-    lexicon, rate = {}, n1 / (n0 + n1)
-    one_word = _spread(dict(zip(got["feature"], got["toxic"], strict=True)))
-    for f, c, t in got[got["feature"] != ""].itertuples(index=False):
-        if f.endswith("*") and one_word.get(f, 0) > 0.8 * t:
-            continue  # the word itself says it all; its beginning would only add what it does not mean
-        odds = math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))
-        low, n, q = odds - 1.3 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)), t + c, t / (t + c)
-        surprise = n * (q * math.log(q / rate) + ((1 - q) * math.log((1 - q) / (1 - rate)) if q < 1 else 0.0))
-        if low > 0.8 and surprise > math.log(len(got)) + 2:  # less than one feature in seven gets in by chance alone
-            lexicon[f] = low
+        yield pd.DataFrame({"feature": both, "c": [seen[0][f] for f in both], "t": [seen[1][f] for f in both]}).astype({"feature": object, "c": "int64", "t": "int64"})
+
+    counts = scratch.save(sample.mapInPandas(count, "feature string, c long, t long").groupBy("feature").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "counts")
+    rate = n1 / (n0 + n1)
+    sizes = {r["n"]: r["many"] for r in counts.groupBy((F.col("c") + F.col("t")).alias("n")).agg(F.count("*").alias("many")).collect()}  # at most a row for each sampled document
+    c, t = F.col("c"), F.col("t")
+    q, odds = t / (t + c), F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))
+    low = odds - 1.3 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    surprise = (t + c) * (q * F.log(q / rate) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - rate))).otherwise(0.0))
+    sure = counts.where(t > c).select("feature", t, low.alias("low"), surprise.alias("surprise")).where((F.col("low") > 0.8) & (F.col("surprise") >= _least_surprise(sizes, rate)))
+    # A beginning that one word accounts for would only add what that word does not mean.
+    words = counts.where(~F.col("feature").endswith("*") & (t > c)).select("t", F.explode(F.array(*[F.when(F.length("feature") >= n, F.concat(F.substring("feature", 1, n), F.lit("*"))) for n in BEGINNINGS])).alias("feature"))
+    one_word = words.where("feature IS NOT NULL").groupBy("feature").agg(F.max("t").alias("one"))
+    got = sure.join(one_word, "feature", "left").where(~F.col("feature").endswith("*") | (F.coalesce("one", F.lit(0)) <= 0.8 * t)).select("feature", "low").toPandas()  # bounded by the sample
+    lexicon = dict(zip(got["feature"], got["low"], strict=True))
     model = ToxicityModel(chars, lexicon)
 
     def add_up(batches):
@@ -393,6 +425,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE_ROWS) -> To
 
     xy = sample.mapInPandas(add_up, "total double, hits double, y int").toPandas().sort_values(["total", "hits", "y"])
     model.curve = _logistic(xy[["total", "hits"]].to_numpy(), xy["y"].to_numpy(np.float64))
+    scratch.drop()
     return model
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -100,6 +101,67 @@ def test_lattice_against_all_paths(spark, corpus):
         assert {"".join(w.split()) for w in winners} & {"".join(toxicity.decode(span, model).split())}
 
 
+def test_doubles_have_a_closed_form(spark, corpus):
+    """For words of letters with doubles the short way is the lattice's best path, less the entry fee."""
+    model = toxicity.fit_chars(documents(spark, corpus[0]))
+    restorer, rng = toxicity.Restorer(model), random.Random(6)
+    rows = model.rows
+
+    def weigh(w):
+        a = b = 0
+        total = 0.0
+        for ch in w:
+            total += rows[a][b][ord(ch)]
+            a, b = b, ord(ch)
+        return total + rows[a][b][0]
+
+    for _ in range(300):
+        w = "".join(rng.choice("anerthig") * rng.choice([1, 1, 2]) for _ in range(rng.randint(1, 7)))
+        if toxicity._RUN.search(w) or not toxicity._DOUBLE.search(w):
+            continue
+        paths = [("", 0)]
+        for m in toxicity._UNIT.finditer(w):
+            paths = [(p + m[1] * k, n + (k < len(m[0]))) for p, n in paths for k in range(1, len(m[0]) + 1)]
+        value = lambda p, n: weigh(p) + n * toxicity.SHORTER + (toxicity.ENTRY if n else 0.0)
+        assert abs(max(value(*x) for x in paths) - max(value(p, n) for p, n in paths if p == restorer.word(w)[0])) < 1e-6, w
+
+
+def test_words_of_other_scripts_stay(spark, corpus):
+    model = toxicity.fit_chars(documents(spark, corpus[0]))
+    words = toxicity.Restorer(model).words
+    for w in ("привет", "żółćłka", "дурааак", "привет1", "ооо", "zażółć", "βλάκας", "æble", "日本語"):
+        assert w.strip("1") in words(f"an {w} th"), (w, words(w))
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_disguised_words_are_found(spark):
+    """Of the held-out toxic documents found in plain writing, at least nine in ten are found in each disguise."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, labels, fold != 0)
+    texts = [r["text"] or "" for r in docs.join(labels.where((fold == 0) & (F.col("toxic") == 1)), "doc_id").select("text").collect()]
+    plain = model.score(model.evidence(texts)) >= 0.5
+    assert plain.mean() >= 0.85
+    digits, marks, rng = str.maketrans("oieastbl", "01345781"), str.maketrans("asi", "@$!"), random.Random(3)
+    toxic = lambda w: model.weigh(w.strip(".,").lower()) > 0
+    hide = {
+        "some digits": lambda w: "".join(c.translate(digits) if rng.random() < 0.5 else c for c in w),
+        "marks": lambda w: w.translate(marks),
+        "spaces": " ".join,
+        "dots": ".".join,
+        "long": lambda w: "".join(c * 3 if c in "aeiou" else c for c in w),
+        "doubled": lambda w: "".join(c * 2 for c in w),
+    }
+    for name, f in hide.items():
+        found = model.score(model.evidence([" ".join(f(w) if toxic(w) else w for w in t.split()) for t in texts])) >= 0.5
+        assert found[plain].mean() >= 0.9, (name, found[plain].mean())
+    clean = [r["text"] or "" for r in docs.join(labels.where((fold == 0) & (F.col("toxic") == 0)), "doc_id").select("text").collect()]
+    assert (model.score(model.evidence(clean)) >= 0.5).mean() <= 0.02
+
+
 def test_trigram_counts_do_not_depend_on_cuts():
     text = "the thing and " * 400_000
     cells, n = toxicity.trigram_cells([text])
