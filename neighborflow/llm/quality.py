@@ -1,15 +1,19 @@
 """Text quality: random-indexing word vectors pooled per document, then a two-layer numpy network with calibrated output.
 
-A raw word counts as several units: its lower-case core if that is in the vocabulary, its shape, and the marks around
-it; a few units of the whole document (repetition, variety, length) join them. Each unit has a sparse ternary index
-vector; random indexing adds to it the index vectors of its neighbours, gathered over a bounded labelled sample. A
-document is the mean of its units' vectors. A network with one hidden layer is trained on the sample's documents, and a
-temperature fitted on a fifth of them that training did not see turns its output into probabilities.
-
-Defined results: null and empty texts have the zero vector of no units and get a score like any other; equal texts get
-equal scores; without labels of both kinds every score is the share of label 1 (1.0 without labels); labels of one
-document that disagree count as low quality; null labels count as none; repeated rows are scored each; an empty table
-gives an empty one; extra columns are ignored. Texts are used whole at any length.
+A raw word counts as several units: its lower-case core, its shape, and the marks around it; a few units of the whole
+document (repetition, variety, length) join them. Every unit has a sparse ternary index vector from a hash of its name,
+so there is no vocabulary. Random indexing adds to a core the index vectors of its neighbours in all texts of the
+corpus: these sums are kept in SLOTS slots by a hash of the core, so what reaches the driver is bounded while all texts
+count; cores that share a slot share its sum, and keep index vectors of their own. A document is the mean of its cores'
+vectors, that of its shapes and marks, and that of its own units, side by side. A network with one hidden layer is trained
+on a bounded sample of labelled documents, and a temperature fitted on a fifth of them that training did not see turns
+its output into probabilities.
+
+Defined results: null and empty texts, and those of white space only, have the unit of an empty document and get a score
+like any other; equal texts get equal scores; without labels of both kinds every score is the share of label 1 (1.0
+without labels); labels of one document that disagree count as low quality; null labels count as none; a score at the
+threshold is kept; repeated rows are scored each; an empty table gives an empty one; extra columns are ignored. Texts are
+used whole at any length.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from hashlib import blake2b
 from operator import eq
 
 import numpy as np
@@ -26,11 +31,14 @@ from pyspark.sql import functions as F
 
 from neighborflow.llm.common import id_text
 
-#: Bounds of what the classifier is fitted on: labelled rows, and words of the vocabulary.
-SAMPLE_ROWS, VOCABULARY = 8_000, 2_000
-DIM, NONZERO, WINDOW, HIDDEN = 96, 8, 2, 32
+#: Bound of the labelled sample that the network is fitted on.
+SAMPLE_ROWS = 8_000
+#: Length of a vector, its entries other than 0, slots of neighbours' sums, words on each side that are neighbours, hidden
+#: units, and the weight of the neighbours' part.
+DIM, NONZERO, SLOTS, WINDOW, HIDDEN, NEAR = 64, 4, 8192, 2, 32, 0.5
 _CORE = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
-ROOM = 200_000
+#: Words and units that a task remembers, and tokens whose neighbours are added up at once.
+ROOM, TOKENS = 200_000, 1 << 18
 
 
 def shape(core: str) -> str:
@@ -45,17 +53,23 @@ def shape(core: str) -> str:
     return "~title" if core[0].isupper() and core[1:].islower() else "~camel"
 
 
+def core_of(word: str) -> str:
+    """The lower-case core of a raw word, empty if it has none."""
+    m = _CORE.search(word)
+    return m[0].lower() if m else ""
+
+
 def units(word: str) -> tuple[str, ...]:
-    """Core in lower case, shape, and marks of a raw word."""
+    """Core in lower case, shape, and marks of a raw word; what is no core starts with a tilde."""
     m = _CORE.search(word)
     if not m:
-        return (f"~only {word[:4]}",)
+        return (f"~only {word}",)
     out = [m[0].lower(), shape(m[0])]
     if m.start():
-        out.append(f"~before {word[: m.start()][:4]}")
+        out.append(f"~before {word[: m.start()]}")
     if m.end() < len(word):
         rest = word[m.end() :]
-        out.append(f"~after {rest[:4]}" if not _CORE.search(rest) else "~broken")
+        out.append("~broken" if _CORE.search(rest) else f"~after {rest}")
     return tuple(out)
 
 
@@ -74,46 +88,145 @@ def whole_units(text: str, words: list[str]) -> list[str]:
     return [_level(again, "again"), _level(twice, "lines"), _level(len(set(words)) / n if n > 20 else 1.0, "variety"), f"~length {n.bit_length()}"]
 
 
-def index_vector(unit: str) -> np.ndarray:
-    """The sparse ternary vector of a unit, from a hash of its name."""
-    rng = np.random.default_rng(zlib.crc32(unit.encode("utf-8", "surrogatepass")))
-    v = np.zeros(DIM, np.float32)
-    v[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return v
+_PLACES = np.arange(NONZERO, dtype=np.uint64) * np.uint64(16)
 
 
-class Pooler:
-    """Documents to pooled vectors. Units outside the vocabulary have no vector; their shape and marks still count."""
+def entries(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each name's index vector, from a hash of the name. A place may occur twice."""
+    h = np.frombuffer(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in names), "<u8")
+    parts = h[:, None] >> _PLACES
+    return (parts % np.uint64(DIM)).astype(np.int64), 1.0 - 2.0 * ((parts >> np.uint64(15)) & np.uint64(1)).astype(np.float32)
+
+
+def index_vectors(names: list[str]) -> np.ndarray:
+    """The sparse ternary vectors of names."""
+    out = np.zeros((len(names), DIM), np.float32)
+    if names:
+        at, sign = entries(names)
+        np.add.at(out, (np.arange(len(names))[:, None], at), sign)
+    return out
+
+
+def slot(core: str) -> int:
+    return zlib.crc32(core.encode("utf-8", "surrogatepass")) % SLOTS
+
+
+class Neighbours:
+    """Sums of the index vectors of the words around each core, by slot. An empty core is no neighbour and has none."""
 
-    def __init__(self, names: list[str], vectors: np.ndarray):
-        self.index, self.vectors, self.known = {u: i for i, u in enumerate(names)}, vectors, {}
+    def __init__(self):
+        self.sums = np.zeros(SLOTS * DIM)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self._reset()
 
-    def ids(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > ROOM:
-                self.known.clear()
-            got = self.known[word] = tuple(i for u in units(word) if (i := self.index.get(u)) is not None)
+    def _reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.cores: dict[str, int] = {"": 0}
+
+    def _id(self, word: str) -> int:
+        got = self.known[word] = self.cores.setdefault(core_of(word), len(self.cores))
         return got
 
+    def add(self, words: list[str]) -> None:
+        """One text's words."""
+        known = self.known
+        self.held += [np.array([known[w] if w in known else self._id(w) for w in words], np.int64), np.zeros(WINDOW, np.int64)]
+        self.size += len(words)
+        if self.size > TOKENS:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        s, names = np.concatenate(self.held), list(self.cores)
+        place, sign = entries(names)
+        base = np.array([slot(c) for c in names], np.int64) * DIM
+        for d in range(1, WINDOW + 1):
+            for i in range(0, len(s) - d, TOKENS):
+                a, b = s[i : min(i + TOKENS, len(s) - d)], s[i + d : i + d + TOKENS]
+                ok = (a > 0) & (b > 0)
+                for x, y in ((a[ok], b[ok]), (b[ok], a[ok])):
+                    self.sums += np.bincount((base[x][:, None] + place[y]).ravel(), sign[y].ravel(), SLOTS * DIM)
+        self.held, self.size = [], 0
+        if len(self.known) > ROOM:
+            self._reset()
+
+
+def near_vectors(sums: np.ndarray) -> np.ndarray:
+    """The neighbours' part of vectors by slot: sums scaled to one length."""
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    return (sums / np.maximum(length, 1e-9) * (NEAR * NONZERO**0.5)).astype(np.float32)
+
+
+class Pooler:
+    """Documents to pooled vectors. known: a bounded memory of the units of words."""
+
+    def __init__(self, near: np.ndarray):
+        self.near = near
+        self._reset()
+
+    def __reduce__(self):
+        return Pooler, (self.near,)
+
+    def _reset(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.index: dict[str, int] = {}
+        self.vectors, self.core = np.zeros((1024, DIM), np.float32), np.zeros(1024, bool)
+
+    def vectors_of(self, names: list[str]) -> np.ndarray:
+        """Index vectors, and for cores the neighbours' part."""
+        out = index_vectors(names)
+        for i, u in enumerate(names):
+            if not u.startswith("~"):
+                out[i] += self.near[slot(u)]
+        return out
+
+    def learn(self, words) -> None:
+        fresh: dict[str, int] = {}
+        for w in words:
+            if w not in self.known:
+                ids = []
+                for u in units(w):
+                    i = self.index.get(u)
+                    if i is None:
+                        i = self.index[u] = len(self.index)
+                        fresh[u] = i
+                    ids.append(i)
+                self.known[w] = tuple(ids)
+        if fresh:
+            n = len(self.index)
+            if n > len(self.vectors):
+                grown = np.zeros((2 * n, DIM), np.float32)
+                grown[: len(self.vectors)] = self.vectors
+                self.vectors, self.core = grown, np.concatenate([self.core, np.zeros(2 * n - len(self.core), bool)])
+            at, names = np.fromiter(fresh.values(), np.int64, len(fresh)), list(fresh)
+            self.vectors[at], self.core[at] = self.vectors_of(names), [not u.startswith("~") for u in names]
+
     def pool(self, text: str) -> np.ndarray:
-        """Means over the words' units and over the document's own, side by side."""
+        """Means over the words' cores, over their shapes and marks, and over the document's own units, side by side."""
         words = text.split()
+        if len(self.known) > ROOM:
+            self._reset()
+        distinct = Counter(words)
+        self.learn(distinct)
         counts: Counter = Counter()
-        for w, n in Counter(words).items():
-            for i in self.ids(w):
+        known = self.known
+        for w, n in distinct.items():
+            for i in known[w]:
                 counts[i] += n
-        own = [i for u in whole_units(text, words) if (i := self.index.get(u)) is not None]
-        out = np.zeros(2 * DIM, np.float32)
+        out = np.zeros(3 * DIM, np.float32)
         if counts:
-            k, n = np.fromiter(counts.keys(), np.int64), np.fromiter(counts.values(), np.float32)
-            out[:DIM] = (n / n.sum()) @ self.vectors[k]
-        if own:
-            out[DIM:] = self.vectors[own].mean(0)
+            k, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
+            core = self.core[k]
+            for part, mask in ((0, core), (1, ~core)):
+                if mask.any():
+                    out[part * DIM : (part + 1) * DIM] = (n[mask] / n[mask].sum()) @ self.vectors[k[mask]]
+        out[2 * DIM :] = index_vectors(whole_units(text, words)).mean(0)
         return out
 
     def matrix(self, texts) -> np.ndarray:
-        return np.stack([self.pool(t) for t in texts]) if len(texts) else np.zeros((0, 2 * DIM), np.float32)
+        return np.stack([self.pool(t) for t in texts]) if len(texts) else np.zeros((0, 3 * DIM), np.float32)
 
 
 class Network:
@@ -168,61 +281,40 @@ def labelled(docs: DataFrame, labels: DataFrame, keep, rows: int) -> DataFrame:
     return id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most `rows` pairs of numbers
 
 
-def fit_vectors(sample: DataFrame) -> Pooler:
-    """Vocabulary and random-indexing vectors of the sample. At most VOCABULARY rows reach the driver at once."""
+def fit_vectors(docs: DataFrame) -> Pooler:
+    """Neighbours' sums over all texts: one sum a dimension, combined before the shuffle; SLOTS rows reach the driver."""
 
     def count(batches):
-        seen: Counter = Counter()
+        near = Neighbours()
         for pdf in filter(len, batches):
             for text in pdf["text"]:
-                words = text.split()
-                seen.update({u for w in set(words) for u in units(w)} | set(whole_units(text, words)))
-        if seen:  # an empty frame cannot carry strings or arrays
-            yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
-
-    top = sample.mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(~F.col("unit").startswith("~"), F.col("n").desc(), "unit").limit(VOCABULARY).toPandas()
-    names = top["unit"].tolist()
-    base = np.stack([index_vector(u) for u in names]) if names else np.zeros((0, DIM), np.float32)
-    pooler = Pooler(names, base)
-
-    def neighbours(batches):
-        near = np.zeros_like(base)
-        for pdf in filter(len, batches):
-            for text in pdf["text"]:
-                s = np.array([i for w in text.split() for i in pooler.ids(w)], np.int64)
-                for d in range(1, WINDOW + 1):
-                    for a, b in ((s[:-d], s[d:]), (s[d:], s[:-d])):
-                        pairs, n = np.unique(a * len(base) + b, return_counts=True)
-                        at = np.flatnonzero(np.diff(pairs // max(1, len(base)), prepend=-1))
-                        if len(at):
-                            near[pairs[at] // len(base)] += np.add.reduceat(base[pairs % len(base)] * n[:, None].astype(np.float32), at)
-        hit = np.flatnonzero(np.abs(near).sum(1))
-        if len(hit):
-            yield pd.DataFrame({"unit": hit, "near": [near[i].tolist() for i in hit]})
-
-    parts = sample.mapInPandas(neighbours, "unit int, near array<float>")
-    total = parts.select("unit", F.posexplode("near").alias("d", "x")).groupBy("unit", "d").agg(F.sum(F.col("x").cast("double")).alias("x")).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("near")).toPandas()
-    vectors = base.copy()
-    for unit, near in zip(total["unit"], total["near"], strict=True):
-        v = np.array([x["x"] for x in near])
-        vectors[unit] += (v / (np.linalg.norm(v) + 1e-9) * np.sqrt(NONZERO) * 0.5).astype(np.float32)
-    return Pooler(names, vectors)
+                near.add(text.split())
+        near.flush()
+        sums = near.sums.reshape(SLOTS, DIM)
+        hit = np.flatnonzero(sums.any(1))
+        yield pd.DataFrame({"slot": hit.astype(np.int32), **{f"x{d}": sums[hit, d] for d in range(DIM)}})
+
+    names = [f"x{d}" for d in range(DIM)]
+    parts = id_text(docs).select("text").mapInPandas(count, "slot int, " + ", ".join(f"{x} double" for x in names))
+    got = parts.groupBy("slot").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+    sums = np.zeros((SLOTS, DIM))
+    sums[got["slot"].to_numpy(np.int64)] = got[names].to_numpy(np.float64)
+    return Pooler(near_vectors(sums))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = SAMPLE_ROWS):
-    """(pooler, network) from the labelled sample that ``keep`` admits."""
-    sample = labelled(docs, labels, keep, rows)
-    pooler = fit_vectors(sample)
+    """(pooler, network): neighbours' sums from all texts, the network from the labelled sample that ``keep`` admits."""
+    pooler = fit_vectors(docs)
 
     def pooled(batches):
         for pdf in filter(len, batches):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "y": pdf["y"].to_numpy(), "x": [v.tolist() for v in pooler.matrix(pdf["text"].tolist())]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "y": pdf["y"].to_numpy(), "x": [v.tobytes() for v in pooler.matrix(pdf["text"].tolist())]})
 
-    got = sample.mapInPandas(pooled, "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
+    got = labelled(docs, labels, keep, rows).mapInPandas(pooled, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable")  # at most `rows` vectors
     y = got["y"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
         return pooler, Constant(float(y.mean()) if len(y) else 1.0)
-    return pooler, Network(np.array(got["x"].tolist(), np.float64), y)
+    return pooler, Network(np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(y), -1).astype(np.float64), y)
 
 
 def score(docs: DataFrame, model) -> DataFrame:

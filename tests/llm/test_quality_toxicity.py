@@ -203,3 +203,49 @@ def test_temperature_calibrates():
         at = (s >= lo) & (s < hi)
         assert abs(s[at].mean() - y[3000:][at].mean()) < 0.1
     assert isinstance(pd.Series(s), pd.Series)
+
+
+def test_vectors_and_pooling_against_brute_force(spark, monkeypatch):
+    """Neighbours' sums, pooled vectors and scores, recomputed word by word."""
+    monkeypatch.setattr(quality, "TOKENS", 50)  # long texts are added up in parts
+    rng = random.Random(8)
+    texts = [prose(rng, n) + rng.choice(["", " X9!! ***", " Don't, \"stop\" -- now..."]) for n in (0, 1, 2, 3, 40, 400, 30)] + [None, "a a a", "12 34"]
+    pooler = quality.fit_vectors(documents(spark, texts, extra=True))
+
+    def vector(name):
+        v = np.zeros(quality.DIM)
+        for p, s in zip(*(x[0] for x in quality.entries([name])), strict=True):
+            v[p] += s
+        return v
+
+    sums = np.zeros((quality.SLOTS, quality.DIM))
+    for t in texts:
+        cores = [quality.core_of(w) for w in (t or "").split()]
+        for i, c in enumerate(cores):
+            for j in range(max(0, i - 2), min(len(cores), i + 3)):
+                if j != i and c and cores[j]:
+                    sums[quality.slot(c)] += vector(cores[j])
+    near = np.stack([v / max(np.linalg.norm(v), 1e-9) * quality.NEAR * quality.NONZERO**0.5 for v in sums])
+    assert np.allclose(pooler.near, near, atol=1e-5)
+    for t in texts:
+        words = (t or "").split()
+        parts = [[], []]
+        for u in (u for w in words for u in quality.units(w)):
+            parts[u.startswith("~")].append(vector(u) + (0 if u.startswith("~") else near[quality.slot(u)]))
+        own = [vector(u) for u in quality.whole_units(t or "", words)]
+        want = np.concatenate([np.mean(p, 0) if p else np.zeros(quality.DIM) for p in (*parts, own)])
+        assert np.allclose(pooler.pool(t or ""), want, atol=1e-4)
+    x = np.stack([pooler.pool(t or "") for t in texts]).astype(float)
+    net = quality.Network(np.tile(x, (6, 1)), np.tile(np.arange(len(texts)) % 2, 6).astype(float))
+    for row, got in zip(x, net.score(x), strict=True):
+        hidden = np.tanh(((row - net.mean) / net.scale) @ net.p[0] + net.p[1])
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip((hidden @ net.p[2] + net.p[3][0]) / net.temperature, -30, 30))), abs=1e-9)
+
+
+def test_quality_keeps_hard_texts(spark, corpus):
+    docs, labels = frames(spark, corpus)
+    model = quality.fit(docs, labels, F.lit(True))
+    hard = documents(spark, hard_texts(), extra=True)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(hard, model).collect()}
+    kept = quality.keep(hard, model)
+    assert kept.columns == hard.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.7}
