@@ -22,6 +22,21 @@ def test_texts_come_back(spark):
     assert media.read_media(media.to_media(documents(spark, []))).count() == 0
 
 
+def test_rows_choose_their_filters():
+    """A text's rows differ in filter, so that reading back has filters to undo."""
+    import zlib as z
+
+    body = media.payload("The thing and the other thing, again and again. " * 40 + "~" * 640 + "\0\1" * 64)[1]
+    rows = np.frombuffer(body, np.uint8).reshape(-1, 64)
+    data = media.png(body)
+    kinds = np.frombuffer(z.decompress(data[data.index(b"IDAT") + 4 : -16]), np.uint8).reshape(-1, 65)[:, 0]
+    assert set(kinds.tolist()) == {0, 1, 2} and np.array_equal(media.unpng(data), rows)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        some = rng.integers(0, 256, (rng.integers(1, 30), 64), dtype=np.uint8)
+        assert np.array_equal(media.unpng(media.png(some.tobytes(), filters=rng.integers(0, 3, len(some)).astype(np.uint8))), some)
+
+
 @pytest.mark.parametrize("kinds", [[0], [1], [2], [3], [4], [0, 1, 2, 3, 4]])
 def test_every_filter_is_undone(kinds):
     rng = np.random.default_rng(3)
