@@ -4,9 +4,10 @@ A walk reads a text with shared random bits: at step j it writes the current cha
 character's class is one. Two texts with few edits fall back in step soon after each edit, so edit distance turns into
 Hamming distance of what they write. As the bits are shared, a character's stay is one table look-up, and a walk takes
 one look-up per character, done for many texts side by side. A fingerprint keeps one random bit of what was written at
-sampled steps, on two scales of step numbers, so texts of similar length share a scale. Bands of bits, drawn from all
-sampled steps that a walk reached, propose near texts: at likeness 0.5 three bits in four agree, so 256 bands of 16 miss
-a pair on one scale with a chance of 8 %. The Hamming distance over all sampled steps that either walk reached verifies.
+sampled steps, on two scales of step numbers, so texts of similar length share a scale. Bands of bits propose near texts:
+each band samples 32 bits of 48 neighbouring samples, and bands start all along what a walk reached. Where two walks are
+in step for a twentieth of their way, whatever the place, a band agrees; where they are not, 32 bits seldom do. The
+Hamming distance over all sampled steps that either walk reached verifies.
 
 Defined results: null and empty texts have an all-zero fingerprint with no steps; equal texts have equal fingerprints
 and likeness 1; texts more than two scales apart have likeness 0. Documents are ordered by doc_id descending, nulls
@@ -17,18 +18,17 @@ their own; an empty table gives an empty one; extra columns are ignored. Texts a
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from neighborflow.llm.common import id_text
 
 CLASSES, PERIOD, SAMPLES, SCALES = 64, 1 << 14, 1024, 2
-#: Bits of a band, and bands taken from each scale's samples.
-BAND_BITS, BANDS = 16, 256
+#: Bits of a band, the neighbouring samples that they are drawn from, and samples from one band's start to the next.
+BAND_BITS, REACH, STRIDE = 32, 48, 4
 _BLOCK = 1 << 21
 
 _rng = np.random.default_rng(40961)
@@ -43,8 +43,8 @@ for _j in range(PERIOD - 1, -1, -1):
 _STAY = STAY.ravel()
 _FRACTIONS = np.sort(_rng.random(SAMPLES))
 _BITS = _rng.integers(0, 2, (64, CLASSES, SAMPLES), dtype=np.uint8)
-#: For each bit of a band, samples in the order in which they are tried: the first that the walk reached is taken.
-_TRIES = _rng.integers(0, SAMPLES, (48, BANDS, BAND_BITS), dtype=np.int16)
+#: The samples of each band, in order.
+_BANDS = np.stack([np.sort(start + _rng.choice(REACH, BAND_BITS, replace=False)) for start in range(0, SAMPLES - REACH + 1, STRIDE)])
 
 
 def classes(text: str) -> np.ndarray:
@@ -122,13 +122,9 @@ def likeness(f: str, g: str) -> float:
     return max(0.0, 1.0 - 2.0 * float(differ) / reached)
 
 
-@lru_cache(SAMPLES + 1)
 def picks(reached: int) -> np.ndarray:
-    """The samples of each band among the first ``reached``. Walks of about one length share nearly all their picks, as
-    a pick differs only if it falls between the two ends."""
-    fits = reached > _TRIES
-    first = np.take_along_axis(_TRIES, fits.argmax(0)[None], 0)[0]
-    return np.where(fits.any(0), first, first % max(1, reached))
+    """The samples of each band within the first ``reached``; a walk shorter than a band has the first one."""
+    return _BANDS[: max(1, (reached - REACH) // STRIDE + 1)]
 
 
 def band_bits(f: str) -> dict[int, np.ndarray]:
@@ -137,19 +133,19 @@ def band_bits(f: str) -> dict[int, np.ndarray]:
     out = {}
     for s in range(SCALES):
         reached = int(np.searchsorted((_FRACTIONS * (1 << (scale + s))).astype(np.int64), steps))
-        out[scale + s] = np.packbits(np.unpackbits(body[s])[picks(reached)], axis=1).view(np.uint16)[:, 0]
+        out[scale + s] = np.packbits(np.unpackbits(body[s])[picks(reached)], axis=1).view(">u4")[:, 0]
     return out
 
 
 def bands(f: str) -> list[str]:
-    """Keys of sampled bits on each scale, from all the samples that the walk reached there."""
-    return [f"{scale}:{b}:{x:04x}" for scale, got in band_bits(f).items() for b, x in enumerate(got.tolist())]
+    """Keys of the bands on each scale, all along what the walk reached there."""
+    return [f"{scale}:{b}:{x:08x}" for scale, got in band_bits(f).items() for b, x in enumerate(got.tolist())]
 
 
 def banded(f: str, g: str) -> bool:
     """Whether two fingerprints share a band."""
     one, other = band_bits(f), band_bits(g)
-    return any((one[scale] == other[scale]).any() for scale in one.keys() & other.keys())
+    return any((x[: len(y)] == y[: len(x)]).any() for x, y in ((one[scale], other[scale]) for scale in one.keys() & other.keys()))
 
 
 def fingerprints_of(texts: list[str]) -> list[str]:
@@ -229,13 +225,11 @@ def edited_likeness(spark: SparkSession, docs: DataFrame) -> DataFrame:
     else:
         bucket = above(cuts)
     dealt = src.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(bucket))
-    # The first document of each range: its id from the ids alone, then its text; one row per range is sent to all tasks.
-    heads = dealt.groupBy(F.col("bucket").alias("of")).agg(F.max("doc_id").alias("head"))
-    first = dealt.join(F.broadcast(heads), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    from pyspark.sql import Window
-
-    over = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row per range
-    guests = first.select(F.coalesce(F.lag("bucket").over(over), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("bucket"), "doc_id", "text", F.lit(1).alias("guest"))
+    # The first document of each range goes to the range before as well: who goes where is known from the ids alone, one
+    # row per range, which is sent to all tasks; then its text is picked.
+    over = Window.partitionBy(F.lit(0)).orderBy("of")
+    heads = dealt.groupBy(F.col("bucket").alias("of")).agg(F.max("doc_id").alias("head")).withColumn("to", F.coalesce(F.lag("of").over(over), F.max("of").over(Window.partitionBy(F.lit(0)))))
+    guests = dealt.join(F.broadcast(heads), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy(F.col("to").alias("bucket"), "doc_id").agg(F.min("text").alias("text")).select("bucket", "doc_id", "text", F.lit(1).alias("guest"))
     both = dealt.select("bucket", "doc_id", "text", F.lit(0).alias("guest")).unionByName(guests)
     ordered = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
