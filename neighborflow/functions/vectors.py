@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,13 @@ def exploded(df: DataFrame, id_cols: list[str], vec: str, out: str = "val", digi
     return long.withColumn(out, F.round(F.col(out).cast("double"), digits)) if digits is not None else long
 
 
-def sum_vectors(df: DataFrame, by: list[str], vec: str, out: str) -> DataFrame:
-    """Elementwise sums per group, combined on the map side: (by, dim) partial sums, then arrays put together."""
-    dims = df.select(*by, F.posexplode(vec).alias("dim", "x")).groupBy(*by, "dim").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    parts = dims.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("p"))  # at most one entry per dimension
-    return parts.select(*by, F.transform("p", lambda s: s["x"]).alias(out))
+def sum_vectors(df: DataFrame, by: list[str], vec: str, out: str, dim: int | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Elementwise sums per group, one sum a dimension in one aggregate that is combined on the map side. dim: the
+    vectors' length, read off the first row if not given; ``more``: further aggregates of the same groups."""
+    if dim is None:
+        first = df.select(F.size(vec).alias("n")).first()  # one number
+        dim = first["n"] if first else 0
+    sums = [F.sum(F.col(vec)[i].cast("double")).alias(f"_s{i}") for i in range(dim)]
+    got = df.groupBy(*by).agg(F.count("*").alias("_rows"), *sums, *more)
+    own = [c for c in got.columns if c not in by and c != "_rows" and not re.fullmatch(r"_s\d+", c)]
+    return got.select(*by, F.array(*[F.col(f"_s{i}") for i in range(dim)]).cast("array<double>").alias(out), *own)

@@ -8,21 +8,40 @@ from pyspark.sql import functions as F
 from neighborflow.functions.vectors import sum_vectors
 
 
-def mean_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], with_root: bool = True) -> DataFrame:
+def mean_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], with_root: bool = True, dim: int | None = None) -> DataFrame:
     """(by, agg[, root]): elementwise mean of the neighbours' vectors (feats: id, vec)."""
     joined = edges.join(feats.toDF("nbr", "vec"), "nbr")
-    sums = sum_vectors(joined, by, "vec", "total").join(joined.groupBy(*by).agg(F.count("*").alias("n")), by)
+    sums = sum_vectors(joined, by, "vec", "total", dim, (F.count("*").alias("n"),))
     out = sums.select(*by, F.transform("total", lambda x: x / F.col("n")).alias("agg"))
     return out.join(feats.toDF("ctr", "root"), "ctr") if with_root else out
 
 
-def attention_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], score: str) -> DataFrame:
+def layered_mean(levels: list[DataFrame], feats: DataFrame, dim: int | None = None) -> DataFrame:
+    """(id, vec) of the seeds after a forward pass over sampled layers, the last hop first: each layer's vector is the
+    mean of a vertex's own and the mean of its sampled neighbours' (nbr, ctr). Vertices without neighbours keep theirs."""
+    held = feats
+    for edges in reversed(levels):
+        near = mean_aggregate(edges.select("nbr", "ctr").distinct(), held, ["ctr"], with_root=False, dim=dim).toDF("id", "_near")
+        held = held.join(near, "id", "left").select("id", F.when(F.col("_near").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "_near", lambda x, y: (x + y) / 2)).alias("vec"))
+    return held
+
+
+def normalised_sum(edges: DataFrame, feats: DataFrame, dim: int | None = None) -> DataFrame:
+    """(ctr, agg): neighbours' vectors, each over the square root of both ends' degrees."""
+    d_nbr = edges.groupBy("nbr").agg(F.count("*").alias("_dn"))
+    d_ctr = edges.groupBy("ctr").agg(F.count("*").alias("_dc"))
+    weighted = edges.join(d_nbr, "nbr").join(d_ctr, "ctr").join(feats.toDF("nbr", "vec"), "nbr")
+    scaled = weighted.select("ctr", F.transform("vec", lambda x: x / F.sqrt(F.col("_dn") * F.col("_dc"))).alias("vec"))
+    return sum_vectors(scaled, ["ctr"], "vec", "agg", dim)
+
+
+def attention_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], score: str, dim: int | None = None) -> DataFrame:
     """(by, agg): neighbours' vectors weighted by the softmax of an edge score within the group."""
     top = edges.groupBy(*by).agg(F.max(score).alias("_top"))
     e = edges.join(top, by).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
     total = e.groupBy(*by).agg(F.sum("_e").alias("_z"))
     weighted = e.join(total, by).join(feats.toDF("nbr", "vec"), "nbr").select(*by, F.transform("vec", lambda x: x.cast("double") * F.col("_e") / F.col("_z")).alias("vec"))
-    return sum_vectors(weighted, by, "vec", "agg")
+    return sum_vectors(weighted, by, "vec", "agg", dim)
 
 
 def mean_reciprocal_rank(scores: DataFrame, query: str, score: str, label: str) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from neighborflow.operators.numbering import prefix_sum
 
 
+#: Items of a basket that are paired in one task.
+BASKET = 1024
+
+
 def degree(edges: DataFrame, by: str = "ctr") -> DataFrame:
     """by, deg: combined on the map side."""
     return edges.groupBy(by).agg(F.count("*").alias("deg"))
@@ -53,11 +57,15 @@ def cooccurrence(pairs: DataFrame, item: str, basket: str, at_least: int) -> Dat
     """(a, b, cnt): items that share baskets, each shared membership counted, no diagonal.
 
     Memberships are counted first, so a repeated one multiplies instead of making more pairs; pairs are then summed on
-    the map side.
+    the map side. A large basket is split into blocks of items by a hash, and each two blocks meet in a task of their
+    own: its pairs are its result, but no task gets a whole basket.
     """
     m = pairs.groupBy(F.col(basket).alias("k"), F.col(item).alias("i")).agg(F.count("*").alias("c"))
-    left, right = m.toDF("k", "a", "ca"), m.toDF("k", "b", "cb")
-    half = left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("cnt")).where(F.col("cnt") >= at_least)
+    large = m.groupBy("k").agg(F.ceil(F.count("*") / BASKET).cast("int").alias("blocks")).where("blocks > 1")
+    placed = m.join(large, "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "i", "c", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    left, right = dealt.toDF("k", "a", "ca", "oa", "lo", "hi"), dealt.toDF("k", "b", "cb", "ob", "lo", "hi")
+    half = left.join(right, ["k", "lo", "hi"]).where("a < b AND (lo = hi OR oa <> ob)").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("cnt")).where(F.col("cnt") >= at_least)
     both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
     return half.select(both.alias("p"), "cnt").select(F.col("p.x").alias("a"), F.col("p.y").alias("b"), "cnt")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neighborflow.functions.keys import key, key_int, uniform
+from neighborflow.operators.tensor import BROADCAST_BYTES
+from neighborflow.scratch import written
 
 
 def how_many(n_pos: int, amount: float, batch_size: int) -> int:
@@ -24,46 +28,113 @@ def draw_uniform(rows: DataFrame, seed: int, role: str, n_nodes: int, name: str,
     return rows.withColumn(name, key_int(key(seed, role, F.col("neg_pos"), *more)) % n_nodes)
 
 
-def draw_weighted(rows: DataFrame, weights: DataFrame, seed: int, role: str, name: str, buckets: int = 4096) -> DataFrame:
-    """Nodes in proportion to weights (id, w): each node owns an interval of the running sum; draws are looked up by an
-    equi-join on buckets of the sum and a range test within. Intervals over several buckets are listed in each."""
+def draw_weighted(rows: DataFrame, weights: DataFrame, seed: int, role: str, name: str, per_bucket: int = 8) -> DataFrame:
+    """Nodes in proportion to weights (id, w): each node owns an interval of the running sum, from the end of the one
+    before; draws are looked up by an equi-join on buckets of the sum and a range test within. There are as many buckets
+    as nodes over ``per_bucket``; intervals over several buckets are listed in each."""
     from neighborflow.operators.numbering import number_rows
 
-    total = weights.agg(F.sum("w").alias("w")).first()["w"]  # one number
-    if not total:
-        raise ValueError("the weights sum to nothing")
     ordered = number_rows(weights.where("w > 0"), ["id"], "r")
     part = F.floor(F.col("r") / 65536)
-    sums = ordered.groupBy(part.alias("p")).agg(F.sum("w").alias("s"))
-    run = sums.select("p", (F.sum("s").over(Window.orderBy("p")) - F.col("s")).alias("base"))  # one row per 65,536 nodes
+    sums = ordered.groupBy(part.alias("p")).agg(F.sum("w").alias("s"), F.count("*").alias("n"), F.max("r").alias("last"))
+    over = Window.orderBy("p")  # one row per 65,536 nodes
+    run = sums.select("p", "n", "last", F.coalesce(F.sum("s").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"), F.sum("s").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
+    whole = run.agg(F.max("end").alias("w"), F.sum("n").alias("n")).first()  # two numbers
+    if not whole["w"]:
+        raise ValueError("the weights sum to nothing")
     inner = Window.partitionBy(part).orderBy("r")
-    own = ordered.withColumn("p", part).withColumn("hi", F.sum("w").over(inner)).join(run, "p").withColumn("hi", F.col("hi") + F.col("base")).withColumn("lo", F.col("hi") - F.col("w"))
-    width = total / buckets
+    hi = F.when(F.col("r") == F.col("last"), F.col("end")).otherwise(F.col("base") + F.col("own"))
+    own = ordered.withColumn("p", part).withColumn("own", F.sum("w").over(inner)).join(run.drop("n"), "p").withColumn("hi", hi)
+    own = own.withColumn("lo", F.coalesce(F.lag("hi").over(inner), F.col("base")))
+    total, width = float(whole["w"]), float(whole["w"]) / max(1, whole["n"] // per_bucket)
     spans = own.select("id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("bucket"))
-    drawn = rows.withColumn("_u", uniform(key(seed, role, F.col("neg_pos"))) * F.lit(float(total))).withColumn("bucket", F.floor(F.col("_u") / width))
+    drawn = rows.withColumn("_u", uniform(key(seed, role, F.col("neg_pos"))) * F.lit(total)).withColumn("bucket", F.floor(F.col("_u") / width))
     return drawn.join(spans, "bucket").where("_u >= lo AND _u < hi").select(*rows.columns, F.col("id").alias(name))
 
 
-def binary_negatives(spark, n_pos: int, amount: float, batch_size: int, n_src: int, n_dst: int, seed: int) -> DataFrame:
-    """(neg_pos, nbr, ctr): both ends drawn uniformly."""
+def binary_negatives(spark, n_pos: int, amount: float, batch_size: int, n_src: int, n_dst: int, seed: int, src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None) -> DataFrame:
+    """(neg_pos, nbr, ctr): both ends drawn, uniformly or by weights (id, w)."""
     rows = _drawn(spark, how_many(n_pos, amount, batch_size))
-    return draw_uniform(draw_uniform(rows, seed, "src", n_src, "nbr"), seed, "dst", n_dst, "ctr")
+    return _draw(_draw(rows, End("src", "nbr", n_src, weights=src_weights), seed), End("dst", "ctr", n_dst, weights=dst_weights), seed)
 
 
-def triplet_negatives(positives: DataFrame, n_pos: int, amount: float, batch_size: int, n_src: int, seed: int) -> DataFrame:
-    """(neg_pos, nbr, ctr): a drawn neighbour for the centre of a drawn positive (pos, nbr, ctr)."""
+def triplet_negatives(positives: DataFrame, n_pos: int, amount: float, batch_size: int, n_dst: int, seed: int, dst_weights: DataFrame | None = None) -> DataFrame:
+    """(neg_pos, nbr, ctr): the source nbr of a drawn positive (pos, nbr, ctr), which so needs no sampling of its own, with
+    a drawn destination ctr."""
     rows = draw_uniform(_drawn(positives.sparkSession, how_many(n_pos, amount, batch_size)), seed, "pick", max(1, n_pos), "pos")
-    return draw_uniform(rows.join(positives.select("pos", "ctr"), "pos"), seed, "src", n_src, "nbr").select("neg_pos", "nbr", "ctr")
+    return _draw(rows.join(positives.select("pos", "nbr"), "pos"), End("dst", "ctr", n_dst, weights=dst_weights), seed).select("neg_pos", "nbr", "ctr")
+
+
+@dataclass(frozen=True)
+class End:
+    """One end of negative links: its role in keys, its column, nodes to draw from, their times and weights."""
+
+    role: str
+    name: str
+    n_nodes: int
+    time: DataFrame | None = None
+    weights: DataFrame | None = None
+
+
+def _draw(rows: DataFrame, end: End, seed: int, *attempt: int) -> DataFrame:
+    if end.weights is None:
+        return draw_uniform(rows, seed, end.role, end.n_nodes, end.name, *map(F.lit, attempt))
+    return draw_weighted(rows, end.weights, seed, "-".join([end.role, *map(str, attempt)]), end.name)
+
+
+def temporal_links(rows: DataFrame, ends: list[End], seed: int, retries: int = 5) -> DataFrame:
+    """rows (neg_pos, t) with the ends' columns: the first draw whose nodes all have times of at most t; after the first
+    draw and ``retries`` more, a last one in which a later node gives way to the earliest of its kind.
+
+    Where the nodes' times are few enough to be sent to every task, all draws are looked up in one pass without a
+    shuffle; else only links that have found none go on to the next draw, a written table each."""
+    earliest = [e.time.agg(F.min_by("id", F.struct("t", "id")).alias("n")).first()["n"] for e in ends]  # one number each
+    few = all(e.weights is None and e.n_nodes * 16 <= BROADCAST_BYTES for e in ends)
+    times = [e.time.select(F.col("id").alias("_id"), F.col("t").alias("_t")) for e in ends]
+
+    def timed(cur: DataFrame, i: int) -> DataFrame:
+        for e, t in zip(ends, times, strict=True):
+            cur = _draw(cur, e, seed, i).join(F.broadcast(t) if few else t, F.col(e.name) == F.col("_id"), "left").withColumnRenamed("_t", f"{e.name}_t").drop("_id")
+        return cur
+
+    ok = reduce(Column.__and__, [F.coalesce(F.col(f"{e.name}_t") <= F.col("t"), F.lit(False)) for e in ends])
+    settled = [F.when(F.col(f"{e.name}_t") <= F.col("t"), F.col(e.name)).otherwise(F.lit(n)).cast("long").alias(e.name) for e, n in zip(ends, earliest, strict=True)]
+    drawn = [F.col(e.name).cast("long").alias(e.name) for e in ends]
+    keep = rows.columns
+    if few:
+        cur, found = rows, F.lit(None)
+        for i in range(retries + 2):
+            cur = timed(cur, i)
+            got = F.struct(*settled) if i > retries else F.when(ok, F.struct(*drawn))
+            cur = cur.select(*keep, (F.coalesce("_got", got) if i else got).alias("_got"))
+        return cur.select(*keep, *[F.col("_got")[e.name].alias(e.name) for e in ends])
+    pending, done = rows, []
+    for i in range(retries + 1):
+        cur = written(timed(pending, i), "draw")
+        done.append(cur.where(ok).select(*keep, *drawn))
+        pending = cur.where(~ok).select(*keep)
+    return reduce(DataFrame.unionByName, [*done, timed(pending, retries + 1).select(*keep, *settled)])
 
 
 def temporal_negatives(rows: DataFrame, node_time: DataFrame, n_nodes: int, seed: int, role: str, retries: int = 5) -> DataFrame:
-    """rows (neg_pos, t) to (neg_pos, node): the first draw of retries + 1 whose node_time is at most t, else the earliest
-    node of all. Attempts are rows, so this is one plan without a loop."""
-    tries = draw_uniform(rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries)))), seed, role, n_nodes, "node", F.col("attempt"))
-    timed = tries.join(node_time.toDF("node", "node_t"), "node")
-    good = timed.where("node_t <= t").groupBy("neg_pos").agg(F.min_by("node", "attempt").alias("node"))
-    earliest = node_time.agg(F.min_by("id", F.struct("t", "id")).alias("n")).first()["n"]  # one number
-    return rows.join(good, "neg_pos", "left").select("neg_pos", F.coalesce("node", F.lit(earliest)).cast("long").alias("node"))
+    """rows (neg_pos, t) to (neg_pos, node): the first draw not later than t, else the earliest node of all."""
+    return temporal_links(rows, [End(role, "node", n_nodes, node_time)], seed, retries).select("neg_pos", "node")
+
+
+def deduplicated(negatives: DataFrame) -> DataFrame:
+    """Of equal pairs the first place stays."""
+    return negatives.groupBy("nbr", "ctr").agg(F.min("neg_pos").alias("neg_pos")).select("neg_pos", "nbr", "ctr")
+
+
+def balanced(links: DataFrame, label: str, seed: int) -> DataFrame:
+    """(place, ...): links shuffled by key so that the labels take turns; what one label has more comes last."""
+    from neighborflow.operators.numbering import number_rows
+
+    order = key(seed, "turn", F.col(label), F.col("pos"))
+    ranked = number_rows(links.withColumn("_k", order), [label, "_k", "pos"], "_r")
+    first = ranked.groupBy(label).agg(F.min("_r").alias("_first"))  # one row per label
+    turn = ranked.join(F.broadcast(first), label).withColumn("_turn", F.col("_r") - F.col("_first"))
+    return number_rows(turn, ["_turn", label], "place").drop("_k", "_r", "_first", "_turn")
 
 
 def interleave(positives: DataFrame, negatives: DataFrame, n_pos: int, n_neg: int, batch_size: int) -> DataFrame:

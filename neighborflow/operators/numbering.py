@@ -18,9 +18,9 @@ def _ordered(df: DataFrame, order: list) -> DataFrame:
     return written(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()), "ordered")
 
 
-def _with_base(rows: DataFrame, values: dict[int, int]) -> DataFrame:
+def _with_base(rows: DataFrame, values: dict, kind: str = "long") -> DataFrame:
     """Each row with its partition's base: a look-up table of one row per partition, sent to every task."""
-    table = rows.sparkSession.createDataFrame(sorted(values.items()), "_p long, _base long")
+    table = rows.sparkSession.createDataFrame(sorted(values.items()), f"_p long, _base {kind}")
     return rows.join(F.broadcast(table), F.shiftright("_at", 33) == F.col("_p")).drop("_p")
 
 
@@ -36,15 +36,18 @@ def number_rows(df: DataFrame, order: list, name: str = "eid") -> DataFrame:
 
 
 def prefix_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
-    """Exclusive running sum over a total order: a window inside each partition, plus the partitions before."""
+    """Exclusive running sum over a total order, long for whole numbers, else double: a window inside each partition, plus
+    the partitions before."""
     from pyspark.sql import Window
 
     rows = _ordered(df, order)
     part = F.shiftright("_at", 33)
     sums = rows.groupBy(part.alias("p")).agg(F.sum(value).alias("s")).orderBy("p").collect()  # one row per partition
-    before, total = {}, 0
+    whole = dict(rows.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
+    kind, before, total = ("long", {}, 0) if whole else ("double", {}, 0.0)
     for r in sums:
-        before[r["p"]] = int(total)
-        total += r["s"] or 0
+        before[r["p"]] = total
+        total += (r["s"] or 0) if whole else float(r["s"] or 0)
     inside = Window.partitionBy(part).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return _with_base(rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))), before).withColumn(name, (F.col("_base") + F.col(name)).cast("long")).drop("_at", "_base")
+    own = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)).cast(kind))
+    return _with_base(own, before, kind).withColumn(name, (F.col("_base") + F.col(name)).cast(kind)).drop("_at", "_base")

@@ -19,9 +19,9 @@ DEFAULTS = {
 }
 
 
-def dedup_gradients(grads: DataFrame) -> DataFrame:
+def dedup_gradients(grads: DataFrame, dim: int | None = None) -> DataFrame:
     """(id, grad) rows to one row per id, summed in double."""
-    return sum_vectors(grads, ["id"], "grad", "grad")
+    return sum_vectors(grads, ["id"], "grad", "grad", dim)
 
 
 def with_state(table: DataFrame, kind: str) -> DataFrame:
@@ -38,7 +38,7 @@ def state_names(kind: str) -> list[str]:
     return [*STATES[kind], *(["beta1t", "beta2t"] if kind == "adam" else [])]
 
 
-def step(table: DataFrame, grads: DataFrame, kind: str, lr: float, params: dict | None = None) -> DataFrame:
+def step(table: DataFrame, grads: DataFrame, kind: str, lr: float, params: dict | None = None, dim: int | None = None) -> DataFrame:
     """One lazy step. The join is by id, so a table bucketed or partitioned by id is not shuffled."""
     if kind not in DEFAULTS:
         raise ValueError(f"optimizer must be one of {sorted(DEFAULTS)}")
@@ -46,7 +46,7 @@ def step(table: DataFrame, grads: DataFrame, kind: str, lr: float, params: dict
         raise ValueError(f"{kind} has no parameter {sorted(unknown)}")
     p = DEFAULTS[kind] | (params or {})
     wd = p["weight_decay"]
-    joined = table.join(dedup_gradients(grads).withColumnRenamed("grad", "_g"), "id", "left")
+    joined = table.join(dedup_gradients(grads, dim).withColumnRenamed("grad", "_g"), "id", "left")
     hit, w, g = F.col("_g").isNotNull(), F.col("vec"), F.col("_g")
     decoupled = kind == "adam" and p["adam_w"] > 0.5
     if wd and not decoupled:

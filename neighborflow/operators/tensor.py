@@ -74,3 +74,13 @@ def unique_inverse(pairs: DataFrame, by: str, columns: list[str]) -> DataFrame:
     long = pairs.select(by, "pos", F.posexplode(F.array(*columns)).alias("side", "id"))
     w = Window.partitionBy(by).orderBy("id")
     return long.select(by, "side", "pos", "id", (F.dense_rank().over(w) - 1).cast("long").alias("inverse"))
+
+
+def edges_at(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (pos, eid) with both ends of the edge, nulls where the id is negative or unknown."""
+    return wanted.join(edges.select(F.col("eid").alias("_eid"), "nbr", "ctr"), (F.col("eid") == F.col("_eid")) & (F.col("eid") >= 0), "left").drop("_eid")
+
+
+def update_edges(edges: DataFrame, updates: DataFrame, column: str) -> DataFrame:
+    """Edges with a column overwritten by updates (pos, eid, column); the last place wins."""
+    return scatter(edges.withColumnRenamed("eid", "id"), updates.withColumnRenamed("eid", "id"), column).withColumnRenamed("id", "eid")

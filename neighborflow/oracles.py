@@ -41,9 +41,9 @@ HETERO = f"""
           UNION ALL SELECT DISTINCT CAST(batch_id AS BIGINT), 'order', nbr, 2, NULL FROM h1)
 """
 GRADS = """
-    g0 AS (SELECT o_custkey % (SELECT count(*) FROM embeddings) AS id, unnest(range(8)) AS dim, o_totalprice / 1e6 AS p FROM orders WHERE o_custkey % 3 <> 1),
+    g0 AS (SELECT o_custkey % ((SELECT count(*) FROM embeddings) - 7) AS id, unnest(range(64)) AS dim, o_totalprice / 1e6 AS p FROM orders),
     g AS (SELECT id, dim, sum(p * CASE WHEN dim % 2 = 0 THEN 1.0 ELSE -0.5 END) AS g FROM g0 GROUP BY ALL),
-    t AS (SELECT vec_id AS id, unnest(range(8)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS w FROM embeddings)
+    t AS (SELECT vec_id AS id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings)
 """
 
 
@@ -68,6 +68,23 @@ def _adam(decoupled: bool) -> str:
 
 CSR = lambda by, n: f"SELECT row, CAST(coalesce(sum(deg) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM (SELECT r.row, count(o_orderkey) AS deg FROM (SELECT unnest(range((SELECT count(*) + 1 FROM {n}))) AS row) r LEFT JOIN orders ON {by} = r.row GROUP BY 1)"
 
+#: Negatives of all orders in batches of 512: batch, place, number.
+_LINKS = """
+    k0 AS (SELECT count(*) AS n, CAST(ceil(count(*) / ceil(count(*) / 512)) AS BIGINT) AS share, (SELECT count(*) FROM customer) AS c FROM orders),
+    k AS (SELECT n, c, i, i // share AS batch_id, least(512, n - i // share * 512) + i % share AS pos FROM (SELECT n, c, share, unnest(range(n)) AS i FROM k0))
+"""
+
+
+def _hetero_biased(before: str) -> str:
+    return f"""
+        WITH h0 AS (SELECT c_nationkey // 5 AS b, c_custkey AS eid, c_nationkey AS ctr FROM customer WHERE c_acctbal > 0
+                    QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY ln({_u(SEED, 'c_nationkey // 5', 0, 0, 'c_nationkey', 'c_custkey')}) / c_acctbal DESC, c_custkey) <= 6),
+        h1 AS (SELECT b, o_orderkey AS eid, o_custkey AS ctr FROM orders JOIN (SELECT DISTINCT b, eid AS c FROM h0) ON c = o_custkey WHERE o_totalprice > 0 {before}
+               QUALIFY row_number() OVER (PARTITION BY b, o_custkey ORDER BY ln({_u(SEED, 'b', 1, 1, 'o_custkey', 'o_orderkey')}) / o_totalprice DESC, o_orderkey) <= 2)
+        SELECT CAST(b AS BIGINT) AS batch_id, 0 AS hop, 'customer__lives__nation' AS etype, eid, eid AS nbr, CAST(ctr AS BIGINT) AS ctr FROM h0
+        UNION ALL SELECT CAST(b AS BIGINT), 1, 'order__of__customer', eid, eid, ctr FROM h1"""
+
+
 ORACLES = {
     "minimum_slice": f"""
         WITH s AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_mktsegment = 'BUILDING' QUALIFY place < 100),
@@ -127,11 +144,10 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY ln({_u(SEED, 'o_custkey', 'o_custkey', 'o_orderkey')}) / o_totalprice DESC, {_key(SEED, 'o_custkey', 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3""",
     "sample_offsets": "SELECT pos, CAST(coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT c_custkey AS pos, least(count(o_orderkey), 3) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)",
     "twohop_resample_all": f"""
-        WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS c FROM nation),
-        e AS (SELECT c * 3 AS eid, (c * 3 + 1) % 25 AS nbr, c AS ctr FROM c UNION ALL SELECT c * 3 + 1, (c + 7) % 25, c FROM c UNION ALL SELECT c * 3 + 2, (c * 5 + 2) % 25, c FROM c),
-        n0 AS (SELECT c AS pos, c AS id FROM c WHERE c < 4),
+        WITH e AS (SELECT o_orderkey AS eid, (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS nbr, o_custkey AS ctr FROM orders),
+        n0 AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
         g0 AS (SELECT nbr FROM n0 JOIN e ON e.ctr = n0.id QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {_key(62000, 'pos', 'ctr', 'eid')}, eid) <= 2),
-        n1 AS (SELECT pos, id FROM n0 UNION ALL SELECT 4 + row_number() OVER (ORDER BY nbr) - 1, nbr FROM (SELECT DISTINCT nbr FROM g0 WHERE nbr NOT IN (SELECT id FROM n0))),
+        n1 AS (SELECT pos, id FROM n0 UNION ALL SELECT (SELECT count(*) FROM n0) + row_number() OVER (ORDER BY nbr) - 1, nbr FROM (SELECT DISTINCT nbr FROM g0 WHERE nbr NOT IN (SELECT id FROM n0))),
         g1 AS (SELECT nbr FROM n1 JOIN e ON e.ctr = n1.id QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {_key(62001, 'pos', 'ctr', 'eid')}, eid) <= 2)
         SELECT pos, id FROM n1 UNION ALL SELECT (SELECT count(*) FROM n1) + row_number() OVER (ORDER BY nbr) - 1, nbr FROM (SELECT DISTINCT nbr FROM g1 WHERE nbr NOT IN (SELECT id FROM n1))""",
     "hetero_twohop": f"WITH {HETERO} SELECT batch_id, hop, etype, eid, nbr, ctr FROM e",
@@ -159,22 +175,24 @@ ORACLES = {
     "shuffle_drop_last": f"""
         WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_key(SEED, 'o_orderkey')}, o_orderkey) - 1 AS r FROM orders)
         SELECT o_orderkey AS input_id, r // 1024 AS batch_id, r % 1024 AS pos FROM p WHERE r < (SELECT count(*) FROM orders) // 1024 * 1024""",
-    "replica_slices": "SELECT CAST(o_orderkey % 4 AS INTEGER) AS replica, count(*) AS cnt FROM orders GROUP BY 1",
+    "replica_slices": """
+        WITH p AS (SELECT o_orderkey AS input_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () // 4 // 128 * 128 AS per FROM orders)
+        SELECT input_id, (r // 4) // 128 AS batch_id, (r // 4) % 128 AS pos FROM p WHERE r % 4 = 2 AND r < per * 4""",
     "batch_offsets": """
         WITH b AS (SELECT c_custkey // CAST(ceil(n / 6) AS BIGINT) AS rank, CAST(ceil(count(*) / 16) AS BIGINT) AS batches FROM customer, (SELECT count(*) AS n FROM customer) GROUP BY 1)
         SELECT rank, batches, CAST(sum(batches) OVER (ORDER BY rank) - batches AS BIGINT) AS "offset" FROM b""",
     "negative_binary": f"SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % n AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % c AS ctr FROM (SELECT count(*) AS n, unnest(range(CAST(greatest(ceil(0.5 * count(*)), ceil(count(*) / 512)) AS BIGINT))) AS i FROM orders), (SELECT count(*) AS c FROM customer)",
     "negative_triplet": f"""
         WITH d AS (SELECT i, n, {_int(SEED, chr(39) + 'pick' + chr(39), 'i')} % n AS pos FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(0.25 * count(*)) AS BIGINT))) AS i FROM orders))
-        SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % n AS nbr, o_custkey AS ctr FROM d JOIN orders ON o_orderkey = pos""",
+        SELECT i AS neg_pos, o_orderkey AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % (SELECT count(*) FROM customer) AS ctr FROM d JOIN orders ON o_orderkey = pos""",
     "negative_temporal": f"""
         WITH f AS (SELECT o_custkey AS id, min(CAST(epoch(o_orderdate) AS BIGINT)) AS t FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, coalesce(t, 1099511627776) AS t FROM customer LEFT JOIN f ON id = c_custkey),
-        a AS (SELECT o_orderkey AS neg_pos, CAST(epoch(o_orderdate) AS BIGINT) AS t, i, {_int(SEED, chr(39) + 'dst' + chr(39), 'o_orderkey', 'i')} % (SELECT count(*) FROM customer) AS node FROM orders, (SELECT unnest(range(6)) AS i)),
+        a AS (SELECT o_orderkey AS neg_pos, CAST(epoch(o_orderdate) AS BIGINT) AS t, i, {_int(SEED, chr(39) + 'dst' + chr(39), 'o_orderkey', 'i')} % (SELECT count(*) FROM customer) AS node FROM orders, (SELECT unnest(range(7)) AS i)),
         g AS (SELECT neg_pos, arg_min(node, i) AS node FROM a JOIN c ON c.id = a.node WHERE c.t <= a.t GROUP BY 1)
         SELECT o_orderkey AS neg_pos, coalesce(g.node, (SELECT id FROM c ORDER BY t, id LIMIT 1)) AS node FROM orders LEFT JOIN g ON neg_pos = o_orderkey""",
     "negative_weighted": f"""
         WITH w AS (SELECT o_custkey AS id, count(*) AS w FROM orders GROUP BY 1), s AS (SELECT id, sum(w) OVER (ORDER BY id) AS hi, sum(w) OVER (ORDER BY id) - w AS lo FROM w),
-        d AS (SELECT i, {_u(SEED, chr(39) + 'src' + chr(39), 'i')} * (SELECT count(*) FROM orders) AS u FROM (SELECT unnest(range(5000)) AS i))
+        d AS (SELECT i, {_u(SEED, chr(39) + 'src' + chr(39), 'i')} * (SELECT count(*) FROM orders) AS u FROM (SELECT unnest(range(CAST(greatest(ceil(0.5 * count(*)), ceil(count(*) / 512)) AS BIGINT))) AS i FROM orders))
         SELECT i AS neg_pos, id AS node FROM d JOIN s ON u >= lo AND u < hi""",
     "link_batches": f"""
         WITH k AS (SELECT count(*) AS n, CAST(ceil(count(*) / 512) AS BIGINT) AS b, CAST(ceil(count(*) / ceil(count(*) / 512)) AS BIGINT) AS share FROM orders)
@@ -200,9 +218,9 @@ ORACLES = {
         SELECT id, place, CASE WHEN place < (n % 5) * (n // 5 + 1) THEN place // (n // 5 + 1) ELSE (place - (n % 5) * (n // 5 + 1)) // (n // 5) + n % 5 END AS rank FROM m, n""",
     "batch_caps": "SELECT * FROM (SELECT o_orderkey AS input_id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 1000 AS pos FROM orders) WHERE batch_id < 3",
     "no_leakage_onehop": f"""
-        WITH s AS (SELECT o_custkey AS c, max(CAST(epoch(o_orderdate) AS BIGINT)) - 1 AS t FROM orders WHERE o_orderkey % 10 = 3 GROUP BY 1)
-        SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders JOIN s ON c = o_custkey WHERE epoch(o_orderdate) <= t
-        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 2""",
+        SELECT s.o_orderkey AS batch_id, o.o_orderkey AS eid, o.o_orderkey AS nbr, o.o_custkey AS ctr FROM orders s JOIN orders o ON o.o_custkey = s.o_custkey
+        WHERE CAST(epoch(o.o_orderdate) AS BIGINT) <= CAST(epoch(s.o_orderdate) AS BIGINT) - 1
+        QUALIFY row_number() OVER (PARTITION BY s.o_orderkey ORDER BY {_key(SEED, 's.o_orderkey', 0, 0, 'o.o_custkey', 'o.o_orderkey')}, o.o_orderkey) <= 2""",
     "temporal_increasing": f"""
         WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), s AS (SELECT user_id AS u, (min(t) + max(t)) // 2 AS t0 FROM e GROUP BY 1)
         SELECT user_id AS ctr, event_id AS eid, event_id AS nbr FROM e JOIN s ON u = user_id WHERE t > t0
@@ -219,11 +237,11 @@ ORACLES = {
     "xavier_init": f"SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(dim AS INTEGER) AS dim, round(({_u(SEED, chr(39) + 'init' + chr(39), 'n_nationkey', 'dim')} * 2 - 1) * sqrt(6.0 / 33), 6) AS val FROM nation, (SELECT unnest(range(8)) AS dim)",
     "mean_aggregate": f"""
         SELECT ctr, CAST(dim AS INTEGER) AS dim, round(avg(w), 6) AS val FROM (SELECT ctr, nbr % (SELECT count(*) FROM embeddings) AS v FROM ({ONEHOP}) WHERE rn <= 3)
-        JOIN (SELECT vec_id, unnest(range(8)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS w FROM embeddings) ON vec_id = v GROUP BY 1, 2""",
+        JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = v GROUP BY 1, 2""",
     "attention_aggregate": f"""
         WITH e AS (SELECT o_custkey AS ctr, o_orderkey % (SELECT count(*) FROM embeddings) AS v, exp(o_totalprice / 100000 - max(o_totalprice / 100000) OVER (PARTITION BY o_custkey)) AS x FROM orders),
         a AS (SELECT ctr, v, x / sum(x) OVER (PARTITION BY ctr) AS a FROM e)
-        SELECT ctr, CAST(dim AS INTEGER) AS dim, round(sum(a * w), 6) AS val FROM a JOIN (SELECT vec_id, unnest(range(8)) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS w FROM embeddings) ON vec_id = v GROUP BY 1, 2""",
+        SELECT ctr, CAST(dim AS INTEGER) AS dim, round(sum(a * w), 6) AS val FROM a JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = v GROUP BY 1, 2""",
     "full_inference": "SELECT c_custkey AS id, coalesce(round(avg(o_totalprice), 6), 0.0) AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "mrr": "WITH r AS (SELECT l_orderkey, l_returnflag, rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS r FROM lineitem) SELECT round(avg(1.0 / r), 6) AS mrr FROM (SELECT min(r) AS r FROM r WHERE l_returnflag = 'R' GROUP BY l_orderkey)",
     "auc": """
@@ -233,11 +251,55 @@ ORACLES = {
     "confusion": """
         WITH c AS (SELECT count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE a AND NOT b) AS fp, count(*) FILTER (WHERE NOT a AND NOT b) AS tn, count(*) FILTER (WHERE NOT a AND b) AS fn FROM (SELECT l_quantity > 25 AS a, l_returnflag = 'R' AS b FROM lineitem))
         SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy FROM c""",
-    "argmax_accuracy": "SELECT round(avg(CASE WHEN list_position(v, list_max(v)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings)",
+    "argmax_accuracy": "SELECT round(avg(CASE WHEN list_position(v, list_max(v)) - 1 = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings)",
     "weighted_mean_loss": "SELECT round(sum(l * n) / sum(n), 4) AS mean FROM (SELECT avg(o_totalprice) AS l, count(*) AS n FROM orders GROUP BY o_orderkey // 512)",
     "lfu_admission": "SELECT id, id // 128 AS set_id, cnt FROM (SELECT o_custkey AS id, count(*) AS cnt FROM orders GROUP BY 1) QUALIFY row_number() OVER (PARTITION BY id // 128 ORDER BY cnt DESC, id) <= 32",
     "cache_hit_rate": """
         WITH c AS (SELECT o_custkey AS id, count(*) AS cnt FROM orders GROUP BY 1), a AS (SELECT cnt, row_number() OVER (PARTITION BY id // 128 ORDER BY cnt DESC, id) AS r FROM c)
         SELECT round(sum(cnt) FILTER (WHERE r <= 32) / sum(cnt), 6) AS hit_rate FROM a""",
     "earliest_latest": "SELECT o_custkey AS id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1",
+    "gather_edges": "SELECT p AS pos, eid, o_orderkey AS nbr, o_custkey AS ctr FROM (SELECT l_partkey AS p, min(l_orderkey) AS eid FROM lineitem GROUP BY 1) LEFT JOIN orders ON o_orderkey = eid",
+    "update_edges": "SELECT o_orderkey AS eid, round(coalesce(q, o_totalprice), 2) AS wgt FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 100) ON l_orderkey = o_orderkey",
+    "hetero_biased": _hetero_biased(""),
+    "hetero_biased_temporal": _hetero_biased("AND epoch(o_orderdate) <= 852000000"),
+    "loader_batches": f"""
+        WITH e AS (SELECT DISTINCT o_custkey // 64 AS batch_id, o_orderkey AS id, o_totalprice AS value FROM orders
+                   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3)
+        SELECT batch_id, id, row_number() OVER (PARTITION BY batch_id ORDER BY id) - 1 AS local_id, value FROM e""",
+    "link_loader": f"""
+        WITH {_LINKS}, p AS (SELECT o_orderkey // 512 AS batch_id, o_orderkey % 512 AS pos, o_orderkey AS input_id, o_orderkey AS nbr, o_custkey AS ctr, 1.0::DOUBLE AS label FROM orders
+              UNION ALL SELECT batch_id, pos, -1, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % n, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % c, 0.0 FROM k),
+        a AS (SELECT batch_id, nbr, row_number() OVER (PARTITION BY batch_id ORDER BY min(pos), nbr) - 1 AS edge_label_row FROM p GROUP BY 1, 2),
+        b AS (SELECT batch_id, ctr, row_number() OVER (PARTITION BY batch_id ORDER BY min(pos), ctr) - 1 AS edge_label_col FROM p GROUP BY 1, 2)
+        SELECT p.*, edge_label_row, edge_label_col FROM p JOIN a USING (batch_id, nbr) JOIN b USING (batch_id, ctr)""",
+    "link_loader_temporal": f"""
+        WITH {_LINKS}, f AS (SELECT o_custkey AS id, min(CAST(epoch(o_orderdate) AS BIGINT)) AS t FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, coalesce(t, 1099511627776) AS t FROM customer LEFT JOIN f ON id = c_custkey),
+        o AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders),
+        d AS (SELECT batch_id, pos, i, j, o.t, {_int(SEED, chr(39) + 'src' + chr(39), 'i', 'j')} % n AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i', 'j')} % k.c AS ctr FROM k JOIN o ON o.id = i % n, (SELECT unnest(range(7)) AS j)),
+        x AS (SELECT d.*, coalesce(o.t <= d.t, false) AS ok0, coalesce(c.t <= d.t, false) AS ok1 FROM d LEFT JOIN o ON o.id = d.nbr LEFT JOIN c ON c.id = d.ctr),
+        w AS (SELECT * FROM x WHERE ok0 AND ok1 OR j = 6 QUALIFY row_number() OVER (PARTITION BY i ORDER BY j) = 1)
+        SELECT batch_id, pos, CASE WHEN ok0 THEN nbr ELSE (SELECT id FROM o ORDER BY t, id LIMIT 1) END AS nbr, CASE WHEN ok1 THEN ctr ELSE (SELECT id FROM c ORDER BY t, id LIMIT 1) END AS ctr, t FROM w""",
+    "negative_triplet_weighted": f"""
+        WITH w AS (SELECT o_custkey AS id, count(*) AS w FROM orders GROUP BY 1), s AS (SELECT id, sum(w) OVER (ORDER BY id) AS hi, sum(w) OVER (ORDER BY id) - w AS lo FROM w),
+        d AS (SELECT i, n, {_int(SEED, chr(39) + 'pick' + chr(39), 'i')} % n AS pos, {_u(SEED, chr(39) + 'dst' + chr(39), 'i')} * n AS u FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(0.25 * count(*)) AS BIGINT))) AS i FROM orders))
+        SELECT i AS neg_pos, o_orderkey AS nbr, id AS ctr FROM d JOIN orders ON o_orderkey = pos JOIN s ON u >= lo AND u < hi""",
+    "negative_unique": f"""
+        WITH d AS (SELECT i, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % c AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % 25 AS ctr FROM (SELECT unnest(range(CAST(ceil(0.5 * count(*)) AS BIGINT))) AS i FROM orders), (SELECT count(*) AS c FROM customer))
+        SELECT min(i) AS neg_pos, nbr, ctr FROM d GROUP BY 2, 3""",
+    "balanced_links": f"""
+        WITH r AS (SELECT o_orderkey AS pos, CAST(o_totalprice > 150000 AS INTEGER) AS label FROM orders), t AS (SELECT pos, label, row_number() OVER (PARTITION BY label ORDER BY {_key(SEED, chr(39) + 'turn' + chr(39), 'label', 'pos')}, pos) AS turn FROM r)
+        SELECT row_number() OVER (ORDER BY turn, label) - 1 AS place, pos, label FROM t""",
+    "layered_mean": f"""
+        WITH e AS (SELECT DISTINCT nbr, ctr FROM (SELECT (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS nbr, o_custkey AS ctr FROM orders
+                   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3)),
+        f0 AS (SELECT c_custkey AS id, dim, w FROM customer JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = c_custkey % (SELECT count(*) FROM embeddings)),
+        f1 AS (SELECT f0.id, dim, coalesce((w + m) / 2, w) AS w FROM f0 LEFT JOIN (SELECT ctr AS id, dim, avg(w) AS m FROM e JOIN f0 ON f0.id = nbr GROUP BY 1, 2) USING (id, dim)),
+        f2 AS (SELECT f1.id, dim, coalesce((w + m) / 2, w) AS w FROM f1 LEFT JOIN (SELECT ctr AS id, dim, avg(w) AS m FROM e JOIN f1 ON f1.id = nbr GROUP BY 1, 2) USING (id, dim))
+        SELECT id, round(max(w) FILTER (WHERE dim = 0), 6) AS first, round(sum(w), 4) AS total FROM f2 GROUP BY 1""",
+    "normalised_sum": """
+        WITH e AS (SELECT (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS nbr, o_custkey AS ctr FROM orders),
+        x AS (SELECT nbr, ctr, 1 / sqrt(count(*) OVER (PARTITION BY nbr) * count(*) OVER (PARTITION BY ctr)) AS a FROM e)
+        SELECT ctr, CAST(dim AS INTEGER) AS dim, round(sum(a * w), 6) AS val FROM x JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = nbr % (SELECT count(*) FROM embeddings) GROUP BY 1, 2""",
+    "binary_parts": "SELECT vec_id AS id, CAST(unnest(range(64)) AS INTEGER) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS val FROM embeddings",
+    "running_price": "SELECT o_orderkey AS id, round(coalesce(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 2) AS before FROM orders",
 }

@@ -13,8 +13,10 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neighborflow.functions.keys import key
 from neighborflow.model import EdgeType
 from neighborflow.operators import negative, tensor
+from neighborflow.operators.numbering import number_rows
 from neighborflow.operators.sample import COMPARE, Options, neighbor_sample, renumber, seed_batches
 from neighborflow.plans.stores import FeatureStore, GraphStore
 
@@ -88,6 +90,19 @@ def seeds_per_call(fanout: list[int], budget_bytes: int, disjoint: bool = False)
     return max(1, int(n / fanout[0] if disjoint else n))
 
 
+def replica_slice(seeds: DataFrame, replica: int, replicas: int, batch_size: int, drop_last: bool = True, shuffle_seed: int | None = None) -> DataFrame:
+    """A replica's batches (input_id, ..., batch_id, pos): input ids dealt round in their order or by key; so that all
+    replicas take as many steps, each has the same number of seeds and the rest is left out where drop_last is set."""
+    if not 0 <= replica < replicas:
+        raise ValueError("the replica must be one of the replicas")
+    order = ["input_id"] if shuffle_seed is None else [key(shuffle_seed, F.col("input_id")).asc(), F.col("input_id").asc()]
+    rows = number_rows(seeds, order, "_place")
+    n = rows.count()
+    per = n // replicas // batch_size * batch_size if drop_last else -(-n // replicas)
+    own = rows.where((F.col("_place") % replicas == replica) & (F.col("_place") < per * replicas)).withColumn("_own", F.floor(F.col("_place") / replicas))
+    return own.select(*seeds.columns, F.floor(F.col("_own") / batch_size).cast("long").alias("batch_id"), (F.col("_own") % batch_size).cast("long").alias("pos"))
+
+
 def check_options(subgraph_type: str = "directional", directed: bool = True, temporal_strategy: str = "uniform", compression: str | None = None, heterogeneous: bool = False, custom_sampler=None) -> None:
     if custom_sampler is not None:
         raise ValueError("custom samplers are not accepted")
@@ -120,10 +135,13 @@ def neighbor_loader(
 
 
 def link_neighbor_loader(
-    graph: GraphStore, num_neighbors, links: DataFrame, edge_type, batch_size: int = 16, negatives: str | None = None, amount: float = 1.0, temporal_comparison: str | None = None, disjoint: bool = False, weighted: bool = False, seed: int = 62,
+    graph: GraphStore, num_neighbors, links: DataFrame, edge_type, batch_size: int = 16, negatives: str | None = None, amount: float = 1.0, temporal_comparison: str | None = None, disjoint: bool = False, weighted: bool = False, replace: bool = False, seed: int = 62,
+    src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None, node_time: dict[str, DataFrame] | None = None,
 ) -> Sampled:
     """links: (pos, nbr, ctr[, label][, t]), pos from 0 without gaps. Both ends of a batch's links are its seeds; inputs
-    carry edge_label_row, edge_label_col (local ids), label and input_id, -1 for negatives."""
+    carry edge_label_row, edge_label_col (local ids), label and input_id, -1 for negatives. Negatives are drawn by
+    src_weights and dst_weights (id, w); with node_time, (id, t) by vertex type, and links' times, a negative takes the
+    time of the positive at its place, counted round, and drawn nodes later than that are drawn again."""
     if negatives not in (None, "binary", "triplet"):
         raise ValueError("negatives must be binary or triplet")
     if negatives == "triplet" and "label" in links.columns:
@@ -135,19 +153,33 @@ def link_neighbor_loader(
     n = links.count()
     has_t = "t" in links.columns
     if negatives:
-        counts = graph.counts()
-        neg = negative.binary_negatives(links.sparkSession, n, amount, batch_size, counts[t.nbr], counts[t.ctr], seed) if negatives == "binary" else negative.triplet_negatives(links, n, amount, batch_size, counts[t.nbr], seed)
-        pairs = negative.interleave(links, neg, n, negative.how_many(n, amount, batch_size), batch_size)
-        if has_t:  # a negative inherits a positive's time
+        counts, many = graph.counts(), negative.how_many(n, amount, batch_size)
+        timed = has_t and node_time is not None
+        if timed:
+            rows = links.sparkSession.range(many).select(F.col("id").alias("neg_pos"), (F.col("id") % max(1, n)).alias("_p")).join(links.select(F.col("pos").alias("_p"), "t"), "_p").drop("_p")
+            src, dst = (negative.End(role, col, counts[v], node_time[v], w) for role, col, v, w in (("src", "nbr", t.nbr, src_weights), ("dst", "ctr", t.ctr, dst_weights)))
+            if negatives == "binary":
+                neg = negative.temporal_links(rows, [src, dst], seed).drop("t")
+            else:
+                picked = negative.draw_uniform(negative.temporal_links(rows, [dst], seed).drop("t"), seed, "pick", max(1, n), "pos")
+                neg = picked.join(links.select("pos", "nbr"), "pos").select("neg_pos", "nbr", "ctr")
+        elif negatives == "binary":
+            neg = negative.binary_negatives(links.sparkSession, n, amount, batch_size, counts[t.nbr], counts[t.ctr], seed, src_weights, dst_weights)
+        else:
+            neg = negative.triplet_negatives(links, n, amount, batch_size, counts[t.ctr], seed, dst_weights)
+        pairs = negative.interleave(links, neg, n, many, batch_size)
+        if has_t:  # a negative has the time of the positive at its place, counted round
             times = links.select(F.col("pos").alias("_p"), "t")
-            src = F.when(F.col("input_id") >= 0, F.col("input_id")).otherwise(F.col("batch_id") * batch_size)
-            pairs = pairs.join(times, src == times["_p"]).drop("_p")
+            share = max(1, -(-many // max(1, -(-n // batch_size))))
+            size = F.least(F.lit(batch_size), F.lit(n) - F.col("batch_id") * batch_size)
+            at = F.when(F.col("input_id") >= 0, F.col("input_id")).otherwise((F.col("batch_id") * share + F.col("pos") - size) % max(1, n))
+            pairs = pairs.join(times, at == times["_p"]).drop("_p")
     else:
         label = F.col("label").cast("double") if "label" in links.columns else F.lit(1.0)
         pairs = links.select(F.floor(F.col("pos") / batch_size).cast("long").alias("batch_id"), (F.col("pos") % batch_size).cast("long").alias("pos"), F.col("pos").alias("input_id"), "nbr", "ctr", label.alias("label"), *(["t"] if has_t else []))
     ends = F.explode(F.array(F.struct(F.lit(t.nbr).alias("vtype"), F.col("nbr").alias("id"), (F.col("pos") * 2).alias("p")), F.struct(F.lit(t.ctr).alias("vtype"), F.col("ctr").alias("id"), (F.col("pos") * 2 + 1).alias("p"))))
     seeds = pairs.withColumn("e", ends).select("batch_id", F.col("e.vtype").alias("vtype"), F.col("e.id").alias("id"), F.col("e.p").alias("pos"), *(["t"] if has_t else []))
-    edges, nodes = neighbor_sample(graph.edges(), seeds, fanout_by_type(num_neighbors, graph.edge_types()), Options(weighted, False, temporal_comparison if has_t else None, disjoint, seed))
+    edges, nodes = neighbor_sample(graph.edges(), seeds, fanout_by_type(num_neighbors, graph.edge_types()), Options(weighted, replace, temporal_comparison if has_t else None, disjoint, seed))
     edges, nodes = renumber(edges, nodes)
     local = nodes.select("batch_id", "vtype", "id", "local_id")
     a = local.where(F.col("vtype") == t.nbr).select("batch_id", F.col("id").alias("nbr"), F.col("local_id").alias("edge_label_row"))

@@ -11,9 +11,14 @@ from neighborflow.functions.vectors import exploded
 from neighborflow.model import EdgeType, merged_edges
 from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
 from neighborflow.operators.numbering import number_rows, prefix_sum
+from neighborflow.plans import loaders
+from neighborflow.plans.stores import FeatureStore, GraphStore
 from neighborflow.session import load
+from neighborflow.sources import binary
 
 SEED = 62
+#: Length of the vectors of ``embeddings``.
+DIM = 64
 OF = EdgeType("order", "of", "customer")
 LIVES = EdgeType("customer", "lives", "nation")
 IN = EdgeType("nation", "in", "region")
@@ -255,14 +260,12 @@ def sample_offsets(spark, d):
 
 
 def twohop_resample_all(spark, d):
-    """Nation numbers as one graph: nations reach nations whose number is a step of 3 or 7 away."""
-    n = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("c"))
-    edges = n.select((F.col("c") * 3).alias("eid"), ((F.col("c") * 3 + 1) % 25).alias("nbr"), F.col("c").alias("ctr")).unionByName(n.select((F.col("c") * 3 + 1).alias("eid"), ((F.col("c") + 7) % 25).alias("nbr"), F.col("c").alias("ctr"))).unionByName(
-        n.select((F.col("c") * 3 + 2).alias("eid"), ((F.col("c") * 5 + 2) % 25).alias("nbr"), F.col("c").alias("ctr"))
-    )
-    seeds = n.where("c < 4").select(F.col("c").alias("pos"), F.col("c").alias("id"))
-    nodes, _ = sample.resample_all(seeds, edges, [2, 2], SEED)
-    return nodes
+    """Customers as a graph: each reaches the customers three orders on in the order table, so that hubs occur."""
+    n = n_rows(spark, d, "customer")
+    edges = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("eid"), ((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"))
+    seeds = load(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id"))
+    nodes, _ = sample.resample_all(number_rows(seeds, ["id"], "pos"), edges, [2, 2], SEED)
+    return nodes.select("pos", "id")
 
 
 def _hetero(spark, d, options, fanout=None, seeds=None):
@@ -331,7 +334,9 @@ def shuffle_drop_last(spark, d):
 
 
 def replica_slices(spark, d):
-    return load(spark, d, "orders").groupBy((F.col("o_orderkey") % 4).cast("int").alias("replica")).agg(F.count("*").alias("cnt"))
+    """The third of four replicas' batches of all orders."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("input_id"))
+    return loaders.replica_slice(rows, 2, 4, 128).select("input_id", "batch_id", "pos")
 
 
 def batch_offsets(spark, d):
@@ -352,7 +357,7 @@ def negative_binary(spark, d):
 def negative_triplet(spark, d):
     pos = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr")
     n = n_rows(spark, d, "orders")
-    return negative.triplet_negatives(pos, n, 0.25, 512, n, SEED)
+    return negative.triplet_negatives(pos, n, 0.25, 512, n_rows(spark, d, "customer"), SEED)
 
 
 def negative_temporal(spark, d):
@@ -365,7 +370,8 @@ def negative_temporal(spark, d):
 def negative_weighted(spark, d):
     """Customers drawn by their number of orders."""
     w = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.count("*").cast("double").alias("w"))
-    return negative.draw_weighted(spark.range(5000).select(F.col("id").alias("neg_pos")), w, SEED, "src", "node")
+    many = negative.how_many(n_rows(spark, d, "orders"), 0.5, 512)
+    return negative.draw_weighted(spark.range(many).select(F.col("id").alias("neg_pos")), w, SEED, "src", "node")
 
 
 def link_batches(spark, d):
@@ -422,9 +428,8 @@ def batch_caps(spark, d):
 
 
 def no_leakage_onehop(spark, d):
-    """Edges strictly before each order's own date: label times are one less."""
-    seeds = load(spark, d, "orders").where("o_orderkey % 10 = 3").groupBy(F.col("o_custkey").cast("long").alias("id")).agg((F.max(epoch("o_orderdate")) - 1).alias("t"))
-    seeds = seeds.select(F.floor(F.col("id") / 64).cast("long").alias("batch_id"), (F.col("id") % 64).alias("pos"), F.lit("customer").alias("vtype"), "id", "t")
+    """Every order is a link whose customer is sampled strictly before the order's own date: label times are one less."""
+    seeds = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("batch_id"), F.lit(0).cast("long").alias("pos"), F.lit("customer").alias("vtype"), F.col("o_custkey").cast("long").alias("id"), (epoch("o_orderdate") - 1).alias("t"))
     e, _ = sample.neighbor_sample({OF: order_edges(spark, d)}, seeds, {OF: [2]}, sample.Options(time="monotonically_decreasing", seed=SEED))
     return e.select("batch_id", "eid", "nbr", "ctr")
 
@@ -446,24 +451,21 @@ def biased_temporal(spark, d):
 
 
 def _grads(spark, d):
-    """A gradient for each order: its price over a million, alternating in sign by dimension, to vector custkey mod n."""
-    n = n_rows(spark, d, "embeddings")
+    """A gradient for each order: its price over a million, alternating in sign by dimension, to vector custkey mod n - 7;
+    the last seven vectors have none."""
+    n = n_rows(spark, d, "embeddings") - 7
     price = F.col("o_totalprice") / 1e6
-    return load(spark, d, "orders").where("o_custkey % 3 <> 1").select((F.col("o_custkey") % n).cast("long").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: price * F.when(i % 2 == 0, 1.0).otherwise(-0.5)).alias("grad"))
-
-
-def _table(spark, d):
-    return vectors(spark, d).withColumn("vec", F.slice("vec", 1, 8))
+    return load(spark, d, "orders").select((F.col("o_custkey") % n).cast("long").alias("id"), F.array(*[price * (1.0 if i % 2 == 0 else -0.5) for i in range(DIM)]).alias("grad"))
 
 
 def dedup_grads(spark, d):
-    return exploded(optim.dedup_gradients(_grads(spark, d)), ["id"], "grad")
+    return exploded(optim.dedup_gradients(_grads(spark, d), DIM), ["id"], "grad")
 
 
 def _steps(spark, d, kind, params, n=2):
-    t, g = optim.with_state(_table(spark, d), kind), _grads(spark, d)
+    t, g = optim.with_state(vectors(spark, d), kind), _grads(spark, d)
     for _ in range(n):
-        t = optim.step(t, g, kind, 0.1, params)
+        t = optim.step(t, g, kind, 0.1, params, DIM)
     return exploded(t, ["id"], "vec")
 
 
@@ -499,18 +501,18 @@ def xavier_init(spark, d):
 
 def _feats(spark, d):
     n = n_rows(spark, d, "embeddings")
-    t = _table(spark, d).toDF("v", "vec")
+    t = vectors(spark, d).toDF("v", "vec")
     return load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), (F.col("o_orderkey") % n).cast("long").alias("v")).join(t, "v").select("id", "vec")
 
 
 def mean_aggregate(spark, d):
     e = sample.one_hop(customers(spark, d), order_edges(spark, d), 3, SEED)
-    return exploded(analytics.mean_aggregate(e, _feats(spark, d), ["ctr"], with_root=False), ["ctr"], "agg")
+    return exploded(analytics.mean_aggregate(e, _feats(spark, d), ["ctr"], with_root=False, dim=DIM), ["ctr"], "agg")
 
 
 def attention_aggregate(spark, d):
     e = order_edges(spark, d).withColumn("score", F.col("wgt") / 100000)
-    return exploded(analytics.attention_aggregate(e, _feats(spark, d), ["ctr"], "score"), ["ctr"], "agg")
+    return exploded(analytics.attention_aggregate(e, _feats(spark, d), ["ctr"], "score", DIM), ["ctr"], "agg")
 
 
 def full_inference(spark, d):
@@ -537,7 +539,7 @@ def confusion(spark, d):
 
 
 def argmax_accuracy(spark, d):
-    v = load(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("vec"), "label")
+    v = load(spark, d, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("vec"), "label")
     return analytics.argmax_accuracy(v, "vec", "label").select(F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -560,6 +562,119 @@ def earliest_latest(spark, d):
     return load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).cast("long").alias("first"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).cast("long").alias("dearest"))
 
 
+def gather_edges(spark, d):
+    """Both ends of edges looked up by edge id."""
+    wanted = load(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("pos")).agg(F.min("l_orderkey").cast("long").alias("eid"))
+    return tensor.edges_at(order_edges(spark, d), wanted).select("pos", "eid", "nbr", "ctr")
+
+
+def update_edges(spark, d):
+    """Weights of edges overwritten by edge id; the last line of an order wins."""
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("eid")).agg(F.sum("l_quantity").alias("wgt"))
+    return tensor.update_edges(order_edges(spark, d), lines.where("wgt >= 100").withColumn("pos", F.col("eid")), "wgt").select("eid", F.round("wgt", 2).alias("wgt"))
+
+
+def hetero_biased_temporal(spark, d):
+    """Nations to customers by balance, customers to orders by price and before a date."""
+    edges = {OF: order_edges(spark, d), LIVES: lives_edges(spark, d).withColumn("etime", F.lit(852000000).cast("long"))}
+    seeds = nation_seeds(spark, d).withColumn("t", F.lit(852076800).cast("long"))
+    level, nodes = sample.neighbor_sample(edges, seeds, {LIVES: [6, 0], OF: [0, 2]}, sample.Options(weighted=True, time="monotonically_decreasing", seed=SEED))
+    return level.select("batch_id", "hop", "etype", "eid", "nbr", "ctr")
+
+
+def hetero_biased(spark, d):
+    edges = {OF: order_edges(spark, d), LIVES: lives_edges(spark, d)}
+    level, _ = sample.neighbor_sample(edges, nation_seeds(spark, d), {LIVES: [6, 0], OF: [0, 2]}, sample.Options(weighted=True, seed=SEED))
+    return level.select("batch_id", "hop", "etype", "eid", "nbr", "ctr")
+
+
+def loader_batches(spark, d):
+    """A loader's batches of all customers with local ids and the neighbours' prices."""
+    g = GraphStore(spark)
+    g.put_edge_index(order_edges(spark, d).select("eid", "nbr", "ctr"), OF, size=(n_rows(spark, d, "orders"), n_rows(spark, d, "customer")))
+    inputs = customers(spark, d).select(F.col("id").alias("input_id"), "id")
+    out = loaders.neighbor_loader(g, [3], inputs, "customer", 64, seed=SEED)
+    feats = FeatureStore()
+    feats.put("order", "price", load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_totalprice").alias("value")))
+    return out.with_features(feats, "order", "price").select("batch_id", "id", "local_id", "value")
+
+
+def link_loader(spark, d):
+    """All orders as links in batches of 512 with one uniform negative each; local ids of both ends."""
+    g = GraphStore(spark)
+    g.put_edge_index(order_edges(spark, d).select("eid", "nbr", "ctr"), OF, size=(n_rows(spark, d, "orders"), n_rows(spark, d, "customer")))
+    links = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr")
+    out = loaders.link_neighbor_loader(g, {OF: [0]}, links, OF, 512, "binary", 1.0, seed=SEED)
+    return out.inputs.select("batch_id", "pos", "input_id", "nbr", "ctr", "label", "edge_label_row", "edge_label_col")
+
+
+def link_loader_temporal(spark, d):
+    """Negatives that exist by their positive's date: customers from their first order on, orders from their own date on."""
+    g = GraphStore(spark)
+    g.put_edge_index(order_edges(spark, d).select("eid", "nbr", "ctr"), OF, size=(n_rows(spark, d, "orders"), n_rows(spark, d, "customer")))
+    links = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr", F.col("etime").alias("t"))
+    first = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.min(epoch("o_orderdate")).alias("t"))
+    cust = customers(spark, d).select("id").join(first, "id", "left").select("id", F.coalesce("t", F.lit(2**40)).cast("long").alias("t"))
+    orders = order_edges(spark, d).select(F.col("eid").alias("id"), F.col("etime").alias("t"))
+    out = loaders.link_neighbor_loader(g, {OF: [0]}, links, OF, 512, "binary", 1.0, seed=SEED, node_time={"customer": cust, "order": orders})
+    return out.inputs.where("label = 0").select("batch_id", "pos", "nbr", "ctr", "t")
+
+
+def negative_triplet_weighted(spark, d):
+    """Destinations drawn by their number of orders for the sources of drawn orders."""
+    pos = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr")
+    w = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.count("*").cast("double").alias("w"))
+    return negative.triplet_negatives(pos, n_rows(spark, d, "orders"), 0.25, 512, n_rows(spark, d, "customer"), SEED, w)
+
+
+def negative_unique(spark, d):
+    """Binary negatives between customers and nations, equal pairs once."""
+    neg = negative.binary_negatives(spark, n_rows(spark, d, "orders"), 0.5, 512, n_rows(spark, d, "customer"), 25, SEED)
+    return negative.deduplicated(neg)
+
+
+def balanced_links(spark, d):
+    """Lines as links with labels, shuffled so that labels take turns."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), (F.col("o_totalprice") > 150000).cast("int").alias("label"))
+    return negative.balanced(rows, "label", SEED).select("place", "pos", "label")
+
+
+def layered_mean(spark, d):
+    """Two sampled layers over the customers' graph and a forward pass of means."""
+    n, v = n_rows(spark, d, "customer"), n_rows(spark, d, "embeddings")
+    edges = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("eid"), ((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"))
+    feats = customers(spark, d).select("id", (F.col("id") % v).alias("v")).join(vectors(spark, d).toDF("v", "vec"), "v").select("id", "vec")
+    level, _ = sample.neighbor_sample({EdgeType("customer", "near", "customer"): edges}, seeds_of(spark, d), {EdgeType("customer", "near", "customer"): [3]}, sample.Options(seed=SEED))
+    hop = level.select("nbr", "ctr").distinct()
+    out = analytics.layered_mean([hop, hop], feats, DIM)
+    return out.select("id", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def normalised_sum(spark, d):
+    """Neighbours' vectors over the square root of both degrees."""
+    n, v = n_rows(spark, d, "customer"), n_rows(spark, d, "embeddings")
+    edges = load(spark, d, "orders").select(((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"))
+    feats = customers(spark, d).select("id", (F.col("id") % v).alias("v")).join(vectors(spark, d).toDF("v", "vec"), "v").select("id", "vec")
+    return exploded(analytics.normalised_sum(edges, feats, DIM), ["ctr"], "agg")
+
+
+def binary_parts(spark, d):
+    """The vectors written as five headerless parts and read back."""
+    from uuid import uuid4
+
+    from neighborflow.scratch import shared_dir
+
+    t = load(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    names = binary.write_binary(t, f"{shared_dir(spark)}/neighborflow/parts-{uuid4().hex}/vec", 5, "float32", t.count())
+    return exploded(binary.read_binary(spark, names, "float32", DIM), ["id"], "vec")
+
+
+def running_price(spark, d):
+    """Fractional running sums."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_totalprice").alias("v"))
+    return prefix_sum(rows, ["id"], "v", "before").select("id", F.round("before", 2).alias("before"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -568,5 +683,6 @@ QUERIES = {
         onehop_all, onehop_uniform, onehop_weighted, sample_offsets, twohop_resample_all, hetero_twohop, hetero_nodes, hop_counts, batch_statistics, biased_onehop, temporal_onehop, temporal_last, disjoint_onehop, replace_onehop, seed_batches, shuffle_drop_last,
         replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
+        gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, normalised_sum, binary_parts, running_price,
     )
 }

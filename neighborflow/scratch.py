@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or the folder set on its context; a local one only where neither is set."""
+    """spark.checkpoint.dir of the session, or the folder set on its context, or one in the warehouse: all shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = got.get() if got.isDefined() else "/tmp/neighborflow-checkpoints"
+        found = got.get() if got.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return found.rstrip("/")
 
 

@@ -1,7 +1,7 @@
 """Headerless binary parts and .npy files as row tables.
 
-A part file holds whole entries one after the other. Files are read by Spark in fixed-length records, in the order given;
-the row id is the entry's place over all files. Part names are ``<prefix>_part_<i>_of_<n>``.
+A part file holds whole entries one after the other. Files are read by Spark in splits of fixed-length records, in the
+order given; the row id is the entry's place over all files. Part names are ``<prefix>_part_<i>_of_<n>``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from neighborflow.model import COLUMN_TYPES
 NUMPY = {"float64": "<f8", "float32": "<f4", "float16": "<f2", "int64": "<i8", "int32": "<i4", "int16": "<i2", "int8": "i1"}
 
 
+#: Records that go to Python as one value.
+BLOCK = 4096
+
+
 def part_names(prefix: str, count: int) -> list[str]:
     return [f"{prefix}_part_{i}_of_{count}" for i in range(count)]
 
@@ -38,36 +42,62 @@ def read_binary(spark: SparkSession, files: list[str], dtype: str, dim: int = 1,
     if offset + dim > width:
         raise ValueError("offset and dimension exceed the stride")
     item = np.dtype(NUMPY[dtype]).itemsize
-    entry, parts, start = item * width, [], 0
+    entry = item * width
     for path in files:
         size = _size(spark, path)
         if size % entry:
             raise ValueError(f"{path}: {size} bytes are no multiple of the entry size {entry}")
-        n = size // entry
-        if n:
-            # binaryRecords cuts a file into splits of whole records; the place in the file is its split's start and the
-            # record's place in it.
-            rdd = spark.sparkContext.binaryRecords(path, entry).zipWithIndex()
-            parts.append(rdd.map(lambda r, s=start: (r[1] + s, bytearray(r[0]))).toDF("id long, raw binary"))
-        start += n
     kind = COLUMN_TYPES[dtype]
     schema = f"id long, value {kind}" if dim == 1 else f"id long, vec array<{kind}>"
-    if not parts:
+    if not files:
         return spark.createDataFrame([], schema)
-    raw = parts[0]
-    for p in parts[1:]:
-        raw = raw.unionByName(p)
+    # Spark cuts the files, in their order, into splits of whole records; one pass counts the records of each split, which
+    # gives a record's place. Records go on to Python in blocks.
+
+    def blocks(records):
+        held: list[bytes] = []
+        first = 0
+        for raw, at in records:
+            if not held:
+                first = at
+            held.append(raw)
+            if len(held) == BLOCK:
+                yield first, bytearray(b"".join(held))
+                held = []
+        if held:
+            yield first, bytearray(b"".join(held))
+
+    raw = spark.sparkContext.binaryRecords(",".join(files), entry).zipWithIndex().mapPartitions(blocks).toDF("id long, raw binary")
     code = NUMPY[dtype]
 
     def unpack(batches):
         for pdf in filter(len, batches):
-            a = np.frombuffer(b"".join(pdf["raw"]), code).reshape(len(pdf), width)[:, offset : offset + dim]
-            a = a.astype("<f4") if code == "<f2" else a
-            yield pd.DataFrame({"id": pdf["id"], "value": a[:, 0]}) if dim == 1 else pd.DataFrame({"id": pdf["id"], "vec": list(a)})
+            for first, block in zip(pdf["id"], pdf["raw"], strict=True):
+                a = np.frombuffer(block, code).reshape(-1, width)[:, offset : offset + dim]
+                a = a.astype("<f4") if code == "<f2" else a
+                ids = np.arange(first, first + len(a))
+                yield pd.DataFrame({"id": ids, "value": a[:, 0]}) if dim == 1 else pd.DataFrame({"id": ids, "vec": list(a)})
 
     return raw.mapInPandas(unpack, schema)
 
 
+def read_parts(spark: SparkSession, prefix: str, count: int, dtype: str, dim: int = 1, n: int | None = None, stride: int = 0, offset: int = 0) -> DataFrame:
+    """All parts of a prefix as one table. n: entries that the table holds; parts with more are refused."""
+    files = part_names(prefix, count)
+    item = np.dtype(NUMPY[dtype]).itemsize * (stride or dim)
+    if n is not None and (found := sum(_size(spark, f) for f in files) // item) > n:
+        raise ValueError(f"the parts hold {found} entries, the table {n}")
+    return read_binary(spark, files, dtype, dim, stride, offset)
+
+
+def deal_round_robin(table: DataFrame, block: int, world: int) -> DataFrame:
+    """The table with the rank and slot of each row when blocks are dealt in turn."""
+    from neighborflow.functions.partition import round_robin
+
+    rank, slot = round_robin(F.col("id"), block, world)
+    return table.withColumn("rank", rank).withColumn("slot", slot)
+
+
 def write_binary(table: DataFrame, prefix: str, count: int, dtype: str, n: int) -> list[str]:
     """The table in id order as ``count`` part files under the even plan, each written by the task that holds its rows."""
     from neighborflow.functions.partition import even_rank

@@ -166,3 +166,51 @@ def test_binary_and_triplet_negatives(spark):
             per = {(r["batch_id"], r["label"]): r["count"] for r in out.inputs.groupBy("batch_id", "label").count().collect()}
             assert per == {(b, x): (3 if x else 3 * amount) for b in (0, 1) for x in (1.0, 0.0)}
             assert out.inputs.where("label = 0 AND input_id >= 0").count() == 0
+
+
+def test_triplets_repeat_sources_and_draw_destinations(spark):
+    """Sources are those of drawn positives, so a batch's negatives add destinations only."""
+    from neighborflow.operators import negative
+
+    pos = spark.createDataFrame([(i, 100 + i, 7) for i in range(6)], "pos long, nbr long, ctr long")
+    got = negative.triplet_negatives(pos, 6, 3.0, 2, 5, 1).collect()
+    assert len(got) == 18 and {r["nbr"] for r in got} <= set(range(100, 106)) and {r["ctr"] for r in got} <= set(range(5)) and len({r["ctr"] for r in got}) > 2
+    only = spark.createDataFrame([(3, 1.0), (4, 0.0)], "id long, w double")
+    assert {r["ctr"] for r in negative.triplet_negatives(pos, 6, 3.0, 2, 5, 1, only).collect()} == {3}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_negatives_exist_in_time(spark, few, monkeypatch):
+    """Nodes 0 to 4 appear at times 0 to 4; a link at time 1 has only nodes 0 and 1 to take, whichever way they are drawn."""
+    from neighborflow.operators import negative
+
+    monkeypatch.setattr(negative, "BROADCAST_BYTES", 1 << 20 if few else 0)
+    times = spark.createDataFrame([(i, i) for i in range(5)], "id long, t long")
+    asked = spark.createDataFrame([(i, i % 5) for i in range(200)], "neg_pos long, t long")
+    ends = [negative.End("src", "nbr", 5, times), negative.End("dst", "ctr", 5, times)]
+    got = {r["neg_pos"]: (r["t"], r["nbr"], r["ctr"]) for r in negative.temporal_links(asked, ends, 3).collect()}
+    assert len(got) == 200 and all(a <= t and b <= t for t, a, b in got.values())
+    assert {(a, b) for t, a, b in got.values() if t == 0} == {(0, 0)}
+
+
+def test_link_loader_negatives_in_time(spark):
+    g = GraphStore(spark)
+    knows = EdgeType("v", "e", "v")
+    g.put_edge_index(edges(spark, [2, 1, 0, 0, 1, 2, 1], [3, 2, 1, 2, 3, 4, 0], etime=[5, 6, 7, 3, 4, 8, 2]), knows, size=(5, 5))
+    links = spark.createDataFrame([(0, 3, 2, 10), (1, 2, 1, 2)], "pos long, nbr long, ctr long, t long")
+    times = spark.createDataFrame([(i, i) for i in range(5)], "id long, t long")
+    for kind in ("binary", "triplet"):
+        out = link_neighbor_loader(g, {knows: [2]}, links, knows, batch_size=2, negatives=kind, amount=2.0, node_time={"v": times}).inputs.collect()
+        neg = [r for r in out if r["label"] == 0.0]
+        assert len(out) == 6 and len(neg) == 4 and sorted(r["t"] for r in neg) == [2, 2, 10, 10]
+        assert all(r["ctr"] <= r["t"] and (kind == "triplet" or r["nbr"] <= r["t"]) for r in neg)
+
+
+def test_layers_forward(spark):
+    """Two layers by hand: 0 takes from 1 and 2, 1 from 2."""
+    from neighborflow.operators import analytics
+
+    hop = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "nbr long, ctr long")
+    feats = spark.createDataFrame([(0, [0.0]), (1, [4.0]), (2, [8.0])], "id long, vec array<double>")
+    got = {r["id"]: r["vec"][0] for r in analytics.layered_mean([hop, hop], feats).collect()}
+    assert got == {0: (3.0 + (6.0 + 8.0) / 2) / 2, 1: (6.0 + 8.0) / 2, 2: 8.0}

@@ -152,3 +152,21 @@ def test_stream_appends_once(spark, tmp_path):
     stream = spark.readStream.schema("eid long, nbr long, ctr long").parquet(str(tmp_path / "in"))
     ingest.append_edges(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_parts_by_prefix(spark, tmp_path):
+    t = spark.range(10_000).select("id", (F.col("id") * 2).cast("float").alias("value"))
+    binary.write_binary(t, str(tmp_path / "v"), 3, "float32", 10_000)
+    back = binary.read_parts(spark, str(tmp_path / "v"), 3, "float32", n=10_000)
+    assert back.count() == 10_000 and back.where("value <> id * 2").count() == 0
+    with pytest.raises(ValueError):
+        binary.read_parts(spark, str(tmp_path / "v"), 3, "float32", n=9_999)
+    got = binary.deal_round_robin(back, 64, 3).groupBy("rank").agg(F.count("*").alias("n"), F.max("slot").alias("m")).collect()
+    assert sum(r["n"] for r in got) == 10_000 and all(r["m"] == r["n"] - 1 for r in got)
+
+
+def test_fractional_prefix_sums(spark):
+    from neighborflow.operators.numbering import prefix_sum
+
+    rows = spark.createDataFrame([(i, 0.25) for i in range(40)], "id long, v double")
+    assert [r["s"] for r in prefix_sum(rows, ["id"], "v", "s").orderBy("id").collect()] == [0.25 * i for i in range(40)]
