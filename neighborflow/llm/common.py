@@ -13,15 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Most rows that go to Python at once: whole texts are long, so the default of 10,000 rows would hold too much.
-BATCH_ROWS = 1000
+#: Most rows and bytes that go to Python at once: whole texts are long, so the default of 10,000 rows of any size would
+#: hold too much.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker and its Arrow buffers hold; a smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound what a Python worker and its Arrow buffers hold, in rows and bytes. Spark has these bounds for a session only,
+    so they stay set; a smaller setting of the session stays as it is."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    try:
+        held = int(str(spark.conf.get(size)).rstrip("bB"))
+    except ValueError:  # written with a unit: set by someone
+        return
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,13 +42,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir, or one in the warehouse where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
-        found = "/tmp/neighborflow-checkpoints"
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return found.rstrip("/")
 
 
