@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on every document that its predecessor kept, and calls one operator of
 ``neighborflow.llm``. All but the last return the columns of ``docs``. ``run`` writes each stage's result as Parquet in
 the shared folder and reads it again for the next.
+
+Defined results, for every stage: a null text counts as empty and its row is judged like any other; equal texts are judged
+alike; texts are used whole at any length; repeated rows are kept or dropped together, but for near-dedup, which keeps one
+of them; extra columns are carried, whatever their names; an empty table gives an empty one; without labels of both kinds
+nothing is rejected as toxic, and all have the share of good labels as quality (1.0 without any).
 """
 
 from __future__ import annotations
@@ -20,12 +25,12 @@ def _fold(n: int):
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5; one at 0.5 goes."""
     return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), _fold(5) != 0))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.7."""
+    """Documents whose quality score is at least 0.7; one at 0.7 stays."""
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels"), _fold(4) != 2))
 
 
@@ -56,7 +61,7 @@ def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its sequence of at most 4096 tokens."""
+    """One row per piece with its sequence of at most 4096 tokens; an empty text is its end id alone."""
     return packing.pack_documents(spark, docs, tokenizer_file("word_bpe_49k.json"))
 
 
