@@ -21,6 +21,12 @@ class EdgeType(NamedTuple):
         return "__".join(self)
 
 
+def check_group(group) -> None:
+    """A group of attributes is a vertex type's name or the three names of an edge type."""
+    if not isinstance(group, str) and not (isinstance(group, tuple) and len(group) == 3 and all(isinstance(x, str) for x in group)):
+        raise ValueError(f"{group!r} is neither a vertex type nor an edge type")
+
+
 #: Stored element types and their columns; half precision is kept as float.
 COLUMN_TYPES = {"float64": "double", "float32": "float", "float16": "float", "bfloat16": "float", "int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint"}
 FLOATS = frozenset(("float64", "float32", "float16", "bfloat16"))

@@ -302,4 +302,12 @@ ORACLES = {
         SELECT ctr, CAST(dim AS INTEGER) AS dim, round(sum(a * w), 6) AS val FROM x JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = nbr % (SELECT count(*) FROM embeddings) GROUP BY 1, 2""",
     "binary_parts": "SELECT vec_id AS id, CAST(unnest(range(64)) AS INTEGER) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS val FROM embeddings",
     "running_price": "SELECT o_orderkey AS id, round(coalesce(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 2) AS before FROM orders",
+    "rank_dump": """
+        WITH a AS (SELECT 'customer' AS name, c_custkey AS id, round(c_acctbal, 2) AS total, count(*) OVER () AS n FROM customer
+        UNION ALL SELECT 'vector', vec_id, round(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda p, x: p + x, 0.0::DOUBLE), 4), count(*) OVER () FROM embeddings)
+        SELECT name, CAST(CASE WHEN id < (n % 7) * (n // 7 + 1) THEN id // (n // 7 + 1) ELSE (id - (n % 7) * (n // 7 + 1)) // (n // 7) + n % 7 END AS INTEGER) AS rank, id, total FROM a""",
+    "local_parts": "SELECT c_custkey AS id, c_acctbal AS value FROM customer",
+    "cached_gather": """
+        WITH c AS (SELECT o_custkey AS id, count(*) AS cnt FROM orders GROUP BY 1), a AS (SELECT id, row_number() OVER (PARTITION BY id // 128 ORDER BY cnt DESC, id) AS r FROM c)
+        SELECT o_orderkey AS pos, o_custkey AS id, c_acctbal AS value, CAST(r <= 32 AS INTEGER) AS hit FROM orders JOIN a ON id = o_custkey JOIN customer ON c_custkey = o_custkey""",
 }

@@ -114,11 +114,17 @@ def check_options(subgraph_type: str = "directional", directed: bool = True, tem
         warnings.warn("only the uniform temporal strategy is supported; using it", stacklevel=3)
 
 
+def check_stores(graph, features=None) -> None:
+    if not isinstance(graph, GraphStore) or not (features is None or isinstance(features, FeatureStore)):
+        raise NotImplementedError("loaders take this library's graph and feature stores")
+
+
 def neighbor_loader(
     graph: GraphStore, num_neighbors, input_nodes: DataFrame, vtype: str | None = None, batch_size: int = 16, shuffle: bool = False, drop_last: bool = False,
     replace: bool = False, disjoint: bool = False, weighted: bool = False, temporal_comparison: str | None = None, seed: int = 62, **other,
 ) -> Sampled:
     """input_nodes: (input_id, id[, t]) of one vertex type; without one, the graph must have a single type."""
+    check_stores(graph)
     check_options(**other)
     types = graph.edge_types()
     vtype = vtype or (types[0].ctr if graph.is_homogeneous else None)
@@ -126,6 +132,8 @@ def neighbor_loader(
         raise ValueError("a graph of several vertex types needs the seeds' type")
     if batch_size < 1:
         raise ValueError("the batch size must be positive")
+    if drop_last and input_nodes.limit(batch_size).count() < batch_size:
+        raise ValueError("fewer inputs than one batch, and drop_last leaves out all of them")
     batches = seed_batches(input_nodes, batch_size, seed if shuffle else None, drop_last).withColumn("vtype", F.lit(vtype))
     if temporal_comparison is not None and temporal_comparison not in COMPARE:
         raise ValueError(f"temporal_comparison must be one of {sorted(COMPARE)}")
@@ -142,6 +150,7 @@ def link_neighbor_loader(
     carry edge_label_row, edge_label_col (local ids), label and input_id, -1 for negatives. Negatives are drawn by
     src_weights and dst_weights (id, w); with node_time, (id, t) by vertex type, and links' times, a negative takes the
     time of the positive at its place, counted round, and drawn nodes later than that are drawn again."""
+    check_stores(graph)
     if negatives not in (None, "binary", "triplet"):
         raise ValueError("negatives must be binary or triplet")
     if negatives == "triplet" and "label" in links.columns:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborflow.model import EdgeType, merged_edges, vertex_counts, vertex_offsets
+from neighborflow.model import EdgeType, check_group, merged_edges, vertex_counts, vertex_offsets
 from neighborflow.operators import layout, tensor
 
 
@@ -18,6 +18,7 @@ class FeatureStore:
 
     def put(self, group, name: str, table: DataFrame, indexed: bool = False) -> bool:
         """Set an attribute; an indexed put overwrites its rows (pos, id, column) of a present one."""
+        check_group(group)
         cols = [c for c in table.columns if c in ("value", "vec")]
         if "id" not in table.columns or len(cols) != 1:
             raise ValueError("a table has id and one of value and vec")
@@ -25,6 +26,15 @@ class FeatureStore:
         self._tables[(group, name)] = tensor.scatter(held, table, cols[0]) if indexed and held is not None else table.select("id", *cols)
         return True
 
+    def put_once(self, group, name: str, table: DataFrame, n: int) -> bool:
+        """Set an attribute that is not there yet, with a row for each of the ids 0 to n - 1."""
+        if (group, name) in self._tables:
+            raise ValueError(f"{name} of {group} is already set")
+        found = table.agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()  # four numbers
+        if (found["n"], found["d"]) != (n, n) or (n and (found["lo"], found["hi"]) != (0, n - 1)):
+            raise ValueError(f"{name} has {found['n']} rows for {n} ids")
+        return self.put(group, name, table)
+
     def get(self, group, name: str, index: DataFrame | None = None) -> DataFrame | None:
         table = self._tables.get((group, name))
         if table is None or index is None:

@@ -14,7 +14,7 @@ from neighborflow.operators.numbering import number_rows, prefix_sum
 from neighborflow.plans import loaders
 from neighborflow.plans.stores import FeatureStore, GraphStore
 from neighborflow.session import load
-from neighborflow.sources import binary
+from neighborflow.sources import binary, ranks
 
 SEED = 62
 #: Length of the vectors of ``embeddings``.
@@ -660,12 +660,8 @@ def normalised_sum(spark, d):
 
 def binary_parts(spark, d):
     """The vectors written as five headerless parts and read back."""
-    from uuid import uuid4
-
-    from neighborflow.scratch import shared_dir
-
     t = load(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
-    names = binary.write_binary(t, f"{shared_dir(spark)}/neighborflow/parts-{uuid4().hex}/vec", 5, "float32", t.count())
+    names = binary.write_binary(t, f"{_folder(spark, 'parts')}/vec", 5, "float32", t.count())
     return exploded(binary.read_binary(spark, names, "float32", DIM), ["id"], "vec")
 
 
@@ -675,6 +671,39 @@ def running_price(spark, d):
     return prefix_sum(rows, ["id"], "v", "before").select("id", F.round("before", 2).alias("before"))
 
 
+def _folder(spark, name):
+    from uuid import uuid4
+
+    from neighborflow.scratch import shared_dir
+
+    return f"{shared_dir(spark)}/neighborflow/{name}-{uuid4().hex}"
+
+
+def rank_dump(spark, d):
+    """Customers' balances and all vectors dumped by 7 ranks and loaded again."""
+    path = _folder(spark, "ranks")
+    cust = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    ranks.dump_ranks({"customer": cust, "vector": vectors(spark, d)}, path, 7)
+    a = ranks.load_ranks(spark, path, "customer").select(F.lit("customer").alias("name"), "rank", "id", F.round("value", 2).alias("total"))
+    b = ranks.load_ranks(spark, path, "vector").select(F.lit("vector").alias("name"), "rank", "id", F.round(F.aggregate("vec", F.lit(0.0), lambda x, y: x + y), 4).alias("total"))
+    return a.unionByName(b)
+
+
+def local_parts(spark, d):
+    """Customers' balances cut by 7 ranks with ids of their own, put together again."""
+    n = n_rows(spark, d, "customer")
+    t = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    size = -(-n // 7)
+    return tensor.from_local_tables([tensor.local_table(t, r, n, 7).withColumn("id", F.col("id") - r * size) for r in range(7)], n)
+
+
+def cached_gather(spark, d):
+    """Balances of all orders' customers; those of the most frequent customers of each set come from the cache."""
+    idx = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), F.col("o_custkey").cast("long").alias("id"))
+    t = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    return tensor.gather_cached(t, idx, analytics.cache_admission(idx, 0.25), ["value"]).select("pos", "id", "value", F.col("hit").cast("int").alias("hit"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -684,5 +713,6 @@ QUERIES = {
         replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
         gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, normalised_sum, binary_parts, running_price,
+        rank_dump, local_parts, cached_gather,
     )
 }

@@ -6,10 +6,13 @@ order given; the row id is the entry's place over all files. Part names are ``<p
 
 from __future__ import annotations
 
+import os
 import struct
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,33 +101,54 @@ def deal_round_robin(table: DataFrame, block: int, world: int) -> DataFrame:
     return table.withColumn("rank", rank).withColumn("slot", slot)
 
 
+def _store(path: str):
+    """The file system of a path and the path in it, for the driver and for tasks."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def write_binary(table: DataFrame, prefix: str, count: int, dtype: str, n: int) -> list[str]:
-    """The table in id order as ``count`` part files under the even plan, each written by the task that holds its rows."""
+    """The table (ids 0 to n - 1) in id order as ``count`` part files under the even plan. Each part is written by the task
+    that holds its rows, a batch at a time and under a name of its own, and takes its place when it is whole: a task that
+    is lost or runs twice leaves no half part."""
     from neighborflow.functions.partition import even_rank
 
     col = "vec" if "vec" in table.columns else "value"
     code, names = NUMPY[dtype], part_names(prefix, count)
-    ranked = table.withColumn("part", even_rank(F.col("id"), n, count))
-
-    def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf["part"].iloc[0])
-        rows = pdf.sort_values("id")[col]
-        data = np.array(rows.tolist()).astype(code).tobytes()
-        return pd.DataFrame({"part": [i], "data": [data]})
-
-    packed = ranked.groupBy("part").applyInPandas(save, "part long, data binary")
-    spark = table.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    written = set()
-    for r in packed.toLocalIterator():  # one part at a time
-        p = jvm.org.apache.hadoop.fs.Path(names[r["part"]])
-        out = p.getFileSystem(conf).create(p, True)
-        out.write(r["data"])
-        out.close()
-        written.add(r["part"])
-    for i in set(range(count)) - written:
-        p = jvm.org.apache.hadoop.fs.Path(names[i])
-        p.getFileSystem(conf).create(p, True).close()
+
+    def save(batches):
+        at, out, rows = -1, None, 0
+
+        def close():
+            out.close()
+            store, name = _store(names[at])
+            store.move(temporary, name)
+            return pd.DataFrame({"part": [at], "rows": [rows]})
+
+        for pdf in filter(len, batches):
+            for part, own in pdf.groupby("part", sort=True):
+                if part != at:
+                    if out is not None:
+                        yield close()
+                    at, rows = int(part), 0
+                    store, temporary = _store(f"{names[at]}.{uuid4().hex}")
+                    out = store.open_output_stream(temporary)
+                out.write(np.array(own[col].tolist()).astype(code).tobytes())
+                rows += len(own)
+        if out is not None:
+            yield close()
+
+    for name in names[:1]:
+        store, inner = _store(name)
+        store.create_dir(os.path.dirname(inner), recursive=True)
+    ranked = table.select("id", col, even_rank(F.col("id"), n, count).cast("long").alias("part"))
+    done = ranked.repartition(count, "part").sortWithinPartitions("part", "id").mapInPandas(save, "part long, rows long").collect()  # a row per part
+    if sum(r["rows"] for r in done) != n:
+        raise ValueError(f"the table holds {sum(r['rows'] for r in done)} entries, not {n}")
+    for i in set(range(count)) - {r["part"] for r in done}:
+        store, name = _store(names[i])
+        store.open_output_stream(name).close()
     return names
 
 

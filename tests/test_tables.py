@@ -9,7 +9,7 @@ from neighborflow.model import cast_within
 from neighborflow.operators import analytics, layout, negative, optim, tensor
 from neighborflow.operators.numbering import number_rows, prefix_sum
 from neighborflow.plans.stores import FeatureStore, GraphStore
-from neighborflow.sources import binary
+from neighborflow.sources import binary, ranks
 from neighborflow.streaming import ingest
 
 
@@ -170,3 +170,65 @@ def test_fractional_prefix_sums(spark):
 
     rows = spark.createDataFrame([(i, 0.25) for i in range(40)], "id long, v double")
     assert [r["s"] for r in prefix_sum(rows, ["id"], "v", "s").orderBy("id").collect()] == [0.25 * i for i in range(40)]
+
+
+def test_binary_parts_are_whole(spark, tmp_path):
+    t = spark.range(10).select("id", F.col("id").cast("int").alias("value"))
+    names = binary.write_binary(t, f"file:{tmp_path}/few", 7, "int32", 10)
+    assert [np.fromfile(f"{tmp_path}/few_part_{i}_of_7", "<i4").tolist() for i in range(7)] == [[0, 1], [2, 3], [4, 5], [6, 7], [8, 9], [], []]
+    assert len(list(tmp_path.iterdir())) == len(names)
+    with pytest.raises(ValueError):
+        binary.write_binary(t, str(tmp_path / "gap"), 2, "int32", 11)
+
+
+def test_ranks_are_dumped_and_loaded(spark, tmp_path):
+    t = spark.range(10).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    empty = spark.range(0).select("id", F.lit(1).alias("value"))
+    ranks.dump_ranks({"v": t, "none": empty}, str(tmp_path / "d"), 3)
+    assert [sorted(r["id"] for r in ranks.load_ranks(spark, str(tmp_path / "d"), "v", k).collect()) for k in range(3)] == [[0, 1, 2, 3], [4, 5, 6], [7, 8, 9]]
+    assert ranks.load_ranks(spark, str(tmp_path / "d"), "v").count() == 10 and ranks.load_ranks(spark, str(tmp_path / "d"), "none", 0).count() == 0
+    about = {r["name"]: r for r in ranks.about_ranks(spark, str(tmp_path / "d")).collect()}
+    assert (about["v"]["n"], about["v"]["dims"], about["v"]["types"], about["none"]["n"]) == (10, [2], ["array<double>"], 0)
+    for bad in (-1, 3):
+        with pytest.raises(ValueError):
+            ranks.load_ranks(spark, str(tmp_path / "d"), "v", bad)
+    with pytest.raises(KeyError):
+        ranks.load_ranks(spark, str(tmp_path / "d"), "w")
+
+
+def test_local_parts_and_cached_rows(spark):
+    t = spark.range(10).select("id", (F.col("id") * 10).alias("value"))
+    parts = [tensor.local_table(t, r, 10, 4).withColumn("id", F.col("id") - 3 * r) for r in range(4)]
+    assert sorted(map(tuple, tensor.from_local_tables(parts, 10).collect())) == [(i, i * 10) for i in range(10)]
+    for bad in (parts[::-1], [*parts[:3], parts[3].withColumn("value", F.lit("x"))]):
+        with pytest.raises(ValueError):
+            tensor.from_local_tables(bad, 10)
+    idx = spark.createDataFrame([(0, 3), (1, 3), (2, -1), (3, 99), (4, 5)], "pos long, id long")
+    got = tensor.gather_cached(t, idx, spark.createDataFrame([(3,), (99,)], "id long"), ["value"])
+    assert sorted((r["pos"], r["value"], r["hit"]) for r in got.collect()) == [(0, 30, True), (1, 30, True), (2, None, False), (3, None, False), (4, 50, False)]
+    upd = spark.createDataFrame([(0, 3, 7.9)], "pos long, id long, value double")
+    after = tensor.scatter(t, upd, "value")
+    assert after.schema["value"].dataType.simpleString() == "bigint" and after.where("id = 3").first()["value"] == 7
+
+
+def test_attributes_once_and_checked_groups(spark):
+    s, t = FeatureStore(), spark.range(5).select("id", F.lit(1.0).alias("value"))
+    assert s.put_once("paper", "x", t, 5)
+    for name, table, n in (("x", t, 5), ("y", t, 6), ("z", t.withColumn("id", F.col("id") + 1), 5), ("w", t.withColumn("id", F.lit(0)), 5)):
+        with pytest.raises(ValueError):
+            s.put_once("paper", name, table, n)
+    assert s.put(("a", "to", "b"), "x", t)
+    with pytest.raises(ValueError):
+        s.put(("a", "b"), "x", t)
+
+
+def test_loaders_check_their_input(spark):
+    from neighborflow.plans import loaders
+
+    g = GraphStore(spark)
+    g.put_edge_index(([1, 2], [0, 0]), ("v", "e", "v"), size=(3, 3))
+    seeds = spark.range(3).select(F.col("id").alias("input_id"), "id")
+    with pytest.raises(NotImplementedError):
+        loaders.neighbor_loader({}, [2], seeds, "v", 2)
+    with pytest.raises(ValueError):
+        loaders.neighbor_loader(g, [2], seeds, "v", 4, drop_last=True)
