@@ -8,7 +8,7 @@ produce exactly if every adjacent pair is, so one path of finite weight exists,
 Pieces never run from a mark other than the blank's into a blank, so words are encoded apart and remembered. A giant
 text is cut into chunks at fixed places, wherever they fall. The state at a cut is the piece that covers the character
 before it and how far it reaches over the cut. Each chunk yields its transfer matrix from states at its left cut to
-states at its right one; matrices are combined by max-plus products; the best states at all cuts follow; then each chunk
+states at its right one; matrices are combined by max-plus products in a tree of tasks; the best states at all cuts follow; then each chunk
 is traced back on its own between its two states. Chunks are rows, spread over all tasks.
 
 Defined results: null and empty texts have no ids; equal texts have equal ids, and a giant text that repeats is encoded
@@ -27,8 +27,8 @@ from neighborflow.llm.common import Scratch, id_text
 
 BLANK = "▁"
 UNKNOWN, START = -2, -1
-#: Characters above which a text counts as giant, and characters of a chunk.
-GIANT, CHUNK = 1 << 15, 1 << 13
+#: Characters above which a text counts as giant, characters of a chunk, and chunks whose matrices a task multiplies.
+GIANT, CHUNK, SPAN = 1 << 15, 1 << 13, 1 << 12
 
 
 class Vocabulary:
@@ -432,34 +432,81 @@ def multiply(a: dict, b: dict) -> dict:
     return out
 
 
-def best_states(matrices: list[dict]) -> list[tuple]:
-    """The states at all cuts, the start's and the end's included, of the best path through matrices in order. Products
-    of halves of halves first, then back down: each half gets its own end states."""
-
-    def build(lo: int, hi: int):
-        if hi - lo == 1:
-            return matrices[lo], None, None
-        mid = (lo + hi) // 2
-        left, right = build(lo, mid), build(mid, hi)
-        return multiply(left[0], right[0]), left, right
-
-    def split(node, x, z, out):
-        whole, left, right = node
+def tree(matrices: list[dict], lo: int = 0, hi: int | None = None) -> tuple:
+    """(product, left half, right half) of matrices in order, by products of halves of halves."""
+    hi = len(matrices) if hi is None else hi
+    if hi - lo == 1:
+        return matrices[lo], None, None
+    mid = (lo + hi) // 2
+    left, right = tree(matrices, lo, mid), tree(matrices, mid, hi)
+    return multiply(left[0], right[0]), left, right
+
+
+def cuts_between(node: tuple, x: tuple, z: tuple) -> list[tuple]:
+    """The states at all cuts of the best path from x to z, both included: back down the tree, each half gets its own
+    end states."""
+    out = [x]
+
+    def split(node, x, z):
+        _, left, right = node
         if left is None:
             out.append(z)
             return
         y = max(((w + right[0][(m, z)], m) for (a, m), w in left[0].items() if a == x and (m, z) in right[0]), key=lambda t: t[0])[1]
-        split(left, x, y, out)
-        split(right, y, z, out)
+        split(left, x, y)
+        split(right, y, z)
 
-    root = build(0, len(matrices))
+    split(node, x, z)
+    return out
+
+
+def best_states(matrices: list[dict]) -> list[tuple]:
+    """The states at all cuts, the start's and the end's included, of the best path through matrices in order."""
+    root = tree(matrices)
     (x, z), _ = max(root[0].items(), key=lambda kv: kv[1])
-    out = [x]
-    split(root, x, z, out)
+    return cuts_between(root, x, z)
+
+
+STATES = ["reach_in", "piece_in", "reach_out", "piece_out"]
+
+
+def _matrices(pdf: pd.DataFrame, by: str) -> list[dict]:
+    """Matrices in the order of ``by`` from their cells."""
+    first = pdf[by].min()
+    out: list[dict] = [{} for _ in range(pdf[by].max() - first + 1)]
+    for n, a, b, c, d, w in pdf[[by, *STATES, "weight"]].itertuples(index=False):
+        out[n - first][((a, b), (c, d))] = w
     return out
 
 
-def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = GIANT, chunk: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
+def scan(cells: DataFrame, span: int) -> DataFrame:
+    """digest, n and the states at both cuts of each chunk, from the cells (digest, n, states, weight) of all matrices.
+
+    Products of ``span`` chunks' matrices are tasks of their own; a text's products are combined; the states at the cuts
+    between these go back to the same tasks. A value of Spark's holds 2 GB at most, so a text has at most 64 such products.
+    """
+    run = cells.withColumn("run", F.floor(F.col("n") / span).cast("int"))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        root = tree(_matrices(pdf, "n"))[0]
+        return pd.DataFrame([(pdf["digest"].iloc[0], pdf["run"].iloc[0], *x, *z, w) for (x, z), w in root.items()], columns=["digest", "run", *STATES, "weight"])
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = best_states(_matrices(pdf, "run"))
+        return pd.DataFrame([(pdf["digest"].iloc[0], r, *at[r], *at[r + 1]) for r in range(len(at) - 1)], columns=["digest", "run", "x0", "x1", "z0", "z1"])
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, x1, z0, z1 = (int(v) for v in pdf[["x0", "x1", "z0", "z1"]].iloc[0])
+        at, first = cuts_between(tree(_matrices(pdf, "n")), (x0, x1), (z0, z1)), int(pdf["n"].min())
+        return pd.DataFrame([(pdf["digest"].iloc[0], first + i, *at[i], *at[i + 1]) for i in range(len(at) - 1)], columns=["digest", "n", *STATES])
+
+    kinds = ", ".join(f"{c} int" for c in STATES)
+    products = run.groupBy("digest", "run").applyInPandas(product, f"digest string, run int, {kinds}, weight double")
+    ends = products.groupBy("digest").applyInPandas(between, "digest string, run int, x0 int, x1 int, z0 int, z1 int")
+    return run.join(ends, ["digest", "run"]).groupBy("digest", "run").applyInPandas(within, f"digest string, n int, {kinds}")
+
+
+def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = GIANT, chunk: int = CHUNK, span: int = SPAN, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit)."""
     src = id_text(docs)
 
@@ -505,14 +552,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
 
     cells = chunks.select("digest", "n", "lo", "hi", "last", "w").mapInPandas(matrices, "digest string, n int, reach_in int, piece_in int, reach_out int, piece_out int, weight double")
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = [{} for _ in range(pdf["n"].max() + 1)]
-        for n, a, b, c, d, w in pdf[["n", "reach_in", "piece_in", "reach_out", "piece_out", "weight"]].itertuples(index=False):
-            by[n][((a, b), (c, d))] = w
-        states = best_states(by)
-        return pd.DataFrame([(pdf["digest"].iloc[0], n, *states[n], *states[n + 1]) for n in range(len(by))], columns=["digest", "n", "reach_in", "piece_in", "reach_out", "piece_out"])
-
-    states = cells.groupBy("digest").applyInPandas(combine, "digest string, n int, reach_in int, piece_in int, reach_out int, piece_out int")
+    states = scan(s.save(cells, "cells"), span)
 
     def back(batches):
         encoder = encoder_of(model_path)

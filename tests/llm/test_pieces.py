@@ -39,7 +39,7 @@ def test_scan_over_chunks_against_the_library(spark, sp):
     v = P.Vocabulary(PATH)
     texts = [t * 8 for t in odd_texts(rng, v, 60)] + ["".join(rng.choice("abthein") for _ in range(900)) for _ in range(10)] + [prose(rng, 400), None, ""]
     texts += texts[:5]
-    got = {r["doc_id"]: r["ids"] for r in P.encode(spark, documents(spark, texts, extra=True), PATH, giant=60, chunk=80).collect()}
+    got = {r["doc_id"]: r["ids"] for r in P.encode(spark, documents(spark, texts, extra=True), PATH, giant=60, chunk=80, span=3).collect()}
     assert len(got) == len(texts)
     assert [i for i, t in enumerate(texts) if ids(got[i]) != sp.encode(t or "")] == []
 
