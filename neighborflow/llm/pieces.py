@@ -29,6 +29,8 @@ BLANK = "▁"
 UNKNOWN, START = -2, -1
 #: Characters above which a text counts as giant, characters of a chunk, and chunks whose matrices a task multiplies.
 GIANT, CHUNK, SPAN = 1 << 15, 1 << 13, 1 << 12
+#: Characters of whole texts whose words are learnt together.
+TOGETHER = 1 << 20
 
 
 class Vocabulary:
@@ -513,8 +515,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, giant: int = G
     def plain(batches):
         encoder = encoder_of(model_path)
         for pdf in filter(len, batches):
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
+            for _, part in pdf.groupby(pdf["text"].str.len().cumsum() // TOGETHER):
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": encoder.encode_many(part["text"].tolist())})
         encoder.known.clear()  # words go with the task; which pieces may follow which stays
 
