@@ -486,8 +486,11 @@ def scan(cells: DataFrame, span: int) -> DataFrame:
 
     Products of ``span`` chunks' matrices are tasks of their own; a text's products are combined; the states at the cuts
     between these go back to the same tasks. A value of Spark's holds 2 GB at most, so a text has at most 64 such products.
+    Cells are few bytes but slow to multiply, so they are dealt to a fixed number of tasks, which Spark does not merge by
+    their bytes.
     """
-    run = cells.withColumn("run", F.floor(F.col("n") / span).cast("int"))
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    run = cells.withColumn("run", F.floor(F.col("n") / span).cast("int")).repartition(tasks, "digest", "run")
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         root = tree(_matrices(pdf, "n"))[0]
