@@ -3,7 +3,7 @@ plain SQL reproduces them. ``rand()`` is never used."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,8 @@ def uniform(k: Column) -> Column:
 def exponential_key(k: Column, weight: Column) -> Column:
     """ln(u) / w: the largest keys are a draw without replacement in proportion to the weights."""
     return F.ln(uniform(k)) / weight
+
+
+def positive_ints(spark: SparkSession, seed: int, subsequence: int, n: int) -> DataFrame:
+    """(pos, value): n whole numbers from 0 to 2^31 - 1, the same for a seed and subsequence wherever they are drawn."""
+    return spark.range(n).select(F.col("id").alias("pos"), (key_int(key(seed, subsequence, F.col("id"))) % (1 << 31)).alias("value"))

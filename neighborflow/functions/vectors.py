@@ -22,6 +22,12 @@ def constant_like(a: Column, value: float) -> Column:
     return F.transform(a, lambda _: F.lit(value))
 
 
+def linear(v: Column, matrix: list[list[float]], bias: list[float] | None = None) -> Column:
+    """matrix times v, plus the bias: a row of the matrix makes an element."""
+    rows = [F.aggregate(F.zip_with(v, F.array(*map(F.lit, r)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for r in matrix]
+    return F.array(*[r + F.lit(b) for r, b in zip(rows, bias or [0.0] * len(rows), strict=True)])
+
+
 def exploded(df: DataFrame, id_cols: list[str], vec: str, out: str = "val", digits: int | None = 6) -> DataFrame:
     """One row per element: (ids, dim, value), rounded for comparison."""
     long = df.select(*id_cols, F.posexplode(vec).alias("dim", out))

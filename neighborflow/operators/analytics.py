@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from neighborflow.functions.vectors import sum_vectors
+from neighborflow.functions.vectors import linear, sum_vectors
 
 
 def mean_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], with_root: bool = True, dim: int | None = None) -> DataFrame:
@@ -26,6 +28,34 @@ def layered_mean(levels: list[DataFrame], feats: DataFrame, dim: int | None = No
     return held
 
 
+@dataclass(frozen=True)
+class Layer:
+    """Weights of a layer: of the neighbours' mean, of a vertex's own vector (None: it has no part), and the bias."""
+
+    near: list[list[float]]
+    root: list[list[float]] | None = None
+    bias: list[float] | None = None
+
+
+def layered_forward(levels: list[DataFrame], feats: DataFrame, layers: list[Layer]) -> DataFrame:
+    """(id, vec) after a forward pass over sampled layers (nbr, ctr), the last hop first, one of ``layers`` each: weighted
+    mean of the neighbours plus the weighted own vector, negatives cut to 0 but after the last. A vertex without
+    neighbours has a mean of 0."""
+    if len(levels) != len(layers):
+        raise ValueError("a layer is needed for each sampled hop")
+    held = feats
+    for at, (edges, layer) in enumerate(zip(reversed(levels), layers, strict=True)):
+        width = len(layer.near[0])
+        near = mean_aggregate(edges.select("nbr", "ctr"), held, ["ctr"], with_root=False, dim=width).toDF("id", "_near")
+        new = linear(F.coalesce("_near", F.array(*[F.lit(0.0)] * width)), layer.near, layer.bias)
+        if layer.root:
+            new = F.zip_with(new, linear(F.col("vec"), layer.root), lambda x, y: x + y)
+        if at + 1 < len(layers):
+            new = F.transform(new, lambda x: F.greatest(x, F.lit(0.0)))
+        held = held.join(near, "id", "left").select("id", new.alias("vec"))
+    return held
+
+
 def normalised_sum(edges: DataFrame, feats: DataFrame, dim: int | None = None) -> DataFrame:
     """(ctr, agg): neighbours' vectors, each over the square root of both ends' degrees."""
     d_nbr = edges.groupBy("nbr").agg(F.count("*").alias("_dn"))

@@ -70,6 +70,13 @@ def cooccurrence(pairs: DataFrame, item: str, basket: str, at_least: int) -> Dat
     return half.select(both.alias("p"), "cnt").select(F.col("p.x").alias("a"), F.col("p.y").alias("b"), "cnt")
 
 
+def layer_subgraph(edges: DataFrame, targets: DataFrame, loops: bool = False) -> DataFrame:
+    """(row, col) of a sampled layer as a matrix from edges (ctr_pos, nbr_pos): a row for each target (pos), repeated edges
+    kept; with ``loops`` each target also has (pos, pos)."""
+    own = edges.select(F.col("ctr_pos").alias("row"), F.col("nbr_pos").alias("col"))
+    return own.unionByName(targets.select(F.col("pos").alias("row"), F.col("pos").alias("col"))) if loops else own
+
+
 def relabel_subgraphs(edges: DataFrame, graph: str = "graph") -> DataFrame:
     """Edges with local ids: the rank of a node among its graph's distinct nodes."""
     nodes = edges.select(graph, F.col("nbr").alias("node")).union(edges.select(graph, "ctr")).distinct()

@@ -126,6 +126,35 @@ def deduplicated(negatives: DataFrame) -> DataFrame:
     return negatives.groupBy("nbr", "ctr").agg(F.min("neg_pos").alias("neg_pos")).select("neg_pos", "nbr", "ctr")
 
 
+def exact_negatives(spark, many: int, n_src: int, n_dst: int, seed: int, positives: DataFrame | None = None, tries: int = 8) -> DataFrame:
+    """(neg_pos, nbr, ctr): ``many`` different pairs, none of them in positives (nbr, ctr). A place whose pair is a positive
+    or was drawn before, at an earlier try or by a smaller place, draws again; after ``tries`` draws it stays empty."""
+    pending, taken = _drawn(spark, many), None
+    for i in range(tries):
+        cur = _draw(_draw(pending, End("src", "nbr", n_src), seed, i), End("dst", "ctr", n_dst), seed, i)
+        if positives is not None:
+            cur = without_false_negatives(cur, positives)
+        if taken is not None:
+            cur = cur.join(taken, ["nbr", "ctr"], "left_anti")
+        got = written(deduplicated(cur), "exact")
+        pending = written(pending.join(got, "neg_pos", "left_anti"), "pending")
+        taken = got if taken is None else taken.unionByName(got)
+        if pending.isEmpty():
+            break
+    return taken
+
+
+def equal_shares(rows: DataFrame, rank: str, order: list) -> DataFrame:
+    """Rows dealt to ranks, each cut to the smallest rank's number of rows, so that all take as many steps; what is over in
+    the given order, which must be total, is left out."""
+    from neighborflow.operators.numbering import number_rows
+
+    ranked = number_rows(rows, [rank, *order], "_r")
+    sizes = ranked.groupBy(rank).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))  # one row per rank
+    least = sizes.agg(F.min("_n").alias("n")).first()["n"]
+    return ranked.join(F.broadcast(sizes), rank).where(F.col("_r") - F.col("_first") < F.lit(least or 0)).select(*rows.columns)
+
+
 def balanced(links: DataFrame, label: str, seed: int) -> DataFrame:
     """(place, ...): links shuffled by key so that the labels take turns; what one label has more comes last."""
     from neighborflow.operators.numbering import number_rows

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neighborflow.functions.vectors import constant_like, sum_vectors, zip_map
+from neighborflow.operators import tensor
 
 STATES = {"sgd": {}, "adam": {"m": 0.0, "v": 0.0}, "adagrad": {"state_sum": 0.0}, "rmsprop": {"v": 0.0}}
 DEFAULTS = {
@@ -75,19 +76,27 @@ class SparseOptimizer:
     """Gradients of several tables buffered until ``step``."""
 
     def __init__(self, kind: str, params: dict | None = None):
-        self.kind, self.params, self.tables, self.grads = kind, params, {}, {}
+        self.kind, self.params, self.tables, self.grads, self.need_apply = kind, params, {}, {}, set()
 
     def add_embedding(self, name: str, table: DataFrame) -> None:
         if name in self.tables:
             raise ValueError(f"{name} already has an optimizer")
         self.tables[name] = with_state(table, self.kind)
 
+    def gather(self, name: str, indices: DataFrame, training: bool = False) -> DataFrame:
+        """Rows (pos, id) of a table; in training the table is marked, and ``step`` waits for its gradients."""
+        if training:
+            self.need_apply.add(name)
+        return tensor.gather(self.tables[name], indices, ["vec"])
+
     def add_gradients(self, name: str, grads: DataFrame) -> None:
         self.grads[name] = self.grads[name].unionByName(grads) if name in self.grads else grads
 
     def step(self, lr: float) -> None:
         from neighborflow.scratch import written
 
+        if missing := self.need_apply - set(self.grads):
+            raise ValueError(f"{sorted(missing)} were gathered for training and have no gradients")
         for name, grads in self.grads.items():
             self.tables[name] = written(step(self.tables[name], grads, self.kind, lr, self.params), "embedding")
-        self.grads = {}
+        self.grads, self.need_apply = {}, set()

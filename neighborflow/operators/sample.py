@@ -168,6 +168,13 @@ def renumber(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, local
 
 
+def call_groups(batches: DataFrame, batch_size: int, per_call: int) -> DataFrame:
+    """Batches with call_id: as many whole batches to a call as hold at most ``per_call`` seeds, one at least."""
+    if batch_size < 1:
+        raise ValueError("the batch size must be positive")
+    return batches.withColumn("call_id", F.floor(F.col("batch_id") / max(1, per_call // batch_size)).cast("long"))
+
+
 def seed_batches(seeds: DataFrame, batch_size: int, shuffle_seed: int | None = None, drop_last: bool = False) -> DataFrame:
     """(input_id, id, ...) to batches in input order or by key: batch_id, pos within the batch; the last may be short or
     dropped."""

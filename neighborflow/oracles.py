@@ -20,6 +20,8 @@ def _int(*parts: str) -> str:
 
 OF = "(SELECT o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr, o_totalprice AS wgt, CAST(epoch(o_orderdate) AS BIGINT) AS etime FROM orders)"
 LIVES = "(SELECT c_custkey AS eid, c_custkey AS nbr, CAST(c_nationkey AS BIGINT) AS ctr FROM customer)"
+#: Customers as a graph: by each order a customer reaches another one.
+NEAR = "(SELECT o_orderkey AS eid, (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS nbr, o_custkey AS ctr FROM orders)"
 NATION = "(SELECT CAST(n_nationkey AS BIGINT) AS eid, CAST(n_nationkey AS BIGINT) AS nbr, CAST(n_regionkey AS BIGINT) AS ctr FROM nation)"
 #: Customers' orders as graphs by nation, with local ids.
 GRAPHS = """
@@ -75,6 +77,26 @@ _LINKS = """
 """
 
 
+def _exact_negatives(tries: int) -> str:
+    """Each try draws for the places left; pairs of positives and of earlier tries are no use, nor all but the first of equals."""
+    sql = "k AS (SELECT count(*) AS n, (SELECT count(*) FROM nation) AS m FROM customer), p0 AS (SELECT unnest(range(n)) AS i FROM k), t0 AS (SELECT 0 AS neg_pos, 0 AS nbr, 0 AS ctr WHERE false)"
+    for a in range(tries):
+        sql += f""",
+        d{a} AS (SELECT i, {_int(SEED, "'src'", 'i', a)} % n AS nbr, {_int(SEED, "'dst'", 'i', a)} % m AS ctr FROM p{a}, k),
+        a{a} AS (SELECT min(i) AS neg_pos, nbr, ctr FROM d{a} WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = nbr AND c_nationkey = ctr)
+                 AND NOT EXISTS (SELECT 1 FROM t{a} WHERE t{a}.nbr = d{a}.nbr AND t{a}.ctr = d{a}.ctr) GROUP BY 2, 3),
+        t{a + 1} AS (SELECT * FROM t{a} UNION ALL SELECT * FROM a{a}), p{a + 1} AS (SELECT i FROM p{a} WHERE i NOT IN (SELECT neg_pos FROM a{a}))"""
+    return f"WITH {sql} SELECT neg_pos, nbr, ctr FROM t{tries}"
+
+
+def _layer(held: str, new: str, out: int, near: int, root: int, bias: float, cut: bool) -> str:
+    """A layer of ``out`` elements: the weighted mean of the neighbours plus the weighted own vector plus the bias."""
+    weight = lambda shift: f"((o * 7 + dim * 3 + {shift}) % 11 - 5) / 10.0::DOUBLE"
+    value = f"sum(coalesce(m, 0) * {weight(near)} + w * {weight(root)}) + {bias}"
+    return f"""{new} AS (SELECT id, o AS dim, {f"greatest({value}, 0)" if cut else value} AS w FROM {held} LEFT JOIN (SELECT ctr AS id, dim, avg(w) AS m FROM e JOIN {held} ON {held}.id = nbr GROUP BY 1, 2) USING (id, dim),
+        (SELECT unnest(range({out})) AS o) GROUP BY 1, 2)"""
+
+
 def _hetero_biased(before: str) -> str:
     return f"""
         WITH h0 AS (SELECT c_nationkey // 5 AS b, c_custkey AS eid, c_nationkey AS ctr FROM customer WHERE c_acctbal > 0
@@ -97,7 +119,7 @@ ORACLES = {
     "csr_row_ptr": CSR("o_custkey", "customer"),
     "csr_columns": "SELECT o_custkey AS row, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos_in_row, o_orderkey AS col FROM orders",
     "csc_columns": "SELECT c_custkey AS row, 0::BIGINT AS pos_in_row, CAST(c_nationkey AS BIGINT) AS col FROM customer",
-    "csr_self_loop": f"SELECT unnest(range(25)) AS row, 0::BIGINT AS pos_in_row, unnest(range(25)) AS col UNION ALL SELECT ctr, row_number() OVER (PARTITION BY ctr ORDER BY eid), nbr FROM {NATION}",
+    "csr_self_loop": f"SELECT c_custkey AS row, 0::BIGINT AS pos_in_row, c_custkey AS col FROM customer UNION ALL SELECT ctr, row_number() OVER (PARTITION BY ctr ORDER BY eid), nbr FROM {NEAR}",
     "append_unique": """
         WITH t AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_mktsegment = 'BUILDING'),
         f AS (SELECT id, (SELECT count(*) FROM t) + row_number() OVER (ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT id FROM t)))
@@ -116,7 +138,7 @@ ORACLES = {
     "subgraph_relabel": f"WITH {GRAPHS} SELECT graph, eid, nbr_local, ctr_local FROM l",
     "collate_graphs": f"""WITH {GRAPHS}, s AS (SELECT graph, count(*) AS n FROM n GROUP BY 1), o AS (SELECT graph, CAST(sum(n) OVER (ORDER BY graph) - n AS BIGINT) AS off FROM s)
         SELECT l.graph, eid, nbr_local + off AS nbr_batch, ctr_local + off AS ctr_batch FROM l JOIN o ON o.graph = l.graph""",
-    "endpoint_mean": f"SELECT eid, round((a.p_retailprice + b.p_retailprice) / 2, 6) AS prior_mean FROM {NATION} e LEFT JOIN part a ON a.p_partkey = e.nbr LEFT JOIN part b ON b.p_partkey = e.ctr",
+    "endpoint_mean": f"SELECT eid, round((a.c_acctbal + b.c_acctbal) / 2, 6) AS prior_mean FROM {NEAR} e LEFT JOIN customer a ON a.c_custkey = e.nbr LEFT JOIN customer b ON b.c_custkey = e.ctr",
     "gather_vec": """
         WITH i AS (SELECT o_orderkey AS pos, o_orderkey % (SELECT count(*) FROM embeddings) - 3 AS id FROM orders),
         v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
@@ -199,7 +221,31 @@ ORACLES = {
         SELECT o_orderkey // 512 AS batch_id, o_orderkey % 512 AS pos, o_orderkey AS input_id, o_orderkey AS nbr, o_custkey AS ctr, 1.0::DOUBLE AS label FROM orders
         UNION ALL SELECT i // share, least(512, n - i // share * 512) + i % share, -1, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % n, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % c, 0.0
         FROM (SELECT n, share, unnest(range(n)) AS i FROM k), (SELECT count(*) AS c FROM customer)""",
-    "false_negatives": f"SELECT neg_pos, nbr, ctr FROM (SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % 25 AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % 5 AS ctr FROM (SELECT unnest(range(200)) AS i)) WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = nbr AND n_regionkey = ctr)",
+    "false_negatives": f"""
+        SELECT neg_pos, d.nbr, d.ctr FROM (SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % c AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % c AS ctr
+        FROM (SELECT unnest(range(count(*))) AS i FROM orders), (SELECT count(*) AS c FROM customer)) d WHERE NOT EXISTS (SELECT 1 FROM {NEAR} e WHERE e.nbr = d.nbr AND e.ctr = d.ctr)""",
+    "exact_negatives": _exact_negatives(4),
+    "equal_split": f"""
+        WITH l AS (SELECT {_int(SEED, chr(39) + 'rank' + chr(39), 'o_orderkey')} % 5 AS rank, o_orderkey AS eid FROM orders WHERE {_u(SEED, chr(39) + 'split' + chr(39), 'o_orderkey')} < 0.8),
+        p AS (SELECT rank, eid, row_number() OVER (PARTITION BY rank ORDER BY eid) AS place FROM l)
+        SELECT rank, eid FROM p WHERE place <= (SELECT min(n) FROM (SELECT count(*) AS n FROM l GROUP BY rank))""",
+    "call_groups": "SELECT c_custkey AS input_id, (row_number() OVER (ORDER BY c_custkey) - 1) // 64 AS batch_id, (row_number() OVER (ORDER BY c_custkey) - 1) // 64 // 15 AS call_id FROM customer",
+    "random_ints": f"SELECT pos, s AS subsequence, {_int(SEED, 's', 'pos')} % 2147483648 AS value FROM (SELECT unnest(range(count(*))) AS pos FROM orders), (SELECT CAST(unnest(range(2)) AS INTEGER) AS s)",
+    "layer_subgraph": f"""
+        WITH n0 AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
+        g AS (SELECT pos, nbr FROM n0 JOIN {NEAR} e ON e.ctr = n0.id QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {_key(62000, 'pos', 'ctr', 'eid')}, eid) <= 2),
+        n1 AS (SELECT pos, id FROM n0 UNION ALL SELECT (SELECT count(*) FROM n0) + row_number() OVER (ORDER BY nbr) - 1, nbr FROM (SELECT DISTINCT nbr FROM g WHERE nbr NOT IN (SELECT id FROM n0)))
+        SELECT g.pos AS row, n1.pos AS col FROM g JOIN n1 ON n1.id = g.nbr UNION ALL SELECT pos, pos FROM n0""",
+    "buffered_steps": _optimizer("0.0::DOUBLE AS s", {"w": "CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd / (sqrt(s + gd * gd) + 1e-8) END"}, 1),
+    "embedding_files": f"""
+        WITH {GRADS}, s AS (SELECT t.id, t.dim, w, g, g + 0.01 * w AS gd FROM t LEFT JOIN g USING (id, dim))
+        SELECT id, CAST(dim AS INTEGER) AS dim, round(CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd / (sqrt(gd * gd) + 1e-8) END, 6) AS val, round(CASE WHEN g IS NULL THEN 0 ELSE gd * gd END, 6) AS state FROM s""",
+    "layered_forward": f"""
+        WITH f0 AS (SELECT c_custkey AS id, dim, w FROM customer JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = c_custkey % (SELECT count(*) FROM embeddings)),
+        e AS (SELECT nbr, ctr FROM {NEAR}), {_layer('f0', 'f1', 4, 0, 2, 0.1, True)}, {_layer('f1', 'f2', 2, 1, 3, 0.0, False)}
+        SELECT id, CAST(dim AS INTEGER) AS dim, round(w, 5) AS val FROM f2""",
+    "round_robin_parts": """
+        SELECT c_custkey AS id, c_acctbal AS value, c_custkey // 16 % 5 AS rank, c_custkey // 80 * 16 + c_custkey % 16 AS slot FROM customer""",
     "link_split": f"""
         WITH s AS (SELECT o_orderkey AS eid, {_u(SEED, chr(39) + 'split' + chr(39), 'o_orderkey')} AS u FROM orders)
         SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS cnt, CAST(sum(eid) AS BIGINT) AS eids FROM s GROUP BY 1""",
@@ -208,7 +254,7 @@ ORACLES = {
         SELECT event_id, CASE WHEN r < CAST(floor(0.8 * (SELECT count(*) FROM events)) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM r""",
     "rating_filter": "SELECT l_partkey AS p, count(*) AS cnt FROM lineitem WHERE l_quantity >= 4 GROUP BY 1",
     "coo_to_csr_both_ways": f"""
-        WITH b AS (SELECT nbr, ctr FROM {NATION} UNION SELECT ctr, nbr FROM {NATION}), d AS (SELECT r.row, count(b.nbr) AS deg FROM (SELECT unnest(range(26)) AS row) r LEFT JOIN b ON b.ctr = r.row GROUP BY 1)
+        WITH b AS (SELECT nbr, ctr FROM {NEAR} UNION SELECT ctr, nbr FROM {NEAR}), d AS (SELECT r.row, count(b.nbr) AS deg FROM (SELECT unnest(range((SELECT count(*) + 1 FROM customer))) AS row) r LEFT JOIN b ON b.ctr = r.row GROUP BY 1)
         SELECT row, CAST(coalesce(sum(deg) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM d""",
     "split_tables": f"""
         WITH s AS (SELECT label, {_u(SEED, chr(39) + 'node' + chr(39), 'vec_id')} AS u FROM embeddings)

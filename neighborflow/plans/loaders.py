@@ -29,6 +29,10 @@ class Sampled:
     nodes: DataFrame
     inputs: DataFrame
 
+    def positives(self) -> DataFrame:
+        """The inputs that were given: drawn negatives have an input id of -1."""
+        return self.inputs.where("input_id >= 0")
+
     def with_features(self, features: FeatureStore, vtype: str, name: str) -> DataFrame:
         """Node attribute by node; unknown ids get nulls."""
         table = features.get(vtype, name)
@@ -114,6 +118,14 @@ def check_options(subgraph_type: str = "directional", directed: bool = True, tem
         warnings.warn("only the uniform temporal strategy is supported; using it", stacklevel=3)
 
 
+def check_metadata(metadata: dict) -> None:
+    """Values of a batch's metadata are texts or edge types of three texts, its keys texts."""
+    for k, v in metadata.items():
+        triple = isinstance(v, tuple) and len(v) == 3 and all(isinstance(x, str) for x in v)
+        if not isinstance(k, str) or not (isinstance(v, str) or triple):
+            raise ValueError(f"{k!r}: metadata are texts or edge types")
+
+
 def check_stores(graph, features=None) -> None:
     if not isinstance(graph, GraphStore) or not (features is None or isinstance(features, FeatureStore)):
         raise NotImplementedError("loaders take this library's graph and feature stores")

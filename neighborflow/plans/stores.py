@@ -95,6 +95,10 @@ class GraphStore:
         self._sizes.pop(EdgeType(*edge_type), None)
         return self._edges.pop(EdgeType(*edge_type), None) is not None
 
+    def edge_attrs(self) -> list[tuple[EdgeType, str, tuple[int, int] | None]]:
+        """Type, layout and given size of each edge index, by type."""
+        return [(t, "coo", self._sizes.get(t)) for t in self.edge_types()]
+
     def edge_types(self) -> list[EdgeType]:
         return sorted(self._edges)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neighborflow.functions import partition as P
-from neighborflow.functions.keys import key, uniform
+from neighborflow.functions.keys import key, key_int, positive_ints, uniform
 from neighborflow.functions.vectors import exploded
 from neighborflow.model import EdgeType, merged_edges
 from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
@@ -42,6 +42,12 @@ def nation_edges(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("eid"), F.col("n_nationkey").cast("long").alias("nbr"), F.col("n_regionkey").cast("long").alias("ctr"))
 
 
+def near_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a graph: by each order, a customer reaches another one, so that hubs and repeated edges occur."""
+    n = n_rows(spark, d, "customer")
+    return load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("eid"), ((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"))
+
+
 def event_edges(spark: SparkSession, d: str) -> DataFrame:
     """Each event as an edge to its user; the neighbour is the event."""
     return load(spark, d, "events").select(F.col("event_id").cast("long").alias("eid"), F.col("event_id").cast("long").alias("nbr"), F.col("user_id").cast("long").alias("ctr"), F.abs("value").alias("wgt"), epoch("ts").alias("etime"))
@@ -104,8 +110,7 @@ def csc_columns(spark, d):
 
 
 def csr_self_loop(spark, d):
-    nations = nation_edges(spark, d)
-    return layout.add_self_loops(nations, n_rows(spark, d, "nation"))
+    return layout.add_self_loops(near_edges(spark, d), n_rows(spark, d, "customer"))
 
 
 def append_unique(spark, d):
@@ -159,9 +164,9 @@ def collate_graphs(spark, d):
 
 
 def endpoint_mean(spark, d):
-    """Edges customer-nation with the mean of a prior that both ends look up by number."""
-    prior = load(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_retailprice").alias("value"))
-    out = layout.endpoint_mean(nation_edges(spark, d), prior)
+    """Edges between customers with the mean of both ends' balances."""
+    prior = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    out = layout.endpoint_mean(near_edges(spark, d), prior)
     return out.select("eid", F.round("prior_mean", 6).alias("prior_mean"))
 
 
@@ -259,12 +264,20 @@ def sample_offsets(spark, d):
     return sample.sample_offsets(customers(spark, d), order_edges(spark, d), 3)
 
 
+def _building(spark, d):
+    return number_rows(load(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id")), ["id"], "pos")
+
+
+def layer_subgraph(spark, d):
+    """A sampled layer of the customers' graph as a matrix of places, with a loop for each target."""
+    seeds = _building(spark, d)
+    _, edges = sample.resample_all(seeds, near_edges(spark, d), [2], SEED)
+    return layout.layer_subgraph(edges, seeds, loops=True)
+
+
 def twohop_resample_all(spark, d):
     """Customers as a graph: each reaches the customers three orders on in the order table, so that hubs occur."""
-    n = n_rows(spark, d, "customer")
-    edges = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("eid"), ((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"))
-    seeds = load(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("id"))
-    nodes, _ = sample.resample_all(number_rows(seeds, ["id"], "pos"), edges, [2, 2], SEED)
+    nodes, _ = sample.resample_all(_building(spark, d), near_edges(spark, d), [2, 2], SEED)
     return nodes.select("pos", "id")
 
 
@@ -333,6 +346,18 @@ def shuffle_drop_last(spark, d):
     return sample.seed_batches(rows, 1024, shuffle_seed=SEED, drop_last=True).select("input_id", "batch_id", "pos")
 
 
+def call_groups(spark, d):
+    """Batches of 64 customers in calls of at most 1,000 seeds."""
+    rows = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("input_id"))
+    return sample.call_groups(sample.seed_batches(rows, 64), 64, 1000).select("input_id", "batch_id", "call_id")
+
+
+def random_ints(spark, d):
+    """A stream of whole numbers for each of two subsequences, a number an order."""
+    n = n_rows(spark, d, "orders")
+    return positive_ints(spark, SEED, 0, n).withColumn("subsequence", F.lit(0)).unionByName(positive_ints(spark, SEED, 1, n).withColumn("subsequence", F.lit(1)))
+
+
 def replica_slices(spark, d):
     """The third of four replicas' batches of all orders."""
     rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("input_id"))
@@ -382,8 +407,20 @@ def link_batches(spark, d):
 
 
 def false_negatives(spark, d):
-    neg = negative.binary_negatives(spark, n_rows(spark, d, "nation") * 8, 1.0, 16, 25, 5, SEED)
-    return negative.without_false_negatives(neg, nation_edges(spark, d)).select("neg_pos", "nbr", "ctr")
+    n = n_rows(spark, d, "customer")
+    neg = negative.binary_negatives(spark, n_rows(spark, d, "orders"), 1.0, 512, n, n, SEED)
+    return negative.without_false_negatives(neg, near_edges(spark, d)).select("neg_pos", "nbr", "ctr")
+
+
+def exact_negatives(spark, d):
+    """As many different negatives between customers and nations as there are customers, none of them where one lives."""
+    return negative.exact_negatives(spark, n_rows(spark, d, "customer"), n_rows(spark, d, "customer"), n_rows(spark, d, "nation"), SEED, lives_edges(spark, d), 4)
+
+
+def equal_split(spark, d):
+    """Training links dealt to 5 ranks by key and cut to the smallest one's number."""
+    links = negative.link_split(order_edges(spark, d), SEED).where("split = 'train'").withColumn("rank", key_int(key(SEED, "rank", F.col("eid"))) % 5)
+    return negative.equal_shares(links.select("rank", "eid"), "rank", ["eid"])
 
 
 def link_split(spark, d):
@@ -402,10 +439,10 @@ def rating_filter(spark, d):
 
 
 def coo_to_csr_both_ways(spark, d):
-    """Nations as a graph with reverse edges, duplicates collapsed: the compressed list's pointers."""
-    e = nation_edges(spark, d).select("nbr", "ctr")
-    both = e.unionByName(e.select(F.col("ctr").alias("nbr"), F.col("nbr").alias("ctr"))).dropDuplicates(["nbr", "ctr"]).withColumn("eid", F.col("ctr") * 1000 + F.col("nbr"))
-    return layout.row_pointers(both, n_rows(spark, d, "nation"))
+    """The customers' graph with reverse edges, duplicates collapsed: the compressed list's pointers."""
+    n, e = n_rows(spark, d, "customer"), near_edges(spark, d).select("nbr", "ctr")
+    both = e.unionByName(e.select(F.col("ctr").alias("nbr"), F.col("nbr").alias("ctr"))).dropDuplicates(["nbr", "ctr"]).withColumn("eid", F.col("ctr") * n + F.col("nbr"))
+    return layout.row_pointers(both, n)
 
 
 def split_tables(spark, d):
@@ -489,6 +526,27 @@ def rmsprop_step(spark, d):
     return _steps(spark, d, "rmsprop", {"weight_decay": 0.01})
 
 
+def buffered_steps(spark, d):
+    """A table gathered for training, its gradients buffered in two parts, one step of an optimizer object."""
+    o = optim.SparseOptimizer("adagrad", {"weight_decay": 0.01})
+    o.add_embedding("vec", vectors(spark, d))
+    o.gather("vec", customers(spark, d), training=True)
+    g = _grads(spark, d)
+    dear = F.element_at("grad", 1) > 0.15
+    o.add_gradients("vec", g.where(dear))
+    o.add_gradients("vec", g.where(~dear))
+    o.step(0.1)
+    return exploded(o.tables["vec"], ["id"], "vec")
+
+
+def embedding_files(spark, d):
+    """An embedding and its optimizer's state after a step, saved and loaded."""
+    path = f"{_folder(spark, 'embedding')}/vec"
+    binary.save_embedding(optim.step(optim.with_state(vectors(spark, d), "adagrad"), _grads(spark, d), "adagrad", 0.1, {"weight_decay": 0.01}, DIM), path)
+    held = binary.load_embedding(spark, path, optim.state_names("adagrad"))
+    return exploded(held, ["id"], "vec").join(exploded(held, ["id"], "state_sum", "state"), ["id", "dim"])
+
+
 def xavier_init(spark, d):
     """Uniform in plus or minus the square root of 6 / (fan in + fan out)."""
     a = (6 / (25 + 8)) ** 0.5
@@ -641,8 +699,7 @@ def balanced_links(spark, d):
 
 def layered_mean(spark, d):
     """Two sampled layers over the customers' graph and a forward pass of means."""
-    n, v = n_rows(spark, d, "customer"), n_rows(spark, d, "embeddings")
-    edges = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("eid"), ((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"))
+    v, edges = n_rows(spark, d, "embeddings"), near_edges(spark, d)
     feats = customers(spark, d).select("id", (F.col("id") % v).alias("v")).join(vectors(spark, d).toDF("v", "vec"), "v").select("id", "vec")
     level, _ = sample.neighbor_sample({EdgeType("customer", "near", "customer"): edges}, seeds_of(spark, d), {EdgeType("customer", "near", "customer"): [3]}, sample.Options(seed=SEED))
     hop = level.select("nbr", "ctr").distinct()
@@ -650,10 +707,20 @@ def layered_mean(spark, d):
     return out.select("id", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+def layered_forward(spark, d):
+    """Two layers over the customers' graph with fixed weights: the neighbours' mean and the own vector, negatives cut to 0
+    between the layers."""
+    v = n_rows(spark, d, "embeddings")
+    feats = customers(spark, d).select("id", (F.col("id") % v).alias("v")).join(vectors(spark, d).toDF("v", "vec"), "v").select("id", "vec")
+    weights = lambda out, n, shift: [[((o * 7 + i * 3 + shift) % 11 - 5) / 10 for i in range(n)] for o in range(out)]
+    layers = [analytics.Layer(weights(4, DIM, 0), weights(4, DIM, 2), [0.1] * 4), analytics.Layer(weights(2, 4, 1), weights(2, 4, 3))]
+    edges = near_edges(spark, d)
+    return exploded(analytics.layered_forward([edges, edges], feats, layers), ["id"], "vec", digits=5)
+
+
 def normalised_sum(spark, d):
     """Neighbours' vectors over the square root of both degrees."""
-    n, v = n_rows(spark, d, "customer"), n_rows(spark, d, "embeddings")
-    edges = load(spark, d, "orders").select(((F.col("o_orderkey") * 7 + 3) % n).cast("long").alias("nbr"), F.col("o_custkey").cast("long").alias("ctr"))
+    v, edges = n_rows(spark, d, "embeddings"), near_edges(spark, d).select("nbr", "ctr")
     feats = customers(spark, d).select("id", (F.col("id") % v).alias("v")).join(vectors(spark, d).toDF("v", "vec"), "v").select("id", "vec")
     return exploded(analytics.normalised_sum(edges, feats, DIM), ["ctr"], "agg")
 
@@ -665,6 +732,14 @@ def binary_parts(spark, d):
     return exploded(binary.read_binary(spark, names, "float32", DIM), ["id"], "vec")
 
 
+def round_robin_parts(spark, d):
+    """Balances written as four parts, read under the table's capacity, dealt to 5 ranks in blocks of 16."""
+    t = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    n, prefix = n_rows(spark, d, "customer"), f"{_folder(spark, 'parts')}/balance"
+    binary.write_binary(t, prefix, 4, "float64", n)
+    return binary.deal_round_robin(binary.read_parts(spark, prefix, 4, "float64", n=n), 16, 5).select("id", "value", "rank", "slot")
+
+
 def running_price(spark, d):
     """Fractional running sums."""
     rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_totalprice").alias("v"))
@@ -713,6 +788,6 @@ QUERIES = {
         replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
         gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, normalised_sum, binary_parts, running_price,
-        rank_dump, local_parts, cached_gather,
+        rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts,
     )
 }

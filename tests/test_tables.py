@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from neighborflow.functions import partition as P
+from neighborflow.functions.keys import positive_ints
 from neighborflow.model import cast_within
-from neighborflow.operators import analytics, layout, negative, optim, tensor
+from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
 from neighborflow.operators.numbering import number_rows, prefix_sum
+from neighborflow.plans import loaders
 from neighborflow.plans.stores import FeatureStore, GraphStore
 from neighborflow.sources import binary, ranks
 from neighborflow.streaming import ingest
@@ -232,3 +234,62 @@ def test_loaders_check_their_input(spark):
         loaders.neighbor_loader({}, [2], seeds, "v", 2)
     with pytest.raises(ValueError):
         loaders.neighbor_loader(g, [2], seeds, "v", 4, drop_last=True)
+
+
+def test_exact_negatives_are_different_and_no_positives(spark):
+    positives = spark.createDataFrame([(a, b) for a in range(4) for b in range(4) if (a, b) != (2, 3)], "nbr long, ctr long")
+    got = negative.exact_negatives(spark, 5, 4, 5, 7, positives, tries=60).collect()
+    pairs = {(r["nbr"], r["ctr"]) for r in got}
+    assert sorted(r["neg_pos"] for r in got) == list(range(5)) and pairs == {(2, 3), (0, 4), (1, 4), (2, 4), (3, 4)}
+    assert negative.exact_negatives(spark, 3, 1, 1, 7, tries=3).count() == 1
+
+
+def test_equal_shares(spark):
+    rows = spark.createDataFrame([(0, 5), (0, 1), (0, 3), (1, 2), (1, 9)], "rank int, id long")
+    assert sorted(map(tuple, negative.equal_shares(rows, "rank", ["id"]).collect())) == [(0, 1), (0, 3), (1, 2), (1, 9)]
+    assert negative.equal_shares(rows.where("id > 99"), "rank", ["id"]).count() == 0
+
+
+def test_layer_subgraph_has_loops(spark):
+    edges = spark.createDataFrame([(0, 2), (0, 2), (1, 0)], "ctr_pos long, nbr_pos long")
+    targets = spark.createDataFrame([(0,), (1,)], "pos long")
+    assert sorted(map(tuple, layout.layer_subgraph(edges, targets, True).collect())) == [(0, 0), (0, 2), (0, 2), (1, 0), (1, 1)]
+    assert layout.layer_subgraph(edges, targets).count() == 3
+
+
+def test_layered_forward(spark):
+    feats = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -4.0]), (2, [5.0, 6.0])], "id long, vec array<double>")
+    edges = spark.createDataFrame([(1, 0), (2, 0), (0, 1)], "nbr long, ctr long")
+    first, last = analytics.Layer([[1.0, 0.0], [0.0, 1.0]], [[1.0, 1.0], [-1.0, 0.0]], [0.5, 0.0]), analytics.Layer([[1.0, -1.0]])
+    hidden = {0: [7.5, 0.0], 1: [0.5, 0.0], 2: [11.5, 0.0]}  # near (4, 1), (1, 2), (0, 0); own (3, -1), (-1, -3), (11, -5)
+    got = {r["id"]: r["vec"] for r in analytics.layered_forward([edges, edges], feats, [first, last]).collect()}
+    assert got == {0: [(hidden[1][0] + hidden[2][0]) / 2], 1: [hidden[0][0]], 2: [0.0]}
+    with pytest.raises(ValueError):
+        analytics.layered_forward([edges], feats, [first, last])
+
+
+def test_optimizer_waits_for_gradients(spark):
+    o = optim.SparseOptimizer("sgd")
+    o.add_embedding("a", spark.createDataFrame([(0, [1.0]), (1, [2.0])], "id long, vec array<double>"))
+    got = o.gather("a", spark.createDataFrame([(0, 1)], "pos long, id long"), training=True).first()
+    assert got["vec"] == [2.0]
+    with pytest.raises(ValueError):
+        o.step(0.1)
+    o.add_gradients("a", spark.createDataFrame([(1, [10.0])], "id long, grad array<double>"))
+    o.step(0.1)
+    assert {r["id"]: r["vec"] for r in o.tables["a"].collect()} == {0: [1.0], 1: [1.0]} and not o.need_apply
+
+
+def test_calls_streams_and_metadata(spark):
+    b = spark.createDataFrame([(i, i // 4) for i in range(30)], "input_id long, batch_id long")
+    assert [r["call_id"] for r in sample.call_groups(b, 4, 11).orderBy("input_id").collect()] == [i // 4 // 2 for i in range(30)]
+    assert {r["call_id"] for r in sample.call_groups(b, 4, 1).collect()} == set(range(8))
+    one, again, other = (positive_ints(spark, 3, s, 100).collect() for s in (1, 1, 2))
+    assert one == again != other and all(0 <= r["value"] < 1 << 31 for r in one)
+    loaders.check_metadata({"a": "text", "b": ("u", "e", "v")})
+    for bad in ({"a": 1}, {"a": ("u", "e")}, {3: "text"}):
+        with pytest.raises(ValueError):
+            loaders.check_metadata(bad)
+    g = GraphStore(spark)
+    g.put_edge_index(([0], [1]), ("v", "e", "v"), size=(2, 2))
+    assert [(tuple(t), kind, size) for t, kind, size in g.edge_attrs()] == [(("v", "e", "v"), "coo", (2, 2))]
