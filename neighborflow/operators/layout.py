@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborflow.operators.numbering import prefix_sum
+from neighborflow.operators.numbering import number_rows, number_within, prefix_sum
 
 
 #: Items of a basket that are paired in one task.
@@ -25,9 +25,10 @@ def row_pointers(edges: DataFrame, n_rows: int, by: str = "ctr") -> DataFrame:
 
 
 def column_list(edges: DataFrame, by: str = "ctr", other: str = "nbr") -> DataFrame:
-    """(row, pos_in_row, col, eid): the compressed list; the place in the row is its order by edge id."""
-    w = Window.partitionBy(by).orderBy("eid")
-    return edges.select(F.col(by).alias("row"), (F.row_number().over(w) - 1).cast("long").alias("pos_in_row"), F.col(other).alias("col"), "eid")
+    """(row, pos_in_row, col, eid): the compressed list; the place in the row is its order by edge id. A row's edges may
+    span tasks, so a vertex with most of all edges is no task's work alone."""
+    rows = edges.select(F.col(by).alias("row"), F.col(other).alias("col"), "eid")
+    return number_within(rows, ["row"], ["eid"], "pos_in_row").select("row", "pos_in_row", "col", "eid")
 
 
 def add_self_loops(edges: DataFrame, n_rows: int) -> DataFrame:
@@ -42,8 +43,6 @@ def append_unique(targets: DataFrame, neighbours: DataFrame) -> tuple[DataFrame,
     (map: npos, id, pos) for neighbours (npos, id)."""
     n = targets.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("n")).first()["n"]  # one number
     fresh = neighbours.select("id").distinct().join(targets, "id", "left_anti")
-    from neighborflow.operators.numbering import number_rows
-
     numbered = number_rows(fresh, ["id"], "r").select((F.col("r") + n).alias("pos"), "id")
     unique = targets.select(F.col("pos").cast("long").alias("pos"), "id").unionByName(numbered)
     return unique, neighbours.join(unique, "id").select("npos", "id", "pos")
@@ -78,10 +77,9 @@ def layer_subgraph(edges: DataFrame, targets: DataFrame, loops: bool = False) ->
 
 
 def relabel_subgraphs(edges: DataFrame, graph: str = "graph") -> DataFrame:
-    """Edges with local ids: the rank of a node among its graph's distinct nodes."""
+    """Edges with local ids: the rank of a node among its graph's distinct nodes. A graph may span tasks."""
     nodes = edges.select(graph, F.col("nbr").alias("node")).union(edges.select(graph, "ctr")).distinct()
-    w = Window.partitionBy(graph).orderBy("node")
-    local = nodes.withColumn("local", (F.row_number().over(w) - 1).cast("long"))
+    local = number_within(nodes, [graph], ["node"], "local")
     return edges.join(local.toDF(graph, "nbr", "nbr_local"), [graph, "nbr"]).join(local.toDF(graph, "ctr", "ctr_local"), [graph, "ctr"])
 
 

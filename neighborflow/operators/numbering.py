@@ -24,15 +24,37 @@ def _with_base(rows: DataFrame, values: dict, kind: str = "long") -> DataFrame:
     return rows.join(F.broadcast(table), F.shiftright("_at", 33) == F.col("_p")).drop("_p")
 
 
-def number_rows(df: DataFrame, order: list, name: str = "eid") -> DataFrame:
-    """0-based row numbers in an order that must be total for them to be fixed."""
+def _numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     rows = _ordered(df, order)
     sizes = rows.groupBy(F.shiftright("_at", 33).alias("p")).count().orderBy("p").collect()  # one row per partition
     before, total = {}, 0
     for r in sizes:
         before[r["p"]] = total
         total += r["count"]
-    return _with_base(rows, before).withColumn(name, (F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at", "_base")
+    return _with_base(rows, before).withColumn(name, (F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_base")
+
+
+def number_rows(df: DataFrame, order: list, name: str = "eid") -> DataFrame:
+    """0-based row numbers in an order that must be total for them to be fixed."""
+    return _numbered(df, order, name).drop("_at")
+
+
+def number_within(df: DataFrame, by: list[str], order: list, name: str, size: str | None = None) -> DataFrame:
+    """0-based row numbers within each key ``by`` in an order that must be total for them to be fixed; nulls are a key like
+    any other. ``size``: a column for the key's number of rows.
+
+    One range sort over key and order, so a key with any share of the rows spans as many tasks as it needs. A row's number
+    is its global one less that of its key's first row. That first row is carried to each part of the sort as one line per
+    (part, key), and looked up by both, so no task of the look-up holds more of a key than one part does."""
+    rows = _numbered(df, [*by, *order], "_g").withColumn("_part", F.shiftright("_at", 33)).drop("_at")
+    runs = rows.groupBy("_part", *by).agg(F.min("_g").alias("_lo"), F.count("*").alias("_n"))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    first = runs.groupBy(*keys).agg(F.min("_lo").alias("_first"), F.sum("_n").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    carried = runs.join(first, same).select(F.col("_part").alias("_of"), *[F.col(f"_k{i}") for i in range(len(by))], "_first", "_all")
+    found = rows.join(carried, [F.col("_part") == F.col("_of"), *same])
+    more = [F.col("_all").alias(size)] if size else []
+    return found.select(*df.columns, (F.col("_g") - F.col("_first")).alias(name), *more)
 
 
 def prefix_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:

@@ -161,8 +161,9 @@ def neighbor_sample(edges: dict[EdgeType, DataFrame], seeds: DataFrame, fanout:
 def renumber(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Local ids per batch and vertex type: seeds first in their order, then by hop and id. Returns edges with row and
     col, and nodes with local_id."""
-    w = Window.partitionBy("batch_id", "vtype").orderBy("hop", F.col("pos").asc_nulls_last(), "id")
-    local = nodes.withColumn("local_id", (F.row_number().over(w) - 1).cast("long"))
+    from neighborflow.operators.numbering import number_within
+
+    local = number_within(nodes, ["batch_id", "vtype"], ["hop", F.col("pos").asc_nulls_last(), "id"], "local_id")
     by = local.select("batch_id", "vtype", "id", "local_id")
     out = edges.join(by.toDF("batch_id", "nbr_type", "nbr", "row"), ["batch_id", "nbr_type", "nbr"]).join(by.toDF("batch_id", "ctr_type", "ctr", "col"), ["batch_id", "ctr_type", "ctr"])
     return out, local

@@ -5,7 +5,7 @@ A table is (id, value) or (id, vec). Indices are (pos, id); a negative id skips
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -102,10 +102,13 @@ def sorted_with_places(ids: DataFrame) -> DataFrame:
 
 
 def unique_inverse(pairs: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """Endpoints of each batch, both columns one after the other, mapped to places among the batch's sorted ids."""
+    """Endpoints of each batch, both columns one after the other, mapped to places among the batch's sorted ids. The
+    distinct ids are numbered, so neither a large batch nor an id with many places is one task's work."""
+    from neighborflow.operators.numbering import number_within
+
     long = pairs.select(by, "pos", F.posexplode(F.array(*columns)).alias("side", "id"))
-    w = Window.partitionBy(by).orderBy("id")
-    return long.select(by, "side", "pos", "id", (F.dense_rank().over(w) - 1).cast("long").alias("inverse"))
+    ids = number_within(long.select(by, "id").distinct(), [by], ["id"], "inverse")
+    return long.join(ids, [by, "id"]).select(by, "side", "pos", "id", "inverse")
 
 
 def edges_at(edges: DataFrame, wanted: DataFrame) -> DataFrame:

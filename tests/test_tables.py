@@ -8,7 +8,7 @@ from neighborflow.functions import partition as P
 from neighborflow.functions.keys import positive_ints
 from neighborflow.model import cast_within
 from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
-from neighborflow.operators.numbering import number_rows, prefix_sum
+from neighborflow.operators.numbering import number_rows, number_within, prefix_sum
 from neighborflow.plans import loaders
 from neighborflow.plans.stores import FeatureStore, GraphStore
 from neighborflow.sources import binary, ranks
@@ -56,6 +56,20 @@ def test_layouts(spark):
     assert [r["pos"] for r in mapped.orderBy("npos").collect()] == [4, 5, 2, 1, 6, 7, 3, 5]
 
 
+def test_numbering_within_keys_that_span_tasks(spark):
+    """One vertex has half of all edges, some edges have none: numbers and sizes equal a sort's, and parts share the work."""
+    edges = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 99).when(F.col("id") % 101 == 1, None).otherwise(F.col("id") % 13).cast("long").alias("k"), (F.col("id") * 1103 % 4001).alias("o"), "id")
+    got = number_within(edges, ["k"], ["o"], "n", "size")
+    rows = sorted((r["k"] is not None, r["k"] or 0, r["o"], r["n"], r["size"]) for r in got.collect())
+    groups = {}
+    for has, k, o, _, _ in rows:
+        groups.setdefault((has, k), []).append(o)
+    assert rows == [(*g, o, i, len(v)) for g, v in sorted(groups.items()) for i, o in enumerate(v)]
+    assert "Window" not in got._jdf.queryExecution().toString()
+    wide = layout.column_list(edges.select("id", F.col("id").alias("eid"), F.col("k").alias("ctr"), F.col("o").alias("nbr")))
+    assert sorted(r["pos_in_row"] for r in wide.where("row = 99").collect()) == list(range(2000))
+
+
 def test_numbering_matches_a_sort(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 101).alias("a"), "id")
     got = [r["n"] for r in number_rows(df, ["a", "id"], "n").orderBy("a", "id").collect()]
