@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborflow.llm import chat, fingerprint, html, media, minhash, packing, pieces, quality, tokencount, toxicity
+from neighborflow.llm import chat, fingerprint, html, media, merkle, minhash, packing, pieces, quality, sql, tokencount, toxicity
 from neighborflow.llm.common import table
 
 #: The added conversation of op1: texts that hold a head and the end mark.
@@ -76,6 +76,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, table(spark, sf_dir, "documents"), _remainder(3) == 0)
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
@@ -87,9 +91,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
+    "op13_merkle_manifest": sql.merkle(),
     "op1_chat_formatting": """
         WITH r AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
