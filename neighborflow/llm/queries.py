@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neighborflow.llm import chat, fingerprint, html, media, merkle, minhash, packing, pieces, quality, sql, tokencount, toxicity
+from neighborflow.llm import chat, fingerprint, html, media, merkle, minhash, packing, pieces, quality, spelling, sql, tokencount, topk, toxicity
 from neighborflow.llm.common import table
 
 #: The added conversation of op1: texts that hold a head and the end mark.
@@ -76,6 +76,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, table(spark, sf_dir, "documents"), _remainder(3) == 0)
 
@@ -91,10 +99,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_exact_topk": op12_exact_topk,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
+    "op11_spelling_variants": sql.spelling(),
+    "op12_exact_topk": sql.topk(),
     "op13_merkle_manifest": sql.merkle(),
     "op1_chat_formatting": """
         WITH r AS (
