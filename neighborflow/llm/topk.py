@@ -15,7 +15,8 @@ little out; then the search evaluates nearly all pairs, and is exact all the sam
 Defined results. A vector that is null, has a null or non-finite component (or one that is not finite times 256), or has no
 id takes no part. A shorter vector counts as followed by zeros; an empty one is all zeros. A query is a row: rows that share an id
 are queries of their own, candidates of each other, and equal in rank order but for a fixed order of rows. Equal scores go to the
-smaller id. Scores are exact at any size and end at the bounds of a long. An empty table has no rows. Extra columns take no
+smaller id. Scores are exact; one past the bounds of a long is
+that bound, and ranked as it. An empty table has no rows. Extra columns take no
 part.
 """
 
@@ -84,7 +85,8 @@ def _scores(q: np.ndarray, c: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return np.einsum("qd,qsd->qs", q, c, dtype="<f8", casting="safe")
     whole_q = [[int(x) for x in row] for row in q.tolist()]
-    return np.array([[sum(a * int(b) for a, b in zip(own, x)) for x in rows] for own, rows in zip(whole_q, c.tolist())], object)
+    low, high = -(1 << 63), (1 << 63) - 1
+    return np.array([[min(high, max(low, sum(a * int(b) for a, b in zip(own, x)))) for x in rows] for own, rows in zip(whole_q, c.tolist())], object)
 
 
 def search(q: _Block, c: _Block, worst: np.ndarray, k: int, widest: float) -> tuple[list, np.ndarray, int]:
@@ -96,6 +98,7 @@ def search(q: _Block, c: _Block, worst: np.ndarray, k: int, widest: float) -> tu
         np.maximum(apart, np.abs(q.dists[:, p, None] - c.dists[None, :, p]), out=apart)
     squares = q.norms[:, None] + c.norms[None, :]
     bound = (squares - apart.astype("<f8") ** 2) / 2 + SLACK * (squares + widest)
+    bound[np.isnan(bound)] = np.inf  # past what a double holds nothing is ruled out
     order = np.argsort(-bound, axis=1, kind="stable")
     bound = np.take_along_axis(bound, order, axis=1)
     exact = dim * float(np.abs(q.v).max(initial=0)) * float(np.abs(c.v).max(initial=0)) < 2**53
@@ -116,11 +119,10 @@ def search(q: _Block, c: _Block, worst: np.ndarray, k: int, widest: float) -> tu
         for i in active[good.any(axis=1)]:
             held[i] = sorted(held[i])[:k]
             if len(held[i]) == k:
-                last = -held[i][-1][0]
-                kth[i] = max(kth[i], float(last) if abs(last) < 2**53 else np.nextafter(float(last), -np.inf))
+                last = float(-held[i][-1][0])  # a long; rounded down where a double cannot hold it
+                kth[i] = max(kth[i], last if abs(last) < 2**53 else np.nextafter(last, -np.inf))
         at, step = at + step, min(2 * step, 256)
-    low, high = -(1 << 63), (1 << 63) - 1
-    return [(i, ident, row, min(high, max(low, -score))) for i, own in enumerate(held) for score, ident, row in own], kth, pairs
+    return [(i, ident, row, -score) for i, own in enumerate(held) for score, ident, row in own], kth, pairs
 
 
 def _index(spark: SparkSession, table: DataFrame, scratch: Scratch, divisor: int, id_col: str, vec_col: str) -> tuple[DataFrame, float, int]:
@@ -135,11 +137,13 @@ def _index(spark: SparkSession, table: DataFrame, scratch: Scratch, divisor: int
     per_block, per_query = (max(1, min(n, BLOCK_BYTES // (8 * dim))) for n in (BLOCK, QUERY_BLOCK))
 
     def homes(batches):
+        np.seterr(over="ignore", invalid="ignore")
         for pdf in filter(len, batches):
             d = _distances(whole(pdf["v"], dim), pivots)
             yield pdf.assign(home=d.argmin(axis=1), far=d.min(axis=1))
 
     def pack(batches):
+        np.seterr(over="ignore", invalid="ignore")
         kept = {False: ([], [], [], [], per_block), True: ([], [], [], [], per_query)}
 
         def close(query):
@@ -168,7 +172,7 @@ def _index(spark: SparkSession, table: DataFrame, scratch: Scratch, divisor: int
     blocks = placed.repartitionByRange(parts, "home", "far", "row").sortWithinPartitions("home", "far", "row").mapInPandas(pack, BLOCKS)
     blocks = scratch.save(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     widest = blocks.agg(F.max(F.array_max("hi")).alias("d")).first()["d"] or 0.0  # one number
-    return blocks, float(widest) ** 2, dim
+    return blocks, float(widest) * float(widest), dim
 
 
 def _bounds(queries: DataFrame, candidates: DataFrame, widest: float) -> DataFrame:
@@ -194,6 +198,7 @@ def top_k(spark: SparkSession, table: DataFrame, k: int = 5, divisor: int = 50,
     met = scratch.save(_bounds(of[True].select("block", "lo", "hi", "norm"), of[False].select("block", "lo", "hi", "norm"), widest), "bounds")
 
     def seek(batches):
+        np.seterr(over="ignore", invalid="ignore")
         for pdf in batches:
             for r in pdf.itertuples():
                 q, c = _Block(r.q_ids, r.q_rows, r.q_vecs, r.q_dists, r.q_n, dim), _Block(r.c_ids, r.c_rows, r.c_vecs, r.c_dists, r.c_n, dim)
