@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neighborflow.functions.keys import key, key_int, uniform
@@ -28,28 +28,21 @@ def draw_uniform(rows: DataFrame, seed: int, role: str, n_nodes: int, name: str,
     return rows.withColumn(name, key_int(key(seed, role, F.col("neg_pos"), *more)) % n_nodes)
 
 
-def draw_weighted(rows: DataFrame, weights: DataFrame, seed: int, role: str, name: str, per_bucket: int = 8) -> DataFrame:
-    """Nodes in proportion to weights (id, w): each node owns an interval of the running sum, from the end of the one
-    before; draws are looked up by an equi-join on buckets of the sum and a range test within. There are as many buckets
-    as nodes over ``per_bucket``; intervals over several buckets are listed in each."""
-    from neighborflow.operators.numbering import number_rows
+def draw_weighted(rows: DataFrame, weights: DataFrame, seed: int, role: str, name: str) -> DataFrame:
+    """Nodes in proportion to weights (id, w): each node owns an interval of the running sum, in the order of ids, and a draw
+    takes the node in whose interval it falls. Draws are ranked among the intervals' ends, sorted together, and the node is
+    looked up by that rank: an equi-join, with no node or interval on more than one row."""
+    from neighborflow.operators.numbering import number_rows, prefix_sum, search_sorted
 
-    ordered = number_rows(weights.where("w > 0"), ["id"], "r")
-    part = F.floor(F.col("r") / 65536)
-    sums = ordered.groupBy(part.alias("p")).agg(F.sum("w").alias("s"), F.count("*").alias("n"), F.max("r").alias("last"))
-    over = Window.orderBy("p")  # one row per 65,536 nodes
-    run = sums.select("p", "n", "last", F.coalesce(F.sum("s").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"), F.sum("s").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
-    whole = run.agg(F.max("end").alias("w"), F.sum("n").alias("n")).first()  # two numbers
-    if not whole["w"]:
+    sound = weights.where("w > 0").select("id", F.col("w").cast("double").alias("w"))
+    ends = written(number_rows(prefix_sum(sound, ["id"], "w", "lo"), ["id"], "_r").select("id", "_r", "lo", (F.col("lo") + F.col("w")).alias("hi")), "ends")
+    total = ends.agg(F.max("hi").alias("w")).first()["w"]  # one number
+    if not total:
         raise ValueError("the weights sum to nothing")
-    inner = Window.partitionBy(part).orderBy("r")
-    hi = F.when(F.col("r") == F.col("last"), F.col("end")).otherwise(F.col("base") + F.col("own"))
-    own = ordered.withColumn("p", part).withColumn("own", F.sum("w").over(inner)).join(run.drop("n"), "p").withColumn("hi", hi)
-    own = own.withColumn("lo", F.coalesce(F.lag("hi").over(inner), F.col("base")))
-    total, width = float(whole["w"]), float(whole["w"]) / max(1, whole["n"] // per_bucket)
-    spans = own.select("id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("bucket"))
-    drawn = rows.withColumn("_u", uniform(key(seed, role, F.col("neg_pos"))) * F.lit(total)).withColumn("bucket", F.floor(F.col("_u") / width))
-    return drawn.join(spans, "bucket").where("_u >= lo AND _u < hi").select(*rows.columns, F.col("id").alias(name))
+    drawn = rows.withColumn("_u", uniform(key(seed, role, F.col("neg_pos"))) * F.lit(float(total)))
+    # The rank among the intervals' beginnings, less one; the first begins at 0.
+    placed = search_sorted(ends.select("lo"), drawn, "lo", "_u", "_at").withColumn("_at", F.col("_at") - 1)
+    return placed.join(ends.select(F.col("_r").alias("_at"), F.col("id").alias(name)), "_at").select(*rows.columns, name)
 
 
 def binary_negatives(spark, n_pos: int, amount: float, batch_size: int, n_src: int, n_dst: int, seed: int, src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None) -> DataFrame:
@@ -82,11 +75,42 @@ def _draw(rows: DataFrame, end: End, seed: int, *attempt: int) -> DataFrame:
     return draw_weighted(rows, end.weights, seed, "-".join([end.role, *map(str, attempt)]), end.name)
 
 
-def temporal_links(rows: DataFrame, ends: list[End], seed: int, retries: int = 5) -> DataFrame:
-    """rows (neg_pos, t) with the ends' columns: the first draw whose nodes all have times of at most t; after the first
-    draw and ``retries`` more, a last one in which a later node gives way to the earliest of its kind.
+def temporal_links(rows: DataFrame, ends: list[End], seed: int, retries: int | None = None) -> DataFrame:
+    """rows (neg_pos, t) with the ends' columns, nodes whose times are at most t. Where no node of a kind is that old, the
+    earliest of its kind is taken.
+
+    Without ``retries`` a draw is taken straight from the nodes that are old enough: nodes are numbered by time, the
+    number of those up to t is found once for each t, and the key picks one of these places. With weights the running
+    sum up to t takes the place of the number. With ``retries`` draws are made from all nodes and made again while one is
+    too late; after the first and ``retries`` more, a last one in which a later node gives way to the earliest."""
+    if retries is None:
+        for e in ends:
+            rows = _from_prefix(rows, e, seed)
+        return rows
+    return _retried(rows, ends, seed, retries)
+
 
-    Where the nodes' times are few enough to be sent to every task, all draws are looked up in one pass without a
+def _from_prefix(rows: DataFrame, end: End, seed: int) -> DataFrame:
+    from neighborflow.operators.numbering import number_rows, prefix_sum, search_sorted
+
+    nodes = end.time.where(F.col("t").isNotNull()).select("id", "t")
+    draw = key(seed, end.role, F.col("neg_pos"))
+    if end.weights is None:
+        nodes = number_rows(nodes, ["t", "id"], "_place")
+        upto = search_sorted(nodes.select("t"), rows.select(F.col("t").alias("_t")).distinct(), "t", "_t", "_many")
+        placed = rows.join(upto, F.col("t").eqNullSafe(F.col("_t")), "left").withColumn("_at", F.when(F.col("_many") > 0, key_int(draw) % F.col("_many")).otherwise(0).cast("long"))
+        return placed.join(nodes.select(F.col("_place").alias("_at"), F.col("id").cast("long").alias(end.name)), "_at", "left").select(*rows.columns, end.name)
+    weighted = nodes.join(end.weights.where("w > 0").select("id", F.col("w").cast("double").alias("w")), "id")
+    nodes = written(number_rows(prefix_sum(weighted, ["t", "id"], "w", "_lo"), ["t", "id"], "_place"), "places")
+    sums = nodes.select((F.col("_place") + 1).alias("_many"), (F.col("_lo") + F.col("w")).alias("_sum"))
+    upto = search_sorted(nodes.select("t"), rows.select(F.col("t").alias("_t")).distinct(), "t", "_t", "_many").join(sums, "_many", "left")
+    drawn = rows.join(upto, F.col("t").eqNullSafe(F.col("_t")), "left").withColumn("_u", uniform(draw) * F.coalesce("_sum", F.lit(0.0)))
+    placed = search_sorted(nodes.select("_lo"), drawn, "_lo", "_u", "_at").withColumn("_at", F.greatest(F.col("_at") - 1, F.lit(0)))
+    return placed.join(nodes.select(F.col("_place").alias("_at"), F.col("id").cast("long").alias(end.name)), "_at", "left").select(*rows.columns, end.name)
+
+
+def _retried(rows: DataFrame, ends: list[End], seed: int, retries: int) -> DataFrame:
+    """Where the nodes' times are few enough to be sent to every task, all draws are looked up in one pass without a
     shuffle; else only links that have found none go on to the next draw, a written table each."""
     earliest = [e.time.agg(F.min_by("id", F.struct("t", "id")).alias("n")).first()["n"] for e in ends]  # one number each
     few = all(e.weights is None and e.n_nodes * 16 <= BROADCAST_BYTES for e in ends)
@@ -116,8 +140,8 @@ def temporal_links(rows: DataFrame, ends: list[End], seed: int, retries: int = 5
     return reduce(DataFrame.unionByName, [*done, timed(pending, retries + 1).select(*keep, *settled)])
 
 
-def temporal_negatives(rows: DataFrame, node_time: DataFrame, n_nodes: int, seed: int, role: str, retries: int = 5) -> DataFrame:
-    """rows (neg_pos, t) to (neg_pos, node): the first draw not later than t, else the earliest node of all."""
+def temporal_negatives(rows: DataFrame, node_time: DataFrame, n_nodes: int, seed: int, role: str, retries: int | None = None) -> DataFrame:
+    """rows (neg_pos, t) to (neg_pos, node): a draw not later than t, else the earliest node of all."""
     return temporal_links(rows, [End(role, "node", n_nodes, node_time)], seed, retries).select("neg_pos", "node")
 
 
@@ -126,22 +150,31 @@ def deduplicated(negatives: DataFrame) -> DataFrame:
     return negatives.groupBy("nbr", "ctr").agg(F.min("neg_pos").alias("neg_pos")).select("neg_pos", "nbr", "ctr")
 
 
-def exact_negatives(spark, many: int, n_src: int, n_dst: int, seed: int, positives: DataFrame | None = None, tries: int = 8) -> DataFrame:
-    """(neg_pos, nbr, ctr): ``many`` different pairs, none of them in positives (nbr, ctr). A place whose pair is a positive
-    or was drawn before, at an earlier try or by a smaller place, draws again; after ``tries`` draws it stays empty."""
-    pending, taken = _drawn(spark, many), None
-    for i in range(tries):
-        cur = _draw(_draw(pending, End("src", "nbr", n_src), seed, i), End("dst", "ctr", n_dst), seed, i)
-        if positives is not None:
-            cur = without_false_negatives(cur, positives)
-        if taken is not None:
-            cur = cur.join(taken, ["nbr", "ctr"], "left_anti")
-        got = written(deduplicated(cur), "exact")
-        pending = written(pending.join(got, "neg_pos", "left_anti"), "pending")
-        taken = got if taken is None else taken.unionByName(got)
-        if pending.isEmpty():
-            break
-    return taken
+def exact_negatives(spark, many: int, n_src: int, n_dst: int, seed: int, positives: DataFrame | None = None) -> DataFrame:
+    """(neg_pos, nbr, ctr): ``many`` different pairs, none of them in positives (nbr, ctr); all there are if there are fewer.
+
+    Pairs are whole numbers nbr * n_dst + ctr. A keyed bijection takes each place to a rank among the numbers that are no
+    positives, and the rank becomes a number by the positives that come before it: of the sorted positives, the j-th has as
+    many others before it as its number less j, so those with at most ``rank`` others before them are counted and
+    added. One pass, dense or sparse, without trying."""
+    from neighborflow.functions.keys import permuted
+    from neighborflow.operators.numbering import number_rows, search_sorted
+
+    if n_src * n_dst >= 1 << 62:
+        raise ValueError("the pairs of nodes must be fewer than 2^62")
+    others, taken = n_src * n_dst, None
+    if positives is not None:
+        inside = positives.where((F.col("nbr") >= 0) & (F.col("nbr") < n_src) & (F.col("ctr") >= 0) & (F.col("ctr") < n_dst))
+        taken = number_rows(inside.select((F.col("nbr") * n_dst + F.col("ctr")).cast("long").alias("_code")).distinct(), ["_code"], "_j")
+        others -= taken.count()
+    ranked = permuted(_drawn(spark, min(many, others)), "neg_pos", others, seed, "exact", "_rank")
+    if taken is None:
+        ranked = ranked.withColumn("_code", F.col("_rank"))
+    else:
+        gaps = taken.select((F.col("_code") - F.col("_j")).alias("_gap"))
+        ranked = search_sorted(gaps, ranked, "_gap", "_rank", "_before").withColumn("_code", F.col("_rank") + F.col("_before"))
+    ctr = F.col("_code") % n_dst
+    return ranked.select("neg_pos", F.call_function("div", F.col("_code") - ctr, F.lit(n_dst)).alias("nbr"), ctr.alias("ctr"))
 
 
 def equal_shares(rows: DataFrame, rank: str, order: list) -> DataFrame:

@@ -73,3 +73,38 @@ def prefix_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     inside = Window.partitionBy(part).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)).cast(kind))
     return _with_base(own, before, kind).withColumn(name, (F.col("_base") + F.col(name)).cast(kind)).drop("_at", "_base")
+
+
+def search_sorted(values: DataFrame, probes: DataFrame, value: str, probe: str, name: str, by: tuple[str, ...] = (), inclusive: bool = True) -> DataFrame:
+    """``probes`` with ``name``: how many of all ``values``, ordered by ``by`` and value, come before the probe; equal ones
+    count if ``inclusive``. The next value, if any, is the one with that number in the same order.
+
+    Values and probes are range-sorted together and values counted as a prefix sum, so no side is sent to all tasks and a
+    value that many probes share, or the reverse, is not one task's work."""
+    first, second = (0, 1) if inclusive else (1, 0)
+    tie = F.monotonically_increasing_id()
+    v = values.select(*by, F.col(value).alias("_x"), F.lit(first).alias("_kind"), tie.alias("_tie"), F.lit(1).cast("long").alias("_one"))
+    p = probes.select(*by, F.col(probe).alias("_x"), F.lit(second).alias("_kind"), tie.alias("_tie"), F.lit(0).cast("long").alias("_one"), F.struct(*probes.columns).alias("_row"))
+    both = v.unionByName(p, allowMissingColumns=True)
+    counted = prefix_sum(both, [*by, "_x", "_kind", "_tie"], "_one", "_before")
+    return counted.where(F.col("_row").isNotNull()).select("_row.*", F.col("_before").alias(name))
+
+
+def prefix_within(df: DataFrame, by: list[str], order: list, value: str, name: str, total: str) -> DataFrame:
+    """Inclusive running sums of a fractional ``value`` within each key, and the key's ``total``; a key may span tasks. Sums
+    run inside each part of one range sort, and each part of a key adds the sums of its parts before."""
+    from pyspark.sql import Window
+
+    rows = _ordered(df, [*by, *order]).withColumn("_part", F.shiftright("_at", 33))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    runs = rows.groupBy(F.col("_part").alias("_of"), *keys).agg(F.sum(value).cast("double").alias("_sum"))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(by))])  # a row per part that holds the key
+    upto = w.orderBy("_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumn("_end", F.sum("_sum").over(upto)).withColumn("_all", F.max("_end").over(w)).withColumn("_begin", F.coalesce(F.lag("_end").over(w.orderBy("_of")), F.lit(0.0)))
+    own = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = Window.partitionBy("_part", *by).orderBy(F.col("_at").desc())
+    inside = rows.withColumn("_own", F.sum(F.col(value).cast("double")).over(own)).withColumn("_last", F.row_number().over(last) == 1)
+    same = [F.col("_part") == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]]
+    # The last row of a part ends where the next part begins, whatever the rounding of sums in between.
+    ends = F.when(F.col("_last"), F.col("_end")).otherwise(F.least(F.col("_begin") + F.col("_own"), F.col("_end")))
+    return inside.join(runs, same).select(*df.columns, ends.alias(name), F.col("_all").alias(total))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neighborflow.functions.keys import exponential_key, key, key_int
+from neighborflow.functions.keys import exponential_key, key, key_int, uniform
 from neighborflow.model import EdgeType, edge_type_ids
 from neighborflow.scratch import written
 
@@ -70,8 +70,8 @@ def resample_all(seeds: DataFrame, edges: DataFrame, fanout: list[int], seed: in
 
 @dataclass(frozen=True)
 class Options:
-    """weighted: draw by wgt, never an edge of weight 0; replace: k independent draws; time: a rule of COMPARE between
-    an edge's time and its centre's; disjoint: within a batch a vertex belongs to one seed's tree."""
+    """weighted: draw by wgt, never an edge of weight 0; replace: k independent draws, but for the rule ``last``, which draws
+    nothing; time: a rule of COMPARE between an edge's time and its centre's; disjoint: within a batch a vertex belongs to one seed's tree."""
 
     weighted: bool = False
     replace: bool = False
@@ -80,19 +80,29 @@ class Options:
     seed: int = 62
 
 
+def _redrawn(cand: DataFrame, group: list[str], k: int, o: Options) -> DataFrame:
+    """k independent draws for each group. A group's edges are numbered by id, or summed up by weight, in one range sort, so
+    that they may span tasks; a draw names a place, or a point of the sum, and is joined to the one edge there."""
+    from neighborflow.operators.numbering import number_rows, number_within, prefix_within, search_sorted
+
+    draws = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    if not o.weighted:
+        placed = written(number_within(cand, group, ["eid"], "place", "deg"), "placed")
+        each = placed.where("place = 0").select(*group, "deg", draws.alias("draw"))
+        chosen = each.select(*group, (key_int(key(o.seed, *[F.col(g) for g in group], F.col("draw"))) % F.col("deg")).alias("place"))
+        return chosen.join(placed, [*group, "place"]).select(*cand.columns)
+    summed = written(number_rows(prefix_within(cand, group, ["eid"], "wgt", "_hi", "_all"), [*group, "eid"], "_r"), "summed")
+    each = summed.groupBy(*group).agg(F.first("_all").alias("_all")).select(*group, "_all", draws.alias("draw"))
+    points = each.withColumn("_u", uniform(key(o.seed, *[F.col(g) for g in group], F.col("draw"), "weight")) * F.col("_all"))
+    found = search_sorted(summed.select(*group, "_hi"), points, "_hi", "_u", "_r", by=tuple(group))
+    return found.select("_r").join(summed, "_r").select(*cand.columns)
+
+
 def _pick(cand: DataFrame, group: list[str], k: int, o: Options, draw: Column) -> DataFrame:
     if k < 0:
         return cand
-    if o.replace:
-        places = Window.partitionBy(*group).orderBy("eid")
-        if o.weighted:  # each draw is the largest key of its own numbering
-            draws = cand.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-            best = Window.partitionBy(*group, "draw").orderBy(exponential_key(key(draw, F.col("draw")), F.col("wgt")).desc(), F.col("eid"))
-            return draws.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn", "draw")
-        placed = cand.withColumn("place", (F.row_number().over(places) - 1).cast("long"))
-        sized = cand.groupBy(*group).agg(F.count("*").alias("deg"))
-        chosen = sized.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("place", key_int(key(o.seed, *[F.col(g) for g in group], F.col("draw"))) % F.col("deg"))
-        return chosen.join(placed, [*group, "place"]).drop("place", "deg", "draw")
+    if o.replace and o.time != "last":
+        return _redrawn(cand, group, k, o)
     order = [exponential_key(draw, F.col("wgt")).desc(), F.col("eid").asc()] if o.weighted else [draw.asc(), F.col("eid").asc()]
     if o.time == "last":
         order = [F.col("etime").desc(), F.col("eid").asc()]

@@ -7,7 +7,7 @@ SEED = 62
 
 def _u(*parts: str) -> str:
     """A uniform number from the key of SQL expressions."""
-    return f"(({_int(*parts)} + 0.5) / 4294967296.0)"
+    return f"((({_int(*parts)} >> 11) + 0.5) / 4503599627370496.0)"
 
 
 def _key(*parts: str) -> str:
@@ -15,7 +15,7 @@ def _key(*parts: str) -> str:
 
 
 def _int(*parts: str) -> str:
-    return f"CAST(CAST('0x' || substr({_key(*parts)}, 1, 8) AS UBIGINT) AS BIGINT)"
+    return f"CAST(CAST('0x' || substr({_key(*parts)}, 1, 16) AS UBIGINT) & CAST(9223372036854775807 AS UBIGINT) AS BIGINT)"
 
 
 OF = "(SELECT o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr, o_totalprice AS wgt, CAST(epoch(o_orderdate) AS BIGINT) AS etime FROM orders)"
@@ -77,16 +77,27 @@ _LINKS = """
 """
 
 
-def _exact_negatives(tries: int) -> str:
-    """Each try draws for the places left; pairs of positives and of earlier tries are no use, nor all but the first of equals."""
-    sql = "k AS (SELECT count(*) AS n, (SELECT count(*) FROM nation) AS m FROM customer), p0 AS (SELECT unnest(range(n)) AS i FROM k), t0 AS (SELECT 0 AS neg_pos, 0 AS nbr, 0 AS ctr WHERE false)"
-    for a in range(tries):
-        sql += f""",
-        d{a} AS (SELECT i, {_int(SEED, "'src'", 'i', a)} % n AS nbr, {_int(SEED, "'dst'", 'i', a)} % m AS ctr FROM p{a}, k),
-        a{a} AS (SELECT min(i) AS neg_pos, nbr, ctr FROM d{a} WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = nbr AND c_nationkey = ctr)
-                 AND NOT EXISTS (SELECT 1 FROM t{a} WHERE t{a}.nbr = d{a}.nbr AND t{a}.ctr = d{a}.ctr) GROUP BY 2, 3),
-        t{a + 1} AS (SELECT * FROM t{a} UNION ALL SELECT * FROM a{a}), p{a + 1} AS (SELECT i FROM p{a} WHERE i NOT IN (SELECT neg_pos FROM a{a}))"""
-    return f"WITH {sql} SELECT neg_pos, nbr, ctr FROM t{tries}"
+def _shuffled(source: str) -> str:
+    """(i, x) of ``source`` through the keyed bijection over the digits of x to the base low, in ranges high and low."""
+    sql = f"(SELECT i, high, low, others, x // low AS a, x % low AS b FROM {source})"
+    for r in range(4):
+        moved = ("a", "b", "high") if r % 2 == 0 else ("b", "a", "low")
+        new = f"({moved[0]} + {_int(SEED, chr(39) + 'exact' + chr(39), r, moved[1])} % {moved[2]}) % {moved[2]}"
+        sql = f"(SELECT i, high, low, others, {new + ' AS a, b' if r % 2 == 0 else 'a, ' + new + ' AS b'} FROM {sql})"
+    return f"SELECT i, high, low, others, a * low + b AS x FROM {sql}"
+
+
+def _exact_negatives(n_src: str, n_dst: str, taken: str, many: str) -> str:
+    """Places go through the bijection until they are ranks among the pairs that are not taken; a rank moves up by the taken
+    pairs before it."""
+    return f"""
+        WITH RECURSIVE p AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS j FROM (SELECT DISTINCT nbr * {n_dst} + ctr AS code FROM {taken})),
+        k0 AS (SELECT {n_src} * {n_dst} - (SELECT count(*) FROM p) AS others), k1 AS (SELECT others, CAST(floor(sqrt(others - 1)) AS BIGINT) + 1 AS high FROM k0),
+        k AS (SELECT others, high, (others + high - 1) // high AS low FROM k1),
+        w AS ({_shuffled('(SELECT i, high, low, others, i AS x FROM k, (SELECT unnest(range(' + many + ')) AS i))')} UNION ALL {_shuffled('(SELECT * FROM w WHERE x >= others)')}),
+        r AS (SELECT i, x FROM w WHERE x < others), g AS (SELECT j + 1 AS c, code - j AS gap FROM p),
+        s AS (SELECT i, x + coalesce((SELECT max(c) FROM g WHERE gap <= x), 0) AS code FROM r)
+        SELECT i AS neg_pos, code // {n_dst} AS nbr, code % {n_dst} AS ctr FROM s"""
 
 
 def _layer(held: str, new: str, out: int, near: int, root: int, bias: float, cut: bool) -> str:
@@ -208,6 +219,12 @@ ORACLES = {
         WITH d AS (SELECT i, n, {_int(SEED, chr(39) + 'pick' + chr(39), 'i')} % n AS pos FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(0.25 * count(*)) AS BIGINT))) AS i FROM orders))
         SELECT i AS neg_pos, o_orderkey AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % (SELECT count(*) FROM customer) AS ctr FROM d JOIN orders ON o_orderkey = pos""",
     "negative_temporal": f"""
+        WITH f AS (SELECT o_custkey AS id, min(CAST(epoch(o_orderdate) AS BIGINT)) AS t FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, coalesce(t, 1099511627776) AS t FROM customer LEFT JOIN f ON id = c_custkey),
+        r AS (SELECT id, t, row_number() OVER (ORDER BY t, id) - 1 AS place FROM c),
+        m AS (SELECT x.t, count(r.id) AS many FROM (SELECT DISTINCT CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders) x LEFT JOIN r ON r.t <= x.t GROUP BY 1),
+        d AS (SELECT o_orderkey AS neg_pos, CASE WHEN many > 0 THEN {_int(SEED, chr(39) + 'dst' + chr(39), 'o_orderkey')} % many ELSE 0 END AS place FROM orders JOIN m ON m.t = CAST(epoch(o_orderdate) AS BIGINT))
+        SELECT neg_pos, id AS node FROM d JOIN r USING (place)""",
+    "negative_temporal_retried": f"""
         WITH f AS (SELECT o_custkey AS id, min(CAST(epoch(o_orderdate) AS BIGINT)) AS t FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, coalesce(t, 1099511627776) AS t FROM customer LEFT JOIN f ON id = c_custkey),
         a AS (SELECT o_orderkey AS neg_pos, CAST(epoch(o_orderdate) AS BIGINT) AS t, i, {_int(SEED, chr(39) + 'dst' + chr(39), 'o_orderkey', 'i')} % (SELECT count(*) FROM customer) AS node FROM orders, (SELECT unnest(range(7)) AS i)),
         g AS (SELECT neg_pos, arg_min(node, i) AS node FROM a JOIN c ON c.id = a.node WHERE c.t <= a.t GROUP BY 1)
@@ -224,7 +241,13 @@ ORACLES = {
     "false_negatives": f"""
         SELECT neg_pos, d.nbr, d.ctr FROM (SELECT i AS neg_pos, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % c AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % c AS ctr
         FROM (SELECT unnest(range(count(*))) AS i FROM orders), (SELECT count(*) AS c FROM customer)) d WHERE NOT EXISTS (SELECT 1 FROM {NEAR} e WHERE e.nbr = d.nbr AND e.ctr = d.ctr)""",
-    "exact_negatives": _exact_negatives(4),
+    "exact_negatives": _exact_negatives("(SELECT count(*) FROM customer)", "(SELECT count(*) FROM nation)", "(SELECT c_custkey AS nbr, CAST(c_nationkey AS BIGINT) AS ctr FROM customer)", "(SELECT count(*) FROM customer)"),
+    "all_negatives": "SELECT c_custkey AS nbr, CAST(n_nationkey AS BIGINT) AS ctr FROM customer, nation WHERE c_nationkey <> n_nationkey",
+    "replace_weighted": f"""
+        WITH p AS (SELECT o_custkey // 64 AS batch_id, o_custkey AS ctr, o_orderkey AS eid, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS hi, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS total FROM orders WHERE o_totalprice > 0),
+        d AS (SELECT DISTINCT batch_id, ctr, i FROM p, (SELECT unnest(range(4)) AS i)),
+        x AS (SELECT d.batch_id, d.ctr, i, arg_min(eid, hi) AS eid FROM d JOIN p ON p.ctr = d.ctr AND hi > total * {_u(SEED, 'd.batch_id', 'd.ctr', 'i', chr(39) + 'weight' + chr(39))} GROUP BY ALL)
+        SELECT batch_id, ctr, eid, count(*) AS draws FROM x GROUP BY ALL""",
     "equal_split": f"""
         WITH l AS (SELECT {_int(SEED, chr(39) + 'rank' + chr(39), 'o_orderkey')} % 5 AS rank, o_orderkey AS eid FROM orders WHERE {_u(SEED, chr(39) + 'split' + chr(39), 'o_orderkey')} < 0.8),
         p AS (SELECT rank, eid, row_number() OVER (PARTITION BY rank ORDER BY eid) AS place FROM l)
@@ -321,10 +344,10 @@ ORACLES = {
     "link_loader_temporal": f"""
         WITH {_LINKS}, f AS (SELECT o_custkey AS id, min(CAST(epoch(o_orderdate) AS BIGINT)) AS t FROM orders GROUP BY 1), c AS (SELECT c_custkey AS id, coalesce(t, 1099511627776) AS t FROM customer LEFT JOIN f ON id = c_custkey),
         o AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders),
-        d AS (SELECT batch_id, pos, i, j, o.t, {_int(SEED, chr(39) + 'src' + chr(39), 'i', 'j')} % n AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i', 'j')} % k.c AS ctr FROM k JOIN o ON o.id = i % n, (SELECT unnest(range(7)) AS j)),
-        x AS (SELECT d.*, coalesce(o.t <= d.t, false) AS ok0, coalesce(c.t <= d.t, false) AS ok1 FROM d LEFT JOIN o ON o.id = d.nbr LEFT JOIN c ON c.id = d.ctr),
-        w AS (SELECT * FROM x WHERE ok0 AND ok1 OR j = 6 QUALIFY row_number() OVER (PARTITION BY i ORDER BY j) = 1)
-        SELECT batch_id, pos, CASE WHEN ok0 THEN nbr ELSE (SELECT id FROM o ORDER BY t, id LIMIT 1) END AS nbr, CASE WHEN ok1 THEN ctr ELSE (SELECT id FROM c ORDER BY t, id LIMIT 1) END AS ctr, t FROM w""",
+        rc AS (SELECT id, t, row_number() OVER (ORDER BY t, id) - 1 AS place FROM c), ro AS (SELECT id, t, row_number() OVER (ORDER BY t, id) - 1 AS place FROM o),
+        m AS (SELECT x.t, (SELECT count(*) FROM rc WHERE rc.t <= x.t) AS mc, (SELECT count(*) FROM ro WHERE ro.t <= x.t) AS mo FROM (SELECT DISTINCT t FROM o) x),
+        d AS (SELECT batch_id, pos, o.t, CASE WHEN mo > 0 THEN {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % mo ELSE 0 END AS po, CASE WHEN mc > 0 THEN {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % mc ELSE 0 END AS pc FROM k JOIN o ON o.id = i % n JOIN m ON m.t = o.t)
+        SELECT batch_id, pos, ro.id AS nbr, rc.id AS ctr, d.t FROM d JOIN ro ON ro.place = po JOIN rc ON rc.place = pc""",
     "negative_triplet_weighted": f"""
         WITH w AS (SELECT o_custkey AS id, count(*) AS w FROM orders GROUP BY 1), s AS (SELECT id, sum(w) OVER (ORDER BY id) AS hi, sum(w) OVER (ORDER BY id) - w AS lo FROM w),
         d AS (SELECT i, n, {_int(SEED, chr(39) + 'pick' + chr(39), 'i')} % n AS pos, {_u(SEED, chr(39) + 'dst' + chr(39), 'i')} * n AS u FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(0.25 * count(*)) AS BIGINT))) AS i FROM orders))

@@ -156,12 +156,13 @@ def neighbor_loader(
 
 def link_neighbor_loader(
     graph: GraphStore, num_neighbors, links: DataFrame, edge_type, batch_size: int = 16, negatives: str | None = None, amount: float = 1.0, temporal_comparison: str | None = None, disjoint: bool = False, weighted: bool = False, replace: bool = False, seed: int = 62,
-    src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None, node_time: dict[str, DataFrame] | None = None,
+    src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None, node_time: dict[str, DataFrame] | None = None, temporal_retries: int | None = None,
 ) -> Sampled:
     """links: (pos, nbr, ctr[, label][, t]), pos from 0 without gaps. Both ends of a batch's links are its seeds; inputs
     carry edge_label_row, edge_label_col (local ids), label and input_id, -1 for negatives. Negatives are drawn by
     src_weights and dst_weights (id, w); with node_time, (id, t) by vertex type, and links' times, a negative takes the
-    time of the positive at its place, counted round, and drawn nodes later than that are drawn again."""
+    time of the positive at its place, counted round, and is drawn from the nodes that are not later; with
+    temporal_retries from all nodes, and again that many times while one is later."""
     check_stores(graph)
     if negatives not in (None, "binary", "triplet"):
         raise ValueError("negatives must be binary or triplet")
@@ -180,9 +181,9 @@ def link_neighbor_loader(
             rows = links.sparkSession.range(many).select(F.col("id").alias("neg_pos"), (F.col("id") % max(1, n)).alias("_p")).join(links.select(F.col("pos").alias("_p"), "t"), "_p").drop("_p")
             src, dst = (negative.End(role, col, counts[v], node_time[v], w) for role, col, v, w in (("src", "nbr", t.nbr, src_weights), ("dst", "ctr", t.ctr, dst_weights)))
             if negatives == "binary":
-                neg = negative.temporal_links(rows, [src, dst], seed).drop("t")
+                neg = negative.temporal_links(rows, [src, dst], seed, temporal_retries).drop("t")
             else:
-                picked = negative.draw_uniform(negative.temporal_links(rows, [dst], seed).drop("t"), seed, "pick", max(1, n), "pos")
+                picked = negative.draw_uniform(negative.temporal_links(rows, [dst], seed, temporal_retries).drop("t"), seed, "pick", max(1, n), "pos")
                 neg = picked.join(links.select("pos", "nbr"), "pos").select("neg_pos", "nbr", "ctr")
         elif negatives == "binary":
             neg = negative.binary_negatives(links.sparkSession, n, amount, batch_size, counts[t.nbr], counts[t.ctr], seed, src_weights, dst_weights)

@@ -336,6 +336,12 @@ def replace_onehop(spark, d):
     return e.groupBy("batch_id", "ctr", "eid").agg(F.count("*").alias("draws"))
 
 
+def replace_weighted(spark, d):
+    """Four draws with replacement for every customer, by the orders' prices."""
+    e, _ = sample.neighbor_sample({OF: order_edges(spark, d)}, seeds_of(spark, d), {OF: [4]}, sample.Options(replace=True, weighted=True, seed=SEED))
+    return e.groupBy("batch_id", "ctr", "eid").agg(F.count("*").alias("draws"))
+
+
 def seed_batches(spark, d):
     rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("input_id"))
     return sample.seed_batches(rows, 1000).select("input_id", "batch_id", "pos")
@@ -385,13 +391,26 @@ def negative_triplet(spark, d):
     return negative.triplet_negatives(pos, n, 0.25, 512, n_rows(spark, d, "customer"), SEED)
 
 
-def negative_temporal(spark, d):
+def _dated(spark, d):
+    """Orders by their date, and customers by their first order's."""
     rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("neg_pos"), epoch("o_orderdate").alias("t"))
     first = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.min(epoch("o_orderdate")).alias("t"))
     cust = customers(spark, d).select("id").join(first, "id", "left").select("id", F.coalesce("t", F.lit(2**40)).cast("long").alias("t"))
+    return rows, cust
+
+
+def negative_temporal(spark, d):
+    """A customer for every order among those who had ordered by its date."""
+    rows, cust = _dated(spark, d)
     return negative.temporal_negatives(rows, cust, n_rows(spark, d, "customer"), SEED, "dst")
 
 
+def negative_temporal_retried(spark, d):
+    """As ``negative_temporal``, drawn from all customers and drawn again up to five times."""
+    rows, cust = _dated(spark, d)
+    return negative.temporal_negatives(rows, cust, n_rows(spark, d, "customer"), SEED, "dst", 5)
+
+
 def negative_weighted(spark, d):
     """Customers drawn by their number of orders."""
     w = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.count("*").cast("double").alias("w"))
@@ -414,7 +433,13 @@ def false_negatives(spark, d):
 
 def exact_negatives(spark, d):
     """As many different negatives between customers and nations as there are customers, none of them where one lives."""
-    return negative.exact_negatives(spark, n_rows(spark, d, "customer"), n_rows(spark, d, "customer"), n_rows(spark, d, "nation"), SEED, lives_edges(spark, d), 4)
+    return negative.exact_negatives(spark, n_rows(spark, d, "customer"), n_rows(spark, d, "customer"), n_rows(spark, d, "nation"), SEED, lives_edges(spark, d))
+
+
+def all_negatives(spark, d):
+    """Every pair of customer and nation but those where one lives: as many are asked for as there are."""
+    c, n = n_rows(spark, d, "customer"), n_rows(spark, d, "nation")
+    return negative.exact_negatives(spark, c * n, c, n, SEED, lives_edges(spark, d)).select("nbr", "ctr")
 
 
 def equal_split(spark, d):
@@ -788,6 +813,6 @@ QUERIES = {
         replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
         gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, normalised_sum, binary_parts, running_price,
-        rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts,
+        rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, all_negatives, negative_temporal_retried, replace_weighted, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts,
     )
 }

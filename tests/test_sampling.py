@@ -135,6 +135,28 @@ def test_replacement_draws_k(spark):
     assert e.count() == 5
 
 
+def test_replacement_over_a_hub_and_by_weight(spark):
+    """A centre with most of all edges: draws are spread over them, by weight where asked, and none of weight 0."""
+    n = 1200
+    g = {CITES: edges(spark, list(range(n)), [0 if i % 4 else i for i in range(n)], wgt=[float(i % 3) for i in range(n)])}
+    e, _ = neighbor_sample(g, seeds(spark, [0, 4], "paper"), {CITES: [6000]}, Options(replace=True))
+    got = {r["eid"]: r["count"] for r in e.where("ctr = 0").groupBy("eid").count().collect()}
+    assert sum(got.values()) == 6000 and e.where("ctr = 4").count() == 6000 and set(got) <= {i for i in range(n) if i % 4 or i == 0} and len(got) > 850
+    e, _ = neighbor_sample(g, seeds(spark, [0, 4], "paper"), {CITES: [6000]}, Options(replace=True, weighted=True))
+    got = {r["eid"]: r["count"] for r in e.where("ctr = 0").groupBy("eid").count().collect()}
+    assert sum(got.values()) == 6000 and all(i % 3 for i in got)
+    heavy = sum(c for i, c in got.items() if i % 3 == 2)
+    assert abs(heavy / 6000 - 2 / 3) < 0.03
+
+
+def test_last_takes_the_latest_even_with_replacement(spark):
+    g = {CITES: edges(spark, list(range(10)), [50] * 10, etime=list(range(10)))}
+    s = seeds(spark, [50], "paper").withColumn("t", F.lit(7).cast("long"))
+    for replace in (False, True):
+        e, _ = neighbor_sample(g, s, {CITES: [3]}, Options(replace=replace, time="last"))
+        assert sorted(r["eid"] for r in e.collect()) == [5, 6, 7]
+
+
 def test_numbering_rules(spark):
     g = {WRITES: edges(spark, [0, 1], [0, 1]), CITES: edges(spark, [5], [2])}
     counts = vertex_counts(g, {WRITES: (4, 3)})
@@ -179,8 +201,9 @@ def test_triplets_repeat_sources_and_draw_destinations(spark):
     assert {r["ctr"] for r in negative.triplet_negatives(pos, 6, 3.0, 2, 5, 1, only).collect()} == {3}
 
 
+@pytest.mark.parametrize("retries", [None, 5])
 @pytest.mark.parametrize("few", [True, False])
-def test_negatives_exist_in_time(spark, few, monkeypatch):
+def test_negatives_exist_in_time(spark, few, retries, monkeypatch):
     """Nodes 0 to 4 appear at times 0 to 4; a link at time 1 has only nodes 0 and 1 to take, whichever way they are drawn."""
     from neighborflow.operators import negative
 
@@ -188,9 +211,16 @@ def test_negatives_exist_in_time(spark, few, monkeypatch):
     times = spark.createDataFrame([(i, i) for i in range(5)], "id long, t long")
     asked = spark.createDataFrame([(i, i % 5) for i in range(200)], "neg_pos long, t long")
     ends = [negative.End("src", "nbr", 5, times), negative.End("dst", "ctr", 5, times)]
-    got = {r["neg_pos"]: (r["t"], r["nbr"], r["ctr"]) for r in negative.temporal_links(asked, ends, 3).collect()}
+    got = {r["neg_pos"]: (r["t"], r["nbr"], r["ctr"]) for r in negative.temporal_links(asked, ends, 3, retries).collect()}
     assert len(got) == 200 and all(a <= t and b <= t for t, a, b in got.values())
     assert {(a, b) for t, a, b in got.values() if t == 0} == {(0, 0)}
+    if retries is None:
+        assert {a for t, a, _ in got.values() if t == 4} == set(range(5))
+        w = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 9.0), (3, 1.0), (4, 1.0)], "id long, w double")
+        drawn = negative.temporal_links(asked, [negative.End("src", "nbr", 5, times, w)], 3).collect()
+        assert len(drawn) == 200 and all(r["nbr"] <= r["t"] and r["nbr"] != 1 for r in drawn)
+        late = [r["nbr"] for r in drawn if r["t"] >= 2]
+        assert late.count(2) > 0.6 * len(late)
 
 
 def test_link_loader_negatives_in_time(spark):

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from neighborflow.functions import partition as P
-from neighborflow.functions.keys import positive_ints
+from neighborflow.functions.keys import key, permuted, positive_ints, uniform
 from neighborflow.model import cast_within
 from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
-from neighborflow.operators.numbering import number_rows, number_within, prefix_sum
+from neighborflow.operators.numbering import number_rows, number_within, prefix_sum, prefix_within, search_sorted
 from neighborflow.plans import loaders
 from neighborflow.plans.stores import FeatureStore, GraphStore
 from neighborflow.sources import binary, ranks
@@ -132,6 +132,10 @@ def test_weighted_and_temporal_negatives(spark):
     w = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 3.0)], "id long, w double")
     n = {r["node"]: r["count"] for r in negative.draw_weighted(spark.range(4000).toDF("neg_pos"), w, 3, "src", "node").groupBy("node").count().collect()}
     assert sum(n.values()) == 4000 and set(n) == {0, 2} and 800 < n[0] < 1200
+    many = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("w"))
+    n = {r["node"]: r["count"] for r in negative.draw_weighted(spark.range(20_000).toDF("neg_pos"), many, 9, "src", "node").groupBy("node").count().collect()}
+    want = {i: 20_000 * (i % 7) / sum(j % 7 for j in range(300)) for i in range(300) if i % 7}
+    assert set(n) <= set(want) and sum((n.get(i, 0) - e) ** 2 / e for i, e in want.items()) < 350  # chi-square, 256 degrees of freedom
     nodes = spark.createDataFrame([(i, i * 10) for i in range(5)], "id long, t long")
     rows = spark.createDataFrame([(i, 5) for i in range(50)], "neg_pos long, t long")
     assert {r["node"] for r in negative.temporal_negatives(rows, nodes, 5, 1, "dst").collect()} == {0}
@@ -251,11 +255,58 @@ def test_loaders_check_their_input(spark):
 
 
 def test_exact_negatives_are_different_and_no_positives(spark):
+    """Dense and sparse, and all there are; a hub that is linked with all nodes has no negative."""
     positives = spark.createDataFrame([(a, b) for a in range(4) for b in range(4) if (a, b) != (2, 3)], "nbr long, ctr long")
-    got = negative.exact_negatives(spark, 5, 4, 5, 7, positives, tries=60).collect()
+    got = negative.exact_negatives(spark, 5, 4, 5, 7, positives).collect()
     pairs = {(r["nbr"], r["ctr"]) for r in got}
     assert sorted(r["neg_pos"] for r in got) == list(range(5)) and pairs == {(2, 3), (0, 4), (1, 4), (2, 4), (3, 4)}
-    assert negative.exact_negatives(spark, 3, 1, 1, 7, tries=3).count() == 1
+    assert negative.exact_negatives(spark, 3, 1, 1, 7).count() == 1 and negative.exact_negatives(spark, 3, 1, 1, 7, spark.createDataFrame([(0, 0)], "nbr long, ctr long")).count() == 0
+    links = {(a, b) for a in range(40) for b in range(25) if a == 7 or (a * 31 + b * 17) % 4 == 0}
+    positives = spark.createDataFrame([*links, *list(links)[:50], (99, 3), (-1, 2)], "nbr long, ctr long")
+    free = {(a, b) for a in range(40) for b in range(25)} - links
+    for many in (20, 600, len(free), 5000):
+        got = [(r["nbr"], r["ctr"]) for r in negative.exact_negatives(spark, many, 40, 25, 3, positives).collect()]
+        assert len(got) == len(set(got)) == min(many, len(free)) and set(got) <= free
+    n = negative.exact_negatives(spark, 400, 40, 25, 5, positives).groupBy("nbr").count().collect()
+    assert len(n) >= 35 and max(r["count"] for r in n) <= 22
+
+
+def test_keys_reach_past_32_bits(spark):
+    big = 3 * 10**12
+    ids = [r["n"] for r in negative.draw_uniform(spark.range(2000).toDF("neg_pos"), 1, "src", big, "n").collect()]
+    assert len(set(ids)) == 2000 and min(ids) >= 0 and sum(i > 1 << 32 for i in ids) > 1950 and abs(sum(ids) / 2000 / big - 0.5) < 0.03
+    got = negative.exact_negatives(spark, 300, 1 << 31, 1 << 30, 4, spark.createDataFrame([(5, 6)], "nbr long, ctr long")).collect()
+    assert len({(r["nbr"], r["ctr"]) for r in got}) == 300 and all(0 <= r["nbr"] < 1 << 31 and 0 <= r["ctr"] < 1 << 30 for r in got)
+    u = spark.range(1000).select(uniform(key(3, F.col("id"))).alias("u")).collect()
+    assert all(0 < r["u"] < 1 for r in u) and len({r["u"] for r in u}) == 1000
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_permutation_is_one(spark, n):
+    got = [r["y"] for r in permuted(spark.range(n).toDF("x"), "x", n, 5, "t", "y").collect()]
+    assert sorted(got) == list(range(n)) and (n < 97 or got != list(range(n)))
+
+
+def test_search_among_sorted(spark):
+    """Values and probes that tie, with and without a key that one half of all rows share."""
+    values = [(7 if i % 2 else i % 5, i * 37 % 50) for i in range(400)]
+    probes = [(k, p) for k in (0, 3, 7, 9) for p in range(-1, 51)]
+    v, p = spark.createDataFrame(values, "k long, v long"), spark.createDataFrame(probes, "k long, p long")
+    for inclusive in (True, False):
+        at = lambda a, b: a < b or (inclusive and a == b)
+        got = search_sorted(v, p, "v", "p", "n", inclusive=inclusive).collect()
+        assert len(got) == len(probes) and all(r["n"] == sum(at(x[1], r["p"]) for x in values) for r in got)
+        got = search_sorted(v, p, "v", "p", "n", by=("k",), inclusive=inclusive).collect()
+        assert all(r["n"] == sum(at(x, (r["k"], r["p"])) for x in values) for r in got)
+
+
+def test_sums_within_keys_that_span_tasks(spark):
+    rows = [(0 if i % 2 else i % 7, i * 29 % 601, float(i % 11)) for i in range(600)]
+    got = prefix_within(spark.createDataFrame(rows, "k long, o long, w double"), ["k"], ["o"], "w", "s", "all").collect()
+    for r in got:
+        own = [x for x in rows if x[0] == r["k"]]
+        assert r["s"] == pytest.approx(sum(x[2] for x in own if x[1] <= r["o"])) and r["all"] == pytest.approx(sum(x[2] for x in own))
+        assert r["o"] != max(x[1] for x in own) or r["s"] == r["all"]
 
 
 def test_equal_shares(spark):
