@@ -369,6 +369,7 @@ ORACLES = {
         WITH e AS (SELECT (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS nbr, o_custkey AS ctr FROM orders),
         x AS (SELECT nbr, ctr, 1 / sqrt(count(*) OVER (PARTITION BY nbr) * count(*) OVER (PARTITION BY ctr)) AS a FROM e)
         SELECT ctr, CAST(dim AS INTEGER) AS dim, round(sum(a * w), 6) AS val FROM x JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = nbr % (SELECT count(*) FROM embeddings) GROUP BY 1, 2""",
+    "npy_slice": "SELECT vec_id AS id, CAST(unnest(range(8)) AS INTEGER) AS dim, round(CAST(unnest(embedding[5:12]) AS DOUBLE), 6) AS val FROM embeddings WHERE vec_id >= 100",
     "binary_parts": "SELECT vec_id AS id, CAST(unnest(range(64)) AS INTEGER) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS val FROM embeddings",
     "running_price": "SELECT o_orderkey AS id, round(coalesce(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 2) AS before FROM orders",
     "rank_dump": """

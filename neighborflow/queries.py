@@ -757,6 +757,14 @@ def binary_parts(spark, d):
     return exploded(binary.read_binary(spark, names, "float32", DIM), ["id"], "vec")
 
 
+def npy_slice(spark, d):
+    """The vectors written as one .npy file; of it the rows from 100 on and the columns 4 to 11 are read."""
+    t = load(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    path = f"{_folder(spark, 'npy')}/vec.npy"
+    binary.write_npy(t, path, "float32", t.count())
+    return exploded(binary.read_npy(spark, path, start=100, col_start=4, col_end=12), ["id"], "vec")
+
+
 def round_robin_parts(spark, d):
     """Balances written as four parts, read under the table's capacity, dealt to 5 ranks in blocks of 16."""
     t = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
@@ -812,7 +820,7 @@ QUERIES = {
         onehop_all, onehop_uniform, onehop_weighted, sample_offsets, twohop_resample_all, hetero_twohop, hetero_nodes, hop_counts, batch_statistics, biased_onehop, temporal_onehop, temporal_last, disjoint_onehop, replace_onehop, seed_batches, shuffle_drop_last,
         replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
-        gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, normalised_sum, binary_parts, running_price,
+        gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, normalised_sum, binary_parts, npy_slice, running_price,
         rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, all_negatives, negative_temporal_retried, replace_weighted, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts,
     )
 }

@@ -1,42 +1,33 @@
 """Headerless binary parts and .npy files as row tables.
 
-A part file holds whole entries one after the other. Files are read by Spark in splits of fixed-length records, in the
-order given; the row id is the entry's place over all files. Part names are ``<prefix>_part_<i>_of_<n>``.
+A part file holds whole entries one after the other. Files are read by byte ranges, in the order given; the row id is the
+entry's place over all files. Part names are ``<prefix>_part_<i>_of_<n>``.
 """
 
 from __future__ import annotations
 
 import os
-import struct
+from io import BytesIO
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neighborflow.model import COLUMN_TYPES
+from neighborflow.sources.records import npy_header, read_records, sizes, store
 
 NUMPY = {"float64": "<f8", "float32": "<f4", "float16": "<f2", "int64": "<i8", "int32": "<i4", "int16": "<i2", "int8": "i1"}
 
 
-#: Records that go to Python as one value.
-BLOCK = 4096
-
-
 def part_names(prefix: str, count: int) -> list[str]:
     return [f"{prefix}_part_{i}_of_{count}" for i in range(count)]
 
 
-def _size(spark: SparkSession, path: str) -> int:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
-
-
-def read_binary(spark: SparkSession, files: list[str], dtype: str, dim: int = 1, stride: int = 0, offset: int = 0) -> DataFrame:
+def read_binary(spark: SparkSession, files: list[str], dtype: str, dim: int = 1, stride: int = 0, offset: int = 0, start: int = 0, end: int | None = None) -> DataFrame:
     """(id, value) or, for dim > 1, (id, vec). stride: elements per stored entry, dim by default; offset: first element
-    of an entry that is kept."""
+    of an entry that is kept; start, end: ids that are read, the others' bytes are not touched."""
     if dtype not in NUMPY:
         raise ValueError(f"element type must be one of {sorted(NUMPY)}")
     if len(files) >= 65536:
@@ -44,51 +35,14 @@ def read_binary(spark: SparkSession, files: list[str], dtype: str, dim: int = 1,
     width = stride or dim
     if offset + dim > width:
         raise ValueError("offset and dimension exceed the stride")
-    item = np.dtype(NUMPY[dtype]).itemsize
-    entry = item * width
-    for path in files:
-        size = _size(spark, path)
-        if size % entry:
-            raise ValueError(f"{path}: {size} bytes are no multiple of the entry size {entry}")
-    kind = COLUMN_TYPES[dtype]
-    schema = f"id long, value {kind}" if dim == 1 else f"id long, vec array<{kind}>"
-    if not files:
-        return spark.createDataFrame([], schema)
-    # Spark cuts the files, in their order, into splits of whole records; one pass counts the records of each split, which
-    # gives a record's place. Records go on to Python in blocks.
-
-    def blocks(records):
-        held: list[bytes] = []
-        first = 0
-        for raw, at in records:
-            if not held:
-                first = at
-            held.append(raw)
-            if len(held) == BLOCK:
-                yield first, bytearray(b"".join(held))
-                held = []
-        if held:
-            yield first, bytearray(b"".join(held))
-
-    raw = spark.sparkContext.binaryRecords(",".join(files), entry).zipWithIndex().mapPartitions(blocks).toDF("id long, raw binary")
-    code = NUMPY[dtype]
-
-    def unpack(batches):
-        for pdf in filter(len, batches):
-            for first, block in zip(pdf["id"], pdf["raw"], strict=True):
-                a = np.frombuffer(block, code).reshape(-1, width)[:, offset : offset + dim]
-                a = a.astype("<f4") if code == "<f2" else a
-                ids = np.arange(first, first + len(a))
-                yield pd.DataFrame({"id": ids, "value": a[:, 0]}) if dim == 1 else pd.DataFrame({"id": ids, "vec": list(a)})
-
-    return raw.mapInPandas(unpack, schema)
+    return read_records(spark, files, NUMPY[dtype], width, offset, dim, dim == 1, start=start, end=end)
 
 
 def read_parts(spark: SparkSession, prefix: str, count: int, dtype: str, dim: int = 1, n: int | None = None, stride: int = 0, offset: int = 0) -> DataFrame:
     """All parts of a prefix as one table. n: entries that the table holds; parts with more are refused."""
     files = part_names(prefix, count)
     item = np.dtype(NUMPY[dtype]).itemsize * (stride or dim)
-    if n is not None and (found := sum(_size(spark, f) for f in files) // item) > n:
+    if n is not None and (found := sum(sizes(files)) // item) > n:
         raise ValueError(f"the parts hold {found} entries, the table {n}")
     return read_binary(spark, files, dtype, dim, stride, offset)
 
@@ -101,29 +55,22 @@ def deal_round_robin(table: DataFrame, block: int, world: int) -> DataFrame:
     return table.withColumn("rank", rank).withColumn("slot", slot)
 
 
-def _store(path: str):
-    """The file system of a path and the path in it, for the driver and for tasks."""
-    if path.startswith("file:"):
-        path = "/" + path[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
-
-
-def write_binary(table: DataFrame, prefix: str, count: int, dtype: str, n: int) -> list[str]:
+def write_binary(table: DataFrame, prefix: str, count: int, dtype: str, n: int, names: list[str] | None = None, header: bytes = b"") -> list[str]:
     """The table (ids 0 to n - 1) in id order as ``count`` part files under the even plan. Each part is written by the task
     that holds its rows, a batch at a time and under a name of its own, and takes its place when it is whole: a task that
     is lost or runs twice leaves no half part."""
     from neighborflow.functions.partition import even_rank
 
     col = "vec" if "vec" in table.columns else "value"
-    code, names = NUMPY[dtype], part_names(prefix, count)
+    code, names = NUMPY[dtype], names or part_names(prefix, count)
 
     def save(batches):
         at, out, rows = -1, None, 0
 
         def close():
             out.close()
-            store, name = _store(names[at])
-            store.move(temporary, name)
+            system, name = store(names[at])
+            system.move(temporary, name)
             return pd.DataFrame({"part": [at], "rows": [rows]})
 
         for pdf in filter(len, batches):
@@ -132,23 +79,25 @@ def write_binary(table: DataFrame, prefix: str, count: int, dtype: str, n: int)
                     if out is not None:
                         yield close()
                     at, rows = int(part), 0
-                    store, temporary = _store(f"{names[at]}.{uuid4().hex}")
-                    out = store.open_output_stream(temporary)
+                    system, temporary = store(f"{names[at]}.{uuid4().hex}")
+                    out = system.open_output_stream(temporary)
+                    out.write(header)
                 out.write(np.array(own[col].tolist()).astype(code).tobytes())
                 rows += len(own)
         if out is not None:
             yield close()
 
     for name in names[:1]:
-        store, inner = _store(name)
-        store.create_dir(os.path.dirname(inner), recursive=True)
+        system, inner = store(name)
+        system.create_dir(os.path.dirname(inner), recursive=True)
     ranked = table.select("id", col, even_rank(F.col("id"), n, count).cast("long").alias("part"))
-    done = ranked.repartition(count, "part").sortWithinPartitions("part", "id").mapInPandas(save, "part long, rows long").collect()  # a row per part
+    done = ranked.repartitionById(count, F.col("part").cast("int")).sortWithinPartitions("part", "id").mapInPandas(save, "part long, rows long").collect()  # a row per part
     if sum(r["rows"] for r in done) != n:
         raise ValueError(f"the table holds {sum(r['rows'] for r in done)} entries, not {n}")
     for i in set(range(count)) - {r["part"] for r in done}:
-        store, name = _store(names[i])
-        store.open_output_stream(name).close()
+        system, name = store(names[i])
+        with system.open_output_stream(name) as out:
+            out.write(header)
     return names
 
 
@@ -162,23 +111,32 @@ def _frame(spark: SparkSession, a: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "vec": a.tolist()}), f"id long, vec array<{kind}>")
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """A one- or two-dimensional array in C order, little-endian, as (id, value) or (id, vec)."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()
-    if raw is None:
-        raise ValueError(f"{path} is missing")
-    data = bytes(raw["content"])
-    if data[:6] != b"\x93NUMPY":
-        raise ValueError(f"{path} is no .npy file")
-    head = struct.unpack("<H", data[8:10])[0] + 10 if data[6] == 1 else struct.unpack("<I", data[8:12])[0] + 12
-    import ast
-
-    meta = ast.literal_eval(data[(10 if data[6] == 1 else 12) : head].decode("latin1"))
-    if meta["fortran_order"] or len(meta["shape"]) not in (1, 2):
-        raise ValueError("only arrays of one or two dimensions in C order are read")
-    a = np.frombuffer(data[head:], meta["descr"]).reshape(meta["shape"])
-    a = a.astype("<f4") if a.dtype == np.dtype("<f2") else a
-    return _frame(spark, a)
+def read_npy(spark: SparkSession, path: str, start: int = 0, end: int | None = None, col_start: int = 0, col_end: int | None = None) -> DataFrame:
+    """A one- or two-dimensional array, in either order of elements and bytes, as (id, value) or (id, vec): rows start to
+    end, columns col_start to col_end. The driver reads the header, tasks their ranges of the payload, so a file may be
+    larger than any machine's memory."""
+    dtype, shape, fortran, head = npy_header(path)
+    if len(shape) not in (1, 2):
+        raise ValueError("only arrays of one or two dimensions are read")
+    n, width = shape[0], shape[1] if len(shape) == 2 else 1
+    last = width if col_end is None else min(width, col_end)
+    if width and not 0 <= col_start < last:
+        raise ValueError("the slice of columns is empty")
+    if sizes([path])[0] != head + n * width * dtype.itemsize:
+        raise ValueError(f"{path} does not hold {n} rows of {width}")
+    by_column = n if fortran and len(shape) == 2 else 0
+    return read_records(spark, [path], dtype.str, width, col_start, last - col_start, len(shape) == 1, head, by_column, start, n if end is None else min(n, end))
+
+
+def write_npy(table: DataFrame, path: str, dtype: str, n: int) -> None:
+    """The table (ids 0 to n - 1) in id order as one .npy file. A file is one task's work, a batch at a time; tables for
+    which that is too slow go to parts."""
+    code = NUMPY[dtype]
+    col = "vec" if "vec" in table.columns else "value"
+    dim = (table.select(F.size(col).alias("d")).first() or {"d": 0})["d"] if col == "vec" else 0  # one number
+    header = BytesIO()
+    np.lib.format.write_array_header_1_0(header, {"descr": np.dtype(code).str, "fortran_order": False, "shape": (n, dim) if col == "vec" else (n,)})
+    write_binary(table, path, 1, dtype, n, names=[path], header=header.getvalue())
 
 
 def read_table(spark: SparkSession, src, dtype: str | None = None, shape: tuple | None = None) -> DataFrame:

@@ -309,6 +309,48 @@ def test_sums_within_keys_that_span_tasks(spark):
         assert r["o"] != max(x[1] for x in own) or r["s"] == r["all"]
 
 
+@pytest.mark.parametrize("order", ["C", "F"])
+@pytest.mark.parametrize("code", ["<f4", ">f8", "<f2", "<i2"])
+def test_npy_by_ranges(spark, tmp_path, order, code):
+    """Both orders of elements and bytes, cut into many ranges, whole and by rows and columns."""
+    a = np.asarray(np.arange(311 * 7).reshape(311, 7) % 1000, code, order=order)
+    np.save(tmp_path / "a.npy", a)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        whole = binary.read_npy(spark, str(tmp_path / "a.npy"))
+        assert whole.rdd.getNumPartitions() > 4
+        got = {r["id"]: r["vec"] for r in whole.collect()}
+        assert got == {i: a[i].astype("f8").tolist() for i in range(311)}
+        part = binary.read_npy(spark, f"file:{tmp_path}/a.npy", 50, 120, 2, 5).collect()
+        assert {r["id"]: r["vec"] for r in part} == {i: a[i, 2:5].astype("f8").tolist() for i in range(50, 120)}
+        np.save(tmp_path / "b.npy", a[:, 0])
+        assert [r["value"] for r in binary.read_npy(spark, str(tmp_path / "b.npy"), 300).orderBy("id").collect()] == a[300:, 0].tolist()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_npy_header_and_shapes(spark, tmp_path):
+    np.save(tmp_path / "c.npy", np.zeros((2, 2, 2)))
+    np.save(tmp_path / "e.npy", np.zeros((0, 3), "<f4"))
+    (tmp_path / "cut.npy").write_bytes((tmp_path / "e.npy").read_bytes() + b"123")
+    (tmp_path / "no.npy").write_bytes(b"no numbers here")
+    for name in ("c", "cut", "no", "missing"):
+        with pytest.raises(ValueError):
+            binary.read_npy(spark, str(tmp_path / f"{name}.npy"))
+    assert binary.read_npy(spark, str(tmp_path / "e.npy")).collect() == []
+    t = spark.range(1000).select("id", F.array(*[(F.col("id") * 3 + c).cast("float") for c in range(3)]).alias("vec"))
+    binary.write_npy(t, str(tmp_path / "w.npy"), "float32", 1000)
+    assert (np.load(tmp_path / "w.npy") == np.arange(1000)[:, None] * 3 + np.arange(3)).all()
+    assert "Scan" in binary.read_npy(spark, str(tmp_path / "w.npy"))._jdf.queryExecution().toString()
+
+
+def test_ids_run_over_files(spark, tmp_path):
+    t = spark.range(1000).select("id", (F.col("id") * 2).alias("value"))
+    names = binary.write_binary(t, str(tmp_path / "p"), 7, "int64", 1000)
+    got = binary.read_binary(spark, names, "int64", start=100, end=900)
+    assert sorted((r["id"], r["value"]) for r in got.collect()) == [(i, 2 * i) for i in range(100, 900)]
+
+
 def test_equal_shares(spark):
     rows = spark.createDataFrame([(0, 5), (0, 1), (0, 3), (1, 2), (1, 9)], "rank int, id long")
     assert sorted(map(tuple, negative.equal_shares(rows, "rank", ["id"]).collect())) == [(0, 1), (0, 3), (1, 2), (1, 9)]
