@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +32,24 @@ def exploded(df: DataFrame, id_cols: list[str], vec: str, out: str = "val", digi
     return long.withColumn(out, F.round(F.col(out).cast("double"), digits)) if digits is not None else long
 
 
-def sum_vectors(df: DataFrame, by: list[str], vec: str, out: str, dim: int | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
-    """Elementwise sums per group, one sum a dimension in one aggregate that is combined on the map side. dim: the
-    vectors' length, read off the first row if not given; ``more``: further aggregates of the same groups."""
-    if dim is None:
-        first = df.select(F.size(vec).alias("n")).first()  # one number
-        dim = first["n"] if first else 0
-    sums = [F.sum(F.col(vec)[i].cast("double")).alias(f"_s{i}") for i in range(dim)]
-    got = df.groupBy(*by).agg(F.count("*").alias("_rows"), *sums, *more)
-    own = [c for c in got.columns if c not in by and c != "_rows" and not re.fullmatch(r"_s\d+", c)]
-    return got.select(*by, F.array(*[F.col(f"_s{i}") for i in range(dim)]).cast("array<double>").alias(out), *own)
+#: Elements of a chunk: sums of so few fit one small compiled loop, whatever the vectors' length.
+CHUNK = 16
+
+
+def sum_vectors(df: DataFrame, by: list[str], vec: str, out: str, dim: int | None = None, rows: str | None = None) -> DataFrame:
+    """Elementwise sums per group as doubles; ``rows``: a column for the number of vectors.
+
+    Vectors are summed in chunks, (group, chunk, values), combined on the map side, and put together again from one row per
+    chunk, so the plan is the same for any length. dim: the length, if known; vectors of one chunk are not taken apart."""
+    one = dim is not None and dim <= CHUNK
+    parts = F.greatest(F.ceil(F.size(vec) / CHUNK), F.lit(1)).cast("int")
+    cut = df.select(*by, F.col(vec).alias("_v"), F.lit(0).alias("_c")) if one else df.select(*by, vec, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_c")).select(*by, F.slice(vec, F.col("_c") * CHUNK + 1, CHUNK).alias("_v"), "_c")
+    sums = [F.sum(F.get("_v", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(CHUNK)]
+    got = cut.groupBy(*by, "_c").agg(F.count("*").alias("_rows"), F.max(F.size("_v")).alias("_n"), *sums)
+    summed = F.slice(F.array(*[F.col(f"_s{i}") for i in range(CHUNK)]), F.lit(1), F.greatest("_n", F.lit(0)))
+    more = [F.col("_rows").alias(rows)] if rows else []
+    if one:
+        return got.select(*by, summed.alias(out), *more)
+    whole = got.select(*by, F.struct("_c", summed.alias("_v"), "_rows").alias("_p")).groupBy(*by).agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    more = [F.get("_p", F.lit(0))["_rows"].alias(rows)] if rows else []
+    return whole.select(*by, F.flatten(F.transform("_p", lambda p: p["_v"])).alias(out), *more)

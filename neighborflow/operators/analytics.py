@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neighborflow.functions.vectors import linear, sum_vectors
+from neighborflow.operators.tensor import BROADCAST_BYTES
+from neighborflow.scratch import written
 
 
 def mean_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], with_root: bool = True, dim: int | None = None) -> DataFrame:
     """(by, agg[, root]): elementwise mean of the neighbours' vectors (feats: id, vec)."""
     joined = edges.join(feats.toDF("nbr", "vec"), "nbr")
-    sums = sum_vectors(joined, by, "vec", "total", dim, (F.count("*").alias("n"),))
+    sums = sum_vectors(joined, by, "vec", "total", dim, rows="n")
     out = sums.select(*by, F.transform("total", lambda x: x / F.col("n")).alias("agg"))
     return out.join(feats.toDF("ctr", "root"), "ctr") if with_root else out
 
@@ -56,6 +59,63 @@ def layered_forward(levels: list[DataFrame], feats: DataFrame, layers: list[Laye
     return held
 
 
+def layer_weights(weights: DataFrame) -> list[dict[str, np.ndarray]]:
+    """Matrices by layer and part from rows (layer, part, row, values): parts near, root and bias, the last with one value a
+    row. A model's weights do not grow with the data; more than BROADCAST_BYTES of them are refused."""
+    size = weights.agg(F.sum(8 * F.size("values")).alias("n")).first()["n"] or 0  # one number
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"{size} bytes of weights are too many to send to every task")
+    found: dict[int, dict[str, dict[int, list[float]]]] = {}
+    for r in weights.select("layer", "part", "row", "values").collect():  # bounded above
+        found.setdefault(r["layer"], {}).setdefault(r["part"], {})[r["row"]] = r["values"]
+    return [{part: np.array([rows[i] for i in sorted(rows)], float) for part, rows in found[layer].items()} for layer in sorted(found)]
+
+
+def kept(seed: int, layer: int, pos: np.ndarray, dim: int, share: float) -> np.ndarray:
+    """Which elements of rows at ``pos`` stay under dropout: a hash of place and dimension, the same wherever it is taken."""
+    with np.errstate(over="ignore"):
+        x = pos.astype("u8")[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(dim, dtype="u8") * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed * 1_000_003 + layer)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)) / float(1 << 53) >= share
+
+
+def flow_forward(nodes: DataFrame, edges: DataFrame, feats: DataFrame, weights: DataFrame, hops: int, dropout: float = 0.0, seed: int = 62) -> DataFrame:
+    """(pos, id, vec) of the seeds after a forward pass over a sampled flow, as ``resample_all`` gives it: nodes (pos, id, hop),
+    edges (hop, ctr_pos, nbr_pos). Features are gathered once for all nodes. Each hop, the last first, is a block of its own
+    whose targets are the first of its sources: the neighbours' mean and the target's own vector go through a layer's
+    matrices, a batch of rows at a time; between layers negatives are cut to 0 and, in training, a share ``dropout`` of the
+    elements, the rest being scaled up. A node without features has zeros, one without neighbours a mean of zeros."""
+    model = layer_weights(weights)
+    if len(model) != hops:
+        raise ValueError("a layer is needed for each sampled hop")
+    sent = nodes.sparkSession.sparkContext.broadcast(model)
+    held = nodes.join(feats.select("id", "vec"), "id", "left").select("pos", "id", "hop", "vec")
+    for layer, hop in enumerate(reversed(range(hops))):
+        near = sum_vectors(edges.where(F.col("hop") == hop).join(held.select(F.col("pos").alias("nbr_pos"), "vec"), "nbr_pos"), ["ctr_pos"], "vec", "near", rows="n")
+        block = held.where(F.col("hop") <= hop).join(near.withColumnRenamed("ctr_pos", "pos"), "pos", "left")
+
+        def forward(batches, layer=layer):
+            w = sent.value[layer]
+            width, out = w["near"].shape[1], len(w["near"])
+            rows = lambda s: np.array([np.zeros(width) if v is None else v for v in s], float).reshape(len(s), width)
+            for pdf in filter(len, batches):
+                new = rows(pdf["near"]) / np.maximum(pdf["n"].fillna(1).to_numpy(float), 1)[:, None] @ w["near"].T
+                if "root" in w:
+                    new += rows(pdf["vec"]) @ w["root"].T
+                if "bias" in w:
+                    new += w["bias"][:, 0]
+                if layer + 1 < hops:
+                    new = np.maximum(new, 0)
+                    if dropout:
+                        new = new * kept(seed, layer, pdf["pos"].to_numpy(), out, dropout) / (1 - dropout)
+                yield pdf[["pos", "id", "hop"]].assign(vec=list(new))
+
+        held = written(block.mapInPandas(forward, "pos long, id long, hop int, vec array<double>"), "layer")
+    return held.select("pos", "id", "vec")
+
+
 def normalised_sum(edges: DataFrame, feats: DataFrame, dim: int | None = None) -> DataFrame:
     """(ctr, agg): neighbours' vectors, each over the square root of both ends' degrees."""
     d_nbr = edges.groupBy("nbr").agg(F.count("*").alias("_dn"))

@@ -31,6 +31,14 @@ def column_list(edges: DataFrame, by: str = "ctr", other: str = "nbr") -> DataFr
     return number_within(rows, ["row"], ["eid"], "pos_in_row").select("row", "pos_in_row", "col", "eid")
 
 
+def expand_pointers(pointers: DataFrame) -> DataFrame:
+    """(pos, row): the row of each place of a compressed list from its pointers (row, ptr); the inverse of ``row_pointers``.
+    Every row finds the next one's pointer by number, so no window runs over the rows."""
+    nxt = pointers.select((F.col("row") - 1).alias("row"), F.col("ptr").alias("_end"))
+    spans = pointers.join(nxt, "row").where(F.col("_end") > F.col("ptr"))
+    return spans.select(F.explode(F.sequence("ptr", F.col("_end") - 1)).alias("pos"), "row")
+
+
 def add_self_loops(edges: DataFrame, n_rows: int) -> DataFrame:
     """(row, pos_in_row, col): a loop first in every row, present loops kept; pointers move by the row's number."""
     loops = edges.sparkSession.range(n_rows).select(F.col("id").alias("row"), F.lit(0).cast("long").alias("pos_in_row"), F.col("id").alias("col"))

@@ -39,15 +39,16 @@ def state_names(kind: str) -> list[str]:
     return [*STATES[kind], *(["beta1t", "beta2t"] if kind == "adam" else [])]
 
 
-def step(table: DataFrame, grads: DataFrame, kind: str, lr: float, params: dict | None = None, dim: int | None = None) -> DataFrame:
-    """One lazy step. The join is by id, so a table bucketed or partitioned by id is not shuffled."""
+def step(table: DataFrame, grads: DataFrame, kind: str, lr: float, params: dict | None = None, dim: int | None = None, summed: bool = False) -> DataFrame:
+    """One lazy step. The join is by id, so a table bucketed or partitioned by id is not shuffled. ``summed``: grads have
+    one row per id already, as ``dedup_gradients`` gives them; steps on the same gradients sum them once."""
     if kind not in DEFAULTS:
         raise ValueError(f"optimizer must be one of {sorted(DEFAULTS)}")
     if unknown := set(params or {}) - set(DEFAULTS[kind]):
         raise ValueError(f"{kind} has no parameter {sorted(unknown)}")
     p = DEFAULTS[kind] | (params or {})
     wd = p["weight_decay"]
-    joined = table.join(dedup_gradients(grads, dim).withColumnRenamed("grad", "_g"), "id", "left")
+    joined = table.join((grads if summed else dedup_gradients(grads, dim)).select("id", F.col("grad").alias("_g")), "id", "left")
     hit, w, g = F.col("_g").isNotNull(), F.col("vec"), F.col("_g")
     decoupled = kind == "adam" and p["adam_w"] > 0.5
     if wd and not decoupled:

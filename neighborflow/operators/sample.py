@@ -55,17 +55,20 @@ def sample_offsets(centres: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 
 def resample_all(seeds: DataFrame, edges: DataFrame, fanout: list[int], seed: int, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (pos, id) and edges (hop, ctr_pos, nbr_pos, eid): each hop samples from all unique nodes so far."""
+    """Nodes (pos, id, hop) and edges (hop, ctr_pos, nbr_pos, eid): each hop samples from all unique nodes so far. A node's hop
+    is 0 for seeds, else one more than that of the edges it was found by; places ascend with it."""
     from neighborflow.operators.layout import append_unique
 
     nodes, found = seeds.select(F.col("pos").cast("long").alias("pos"), "id"), None
+    when = F.lit(0)
     for hop, k in enumerate(fanout):
         got = written(one_hop(nodes, edges, k, seed * 1000 + hop, weight).withColumn("npos", F.col("eid")), "hop")
+        before = nodes.count()
         nodes, _ = append_unique(nodes, got.select("npos", F.col("nbr").alias("id")))
-        nodes = written(nodes, "nodes")
+        nodes, when = written(nodes, "nodes"), F.when(F.col("pos") >= before, hop + 1).otherwise(when)
         out = got.join(nodes.toDF("nbr_pos", "nbr"), "nbr").select(F.lit(hop).alias("hop"), F.col("pos").alias("ctr_pos"), "nbr_pos", "eid")
         found = out if found is None else found.unionByName(out)
-    return nodes, found
+    return nodes.withColumn("hop", when.cast("int")), found
 
 
 @dataclass(frozen=True)

@@ -331,6 +331,31 @@ ORACLES = {
     "update_edges": "SELECT o_orderkey AS eid, round(coalesce(q, o_totalprice), 2) AS wgt FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 100) ON l_orderkey = o_orderkey",
     "hetero_biased": _hetero_biased(""),
     "hetero_biased_temporal": _hetero_biased("AND epoch(o_orderdate) <= 852000000"),
+    "csc_to_coo": "SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos, o_custkey AS ctr, o_orderkey AS nbr FROM orders",
+    "hop_node_counts": f"WITH {HETERO} SELECT batch_id, vtype, hop, count(*) AS num_sampled_nodes FROM v GROUP BY ALL",
+    "temporal_monotone": f"""
+        WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), s AS (SELECT user_id AS u, (min(t) + max(t)) // 2 AS t0 FROM e GROUP BY 1)
+        SELECT user_id AS ctr, event_id AS eid, event_id AS nbr FROM e JOIN s ON u = user_id WHERE t >= t0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_key(SEED, 0, 0, 0, 'user_id', 'event_id')}, event_id) <= 3""",
+    "hetero_temporal": f"""
+        WITH h0 AS (SELECT c_nationkey // 5 AS b, c_custkey AS eid, c_nationkey AS ctr FROM customer
+                    QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY {_key(SEED, 'c_nationkey // 5', 0, 0, 'c_nationkey', 'c_custkey')}, c_custkey) <= 6),
+        h1 AS (SELECT b, o_orderkey AS eid, o_custkey AS ctr FROM orders JOIN (SELECT DISTINCT b, eid AS c FROM h0) ON c = o_custkey WHERE epoch(o_orderdate) <= 852000000
+               QUALIFY row_number() OVER (PARTITION BY b, o_custkey ORDER BY {_key(SEED, 'b', 1, 1, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 2)
+        SELECT CAST(b AS BIGINT) AS batch_id, 0 AS hop, 'customer__lives__nation' AS etype, eid, eid AS nbr, CAST(ctr AS BIGINT) AS ctr FROM h0
+        UNION ALL SELECT CAST(b AS BIGINT), 1, 'order__of__customer', eid, eid, ctr FROM h1""",
+    "edge_features": f"""
+        WITH e AS (SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_custkey % 64 AS col, o_totalprice AS value FROM orders
+                   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3)
+        SELECT batch_id, eid, row_number() OVER (PARTITION BY batch_id ORDER BY eid) - 1 AS row, col, value FROM e""",
+    "batch_files": f"""
+        SELECT o_custkey // 64 // 4 AS call_id, o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3""",
+    "link_positives": "SELECT o_orderkey // 512 AS batch_id, o_orderkey % 512 AS pos, o_orderkey AS input_id, o_orderkey AS nbr, o_custkey AS ctr FROM orders",
+    "link_loader_weighted": f"""
+        WITH w AS (SELECT c_custkey AS id, count(o_orderkey) + 1 AS w FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), s AS (SELECT id, sum(w) OVER (ORDER BY id) AS hi, sum(w) OVER (ORDER BY id) - w AS lo FROM w),
+        k0 AS (SELECT count(*) AS n, CAST(greatest(ceil(0.5 * count(*)), ceil(count(*) / 512)) AS BIGINT) AS many FROM orders), k AS (SELECT n, many, CAST(ceil(many / ceil(n / 512)) AS BIGINT) AS share FROM k0),
+        d AS (SELECT i, n, share, {_int(SEED, chr(39) + 'pick' + chr(39), 'i')} % n AS src, {_u(SEED, chr(39) + 'dst' + chr(39), 'i')} * (SELECT sum(w) FROM w) AS u FROM k, (SELECT unnest(range((SELECT many FROM k0))) AS i))
+        SELECT i // share AS batch_id, least(512, n - i // share * 512) + i % share AS pos, o_orderkey AS nbr, id AS ctr FROM d JOIN orders ON o_orderkey = src JOIN s ON u >= lo AND u < hi""",
     "loader_batches": f"""
         WITH e AS (SELECT DISTINCT o_custkey // 64 AS batch_id, o_orderkey AS id, o_totalprice AS value FROM orders
                    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3)
@@ -365,6 +390,20 @@ ORACLES = {
         f1 AS (SELECT f0.id, dim, coalesce((w + m) / 2, w) AS w FROM f0 LEFT JOIN (SELECT ctr AS id, dim, avg(w) AS m FROM e JOIN f0 ON f0.id = nbr GROUP BY 1, 2) USING (id, dim)),
         f2 AS (SELECT f1.id, dim, coalesce((w + m) / 2, w) AS w FROM f1 LEFT JOIN (SELECT ctr AS id, dim, avg(w) AS m FROM e JOIN f1 ON f1.id = nbr GROUP BY 1, 2) USING (id, dim))
         SELECT id, round(max(w) FILTER (WHERE dim = 0), 6) AS first, round(sum(w), 4) AS total FROM f2 GROUP BY 1""",
+    "sampled_forward": f"""
+        WITH e AS (SELECT * FROM {NEAR}),
+        n0 AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
+        g0 AS (SELECT pos AS c, nbr FROM n0 JOIN e ON e.ctr = n0.id QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {_key(62000, 'pos', 'ctr', 'eid')}, eid) <= 3),
+        n1 AS (SELECT pos, id FROM n0 UNION ALL SELECT (SELECT count(*) FROM n0) + row_number() OVER (ORDER BY nbr) - 1, nbr FROM (SELECT DISTINCT nbr FROM g0 WHERE nbr NOT IN (SELECT id FROM n0))),
+        g1 AS (SELECT pos AS c, nbr FROM n1 JOIN e ON e.ctr = n1.id QUALIFY row_number() OVER (PARTITION BY pos ORDER BY {_key(62001, 'pos', 'ctr', 'eid')}, eid) <= 2),
+        x AS (SELECT c_custkey AS id, i, w FROM customer JOIN (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = c_custkey % (SELECT count(*) FROM embeddings)),
+        w AS (SELECT o, i, ((o * 7 + i * 3) % 11 - 5) / 50.0::DOUBLE AS a0, ((o * 7 + i * 3 + 1) % 11 - 5) / 50.0::DOUBLE AS a1, ((o * 7 + i * 3 + 2) % 11 - 5) / 50.0::DOUBLE AS b0, ((o * 7 + i * 3 + 3) % 11 - 5) / 50.0::DOUBLE AS b1
+              FROM (SELECT unnest(range(256)) AS o), (SELECT unnest(range(256)) AS i)),
+        m0 AS (SELECT c, i, avg(x.w) AS m FROM g1 JOIN x ON x.id = g1.nbr GROUP BY 1, 2),
+        h AS (SELECT n1.pos, n1.id, o AS i, greatest(sum(coalesce(m, 0) * a0 + x.w * b0), 0) AS w FROM n1 JOIN x USING (id) LEFT JOIN m0 ON m0.c = n1.pos AND m0.i = x.i JOIN w ON w.i = x.i GROUP BY 1, 2, 3),
+        m1 AS (SELECT c, i, avg(h.w) AS m FROM g0 JOIN h ON h.id = g0.nbr GROUP BY 1, 2),
+        y AS (SELECT n0.pos, n0.id, o, sum(coalesce(m, 0) * a1 + h.w * b1) AS w FROM n0 JOIN h USING (id) LEFT JOIN m1 ON m1.c = n0.pos AND m1.i = h.i JOIN w ON w.i = h.i GROUP BY 1, 2, 3)
+        SELECT pos, id, round(max(w) FILTER (WHERE o = 0), 5) AS first, round(sum(w), 4) AS total FROM y GROUP BY 1, 2""",
     "normalised_sum": """
         WITH e AS (SELECT (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS nbr, o_custkey AS ctr FROM orders),
         x AS (SELECT nbr, ctr, 1 / sqrt(count(*) OVER (PARTITION BY nbr) * count(*) OVER (PARTITION BY ctr)) AS a FROM e)

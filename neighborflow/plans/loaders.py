@@ -1,6 +1,6 @@
 """Loaders: seeds and options in, batches of sampled edges, nodes and attributes out.
 
-A loader's tables are lazy; ``batches`` iterates over them on the driver, a batch at a time.
+A loader's tables are lazy; ``write`` stores them as files of whole batches, which trainers open a batch at a time.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import prod
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from neighborflow.functions.keys import key
 from neighborflow.model import EdgeType
 from neighborflow.operators import negative, tensor
 from neighborflow.operators.numbering import number_rows
-from neighborflow.operators.sample import COMPARE, Options, neighbor_sample, renumber, seed_batches
+from neighborflow.operators.sample import COMPARE, Options, call_groups, neighbor_sample, renumber, seed_batches
+from neighborflow.plans.batches import open_batches, write_batches
 from neighborflow.plans.stores import FeatureStore, GraphStore
+from neighborflow.scratch import shared_dir
 
 
 @dataclass
@@ -47,23 +50,18 @@ class Sampled:
         mine = self.edges.where(F.col("etype") == str(EdgeType(*edge_type)))
         return mine.join(table.withColumnRenamed("id", "eid"), "eid", "left")
 
-    def batches(self) -> Iterator[tuple[int, list, list]]:
-        """(batch, edge rows, node rows) in order: both tables are sorted by batch, and streamed."""
-        nodes = self.nodes.orderBy("batch_id", "vtype", "local_id").toLocalIterator(prefetchPartitions=True)
-        edges = self.edges.orderBy("batch_id", "hop", "etype", "eid").toLocalIterator(prefetchPartitions=True)
-        edge = next(edges, None)
-        held: list = []
-        for node in nodes:
-            if held and node["batch_id"] != held[0]["batch_id"]:
-                own = []
-                while edge is not None and edge["batch_id"] == held[0]["batch_id"]:
-                    own.append(edge)
-                    edge = next(edges, None)
-                yield held[0]["batch_id"], own, held
-                held = []
-            held.append(node)
-        if held:
-            yield held[0]["batch_id"], [edge, *edges] if edge is not None else [], held
+    def write(self, path: str, files: int | None = None) -> None:
+        """Edges, nodes and inputs as files of whole batches; see ``plans.batches`` for how trainers open them."""
+        write_batches({"edges": self.edges, "nodes": self.nodes, "inputs": self.inputs}, path, files)
+
+    def batches(self, path: str | None = None, rank: int = 0, world: int = 1) -> Iterator[tuple[int, list, list]]:
+        """(batch, edge rows, node rows) in order, of one of ``world`` trainers: written once, under ``path`` or in the shared
+        folder, and opened a batch at a time."""
+        if path is None:
+            path = f"{shared_dir(self.edges.sparkSession)}/neighborflow/batches-{uuid4().hex}"
+            self.write(path)
+        for batch, rows in open_batches(path, rank, world):
+            yield batch, rows["edges"], rows["nodes"]
 
 
 def parse_fanout(layers: int, text: str) -> list[int]:
@@ -131,11 +129,39 @@ def check_stores(graph, features=None) -> None:
         raise NotImplementedError("loaders take this library's graph and feature stores")
 
 
+def _in_calls(out: Sampled, batch_size: int, per_call: int | None) -> Sampled:
+    if per_call is None:
+        return out
+    if per_call < 1:
+        raise ValueError("a call takes one seed at least")
+    return Sampled(*[call_groups(df, batch_size, per_call) for df in (out.edges, out.nodes, out.inputs)])
+
+
+def check_weights(counts: dict[str, int], **weights) -> None:
+    """Weights (id, w) by end, each a pair of vertex type and table: one row for each vertex of the type, no null, and one
+    number type for both ends."""
+    given = {end: (vtype, df) for end, (vtype, df) in weights.items() if df is not None}
+    kinds = {end: df.schema["w"].dataType.simpleString() for end, (_, df) in given.items()}
+    if len(set(kinds.values())) > 1:
+        raise ValueError(f"the weights of both ends need one type, not {sorted(kinds.values())}")
+    for end, (vtype, df) in given.items():
+        if kinds[end] not in ("float", "double"):
+            raise ValueError(f"the {end} weights must be fractional numbers, not {kinds[end]}")
+        found = df.agg(F.count("w").alias("n"), F.count_distinct("id").alias("d"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("w").alias("least")).first()  # five numbers
+        n = counts[vtype]
+        if (found["n"], found["d"]) != (n, n) or (n and (found["lo"], found["hi"]) != (0, n - 1)):
+            raise ValueError(f"the {end} weights need a row for each of the {n} nodes of {vtype}, not {found['n']}")
+        if n and found["least"] < 0:
+            raise ValueError(f"the {end} weights must not be negative")
+
+
 def neighbor_loader(
     graph: GraphStore, num_neighbors, input_nodes: DataFrame, vtype: str | None = None, batch_size: int = 16, shuffle: bool = False, drop_last: bool = False,
-    replace: bool = False, disjoint: bool = False, weighted: bool = False, temporal_comparison: str | None = None, seed: int = 62, **other,
+    replace: bool = False, disjoint: bool = False, weighted: bool = False, temporal_comparison: str | None = None, seed: int = 62, local_seeds_per_call: int | None = None, **other,
 ) -> Sampled:
-    """input_nodes: (input_id, id[, t]) of one vertex type; without one, the graph must have a single type."""
+    """input_nodes: (input_id, id[, t]) of one vertex type; without one, the graph must have a single type. With
+    local_seeds_per_call each table has call_id: the group of whole batches, of at most so many seeds, that are meant to be
+    sampled and read together."""
     check_stores(graph)
     check_options(**other)
     types = graph.edge_types()
@@ -151,16 +177,16 @@ def neighbor_loader(
         raise ValueError(f"temporal_comparison must be one of {sorted(COMPARE)}")
     edges, nodes = neighbor_sample(graph.edges(), batches, fanout_by_type(num_neighbors, types), Options(weighted, replace, temporal_comparison, disjoint, seed))
     edges, nodes = renumber(edges, nodes)
-    return Sampled(edges, nodes, batches.select("batch_id", "pos", "input_id", "id"))
+    return _in_calls(Sampled(edges, nodes, batches.select("batch_id", "pos", "input_id", "id")), batch_size, local_seeds_per_call)
 
 
 def link_neighbor_loader(
     graph: GraphStore, num_neighbors, links: DataFrame, edge_type, batch_size: int = 16, negatives: str | None = None, amount: float = 1.0, temporal_comparison: str | None = None, disjoint: bool = False, weighted: bool = False, replace: bool = False, seed: int = 62,
-    src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None, node_time: dict[str, DataFrame] | None = None, temporal_retries: int | None = None,
+    src_weights: DataFrame | None = None, dst_weights: DataFrame | None = None, node_time: dict[str, DataFrame] | None = None, temporal_retries: int | None = None, local_seeds_per_call: int | None = None,
 ) -> Sampled:
     """links: (pos, nbr, ctr[, label][, t]), pos from 0 without gaps. Both ends of a batch's links are its seeds; inputs
     carry edge_label_row, edge_label_col (local ids), label and input_id, -1 for negatives. Negatives are drawn by
-    src_weights and dst_weights (id, w); with node_time, (id, t) by vertex type, and links' times, a negative takes the
+    src_weights and dst_weights (id, w), a row for each node; with node_time, (id, t) by vertex type, and links' times, a negative takes the
     time of the positive at its place, counted round, and is drawn from the nodes that are not later; with
     temporal_retries from all nodes, and again that many times while one is later."""
     check_stores(graph)
@@ -176,6 +202,7 @@ def link_neighbor_loader(
     has_t = "t" in links.columns
     if negatives:
         counts, many = graph.counts(), negative.how_many(n, amount, batch_size)
+        check_weights(counts, src=(t.nbr, src_weights), dst=(t.ctr, dst_weights))
         timed = has_t and node_time is not None
         if timed:
             rows = links.sparkSession.range(many).select(F.col("id").alias("neg_pos"), (F.col("id") % max(1, n)).alias("_p")).join(links.select(F.col("pos").alias("_p"), "t"), "_p").drop("_p")
@@ -207,4 +234,4 @@ def link_neighbor_loader(
     a = local.where(F.col("vtype") == t.nbr).select("batch_id", F.col("id").alias("nbr"), F.col("local_id").alias("edge_label_row"))
     b = local.where(F.col("vtype") == t.ctr).select("batch_id", F.col("id").alias("ctr"), F.col("local_id").alias("edge_label_col"))
     inputs = pairs.join(a, ["batch_id", "nbr"]).join(b, ["batch_id", "ctr"])
-    return Sampled(edges, nodes, inputs)
+    return _in_calls(Sampled(edges, nodes, inputs), batch_size, local_seeds_per_call)

@@ -13,6 +13,7 @@ from neighborflow.operators import analytics, layout, negative, optim, sample, t
 from neighborflow.operators.numbering import number_rows, prefix_sum
 from neighborflow.plans import loaders
 from neighborflow.plans.stores import FeatureStore, GraphStore
+from neighborflow.scratch import written
 from neighborflow.session import load
 from neighborflow.sources import binary, ranks
 
@@ -525,9 +526,10 @@ def dedup_grads(spark, d):
 
 
 def _steps(spark, d, kind, params, n=2):
-    t, g = optim.with_state(vectors(spark, d), kind), _grads(spark, d)
+    t, g = optim.with_state(vectors(spark, d), kind), optim.dedup_gradients(_grads(spark, d), DIM)
+    g = written(g, "gradients") if n > 1 else g
     for _ in range(n):
-        t = optim.step(t, g, kind, 0.1, params, DIM)
+        t = optim.step(t, g, kind, 0.1, params, summed=True)
     return exploded(t, ["id"], "vec")
 
 
@@ -743,6 +745,20 @@ def layered_forward(spark, d):
     return exploded(analytics.layered_forward([edges, edges], feats, layers), ["id"], "vec", digits=5)
 
 
+def sampled_forward(spark, d):
+    """Two hops sampled from customers, their vectors gathered, and two layers of 256 elements with weights from a table."""
+    v, seeds = n_rows(spark, d, "embeddings"), _building(spark, d)
+    nodes, edges = sample.resample_all(seeds, near_edges(spark, d), [3, 2], SEED)
+    feats = customers(spark, d).select("id", (F.col("id") % v).alias("v")).join(vectors(spark, d).toDF("v", "vec"), "v").select("id", "vec")
+    parts = [(0, "near", DIM, 0), (0, "root", DIM, 2), (1, "near", 256, 1), (1, "root", 256, 3)]
+    formed = lambda layer, part, n, shift: spark.range(256).select(F.lit(layer).alias("layer"), F.lit(part).alias("part"), F.col("id").cast("int").alias("row"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((F.col("id") * 7 + i * 3 + shift) % 11 - 5) / F.lit(50.0)).alias("values"))
+    weights = formed(*parts[0])
+    for p in parts[1:]:
+        weights = weights.unionByName(formed(*p))
+    out = analytics.flow_forward(nodes, edges, feats, weights, 2)
+    return out.select("pos", "id", F.round(F.element_at("vec", 1), 5).alias("first"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 def normalised_sum(spark, d):
     """Neighbours' vectors over the square root of both degrees."""
     v, edges = n_rows(spark, d, "embeddings"), near_edges(spark, d).select("nbr", "ctr")
@@ -812,6 +828,74 @@ def cached_gather(spark, d):
     return tensor.gather_cached(t, idx, analytics.cache_admission(idx, 0.25), ["value"]).select("pos", "id", "value", F.col("hit").cast("int").alias("hit"))
 
 
+def csc_to_coo(spark, d):
+    """The compressed list of all orders by customer, expanded to edges again by its pointers."""
+    e, n = order_edges(spark, d), n_rows(spark, d, "customer")
+    ptr, columns = layout.row_pointers(e, n), layout.column_list(e)
+    placed = columns.join(ptr, "row").select((F.col("ptr") + F.col("pos_in_row")).alias("pos"), "col")
+    return layout.expand_pointers(ptr).join(placed, "pos").select("pos", F.col("row").alias("ctr"), F.col("col").alias("nbr"))
+
+
+def hop_node_counts(spark, d):
+    e, n = _hetero(spark, d, sample.Options(seed=SEED))
+    return analytics.hop_counts(e, n)[0].select("batch_id", "vtype", "hop", "num_sampled_nodes")
+
+
+def temporal_monotone(spark, d):
+    """Events from a user's own middle time on, at most three."""
+    seeds = load(spark, d, "events").groupBy(F.col("user_id").cast("long").alias("id")).agg(F.floor((F.min(epoch("ts")) + F.max(epoch("ts"))) / 2).cast("long").alias("t")).select(F.lit(0).cast("long").alias("batch_id"), F.col("id").alias("pos"), F.lit("user").alias("vtype"), "id", "t")
+    e, _ = sample.neighbor_sample({DONE: event_edges(spark, d)}, seeds, {DONE: [3]}, sample.Options(time="monotonically_increasing", seed=SEED))
+    return e.select("ctr", "eid", "nbr")
+
+
+def hetero_temporal(spark, d):
+    """Nations to customers and customers to orders before a date, drawn uniformly."""
+    edges = {OF: order_edges(spark, d), LIVES: lives_edges(spark, d).withColumn("etime", F.lit(852000000).cast("long"))}
+    seeds = nation_seeds(spark, d).withColumn("t", F.lit(852076800).cast("long"))
+    level, _ = sample.neighbor_sample(edges, seeds, {LIVES: [6, 0], OF: [0, 2]}, sample.Options(time="monotonically_decreasing", seed=SEED))
+    return level.select("batch_id", "hop", "etype", "eid", "nbr", "ctr")
+
+
+def _order_graph(spark, d):
+    g = GraphStore(spark)
+    g.put_edge_index(order_edges(spark, d).select("eid", "nbr", "ctr"), OF, size=(n_rows(spark, d, "orders"), n_rows(spark, d, "customer")))
+    return g
+
+
+def edge_features(spark, d):
+    """A loader's edges with their prices."""
+    inputs = customers(spark, d).select(F.col("id").alias("input_id"), "id")
+    out = loaders.neighbor_loader(_order_graph(spark, d), [3], inputs, "customer", 64, seed=SEED)
+    feats = FeatureStore()
+    feats.put_once(tuple(OF), "price", load(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_totalprice").alias("value")), n_rows(spark, d, "orders"))
+    return out.with_edge_features(feats, OF, "price").select("batch_id", "eid", "row", "col", "value")
+
+
+def batch_files(spark, d):
+    """A loader's batches stored as files of whole batches in calls of at most 256 seeds, and the edges read from them."""
+    inputs = customers(spark, d).select(F.col("id").alias("input_id"), "id")
+    out = loaders.neighbor_loader(_order_graph(spark, d), [3], inputs, "customer", 64, seed=SEED, local_seeds_per_call=256)
+    path = _folder(spark, "batches")
+    out.write(path)
+    return spark.read.parquet(f"{path}/edges").select("call_id", "batch_id", "eid", "nbr", "ctr")
+
+
+def link_positives(spark, d):
+    """The given links among a loader's inputs, without its negatives."""
+    links = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr")
+    out = loaders.link_neighbor_loader(_order_graph(spark, d), {OF: [0]}, links, OF, 512, "binary", 1.0, seed=SEED)
+    return out.positives().select("batch_id", "pos", "input_id", "nbr", "ctr")
+
+
+def link_loader_weighted(spark, d):
+    """A loader's triplets: destinations drawn by their number of orders, one more each so that every customer may be."""
+    links = order_edges(spark, d).select(F.col("eid").alias("pos"), "nbr", "ctr")
+    had = load(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("id")).agg(F.count("*").alias("n"))
+    w = customers(spark, d).select("id").join(had, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).cast("double").alias("w"))
+    out = loaders.link_neighbor_loader(_order_graph(spark, d), {OF: [0]}, links, OF, 512, "triplet", 0.5, seed=SEED, dst_weights=w)
+    return out.inputs.where("label = 0").select("batch_id", "pos", "nbr", "ctr")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -820,7 +904,7 @@ QUERIES = {
         onehop_all, onehop_uniform, onehop_weighted, sample_offsets, twohop_resample_all, hetero_twohop, hetero_nodes, hop_counts, batch_statistics, biased_onehop, temporal_onehop, temporal_last, disjoint_onehop, replace_onehop, seed_batches, shuffle_drop_last,
         replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
-        gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, normalised_sum, binary_parts, npy_slice, running_price,
-        rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, all_negatives, negative_temporal_retried, replace_weighted, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts,
+        gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, sampled_forward, normalised_sum, binary_parts, npy_slice, running_price,
+        rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, all_negatives, negative_temporal_retried, replace_weighted, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts, csc_to_coo, hop_node_counts, temporal_monotone, hetero_temporal, edge_features, batch_files, link_positives, link_loader_weighted,
     )
 }

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from neighborflow.model import EdgeType, merged_edges, vertex_counts, vertex_offsets
 from neighborflow.operators import sample
 from neighborflow.operators.sample import Options, neighbor_sample, renumber
-from neighborflow.plans.loaders import link_neighbor_loader, neighbor_loader, parse_fanout
+from neighborflow.plans.batches import batch_range, open_batches
+from neighborflow.plans.loaders import check_weights, link_neighbor_loader, neighbor_loader, parse_fanout
 from neighborflow.plans.stores import FeatureStore, GraphStore
 
 CITES, WRITES = EdgeType("paper", "cites", "paper"), EdgeType("author", "writes", "paper")
@@ -244,3 +245,98 @@ def test_layers_forward(spark):
     feats = spark.createDataFrame([(0, [0.0]), (1, [4.0]), (2, [8.0])], "id long, vec array<double>")
     got = {r["id"]: r["vec"][0] for r in analytics.layered_mean([hop, hop], feats).collect()}
     assert got == {0: (3.0 + (6.0 + 8.0) / 2) / 2, 1: (6.0 + 8.0) / 2, 2: 8.0}
+
+
+def test_batch_files_are_whole_and_shared_out(spark, tmp_path):
+    """Each batch lies in one file of each table; trainers' batches are disjoint and together all."""
+    g = GraphStore(spark)
+    knows = EdgeType("v", "e", "v")
+    n = 200
+    g.put_edge_index(edges(spark, [(i * 7 + 1) % n for i in range(3 * n)], [i % n for i in range(3 * n)]), knows, size=(n, n))
+    inputs = spark.range(n).select(F.col("id").alias("input_id"), "id")
+    out = neighbor_loader(g, [2, 2], inputs, batch_size=8, local_seeds_per_call=20)
+    path = str(tmp_path / "b")
+    out.write(path, files=5)
+    for name in ("edges", "nodes", "inputs"):
+        held = spark.read.parquet(f"{path}/{name}").select("batch_id", F.input_file_name().alias("file")).groupBy("batch_id").agg(F.count_distinct("file").alias("f")).collect()
+        assert len(held) == 25 and all(r["f"] == 1 for r in held)
+    seen = {}
+    for rank in range(3):
+        for batch, rows_ in open_batches(f"file:{path}", rank, 3):
+            assert batch not in seen and batch in batch_range(path, rank, 3)
+            seen[batch] = rows_
+    assert sorted(seen) == list(range(25)) and list(seen) == sorted(seen)
+    want = rows(out.edges, "batch_id", "hop", "eid", "row", "col")
+    assert sorted((r["batch_id"], r["hop"], r["eid"], r["row"], r["col"]) for b in seen.values() for r in b["edges"]) == want
+    assert all(r["call_id"] == r["batch_id"] // 2 for b in seen.values() for t in b.values() for r in t)
+    again = {b: (len(e), len(v)) for b, e, v in out.batches(path)}
+    assert again == {b: (len(r["edges"]), len(r["nodes"])) for b, r in seen.items()}
+    with pytest.raises(ValueError):
+        batch_range(path, 3, 3)
+    with pytest.raises(ValueError):
+        neighbor_loader(g, [2], inputs, batch_size=8, local_seeds_per_call=0)
+
+
+def test_weights_are_checked(spark):
+    counts = {"a": 3, "b": 2}
+    w = lambda rows_, kind="double": spark.createDataFrame(rows_, f"id long, w {kind}")
+    good = w([(0, 1.0), (1, 0.0), (2, 2.0)])
+    check_weights(counts, src=("a", good), dst=("b", None))
+    check_weights(counts, src=("a", good), dst=("b", w([(0, 1.0), (1, 3.0)])))
+    for bad in (w([(0, 1.0), (1, 1.0)]), w([(0, 1.0), (1, 1.0), (3, 1.0)]), w([(0, 1.0), (1, 1.0), (1, 1.0)]), w([(0, 1.0), (1, None), (2, 1.0)]), w([(0, 1.0), (1, -1.0), (2, 1.0)]), w([(0, 1), (1, 1), (2, 1)], "int")):
+        with pytest.raises(ValueError):
+            check_weights(counts, src=("a", bad), dst=("b", None))
+    with pytest.raises(ValueError):
+        check_weights(counts, src=("a", good), dst=("b", w([(0, 1.0), (1, 3.0)], "float")))
+    g = GraphStore(spark)
+    knows = EdgeType("v", "e", "v")
+    g.put_edge_index(edges(spark, [1, 2, 3], [0, 0, 1]), knows, size=(5, 5))
+    links = spark.createDataFrame([(0, 1, 0)], "pos long, nbr long, ctr long")
+    with pytest.raises(ValueError, match="each of the 5 nodes"):
+        link_neighbor_loader(g, {knows: [1]}, links, knows, negatives="binary", dst_weights=good)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_flow_forward_against_numpy(spark, dropout):
+    """Three hops; a node without features, targets without neighbours, and a hub."""
+    import numpy as np
+
+    from neighborflow.operators import analytics
+
+    rng = np.random.default_rng(4)
+    g = edges(spark, [int(x) for x in rng.integers(0, 60, 300)], [int(x) for x in np.where(rng.random(300) < 0.4, 3, rng.integers(0, 50, 300))])
+    seeds_ = spark.createDataFrame([(i, x) for i, x in enumerate([3, 7, 55, 12])], "pos long, id long")
+    nodes, flow = sample.resample_all(seeds_, g, [3, 2, 2], 9)
+    feats = {i: rng.normal(size=5) for i in range(58)}
+    w = [(rng.normal(size=(6, 5)), rng.normal(size=(6, 5)), rng.normal(size=6)), (rng.normal(size=(4, 6)), None, rng.normal(size=4)), (rng.normal(size=(2, 4)), rng.normal(size=(2, 4)), None)]
+    table = [(i, part, r, [float(x) for x in np.atleast_1d(m[r])]) for i, ms in enumerate(w) for part, m in zip(("near", "root", "bias"), ms) if m is not None for r in range(len(m))]
+    weights = spark.createDataFrame(table, "layer int, part string, row int, values array<double>")
+    fdf = spark.createDataFrame([(i, v.tolist()) for i, v in feats.items()], "id long, vec array<double>")
+    got = {r["pos"]: r["vec"] for r in analytics.flow_forward(nodes, flow, fdf, weights, 3, dropout, 5).collect()}
+    held = {r["pos"]: feats.get(r["id"], np.zeros(5)) for r in nodes.collect()}
+    hop_of = {r["pos"]: r["hop"] for r in nodes.collect()}
+    all_edges = [(r["hop"], r["ctr_pos"], r["nbr_pos"]) for r in flow.collect()]
+    for layer, hop in enumerate((2, 1, 0)):
+        near, root, bias = w[layer]
+        new = {}
+        for p in (p for p in held if hop_of[p] <= hop):
+            mine = [held[b] for h, a, b in all_edges if h == hop and a == p]
+            x = near @ (np.mean(mine, axis=0) if mine else np.zeros(near.shape[1])) + (root @ held[p] if root is not None else 0) + (bias if bias is not None else 0)
+            if layer < 2:
+                x = np.maximum(x, 0) * (analytics.kept(5, layer, np.array([p]), len(x), dropout)[0] / (1 - dropout) if dropout else 1)
+            new[p] = x
+        held = new
+    assert sorted(got) == [0, 1, 2, 3] and all(np.allclose(got[p], held[p]) for p in got)
+    if dropout:
+        share = analytics.kept(5, 0, np.arange(4000), 8, dropout).mean()
+        assert abs(share - 0.7) < 0.02
+    with pytest.raises(ValueError):
+        analytics.flow_forward(nodes, flow, fdf, weights, 2)
+
+
+def test_pointers_expand(spark):
+    from neighborflow.operators import layout
+
+    g = edges(spark, list(range(20)), [3 if i % 2 else i % 7 for i in range(20)])
+    got = rows(layout.expand_pointers(layout.row_pointers(g, 9)), "pos", "row")
+    assert got == list(enumerate(sorted(3 if i % 2 else i % 7 for i in range(20))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from neighborflow.functions import partition as P
 from neighborflow.functions.keys import key, permuted, positive_ints, uniform
+from neighborflow.functions.vectors import sum_vectors
 from neighborflow.model import cast_within
 from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
 from neighborflow.operators.numbering import number_rows, number_within, prefix_sum, prefix_within, search_sorted
@@ -351,6 +352,21 @@ def test_ids_run_over_files(spark, tmp_path):
     assert sorted((r["id"], r["value"]) for r in got.collect()) == [(i, 2 * i) for i in range(100, 900)]
 
 
+@pytest.mark.parametrize("dim", [1, 16, 17, 1000])
+def test_sums_of_vectors_of_any_length(spark, dim):
+    """A hot group, combined before the shuffle; the plan does not grow with the length."""
+    df = spark.range(300).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 5).alias("k"), F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (F.col("id") * i % 13).cast("float")).alias("v"))
+    got = sum_vectors(df, ["k"], "v", "s", rows="n")
+    plan = got._jdf.queryExecution().toString()
+    assert len(plan) < 60_000
+    v = np.arange(300)[:, None] * np.arange(1, dim + 1) % 13
+    k = np.where(np.arange(300) % 3 > 0, 7, np.arange(300) % 5)
+    for r in got.collect():
+        assert r["s"] == v[k == r["k"]].sum(axis=0).tolist() and r["n"] == (k == r["k"]).sum()
+    if dim == 16:
+        assert [r["s"] for r in sum_vectors(df, ["k"], "v", "s", dim).orderBy("k").collect()] == [r["s"] for r in got.orderBy("k").collect()]
+
+
 def test_equal_shares(spark):
     rows = spark.createDataFrame([(0, 5), (0, 1), (0, 3), (1, 2), (1, 9)], "rank int, id long")
     assert sorted(map(tuple, negative.equal_shares(rows, "rank", ["id"]).collect())) == [(0, 1), (0, 3), (1, 2), (1, 9)]
