@@ -84,16 +84,17 @@ class Options:
 
 
 def _redrawn(cand: DataFrame, group: list[str], k: int, o: Options) -> DataFrame:
-    """k independent draws for each group. A group's edges are numbered by id, or summed up by weight, in one range sort, so
-    that they may span tasks; a draw names a place, or a point of the sum, and is joined to the one edge there."""
-    from neighborflow.operators.numbering import number_rows, number_within, prefix_within, search_sorted
+    """k independent draws for each group. All edges are numbered by group and id, or also summed up by weight, in a range
+    sort, so that a group may span tasks; a draw is its group's first number plus a place, or a point of its sum, and is
+    joined to the one edge there."""
+    from neighborflow.operators.numbering import number_rows, prefix_within, search_sorted
 
     draws = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     if not o.weighted:
-        placed = written(number_within(cand, group, ["eid"], "place", "deg"), "placed")
-        each = placed.where("place = 0").select(*group, "deg", draws.alias("draw"))
-        chosen = each.select(*group, (key_int(key(o.seed, *[F.col(g) for g in group], F.col("draw"))) % F.col("deg")).alias("place"))
-        return chosen.join(placed, [*group, "place"]).select(*cand.columns)
+        placed = number_rows(cand, [*group, "eid"], "_r")
+        each = placed.groupBy(*group).agg(F.min("_r").alias("_first"), F.count("*").alias("_deg")).select(*group, "_first", "_deg", draws.alias("draw"))
+        chosen = each.select((F.col("_first") + key_int(key(o.seed, *[F.col(g) for g in group], F.col("draw"))) % F.col("_deg")).alias("_r"))
+        return chosen.join(placed, "_r").select(*cand.columns)
     summed = written(number_rows(prefix_within(cand, group, ["eid"], "wgt", "_hi", "_all"), [*group, "eid"], "_r"), "summed")
     each = summed.groupBy(*group).agg(F.first("_all").alias("_all")).select(*group, "_all", draws.alias("draw"))
     points = each.withColumn("_u", uniform(key(o.seed, *[F.col(g) for g in group], F.col("draw"), "weight")) * F.col("_all"))
