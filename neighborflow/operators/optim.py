@@ -5,9 +5,10 @@ A table is (id, vec); states are array columns beside it. Rows without gradients
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from neighborflow.functions.keys import key, uniform
 from neighborflow.functions.vectors import constant_like, sum_vectors, zip_map
 from neighborflow.operators import tensor
 
@@ -35,6 +36,13 @@ def with_state(table: DataFrame, kind: str) -> DataFrame:
     return out.withColumn("beta1t", F.lit(1.0)).withColumn("beta2t", F.lit(1.0)) if kind == "adam" else out
 
 
+def xavier_uniform(spark: SparkSession, n: int, dim: int, seed: int) -> DataFrame:
+    """A new table (id, vec) of n rows, uniform in plus or minus the square root of 6 / (n + dim), each element by its own
+    key: rows may be made again anywhere."""
+    bound = (6 / (n + dim)) ** 0.5
+    return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (uniform(key(seed, "init", F.col("id"), i)) * 2 - 1) * bound).alias("vec"))
+
+
 def state_names(kind: str) -> list[str]:
     return [*STATES[kind], *(["beta1t", "beta2t"] if kind == "adam" else [])]
 

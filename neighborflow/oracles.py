@@ -303,7 +303,7 @@ ORACLES = {
     "adamw_step": _adam(True),
     "adagrad_step": _optimizer("0.0::DOUBLE AS s", {"w": "CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd / (sqrt(s + gd * gd) + 1e-8) END", "s": "CASE WHEN g IS NULL THEN s ELSE s + gd * gd END"}, 2),
     "rmsprop_step": _optimizer("0.0::DOUBLE AS v", {"w": "CASE WHEN g IS NULL THEN w ELSE w - 0.1 * gd / (sqrt(0.99 * v + 0.01 * gd * gd) + 1e-8) END", "v": "CASE WHEN g IS NULL THEN v ELSE 0.99 * v + 0.01 * gd * gd END"}, 2),
-    "xavier_init": f"SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(dim AS INTEGER) AS dim, round(({_u(SEED, chr(39) + 'init' + chr(39), 'n_nationkey', 'dim')} * 2 - 1) * sqrt(6.0 / 33), 6) AS val FROM nation, (SELECT unnest(range(8)) AS dim)",
+    "xavier_init": f"SELECT c_custkey AS id, CAST(dim AS INTEGER) AS dim, round(({_u(SEED, chr(39) + 'init' + chr(39), 'c_custkey', 'dim')} * 2 - 1) * sqrt(6.0 / (n + 8)), 6) AS val FROM (SELECT c_custkey, count(*) OVER () AS n FROM customer), (SELECT unnest(range(8)) AS dim)",
     "mean_aggregate": f"""
         SELECT ctr, CAST(dim AS INTEGER) AS dim, round(avg(w), 6) AS val FROM (SELECT ctr, nbr % (SELECT count(*) FROM embeddings) AS v FROM ({ONEHOP}) WHERE rn <= 3)
         JOIN (SELECT vec_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings) ON vec_id = v GROUP BY 1, 2""",
@@ -378,7 +378,7 @@ ORACLES = {
         d AS (SELECT i, n, {_int(SEED, chr(39) + 'pick' + chr(39), 'i')} % n AS pos, {_u(SEED, chr(39) + 'dst' + chr(39), 'i')} * n AS u FROM (SELECT count(*) AS n, unnest(range(CAST(ceil(0.25 * count(*)) AS BIGINT))) AS i FROM orders))
         SELECT i AS neg_pos, o_orderkey AS nbr, id AS ctr FROM d JOIN orders ON o_orderkey = pos JOIN s ON u >= lo AND u < hi""",
     "negative_unique": f"""
-        WITH d AS (SELECT i, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % c AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % 25 AS ctr FROM (SELECT unnest(range(CAST(ceil(0.5 * count(*)) AS BIGINT))) AS i FROM orders), (SELECT count(*) AS c FROM customer))
+        WITH d AS (SELECT i, {_int(SEED, chr(39) + 'src' + chr(39), 'i')} % c AS nbr, {_int(SEED, chr(39) + 'dst' + chr(39), 'i')} % (SELECT count(*) FROM nation) AS ctr FROM (SELECT unnest(range(CAST(ceil(0.5 * count(*)) AS BIGINT))) AS i FROM orders), (SELECT count(*) AS c FROM customer))
         SELECT min(i) AS neg_pos, nbr, ctr FROM d GROUP BY 2, 3""",
     "balanced_links": f"""
         WITH r AS (SELECT o_orderkey AS pos, CAST(o_totalprice > 150000 AS INTEGER) AS label FROM orders), t AS (SELECT pos, label, row_number() OVER (PARTITION BY label ORDER BY {_key(SEED, chr(39) + 'turn' + chr(39), 'label', 'pos')}, pos) AS turn FROM r)

@@ -9,7 +9,6 @@ import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import prod
-from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from neighborflow.operators.numbering import number_rows
 from neighborflow.operators.sample import COMPARE, Options, call_groups, neighbor_sample, renumber, seed_batches
 from neighborflow.plans.batches import open_batches, write_batches
 from neighborflow.plans.stores import FeatureStore, GraphStore
-from neighborflow.scratch import shared_dir
+from neighborflow.scratch import folder
 
 
 @dataclass
@@ -58,7 +57,7 @@ class Sampled:
         """(batch, edge rows, node rows) in order, of one of ``world`` trainers: written once, under ``path`` or in the shared
         folder, and opened a batch at a time."""
         if path is None:
-            path = f"{shared_dir(self.edges.sparkSession)}/neighborflow/batches-{uuid4().hex}"
+            path = folder(self.edges.sparkSession, "batches")
             self.write(path)
         for batch, rows in open_batches(path, rank, world):
             yield batch, rows["edges"], rows["nodes"]

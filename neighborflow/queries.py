@@ -13,7 +13,7 @@ from neighborflow.operators import analytics, layout, negative, optim, sample, t
 from neighborflow.operators.numbering import number_rows, prefix_sum
 from neighborflow.plans import loaders
 from neighborflow.plans.stores import FeatureStore, GraphStore
-from neighborflow.scratch import written
+from neighborflow.scratch import folder, written
 from neighborflow.session import load
 from neighborflow.sources import binary, ranks
 
@@ -568,17 +568,15 @@ def buffered_steps(spark, d):
 
 def embedding_files(spark, d):
     """An embedding and its optimizer's state after a step, saved and loaded."""
-    path = f"{_folder(spark, 'embedding')}/vec"
+    path = f"{folder(spark, 'embedding')}/vec"
     binary.save_embedding(optim.step(optim.with_state(vectors(spark, d), "adagrad"), _grads(spark, d), "adagrad", 0.1, {"weight_decay": 0.01}, DIM), path)
     held = binary.load_embedding(spark, path, optim.state_names("adagrad"))
     return exploded(held, ["id"], "vec").join(exploded(held, ["id"], "state_sum", "state"), ["id", "dim"])
 
 
 def xavier_init(spark, d):
-    """Uniform in plus or minus the square root of 6 / (fan in + fan out)."""
-    a = (6 / (25 + 8)) ** 0.5
-    cells = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("dim"))
-    return cells.select("id", "dim", F.round((uniform(key(SEED, "init", F.col("id"), F.col("dim"))) * 2 - 1) * a, 6).alias("val"))
+    """A new table with a row of eight elements for every customer."""
+    return exploded(optim.xavier_uniform(spark, n_rows(spark, d, "customer"), 8, SEED), ["id"], "vec")
 
 
 # -- aggregation and metrics -------------------------------------------------------------------------------------------
@@ -714,7 +712,7 @@ def negative_triplet_weighted(spark, d):
 
 def negative_unique(spark, d):
     """Binary negatives between customers and nations, equal pairs once."""
-    neg = negative.binary_negatives(spark, n_rows(spark, d, "orders"), 0.5, 512, n_rows(spark, d, "customer"), 25, SEED)
+    neg = negative.binary_negatives(spark, n_rows(spark, d, "orders"), 0.5, 512, n_rows(spark, d, "customer"), n_rows(spark, d, "nation"), SEED)
     return negative.deduplicated(neg)
 
 
@@ -769,14 +767,14 @@ def normalised_sum(spark, d):
 def binary_parts(spark, d):
     """The vectors written as five headerless parts and read back."""
     t = load(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
-    names = binary.write_binary(t, f"{_folder(spark, 'parts')}/vec", 5, "float32", t.count())
+    names = binary.write_binary(t, f"{folder(spark, 'parts')}/vec", 5, "float32", t.count())
     return exploded(binary.read_binary(spark, names, "float32", DIM), ["id"], "vec")
 
 
 def npy_slice(spark, d):
     """The vectors written as one .npy file; of it the rows from 100 on and the columns 4 to 11 are read."""
     t = load(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
-    path = f"{_folder(spark, 'npy')}/vec.npy"
+    path = f"{folder(spark, 'npy')}/vec.npy"
     binary.write_npy(t, path, "float32", t.count())
     return exploded(binary.read_npy(spark, path, start=100, col_start=4, col_end=12), ["id"], "vec")
 
@@ -784,7 +782,7 @@ def npy_slice(spark, d):
 def round_robin_parts(spark, d):
     """Balances written as four parts, read under the table's capacity, dealt to 5 ranks in blocks of 16."""
     t = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
-    n, prefix = n_rows(spark, d, "customer"), f"{_folder(spark, 'parts')}/balance"
+    n, prefix = n_rows(spark, d, "customer"), f"{folder(spark, 'parts')}/balance"
     binary.write_binary(t, prefix, 4, "float64", n)
     return binary.deal_round_robin(binary.read_parts(spark, prefix, 4, "float64", n=n), 16, 5).select("id", "value", "rank", "slot")
 
@@ -795,17 +793,9 @@ def running_price(spark, d):
     return prefix_sum(rows, ["id"], "v", "before").select("id", F.round("before", 2).alias("before"))
 
 
-def _folder(spark, name):
-    from uuid import uuid4
-
-    from neighborflow.scratch import shared_dir
-
-    return f"{shared_dir(spark)}/neighborflow/{name}-{uuid4().hex}"
-
-
 def rank_dump(spark, d):
     """Customers' balances and all vectors dumped by 7 ranks and loaded again."""
-    path = _folder(spark, "ranks")
+    path = folder(spark, "ranks")
     cust = load(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
     ranks.dump_ranks({"customer": cust, "vector": vectors(spark, d)}, path, 7)
     a = ranks.load_ranks(spark, path, "customer").select(F.lit("customer").alias("name"), "rank", "id", F.round("value", 2).alias("total"))
@@ -875,7 +865,7 @@ def batch_files(spark, d):
     """A loader's batches stored as files of whole batches in calls of at most 256 seeds, and the edges read from them."""
     inputs = customers(spark, d).select(F.col("id").alias("input_id"), "id")
     out = loaders.neighbor_loader(_order_graph(spark, d), [3], inputs, "customer", 64, seed=SEED, local_seeds_per_call=256)
-    path = _folder(spark, "batches")
+    path = folder(spark, "batches")
     out.write(path)
     return spark.read.parquet(f"{path}/edges").select("call_id", "batch_id", "eid", "nbr", "ctr")
 
