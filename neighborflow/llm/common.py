@@ -42,14 +42,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = got.get() if got.isDefined() else None
-    if not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return found.rstrip("/")
+    """The folder all executors share: the session's spark.checkpoint.dir, or the one set on its context. Without either, one
+    in the warehouse on a single machine, and an error on a cluster, where the warehouse may be a local folder."""
+    from neighborflow import scratch
+
+    return scratch.shared_dir(spark)
 
 
 class Scratch:
@@ -60,14 +57,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.saved: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.saved.add(name)
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def only(self, *names: str) -> None:
+        """Remove all tables but these, which a lazy result still reads."""
+        if gone := sorted(self.saved - set(names)):
+            self.drop(*gone)
+
     def drop(self, *names: str) -> None:
         """Remove tables no later step reads; without names, all of them."""
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for path in [f"{self.root}/{n}" for n in names] or [self.root]:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+        self.saved -= set(names or self.saved)

@@ -333,13 +333,21 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while not edges.isEmpty():
         r = len(moves)
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        least = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("m"))
-        choice = s.save(least.select(F.col("a").alias("node"), F.least("m", rank("a"))["id"].alias("to")), f"{name}-choice-{r}")
-        move = s.save(choice.join(choice.toDF("to", "on"), "to").select("node", F.col("on").alias("to")), f"{name}-move-{r}")
-        new = edges.join(move.toDF("a", "c"), "a").join(move.toDF("b", "d"), "b").where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+        least = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("m"), (F.count("*") + 1).alias("many"))
+        choice = s.save(least.select(F.col("a").alias("node"), F.least("m", rank("a"))["id"].alias("to"), "many"), f"{name}-choice-{r}")
+        hot = not choice.where(F.col("many") > SPREAD).isEmpty()
+
+        def met(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:  # a star's leaves are dealt over tasks
+            return dealt(big, small, key, by, s, f"{name}-{key}-{r}") if hot else big.join(small.drop("many"), key)  # noqa: B023
+
+        move = met(choice.drop("many"), choice.toDF("to", "on", "many"), "to", "node").select("node", F.col("on").alias("to"))
+        move = s.save(move.join(choice.select("node", "many"), "node") if hot else move, f"{name}-move-{r}")
+        ends = move if hot else move.withColumn("many", F.lit(1))
+        new = met(edges, ends.toDF("a", "c", "many"), "a", "b").select("a", "b", "c")
+        new = met(new, ends.toDF("b", "d", "many"), "b", "a").where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
         edges = s.save(new, f"{name}-edges-{r + 1}")
-        s.drop(f"{name}-edges-{r}", f"{name}-choice-{r}")
-        moves.append(move)
+        s.drop(f"{name}-edges-{r}", f"{name}-choice-{r}", *[f"{name}-{k}-{r}-crowds" for k in ("to", "a", "b") if hot])
+        moves.append(move.select("node", "to"))
     if not moves:
         return edges.toDF("node", "comp")
     root = moves[-1]
@@ -398,5 +406,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHashParams = Min
             comp = joined(comp, more, s, f"comp-{r}")
     classes = s.save(reps.select("digest", "rep", "many").join(comp.toDF("rep", "comp"), "rep", "left").select("digest", "many", F.coalesce("comp", "rep").alias("comp")), "classes")
     rows = sigs.select("doc_id", "n_shingles", "digest", F.coalesce("doc_id", F.monotonically_increasing_id()).alias("at"))
+    if scratch is None:
+        s.only("sigs", "classes")
     out = dealt(rows, classes, "digest", "at", s, "rows", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
