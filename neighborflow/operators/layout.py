@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from neighborflow.operators.numbering import number_rows, number_within, prefix_sum
 
 
-#: Items of a basket that are paired in one task.
-BASKET = 1024
+#: Memberships of a basket that are paired within one row, and items of a larger one that are paired in one task.
+SMALL_BASKET, BASKET = 256, 1024
 
 
 def degree(edges: DataFrame, by: str = "ctr") -> DataFrame:
@@ -63,20 +63,34 @@ def reverse(edges: DataFrame) -> DataFrame:
 def cooccurrence(pairs: DataFrame, item: str, basket: str, at_least: int) -> DataFrame:
     """(a, b, cnt): items that share baskets, each shared membership counted, no diagonal.
 
-    Memberships are counted first, so a repeated one multiplies instead of making more pairs; pairs are then summed on
-    the map side. A large basket is split into blocks of items by a hash, and each two blocks meet in a task of their
-    own: its pairs are its result, but no task gets a whole basket.
-    """
-    m = pairs.groupBy(F.col(basket).alias("k"), F.col(item).alias("i")).agg(F.count("*").alias("c"))
-    large = m.groupBy("k").agg(F.ceil(F.count("*") / BASKET).cast("int").alias("blocks")).where("blocks > 1")
-    placed = m.join(large, "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "i", "c", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    left, right = dealt.toDF("k", "a", "ca", "oa", "lo", "hi"), dealt.toDF("k", "b", "cb", "ob", "lo", "hi")
-    half = left.join(right, ["k", "lo", "hi"]).where("a < b AND (lo = hi OR oa <> ob)").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("cnt")).where(F.col("cnt") >= at_least)
+    A basket of few memberships becomes one row, its array of items, and pairs come out of the row: one shuffle by basket,
+    and pairs are counted on the map side. Larger ones, of which there are few, are split into blocks of items by a
+    hash, and each two blocks meet in a task of their own: its pairs are its result, but no task gets a whole basket.
+    There memberships are counted first, so a repeated one multiplies instead of making more pairs."""
+    from neighborflow.scratch import written
+
+    rows = pairs.select(F.col(basket).alias("k"), F.col(item).alias("i"))
+    large = written(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BASKET).select("k"), "large")
+    small, found = rows.where("k IS NOT NULL AND i IS NOT NULL"), None
+    if not large.isEmpty():
+        small, found = small.join(large, "k", "left_anti"), _in_blocks(rows.join(large, "k", "left_semi"))
+    packed = small.groupBy("k").agg(F.collect_list("i").alias("all")).where(F.size("all") > 1)
+    each = packed.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"), F.lit(1).cast("long").alias("c"))
+    half = (each.unionByName(found) if found is not None else each).groupBy("a", "b").agg(F.sum("c").alias("cnt")).where(F.col("cnt") >= at_least)
     both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
     return half.select(both.alias("p"), "cnt").select(F.col("p.x").alias("a"), F.col("p.y").alias("b"), "cnt")
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b, c) with a < b: pairs of items of each basket (k, i) and the product of their memberships."""
+    m = rows.groupBy("k", "i").agg(F.count("*").alias("c"))
+    blocks = m.groupBy("k").agg(F.ceil(F.count("*") / BASKET).cast("int").alias("blocks"))
+    placed = m.join(blocks, "k").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "i", "c", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    left, right = dealt.toDF("k", "a", "ca", "oa", "lo", "hi"), dealt.toDF("k", "b", "cb", "ob", "lo", "hi")
+    return left.join(right, ["k", "lo", "hi"]).where("a < b AND (lo = hi OR oa <> ob)").select("a", "b", (F.col("ca") * F.col("cb")).alias("c"))
+
+
 def layer_subgraph(edges: DataFrame, targets: DataFrame, loops: bool = False) -> DataFrame:
     """(row, col) of a sampled layer as a matrix from edges (ctr_pos, nbr_pos): a row for each target (pos), repeated edges
     kept; with ``loops`` each target also has (pos, pos)."""

@@ -367,6 +367,26 @@ def test_sums_of_vectors_of_any_length(spark, dim):
         assert [r["s"] for r in sum_vectors(df, ["k"], "v", "s", dim).orderBy("k").collect()] == [r["s"] for r in got.orderBy("k").collect()]
 
 
+@pytest.mark.parametrize("small,block", [(256, 1024), (3, 5), (0, 1000)])
+def test_cooccurrence_of_hot_baskets(spark, small, block, monkeypatch):
+    """Repeated memberships, a basket of half of all rows, nulls: the same pairs whether baskets are rows, blocks or both."""
+    monkeypatch.setattr(layout, "SMALL_BASKET", small)
+    monkeypatch.setattr(layout, "BASKET", block)
+    rows = [(0 if i % 2 else i % 40, i * 7 % 23) for i in range(300)] + [(None, 1), (None, 2), (5, None)]
+    df = spark.createDataFrame(rows, "k long, i long")
+    baskets, want = {}, {}
+    for k, i in rows:
+        if k is not None and i is not None:
+            baskets.setdefault(k, []).append(i)
+    for own in baskets.values():
+        for x, a in enumerate(own):
+            for y, b in enumerate(own):
+                if x != y and a != b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    got = {(r["a"], r["b"]): r["cnt"] for r in layout.cooccurrence(df, "i", "k", 40).collect()}
+    assert got == {p: n for p, n in want.items() if n >= 40}
+
+
 def test_equal_shares(spark):
     rows = spark.createDataFrame([(0, 5), (0, 1), (0, 3), (1, 2), (1, 9)], "rank int, id long")
     assert sorted(map(tuple, negative.equal_shares(rows, "rank", ["id"]).collect())) == [(0, 1), (0, 3), (1, 2), (1, 9)]
