@@ -165,19 +165,37 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return id_text(docs).mapInPandas(run, "doc_id long, fingerprint string")
 
 
+def members(fingerprints: DataFrame) -> DataFrame:
+    """(doc_id, rep): each document and the smallest doc_id with its fingerprint. Rows without a doc_id take no part."""
+    named = fingerprints.where("doc_id IS NOT NULL")
+    return named.select("doc_id", "fingerprint").join(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "fingerprint").select("doc_id", "rep")
+
+
+#: Fingerprints of one band that a task takes before the rest of them go to others.
+SPREAD = 1024
+
+
 def near_pairs(fingerprints: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:
-    """Search: (query, doc_id, likeness) of all documents that share a band with a query text and verify. Documents with
-    one fingerprint are one candidate, and come back through their membership, so copies are never paired."""
+    """Search: (query, rep, likeness) of fingerprints that share a band with a query's and verify. A fingerprint stands for
+    all its documents: ``query`` is the smallest doc_id with it among the queries, ``rep`` the one among all, and
+    ``members`` gives the rest, so copies are not expanded into pairs. A band that many fingerprints share is dealt over
+    tasks."""
     keyed = lambda df: df.mapInPandas(lambda it: (pd.DataFrame({"fingerprint": p["fingerprint"], "band": [bands(f) for f in p["fingerprint"]]}) for p in filter(len, it)), "fingerprint string, band array<string>").select("fingerprint", F.explode("band").alias("band"))
-    left, right = queries.select("fingerprint").distinct(), fingerprints.select("fingerprint").distinct()
-    pairs = keyed(left).toDF("f", "band").join(keyed(right).toDF("g", "band"), "band").select("f", "g").distinct()
+    one = lambda df, name: df.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias(name))
+    left, right = one(queries, "query"), one(fingerprints, "rep")
+    sought, held = keyed(left.select("fingerprint")).toDF("f", "band"), keyed(right.select("fingerprint")).toDF("g", "band")
+    hot = held.groupBy("band").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = held.join(hot, "band", "left").withColumn("salt", F.pmod(F.xxhash64("g"), salts).cast("int")).drop("salts")
+    asked = sought.join(hot, "band", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    pairs = asked.join(dealt, ["band", "salt"]).select("f", "g").distinct()
 
     def verify(batches):
         for p in filter(len, batches):
             yield p.assign(likeness=[likeness(f, g) for f, g in zip(p["f"], p["g"], strict=True)])
 
     near = pairs.mapInPandas(verify, "f string, g string, likeness double").where(F.col("likeness") >= least)
-    return near.join(queries.select(F.col("doc_id").alias("query"), F.col("fingerprint").alias("f")), "f").join(fingerprints.select("doc_id", F.col("fingerprint").alias("g")), "g").select("query", "doc_id", "likeness")
+    return near.join(left.withColumnRenamed("fingerprint", "f"), "f").join(right.withColumnRenamed("fingerprint", "g"), "g").select("query", "rep", "likeness")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_banded boolean"

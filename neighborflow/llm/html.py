@@ -36,6 +36,8 @@ SKIP_TAGS = frozenset("head template svg math object canvas select button audio
 MAIN_TAGS = frozenset("article main".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that hold a text rather than a part of a page: of their class names only whole ones say what they are.
+TEXT_TAGS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 #: Tags that end with the next of their kind, and a paragraph with any block.
 CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
@@ -84,13 +86,13 @@ def decoded(text: str) -> str:
     return html.unescape(_NUMBER.sub("\ufffd", _ZEROS.sub(r"&#\1", text) if "&#" in text else text)) if "&" in text else text
 
 
-def _class_hint(value: str) -> tuple[int, int]:
-    """(main, furniture) of a class or id."""
+def _class_hint(value: str, text: bool = False) -> tuple[int, int]:
+    """(main, furniture) of a class or id; in the name of a ``text`` element a word among others is a faint hint only."""
     main = furniture = 0
     for token in value.split():
         parts = {token.lower()} if token.lower() in FURNITURE_WORDS | MAIN_WORDS else {w.lower() for w in _WORD.findall(token)}
         if hit := parts & FURNITURE_WORDS:
-            furniture = max(furniture, 2 if parts <= FURNITURE_WORDS | NEUTRAL_WORDS or hit & COMMENT_WORDS else 1)
+            furniture = max(furniture, 2 if parts <= FURNITURE_WORDS | NEUTRAL_WORDS or hit & COMMENT_WORDS and not text else 1)
         main = max(main, int(not parts.isdisjoint(MAIN_WORDS)))
     return main, furniture
 
@@ -105,7 +107,7 @@ def _enter(tag: str, attrs: str, outer: Place) -> Place:
             if name == "role":
                 main, furniture = max(main, 2 * (value.lower() in ("main", "article"))), max(furniture, 3 * (value.lower() in FURNITURE_ROLES))
             elif name in ("class", "id") and tag != "body":
-                m, f = _class_hint(value)
+                m, f = _class_hint(value, tag in TEXT_TAGS)
                 main, furniture = max(main, m), max(furniture, f)
             elif name == "style":
                 hidden = hidden or bool(_HIDDEN.search(value))

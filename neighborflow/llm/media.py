@@ -7,7 +7,7 @@ row filters in numpy, all five kinds, and hashes the low frequencies of a 32 x 3
 
 Defined results: a null or empty text gives one row of zeros; equal texts give equal bytes and hashes; a broken stored
 value (bad signature, checksum, size or filter) raises ValueError, a null one gives nulls. Any length works: an image
-has as many rows as it needs, and nothing is cut. Ties cannot occur; repeated rows give repeated results; an empty
+has as many rows as it needs, and nothing is cut. A row whose filters tie takes the first of none, left and above; repeated rows give repeated results; an empty
 table gives an empty one; other columns are ignored.
 """
 

@@ -77,15 +77,20 @@ def test_one_and_no_document(spark):
     assert r["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and r["near_next"] == 1.0
 
 
-def test_search_finds_near_texts(spark):
+@pytest.mark.parametrize("spread", [2, 1024])
+def test_search_finds_near_texts(spark, spread, monkeypatch):
+    monkeypatch.setattr(M, "SPREAD", spread)
     rng = random.Random(4)
     texts = [prose(rng, 200) for _ in range(30)]
     near = [t[:300] + "x" + t[302:] for t in texts[:10]] + texts[:5]
     fp = M.fingerprint_documents(documents(spark, texts + near)).cache()
-    found = {(r["query"], r["doc_id"]) for r in M.near_pairs(fp, fp.where("doc_id < 10")).collect()}
+    pairs, of = M.near_pairs(fp, fp.where("doc_id < 10")).collect(), M.members(fp).collect()
+    found = {(r["query"], m["doc_id"]) for r in pairs for m in of if m["rep"] == r["rep"]}
     brute = {(a, b) for a in range(10) for b in range(45) if M.likeness(*M.fingerprints_of([(texts + near)[a], (texts + near)[b]])) >= 0.5}
     assert found == brute and {(i, 30 + i) for i in range(10)} <= found and {(i, 40 + i) for i in range(5)} <= found
     assert np.isclose(M.likeness(*M.fingerprints_of(["", ""])), 1.0)
+    copies = M.fingerprint_documents(documents(spark, ["a text of some length, copied"] * 30))
+    assert [tuple(r) for r in M.near_pairs(copies, copies).collect()] == [(0, 0, 1.0)] and M.members(copies).count() == 30
 
 
 EDITS = {

@@ -96,3 +96,10 @@ def test_parsing_is_linear():
 
 def test_leaf_ties_keep():
     assert M.classify(0.5, np.zeros((2, 10))).all()
+
+
+def test_class_names_of_texts_are_faint_hints():
+    """A paragraph of an article stays under a name that contains a word of page furniture; a container's comments go."""
+    prose = "The teacher wrote on the margin that every one of these words belongs to the story and should stay in it."
+    page = f"<article><p>{prose}</p><p class='teacher-comment'>{prose}</p><li class='menu-of-the-day'>{prose}</li></article><div class='user-comments'><p>{prose}</p></div><p class='comment'>{prose}</p>"
+    assert M.extract(page, M.grow(*M.table())) == "\n".join([prose] * 3)
