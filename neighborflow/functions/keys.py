@@ -3,6 +3,8 @@ plain SQL reproduces them. ``rand()`` is never used."""
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def exponential_key(k: Column, weight: Column) -> Column:
     return F.ln(uniform(k)) / weight
 
 
+def epoch_seed(seed: int, epoch: int) -> int:
+    """The seed of an epoch: its own for the first, so that one epoch needs no other thought, and a hash of both for others."""
+    return seed if epoch == 0 else int(md5(f"{seed}|epoch|{epoch}".encode()).hexdigest()[:8], 16)
+
+
 def positive_ints(spark: SparkSession, seed: int, subsequence: int, n: int) -> DataFrame:
     """(pos, value): n whole numbers from 0 to 2^31 - 1, the same for a seed and subsequence wherever they are drawn."""
     return spark.range(n).select(F.col("id").alias("pos"), (key_int(key(seed, subsequence, F.col("id"))) % (1 << 31)).alias("value"))

@@ -31,6 +31,16 @@ def column_list(edges: DataFrame, by: str = "ctr", other: str = "nbr") -> DataFr
     return number_within(rows, ["row"], ["eid"], "pos_in_row").select("row", "pos_in_row", "col", "eid")
 
 
+def coo_to_csr(edges: DataFrame, n_rows: int, both_ways: bool = False, by: str = "ctr", other: str = "nbr") -> tuple[DataFrame, DataFrame]:
+    """Pointers (row, ptr) and columns (row, pos_in_row, col) of an edge list without ids, optionally with reverse edges.
+    Repeated edges become one; a row's columns ascend."""
+    pairs = edges.select(F.col(by).alias("ctr"), F.col(other).alias("nbr"))
+    if both_ways:
+        pairs = pairs.unionByName(pairs.select(F.col("ctr").alias("nbr"), F.col("nbr").alias("ctr")))
+    pairs = pairs.distinct().withColumn("eid", F.col("nbr"))
+    return row_pointers(pairs, n_rows), column_list(pairs).drop("eid")
+
+
 def expand_pointers(pointers: DataFrame) -> DataFrame:
     """(pos, row): the row of each place of a compressed list from its pointers (row, ptr); the inverse of ``row_pointers``.
     Every row finds the next one's pointer by number, so no window runs over the rows."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 SEED = 62
 
 
@@ -347,6 +349,12 @@ ORACLES = {
         WITH e AS (SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_custkey % 64 AS col, o_totalprice AS value FROM orders
                    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3)
         SELECT batch_id, eid, row_number() OVER (PARTITION BY batch_id ORDER BY eid) - 1 AS row, col, value FROM e""",
+    "coo_to_csr_columns": f"""
+        WITH e AS (SELECT nbr, ctr FROM {NEAR}), u AS (SELECT ctr, nbr FROM e UNION SELECT nbr, ctr FROM e)
+        SELECT ctr AS row, row_number() OVER (PARTITION BY ctr ORDER BY nbr) - 1 AS pos_in_row, nbr AS col FROM u""",
+    "epoch_batches": f"""
+        SELECT o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(int(md5(b'62|epoch|1').hexdigest()[:8], 16), 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3""",
     "batch_files": f"""
         SELECT o_custkey // 64 // 4 AS call_id, o_custkey // 64 AS batch_id, o_orderkey AS eid, o_orderkey AS nbr, o_custkey AS ctr FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_key(SEED, 'o_custkey // 64', 0, 0, 'o_custkey', 'o_orderkey')}, o_orderkey) <= 3""",

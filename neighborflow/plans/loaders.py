@@ -13,7 +13,7 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neighborflow.functions.keys import key
+from neighborflow.functions.keys import epoch_seed, key
 from neighborflow.model import EdgeType
 from neighborflow.operators import negative, tensor
 from neighborflow.operators.numbering import number_rows
@@ -156,13 +156,14 @@ def check_weights(counts: dict[str, int], **weights) -> None:
 
 def neighbor_loader(
     graph: GraphStore, num_neighbors, input_nodes: DataFrame, vtype: str | None = None, batch_size: int = 16, shuffle: bool = False, drop_last: bool = False,
-    replace: bool = False, disjoint: bool = False, weighted: bool = False, temporal_comparison: str | None = None, seed: int = 62, local_seeds_per_call: int | None = None, **other,
+    replace: bool = False, disjoint: bool = False, weighted: bool = False, temporal_comparison: str | None = None, seed: int = 62, local_seeds_per_call: int | None = None, epoch: int = 0, **other,
 ) -> Sampled:
     """input_nodes: (input_id, id[, t]) of one vertex type; without one, the graph must have a single type. With
     local_seeds_per_call each table has call_id: the group of whole batches, of at most so many seeds, that are meant to be
-    sampled and read together."""
+    sampled and read together. Each epoch shuffles and samples anew, reproducibly."""
     check_stores(graph)
     check_options(**other)
+    seed = epoch_seed(seed, epoch)
     types = graph.edge_types()
     vtype = vtype or (types[0].ctr if graph.is_homogeneous else None)
     if vtype is None:

@@ -466,9 +466,19 @@ def rating_filter(spark, d):
 
 def coo_to_csr_both_ways(spark, d):
     """The customers' graph with reverse edges, duplicates collapsed: the compressed list's pointers."""
-    n, e = n_rows(spark, d, "customer"), near_edges(spark, d).select("nbr", "ctr")
-    both = e.unionByName(e.select(F.col("ctr").alias("nbr"), F.col("nbr").alias("ctr"))).dropDuplicates(["nbr", "ctr"]).withColumn("eid", F.col("ctr") * n + F.col("nbr"))
-    return layout.row_pointers(both, n)
+    return layout.coo_to_csr(near_edges(spark, d), n_rows(spark, d, "customer"), both_ways=True)[0]
+
+
+def coo_to_csr_columns(spark, d):
+    """The same list's columns."""
+    return layout.coo_to_csr(near_edges(spark, d), n_rows(spark, d, "customer"), both_ways=True)[1].select("row", "pos_in_row", "col")
+
+
+def epoch_batches(spark, d):
+    """A loader's sampled edges in the second epoch: other edges than in the first, and the same whenever it is run."""
+    inputs = customers(spark, d).select(F.col("id").alias("input_id"), "id")
+    out = loaders.neighbor_loader(_order_graph(spark, d), [3], inputs, "customer", 64, seed=SEED, epoch=1)
+    return out.edges.select("batch_id", "eid", "nbr", "ctr")
 
 
 def split_tables(spark, d):
@@ -895,6 +905,6 @@ QUERIES = {
         replica_slices, batch_offsets, negative_binary, negative_triplet, negative_temporal, negative_weighted, link_batches, false_negatives, link_split, temporal_split, rating_filter, coo_to_csr_both_ways, split_tables, mask_index_split, batch_caps, no_leakage_onehop, temporal_increasing, biased_temporal,
         dedup_grads, sgd_step, adam_step, adamw_step, adagrad_step, rmsprop_step, xavier_init, mean_aggregate, attention_aggregate, full_inference, mrr, auc, confusion, argmax_accuracy, weighted_mean_loss, lfu_admission, cache_hit_rate, earliest_latest,
         gather_edges, update_edges, hetero_biased, hetero_biased_temporal, loader_batches, link_loader, link_loader_temporal, negative_triplet_weighted, negative_unique, balanced_links, layered_mean, sampled_forward, normalised_sum, binary_parts, npy_slice, running_price,
-        rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, all_negatives, negative_temporal_retried, replace_weighted, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts, csc_to_coo, hop_node_counts, temporal_monotone, hetero_temporal, edge_features, batch_files, link_positives, link_loader_weighted,
+        rank_dump, local_parts, cached_gather, layer_subgraph, exact_negatives, all_negatives, negative_temporal_retried, replace_weighted, equal_split, call_groups, random_ints, buffered_steps, embedding_files, layered_forward, round_robin_parts, csc_to_coo, coo_to_csr_columns, epoch_batches, hop_node_counts, temporal_monotone, hetero_temporal, edge_features, batch_files, link_positives, link_loader_weighted,
     )
 }
