@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neighborflow.functions import partition as P
-from neighborflow.functions.keys import key, permuted, positive_ints, uniform
+from neighborflow.functions.keys import epoch_seed, key, permuted, positive_ints, uniform
 from neighborflow.functions.vectors import sum_vectors
 from neighborflow.model import cast_within
 from neighborflow.operators import analytics, layout, negative, optim, sample, tensor
@@ -436,3 +436,36 @@ def test_calls_streams_and_metadata(spark):
     g = GraphStore(spark)
     g.put_edge_index(([0], [1]), ("v", "e", "v"), size=(2, 2))
     assert [(tuple(t), kind, size) for t, kind, size in g.edge_attrs()] == [(("v", "e", "v"), "coo", (2, 2))]
+
+
+def test_intermediate_tables_are_cleared_and_shared(spark):
+    """Nothing falls back to a folder of one machine on a cluster."""
+    import os
+    from types import SimpleNamespace as N
+
+    from neighborflow import scratch
+
+    t = scratch.written(spark.range(5), "t")
+    path = t.inputFiles()[0].removeprefix("file://")
+    assert t.count() == 5 and os.path.exists(path)
+    scratch.clear(spark)
+    assert not os.path.exists(path)
+    context = lambda master: N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    conf = N(get=lambda k, *d: "/warehouse" if k == "spark.sql.warehouse.dir" else None)
+    assert scratch.shared_dir(N(conf=conf, sparkContext=context("local[8]"))) == "/warehouse/checkpoints"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(N(conf=conf, sparkContext=context(master)))
+
+
+def test_lists_without_ids_and_epochs(spark):
+    e = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (0, 1), (2, 2)], "nbr long, ctr long")
+    ptr, col = layout.coo_to_csr(e, 4)
+    assert [r["ptr"] for r in ptr.orderBy("row").collect()] == [0, 2, 3, 4, 4]
+    assert [tuple(r) for r in col.select("row", "pos_in_row", "col").orderBy("row", "pos_in_row").collect()] == [(0, 0, 1), (0, 1, 2), (1, 0, 0), (2, 0, 2)]
+    ptr, col = layout.coo_to_csr(e, 4, both_ways=True)
+    assert [r["ptr"] for r in ptr.orderBy("row").collect()] == [0, 2, 3, 5, 5] and col.count() == 5
+    assert epoch_seed(62, 0) == 62 and len({epoch_seed(62, i) for i in range(50)}) == 50
+    assert [r["vec"] for r in optim.xavier_uniform(spark, 3, 2, 1).collect()] == [r["vec"] for r in optim.xavier_uniform(spark, 3, 2, 1).repartition(3).orderBy("id").collect()]
+    v = [x for r in optim.xavier_uniform(spark, 2000, 3, 1).collect() for x in r["vec"]]
+    assert max(map(abs, v)) <= (6 / 2003) ** 0.5 and abs(sum(v) / len(v)) < 0.002
