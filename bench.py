@@ -7,6 +7,7 @@ import os
 import time
 
 from neighborflow.queries import QUERIES
+from neighborflow.scratch import clear
 from neighborflow.session import local_session
 
 NAMES = ("onehop_uniform", "onehop_weighted", "hetero_twohop", "disjoint_onehop", "replace_onehop", "gather_vec", "scatter_upsert", "cooccurrence", "csr_row_ptr", "edge_ids", "negative_temporal", "link_batches", "dedup_grads", "adam_step", "mean_aggregate", "auc", "lfu_admission")
@@ -25,6 +26,7 @@ def main() -> None:
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         took[name] = round(min(runs), 3)
+        clear(spark)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf.rstrip("/"))}))
     spark.stop()
 
