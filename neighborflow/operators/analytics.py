@@ -135,10 +135,12 @@ def attention_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], score
 
 
 def mean_reciprocal_rank(scores: DataFrame, query: str, score: str, label: str) -> DataFrame:
-    """mrr over queries: the best rank of a positive, equal scores sharing the better rank."""
-    w = Window.partitionBy(query).orderBy(F.col(score).desc())
-    best = scores.withColumn("_r", F.rank().over(w)).where(F.col(label) == 1).groupBy(query).agg(F.min("_r").alias("_r"))
-    return best.agg(F.avg(1 / F.col("_r")).alias("mrr"))
+    """mrr over queries: the best rank of a positive, equal scores sharing the better rank, nulls last. The rank is one more
+    than the number of higher scores, so both steps combine on the map side and no query is sorted in one task."""
+    best = scores.where(F.col(label) == 1).groupBy(F.col(query).alias("_q")).agg(F.max(score).alias("_best"))
+    higher = F.coalesce(F.col(score) > F.col("_best"), F.col("_best").isNull() & F.col(score).isNotNull())
+    ranked = scores.join(best, F.col(query).eqNullSafe(F.col("_q"))).groupBy("_q").agg((F.sum(higher.cast("long")) + 1).alias("_r"))
+    return ranked.agg(F.avg(1 / F.col("_r")).alias("mrr"))
 
 
 def auc(scores: DataFrame, score: str, label: str) -> DataFrame:

@@ -125,6 +125,8 @@ def test_optimizers_against_numpy(spark, kind, params):
 def test_metrics(spark):
     s = spark.createDataFrame([(0, 0.9, 1), (0, 0.5, 0), (1, 0.9, 0), (1, 0.4, 1), (2, 0.3, 0)], "q int, s double, y int")
     assert analytics.mean_reciprocal_rank(s, "q", "s", "y").first()[0] == pytest.approx(0.75)
+    odd = spark.createDataFrame([(0, None, 1), (0, 0.5, 0), (0, None, 0), (1, 0.5, 1), (1, 0.5, 0), (1, 0.5, 1), (None, 0.2, 1), (None, 0.9, 0)], "q int, s double, y int")
+    assert analytics.mean_reciprocal_rank(odd, "q", "s", "y").first()[0] == pytest.approx((1 / 2 + 1 + 1 / 2) / 3)
     assert analytics.auc(s, "s", "y").first()[0] == pytest.approx((2.5 + 1) / 6)
     assert analytics.auc(s.where("y = 1"), "s", "y").first()[0] is None
 
