@@ -36,15 +36,18 @@ def exploded(df: DataFrame, id_cols: list[str], vec: str, out: str = "val", digi
 CHUNK = 16
 
 
-def sum_vectors(df: DataFrame, by: list[str], vec: str, out: str, dim: int | None = None, rows: str | None = None) -> DataFrame:
-    """Elementwise sums per group as doubles; ``rows``: a column for the number of vectors.
+def sum_vectors(df: DataFrame, by: list[str], vec: str, out: str, dim: int | None = None, rows: str | None = None, weight: str | None = None) -> DataFrame:
+    """Elementwise sums per group as doubles; ``rows``: a column for the number of vectors, ``weight``: one with a vector's factor.
 
     Vectors are summed in chunks, (group, chunk, values), combined on the map side, and put together again from one row per
     chunk, so the plan is the same for any length. dim: the length, if known; vectors of one chunk are not taken apart."""
     one = dim is not None and dim <= CHUNK
     parts = F.greatest(F.ceil(F.size(vec) / CHUNK), F.lit(1)).cast("int")
-    cut = df.select(*by, F.col(vec).alias("_v"), F.lit(0).alias("_c")) if one else df.select(*by, vec, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_c")).select(*by, F.slice(vec, F.col("_c") * CHUNK + 1, CHUNK).alias("_v"), "_c")
-    sums = [F.sum(F.get("_v", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(CHUNK)]
+    own = [F.col(weight).alias("_w")] if weight else []
+    held = ["_w"] if weight else []
+    cut = df.select(*by, F.col(vec).alias("_v"), F.lit(0).alias("_c"), *own) if one else df.select(*by, vec, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_c"), *own).select(*by, F.slice(vec, F.col("_c") * CHUNK + 1, CHUNK).alias("_v"), "_c", *held)
+    element = lambda i: F.get("_v", F.lit(i)).cast("double") * F.col("_w") if weight else F.get("_v", F.lit(i)).cast("double")
+    sums = [F.sum(element(i)).alias(f"_s{i}") for i in range(CHUNK)]
     got = cut.groupBy(*by, "_c").agg(F.count("*").alias("_rows"), F.max(F.size("_v")).alias("_n"), *sums)
     summed = F.slice(F.array(*[F.col(f"_s{i}") for i in range(CHUNK)]), F.lit(1), F.greatest("_n", F.lit(0)))
     more = [F.col("_rows").alias(rows)] if rows else []

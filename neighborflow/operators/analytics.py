@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neighborflow.functions.vectors import linear, sum_vectors
-from neighborflow.operators.tensor import BROADCAST_BYTES
+from neighborflow.operators.tensor import BROADCAST_BYTES, row_bytes
 from neighborflow.scratch import written
 
 
-def mean_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], with_root: bool = True, dim: int | None = None) -> DataFrame:
-    """(by, agg[, root]): elementwise mean of the neighbours' vectors (feats: id, vec)."""
-    joined = edges.join(feats.toDF("nbr", "vec"), "nbr")
+def with_vectors(edges: DataFrame, feats: DataFrame, by: list[str], shared: str | None = None) -> DataFrame:
+    """Edges with ``vec``: the neighbour's row of feats (id, vec). ``shared``: the column of the edges that names the row, where
+    many neighbours have the same one. Such a table is measured; if it is at most BROADCAST_BYTES, decoded, it goes to every
+    task and no vector is shuffled. The edges, which are narrow, are then put in order of ``by``, so that sums combine before
+    their shuffle; a group may span tasks."""
+    at = shared or "nbr"
+    table = feats.select(F.col("id").alias("_at"), "vec")
+    if shared:
+        size = feats.agg(F.coalesce(F.sum(row_bytes(feats, ["vec"])), F.lit(0)).alias("n")).first()["n"]  # one number
+        if size <= BROADCAST_BYTES:
+            parts = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            edges, table = edges.repartitionByRange(parts, *by, at), F.broadcast(table)
+    return edges.join(table, F.col(at) == F.col("_at")).drop("_at")
+
+
+def mean_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], with_root: bool = True, dim: int | None = None, shared: str | None = None) -> DataFrame:
+    """(by, agg[, root]): elementwise mean of the neighbours' vectors (feats: id, vec); ``shared`` as in ``with_vectors``."""
+    joined = with_vectors(edges.select(*by, shared or "nbr"), feats, by, shared)
     sums = sum_vectors(joined, by, "vec", "total", dim, rows="n")
     out = sums.select(*by, F.transform("total", lambda x: x / F.col("n")).alias("agg"))
     return out.join(feats.toDF("ctr", "root"), "ctr") if with_root else out
@@ -116,22 +131,22 @@ def flow_forward(nodes: DataFrame, edges: DataFrame, feats: DataFrame, weights:
     return held.select("pos", "id", "vec")
 
 
-def normalised_sum(edges: DataFrame, feats: DataFrame, dim: int | None = None) -> DataFrame:
-    """(ctr, agg): neighbours' vectors, each over the square root of both ends' degrees."""
+def normalised_sum(edges: DataFrame, feats: DataFrame, dim: int | None = None, shared: str | None = None) -> DataFrame:
+    """(ctr, agg): neighbours' vectors, each over the square root of both ends' degrees; ``shared`` as in ``with_vectors``."""
     d_nbr = edges.groupBy("nbr").agg(F.count("*").alias("_dn"))
     d_ctr = edges.groupBy("ctr").agg(F.count("*").alias("_dc"))
-    weighted = edges.join(d_nbr, "nbr").join(d_ctr, "ctr").join(feats.toDF("nbr", "vec"), "nbr")
-    scaled = weighted.select("ctr", F.transform("vec", lambda x: x / F.sqrt(F.col("_dn") * F.col("_dc"))).alias("vec"))
-    return sum_vectors(scaled, ["ctr"], "vec", "agg", dim)
+    weighted = edges.join(d_nbr, "nbr").join(d_ctr, "ctr").select("ctr", shared or "nbr", (1 / F.sqrt(F.col("_dn") * F.col("_dc"))).alias("_a"))
+    return sum_vectors(with_vectors(weighted, feats, ["ctr"], shared), ["ctr"], "vec", "agg", dim, weight="_a")
 
 
-def attention_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], score: str, dim: int | None = None) -> DataFrame:
-    """(by, agg): neighbours' vectors weighted by the softmax of an edge score within the group."""
+def attention_aggregate(edges: DataFrame, feats: DataFrame, by: list[str], score: str, dim: int | None = None, shared: str | None = None) -> DataFrame:
+    """(by, agg): neighbours' vectors weighted by the softmax of an edge score within the group; ``shared`` as in
+    ``with_vectors``."""
     top = edges.groupBy(*by).agg(F.max(score).alias("_top"))
     e = edges.join(top, by).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
     total = e.groupBy(*by).agg(F.sum("_e").alias("_z"))
-    weighted = e.join(total, by).join(feats.toDF("nbr", "vec"), "nbr").select(*by, F.transform("vec", lambda x: x.cast("double") * F.col("_e") / F.col("_z")).alias("vec"))
-    return sum_vectors(weighted, by, "vec", "agg", dim)
+    weighted = e.join(total, by).select(*by, shared or "nbr", (F.col("_e") / F.col("_z")).alias("_a"))
+    return sum_vectors(with_vectors(weighted, feats, by, shared), by, "vec", "agg", dim, weight="_a")
 
 
 def mean_reciprocal_rank(scores: DataFrame, query: str, score: str, label: str) -> DataFrame:

@@ -12,6 +12,7 @@ from neighborflow.operators import analytics, layout, negative, optim, sample, t
 from neighborflow.operators.numbering import number_rows, number_within, prefix_sum, prefix_within, search_sorted
 from neighborflow.plans import loaders
 from neighborflow.plans.stores import FeatureStore, GraphStore
+from neighborflow.queries import QUERIES
 from neighborflow.sources import binary, ranks
 from neighborflow.streaming import ingest
 
@@ -369,6 +370,26 @@ def test_sums_of_vectors_of_any_length(spark, dim):
         assert [r["s"] for r in sum_vectors(df, ["k"], "v", "s", dim).orderBy("k").collect()] == [r["s"] for r in got.orderBy("k").collect()]
 
 
+def test_shared_vectors_are_not_shuffled(spark):
+    """Vectors that many neighbours share go to every task; a hub and a row that is missing give the same sums as a join by id."""
+    e = spark.range(400).select(F.when(F.col("id") % 2 > 0, 7).otherwise(F.col("id") % 9).alias("ctr"), F.col("id").alias("nbr"), (F.col("id") % 6).alias("v"), (F.col("id") % 10 / 7).alias("score"))
+    table = spark.createDataFrame([(i, [float(i * j % 11) for j in range(40)]) for i in range(5)], "id long, vec array<float>")
+    feats = e.select(F.col("nbr").alias("id"), F.col("v").alias("_v")).join(table.toDF("_v", "vec"), "_v").select("id", "vec")
+    rows = lambda df: {r["ctr"]: r["agg"] for r in df.collect()}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f in (lambda t, **k: analytics.mean_aggregate(e, t, ["ctr"], False, **k), lambda t, **k: analytics.normalised_sum(e, t, **k), lambda t, **k: analytics.attention_aggregate(e, t, ["ctr"], "score", **k)):
+            near, want = f(table, shared="v"), rows(f(feats))
+            assert "BroadcastHashJoin" in near._jdf.queryExecution().executedPlan().toString()
+            got = rows(near)
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+        for name in ("mean_aggregate", "attention_aggregate"):
+            assert "BroadcastHashJoin" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 @pytest.mark.parametrize("small,block", [(256, 1024), (3, 5), (0, 1000)])
 def test_cooccurrence_of_hot_baskets(spark, small, block, monkeypatch):
     """Repeated memberships, a basket of half of all rows, nulls: the same pairs whether baskets are rows, blocks or both."""
