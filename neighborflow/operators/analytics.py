@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,12 +97,25 @@ def kept(seed: int, layer: int, pos: np.ndarray, dim: int, share: float) -> np.n
     return (x >> np.uint64(11)) / float(1 << 53) >= share
 
 
+#: Rows of a batch that go through a layer's matrices at once.
+SLICE_ROWS = 1024
+
+
+def matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column, nulls as zeros."""
+    out = np.zeros((len(vectors), width))
+    there = vectors.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
 def flow_forward(nodes: DataFrame, edges: DataFrame, feats: DataFrame, weights: DataFrame, hops: int, dropout: float = 0.0, seed: int = 62) -> DataFrame:
     """(pos, id, vec) of the seeds after a forward pass over a sampled flow, as ``resample_all`` gives it: nodes (pos, id, hop),
     edges (hop, ctr_pos, nbr_pos). Features are gathered once for all nodes. Each hop, the last first, is a block of its own
     whose targets are the first of its sources: the neighbours' mean and the target's own vector go through a layer's
-    matrices, a batch of rows at a time; between layers negatives are cut to 0 and, in training, a share ``dropout`` of the
-    elements, the rest being scaled up. A node without features has zeros, one without neighbours a mean of zeros."""
+    matrices, SLICE_ROWS at a time, so that a worker holds one batch as it comes and a slice of what is made; between layers
+    negatives are cut to 0 and, in training, a share ``dropout`` of the elements, the rest being scaled up. A node without
+    features has zeros, one without neighbours a mean of zeros."""
     model = layer_weights(weights)
     if len(model) != hops:
         raise ValueError("a layer is needed for each sampled hop")
@@ -114,20 +128,25 @@ def flow_forward(nodes: DataFrame, edges: DataFrame, feats: DataFrame, weights:
         def forward(batches, layer=layer):
             w = sent.value[layer]
             width, out = w["near"].shape[1], len(w["near"])
-            rows = lambda s: np.array([np.zeros(width) if v is None else v for v in s], float).reshape(len(s), width)
-            for pdf in filter(len, batches):
-                new = rows(pdf["near"]) / np.maximum(pdf["n"].fillna(1).to_numpy(float), 1)[:, None] @ w["near"].T
-                if "root" in w:
-                    new += rows(pdf["vec"]) @ w["root"].T
-                if "bias" in w:
-                    new += w["bias"][:, 0]
-                if layer + 1 < hops:
-                    new = np.maximum(new, 0)
-                    if dropout:
-                        new = new * kept(seed, layer, pdf["pos"].to_numpy(), out, dropout) / (1 - dropout)
-                yield pdf[["pos", "id", "hop"]].assign(vec=list(new))
-
-        held = written(block.mapInPandas(forward, "pos long, id long, hop int, vec array<double>"), "layer")
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(at, SLICE_ROWS)
+                    pos = part.column("pos").to_numpy(zero_copy_only=False)
+                    n = part.column("n").fill_null(1).to_numpy(zero_copy_only=False).astype(float)
+                    new = matrix(part.column("near"), width) / np.maximum(n, 1)[:, None] @ w["near"].T
+                    if "root" in w:
+                        new += matrix(part.column("vec"), width) @ w["root"].T
+                    if "bias" in w:
+                        new += w["bias"][:, 0]
+                    if layer + 1 < hops:
+                        new = np.maximum(new, 0)
+                        if dropout:
+                            new = new * kept(seed, layer, pos, out, dropout) / (1 - dropout)
+                    ends = pa.array(np.arange(len(new) + 1, dtype=np.int32) * out)
+                    vec = pa.ListArray.from_arrays(ends, pa.array(new.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column("pos"), part.column("id"), part.column("hop"), vec], ["pos", "id", "hop", "vec"])
+
+        held = written(block.mapInArrow(forward, "pos long, id long, hop int, vec array<double>"), "layer")
     return held.select("pos", "id", "vec")
 
 

@@ -334,6 +334,21 @@ def test_flow_forward_against_numpy(spark, dropout):
         analytics.flow_forward(nodes, flow, fdf, weights, 2)
 
 
+def test_flow_forward_in_slices(spark, monkeypatch):
+    """A slice of rows at a time leaves the worker; the size of slices changes nothing, nor do nodes without vectors."""
+    from neighborflow.operators import analytics
+
+    nodes = spark.range(50).select(F.col("id").alias("pos"), "id", F.lit(0).alias("hop"))
+    flow = spark.range(90).select(F.lit(0).alias("hop"), (F.col("id") % 40).alias("ctr_pos"), (F.col("id") * 7 % 50).alias("nbr_pos"))
+    feats = spark.range(45).select("id", F.array(F.col("id") / 3, F.col("id") % 5 - 2.5).alias("vec"))
+    weights = spark.createDataFrame([(0, "near", 0, [1.0, 2.0]), (0, "root", 0, [0.5, -1.0])], "layer int, part string, row int, values array<double>")
+    run = lambda: {r["pos"]: r["vec"] for r in analytics.flow_forward(nodes, flow, feats, weights, 1).collect()}
+    whole = run()
+    monkeypatch.setattr(analytics, "SLICE_ROWS", 3)
+    sliced = run()
+    assert len(whole) == 50 and sliced.keys() == whole.keys() and all(sliced[p] == pytest.approx(whole[p]) for p in whole)
+
+
 def test_pointers_expand(spark):
     from neighborflow.operators import layout
 
