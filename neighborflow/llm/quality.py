@@ -21,7 +21,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain, count, islice
 from operator import eq
 
 import numpy as np
@@ -55,12 +57,16 @@ def shape(core: str) -> str:
 
 def core_of(word: str) -> str:
     """The lower-case core of a raw word, empty if it has none."""
+    if word.isalnum():
+        return word.lower()
     m = _CORE.search(word)
     return m[0].lower() if m else ""
 
 
 def units(word: str) -> tuple[str, ...]:
     """Core in lower case, shape, and marks of a raw word; what is no core starts with a tilde."""
+    if word.isalnum():  # all core
+        return (word.lower(), shape(word))
     m = _CORE.search(word)
     if not m:
         return (f"~only {word}",)
@@ -123,31 +129,49 @@ class Neighbours:
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.cores: dict[str, int] = {"": 0}
+        self.names: list[str] = [""]
+        self.place, self.sign, self.base = np.zeros((0, NONZERO), np.int64), np.zeros((0, NONZERO), np.float32), np.zeros(0, np.int64)
 
     def _id(self, word: str) -> int:
-        got = self.known[word] = self.cores.setdefault(core_of(word), len(self.cores))
+        core = core_of(word)
+        got = self.cores.get(core)
+        if got is None:
+            got = self.cores[core] = len(self.names)
+            self.names.append(core)
+        self.known[word] = got
         return got
 
     def add(self, words: list[str]) -> None:
         """One text's words."""
-        known = self.known
-        self.held += [np.array([known[w] if w in known else self._id(w) for w in words], np.int64), np.zeros(WINDOW, np.int64)]
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            ids = [self._id(w) if i is None else i for w, i in zip(words, ids)]
+        self.held += [np.array(ids, np.int64), np.zeros(WINDOW, np.int64)]
         self.size += len(words)
         if self.size > TOKENS:
             self.flush()
 
     def flush(self) -> None:
+        """Pairs of cores are counted first, so a pair that comes often is added up once; entries are hashed once a core."""
         if not self.held:
             return
-        s, names = np.concatenate(self.held), list(self.cores)
-        place, sign = entries(names)
-        base = np.array([slot(c) for c in names], np.int64) * DIM
-        for d in range(1, WINDOW + 1):
-            for i in range(0, len(s) - d, TOKENS):
-                a, b = s[i : min(i + TOKENS, len(s) - d)], s[i + d : i + d + TOKENS]
+        s, fresh = np.concatenate(self.held), self.names[len(self.base) :]
+        if fresh:
+            place, sign = entries(fresh)
+            self.place, self.sign = np.concatenate([self.place, place]), np.concatenate([self.sign, sign])
+            self.base = np.concatenate([self.base, np.array([slot(c) for c in fresh], np.int64) * DIM])
+        n = len(self.names)
+        for i in range(0, len(s), TOKENS):
+            keys = []
+            for d in range(1, WINDOW + 1):
+                b = s[i + d : i + d + TOKENS]
+                a = s[i : i + len(b)]
                 ok = (a > 0) & (b > 0)
-                for x, y in ((a[ok], b[ok]), (b[ok], a[ok])):
-                    self.sums += np.bincount((base[x][:, None] + place[y]).ravel(), sign[y].ravel(), SLOTS * DIM)
+                keys.append(a[ok] * n + b[ok])
+            pairs, times = np.unique(np.concatenate(keys), return_counts=True)
+            a, b = np.divmod(pairs, n)
+            for x, y in ((a, b), (b, a)):
+                self.sums += np.bincount((self.base[x][:, None] + self.place[y]).ravel(), (self.sign[y] * times[:, None]).ravel(), SLOTS * DIM)
         self.held, self.size = [], 0
         if len(self.known) > ROOM:
             self._reset()
@@ -159,6 +183,21 @@ def near_vectors(sums: np.ndarray) -> np.ndarray:
     return (sums / np.maximum(length, 1e-9) * (NEAR * NONZERO**0.5)).astype(np.float32)
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n rows at least."""
+    if n <= len(a):
+        return a
+    out = np.zeros((2 * n, *a.shape[1:]), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+@lru_cache(maxsize=4096)
+def whole_vectors(names: tuple[str, ...]) -> np.ndarray:
+    """Index vectors of a document's own units, of which there are few combinations."""
+    return index_vectors(list(names))
+
+
 class Pooler:
     """Documents to pooled vectors. known: a bounded memory of the units of words."""
 
@@ -170,38 +209,48 @@ class Pooler:
         return Pooler, (self.near,)
 
     def _reset(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.index: dict[str, int] = {}
-        self.vectors, self.core = np.zeros((1024, DIM), np.float32), np.zeros(1024, bool)
+        self.known: dict[str, int] = {}
+        self.index: dict = {}
+        #: By word: its core's row, and that of its other units.
+        self.core_of, self.rest_of = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        #: Sums of index vectors by row, and how many units each is of.
+        self.vectors, self.units = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.float32)
+        self.index[()] = 0  # no unit
 
     def vectors_of(self, names: list[str]) -> np.ndarray:
         """Index vectors, and for cores the neighbours' part."""
         out = index_vectors(names)
-        for i, u in enumerate(names):
-            if not u.startswith("~"):
-                out[i] += self.near[slot(u)]
+        core = [i for i, u in enumerate(names) if u[0] != "~"]
+        if core:
+            out[core] += self.near[[slot(names[i]) for i in core]]
         return out
 
-    def learn(self, words) -> None:
-        fresh: dict[str, int] = {}
+    def learn(self, words: list[str]) -> None:
+        """A word's units are two rows: its core, and its shape and marks together. Most new words are letters only, and
+        come once, so these take a short way."""
+        index, start = self.index, len(self.known)
+        first = len(index)
+        ends: list = []
         for w in words:
-            if w not in self.known:
-                ids = []
-                for u in units(w):
-                    i = self.index.get(u)
-                    if i is None:
-                        i = self.index[u] = len(self.index)
-                        fresh[u] = i
-                    ids.append(i)
-                self.known[w] = tuple(ids)
+            if w.isalpha():
+                u = (w.lower(), "~lower" if w.islower() else shape(w))
+            elif (u := units(w))[0].startswith("~"):
+                u = ((), u)
+            else:
+                u = (u[0], u[1] if len(u) == 2 else u[1:])
+            ends += u
+        rows = [index.setdefault(x, len(index)) for x in ends]
+        self.known.update(zip(words, range(start, start + len(words))))
+        self.core_of, self.rest_of = _grown(self.core_of, len(self.known)), _grown(self.rest_of, len(self.known))
+        self.core_of[start : len(self.known)], self.rest_of[start : len(self.known)] = rows[::2], rows[1::2]
+        fresh = list(islice(reversed(index), len(index) - first))[::-1]
         if fresh:
-            n = len(self.index)
-            if n > len(self.vectors):
-                grown = np.zeros((2 * n, DIM), np.float32)
-                grown[: len(self.vectors)] = self.vectors
-                self.vectors, self.core = grown, np.concatenate([self.core, np.zeros(2 * n - len(self.core), bool)])
-            at, names = np.fromiter(fresh.values(), np.int64, len(fresh)), list(fresh)
-            self.vectors[at], self.core[at] = self.vectors_of(names), [not u.startswith("~") for u in names]
+            self.vectors, self.units = _grown(self.vectors, len(index)), _grown(self.units, len(index))
+            each = [p if isinstance(p, tuple) else (p,) for p in fresh]
+            n = np.array(list(map(len, each)))
+            made = self.vectors_of(list(chain.from_iterable(each)))
+            self.vectors[first : len(index)] = made if n.max() == 1 else np.add.reduceat(made, np.cumsum(n) - n, axis=0)
+            self.units[first : len(index)] = n
 
     def pool(self, text: str) -> np.ndarray:
         """Means over the words' cores, over their shapes and marks, and over the document's own units, side by side."""
@@ -209,20 +258,18 @@ class Pooler:
         if len(self.known) > ROOM:
             self._reset()
         distinct = Counter(words)
-        self.learn(distinct)
-        counts: Counter = Counter()
-        known = self.known
-        for w, n in distinct.items():
-            for i in known[w]:
-                counts[i] += n
+        ids = list(map(self.known.get, distinct))
+        if None in ids:
+            fresh = count(len(self.known))
+            self.learn([w for w, i in zip(distinct, ids) if i is None])
+            ids = [next(fresh) if i is None else i for i in ids]
         out = np.zeros(3 * DIM, np.float32)
-        if counts:
-            k, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
-            core = self.core[k]
-            for part, mask in ((0, core), (1, ~core)):
-                if mask.any():
-                    out[part * DIM : (part + 1) * DIM] = (n[mask] / n[mask].sum()) @ self.vectors[k[mask]]
-        out[2 * DIM :] = index_vectors(whole_units(text, words)).mean(0)
+        if ids:
+            k, n = np.array(ids, np.int64), np.fromiter(distinct.values(), np.float32, len(ids))
+            for part, rows in ((0, self.core_of[k]), (1, self.rest_of[k])):
+                if total := n @ self.units[rows]:
+                    out[part * DIM : (part + 1) * DIM] = (n / total) @ self.vectors[rows]
+        out[2 * DIM :] = whole_vectors(tuple(whole_units(text, words))).mean(0)
         return out
 
     def matrix(self, texts) -> np.ndarray:

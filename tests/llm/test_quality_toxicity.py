@@ -249,3 +249,36 @@ def test_quality_keeps_hard_texts(spark, corpus):
     scores = {r["doc_id"]: r["score"] for r in quality.score(hard, model).collect()}
     kept = quality.keep(hard, model)
     assert kept.columns == hard.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.7}
+
+
+def test_cores_are_hashed_once(monkeypatch):
+    """Over many flushes each core's entries are hashed once, and sums are those of every pair of neighbours."""
+    rng, hashed, entries = random.Random(4), [], quality.entries
+    texts = [(prose(rng, 30) + " -- A-b (c1)").split() for _ in range(40)]
+    monkeypatch.setattr(quality, "TOKENS", 60)
+    monkeypatch.setattr(quality, "entries", lambda names: hashed.extend(names) or entries(names))
+    near = quality.Neighbours()
+    for words in texts:
+        near.add(words)
+    near.flush()
+    assert len(hashed) == len(set(hashed))
+    want = np.zeros((quality.SLOTS, quality.DIM))
+    for words in texts:
+        cores = [quality.core_of(w) for w in words]
+        for i, a in enumerate(cores):
+            for b in cores[max(0, i - quality.WINDOW) : i] + cores[i + 1 : i + 1 + quality.WINDOW]:
+                if a and b:
+                    want[quality.slot(a)] += quality.index_vectors([b])[0]
+    assert (near.sums.reshape(want.shape) == want).all()
+
+
+def test_pooled_vectors_are_means_of_units(monkeypatch):
+    """Whatever a task remembers: after a reset, and for words of marks only, the means are those over all units."""
+    monkeypatch.setattr(quality, "ROOM", 20)
+    pooler = quality.Pooler(np.random.default_rng(2).normal(size=(quality.SLOTS, quality.DIM)).astype(np.float32))
+    rng = random.Random(8)
+    for text in [prose(rng, 25) + " (The-end)! THE iPad 12 b2 a_b -- ...", "-- ...", "", *[prose(rng, 20) for _ in range(5)]]:
+        got, units = pooler.pool(text), [u for w in text.split() for u in quality.units(w)]
+        for part, mine in ((0, [u for u in units if u[0] != "~"]), (1, [u for u in units if u[0] == "~"])):
+            want = pooler.vectors_of(mine).mean(0) if mine else np.zeros(quality.DIM)
+            assert np.allclose(got[part * quality.DIM : (part + 1) * quality.DIM], want, atol=1e-5)
