@@ -10,6 +10,8 @@ from neighborflow.operators.numbering import number_rows, number_within, prefix_
 
 #: Memberships of a basket that are paired within one row, and items of a larger one that are paired in one task.
 SMALL_BASKET, BASKET = 256, 1024
+#: Memberships, and pairs, that a task counts at once.
+TASK_ROWS = 1 << 19
 
 
 def degree(edges: DataFrame, by: str = "ctr") -> DataFrame:
@@ -73,20 +75,32 @@ def reverse(edges: DataFrame) -> DataFrame:
 def cooccurrence(pairs: DataFrame, item: str, basket: str, at_least: int) -> DataFrame:
     """(a, b, cnt): items that share baskets, each shared membership counted, no diagonal.
 
-    A basket of few memberships becomes one row, its array of items, and pairs come out of the row: one shuffle by basket,
-    and pairs are counted on the map side. Larger ones, of which there are few, are split into blocks of items by a
-    hash, and each two blocks meet in a task of their own: its pairs are its result, but no task gets a whole basket.
-    There memberships are counted first, so a repeated one multiplies instead of making more pairs."""
+    A basket of few memberships becomes one row, its array of items, and pairs come out of the row: one shuffle by groups of
+    baskets, and a group's pairs are counted before the next. Memberships and pairs are counted ahead, and dealt to as many
+    tasks as hold TASK_ROWS each, so a task's table of pairs does not grow with the input. Larger baskets, of which there
+    are few, are split into blocks of items by a hash, and each two blocks meet in a task of their own: its pairs are its
+    result, but no task gets a whole basket. There memberships are counted first, so a repeated one multiplies instead of
+    making more pairs."""
     from neighborflow.scratch import written
 
     rows = pairs.select(F.col(basket).alias("k"), F.col(item).alias("i"))
-    large = written(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BASKET).select("k"), "large")
+    sizes, few = rows.groupBy("k").agg(F.count("*").alias("n")), F.col("n") <= SMALL_BASKET
+    made = F.sum(F.when(few, F.col("n") * (F.col("n") - 1) / 2))
+    total = sizes.agg(F.sum("n").alias("rows"), made.alias("pairs"), F.max("n").alias("most")).first()  # three numbers
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(max(total["rows"] or 0, total["pairs"] or 0)) // TASK_ROWS))
     small, found = rows.where("k IS NOT NULL AND i IS NOT NULL"), None
-    if not large.isEmpty():
+    if (total["most"] or 0) > SMALL_BASKET:
+        large = written(sizes.where(~few).select("k"), "large")
         small, found = small.join(large, "k", "left_anti"), _in_blocks(rows.join(large, "k", "left_semi"))
-    packed = small.groupBy("k").agg(F.collect_list("i").alias("all")).where(F.size("all") > 1)
-    each = packed.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"), F.lit(1).cast("long").alias("c"))
-    half = (each.unionByName(found) if found is not None else each).groupBy("a", "b").agg(F.sum("c").alias("cnt")).where(F.col("cnt") >= at_least)
+    # A group's baskets are in one task, and pairs of a group are counted there; pairs of all groups then meet in one task each.
+    grouped = small.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(8 * parts))).repartition(parts, "g")
+    packed = grouped.groupBy("g", "k").agg(F.collect_list("i").alias("all")).where(F.size("all") > 1)
+    each = packed.select("g", F.explode("all").alias("a"), "all").select("g", "a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
+    counted = each.groupBy("g", "a", "b").agg(F.count("*").alias("c")).select("a", "b", "c").repartition(parts, "a", "b")
+    half = counted.groupBy("a", "b").agg(F.sum("c").alias("cnt"))
+    if found is not None:
+        half = half.unionByName(found.groupBy("a", "b").agg(F.sum("c").alias("cnt"))).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
+    half = half.where(F.col("cnt") >= at_least)
     both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
     return half.select(both.alias("p"), "cnt").select(F.col("p.x").alias("a"), F.col("p.y").alias("b"), "cnt")
 

@@ -410,6 +410,16 @@ def test_cooccurrence_of_hot_baskets(spark, small, block, monkeypatch):
     assert got == {p: n for p, n in want.items() if n >= 40}
 
 
+def test_cooccurrence_tasks_grow_with_pairs(spark, monkeypatch):
+    """Pairs are dealt to as many tasks as hold a fixed number each; the counts stay the same."""
+    df = spark.range(300).select((F.col("id") % 60).alias("k"), (F.col("id") * 7 % 23).alias("i"))
+    rows = lambda: sorted(map(tuple, layout.cooccurrence(df, "i", "k", 2).collect()))
+    want = rows()
+    monkeypatch.setattr(layout, "TASK_ROWS", 40)
+    assert want and rows() == want
+    assert "REPARTITION_BY_NUM" in (plan := layout.cooccurrence(df, "i", "k", 2)._jdf.queryExecution().executedPlan().toString()) and ", 15)" in plan
+
+
 def test_equal_shares(spark):
     rows = spark.createDataFrame([(0, 5), (0, 1), (0, 3), (1, 2), (1, 9)], "rank int, id long")
     assert sorted(map(tuple, negative.equal_shares(rows, "rank", ["id"]).collect())) == [(0, 1), (0, 3), (1, 2), (1, 9)]
