@@ -23,7 +23,7 @@ import zlib
 from collections import Counter
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import chain, count, islice
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -39,7 +39,7 @@ SAMPLE_ROWS = 8_000
 #: units, and the weight of the neighbours' part.
 DIM, NONZERO, SLOTS, WINDOW, HIDDEN, NEAR = 64, 4, 8192, 2, 32, 0.5
 _CORE = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
-#: Words and units that a task remembers, and tokens whose neighbours are added up at once.
+#: Words that a task remembers, and tokens whose neighbours are added up at once.
 ROOM, TOKENS = 200_000, 1 << 18
 
 
@@ -59,6 +59,8 @@ def core_of(word: str) -> str:
     """The lower-case core of a raw word, empty if it has none."""
     if word.isalnum():
         return word.lower()
+    if (head := word[:-1]).isalnum():  # and one mark
+        return head.lower()
     m = _CORE.search(word)
     return m[0].lower() if m else ""
 
@@ -67,6 +69,8 @@ def units(word: str) -> tuple[str, ...]:
     """Core in lower case, shape, and marks of a raw word; what is no core starts with a tilde."""
     if word.isalnum():  # all core
         return (word.lower(), shape(word))
+    if (head := word[:-1]).isalnum():  # and one mark
+        return (head.lower(), shape(head), f"~after {word[-1]}")
     m = _CORE.search(word)
     if not m:
         return (f"~only {word}",)
@@ -83,15 +87,23 @@ def _level(x: float, name: str) -> str:
     return f"~{name} {min(9, int(10 * x))}"
 
 
-def whole_units(text: str, words: list[str]) -> list[str]:
-    """Units of the document: words that repeat the one before, lines seen before, variety, length."""
+def whole_units(text: str, words: list[str], distinct: int | None = None) -> list[str]:
+    """Units of the document: words that repeat the one before, lines seen before, variety, length. distinct: how many
+    different words there are, where that is known."""
     n = len(words)
     if not n:
         return ["~empty"]
     again = sum(map(eq, words, words[1:])) / n
     lines = [x for x in text.split("\n") if x]
     twice = 1 - len(set(lines)) / max(1, len(lines))
-    return [_level(again, "again"), _level(twice, "lines"), _level(len(set(words)) / n if n > 20 else 1.0, "variety"), f"~length {n.bit_length()}"]
+    return [_level(again, "again"), _level(twice, "lines"), _level((distinct or len(set(words))) / n if n > 20 else 1.0, "variety"), f"~length {n.bit_length()}"]
+
+
+def encoded(names: list[str]) -> list[bytes]:
+    try:
+        return list(map(str.encode, names))
+    except UnicodeEncodeError:  # lone surrogates
+        return [x.encode("utf-8", "surrogatepass") for x in names]
 
 
 _PLACES = np.arange(NONZERO, dtype=np.uint64) * np.uint64(16)
@@ -99,7 +111,7 @@ _PLACES = np.arange(NONZERO, dtype=np.uint64) * np.uint64(16)
 
 def entries(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of each name's index vector, from a hash of the name. A place may occur twice."""
-    h = np.frombuffer(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in names), "<u8")
+    h = np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in encoded(names)]), "<u8")
     parts = h[:, None] >> _PLACES
     return (parts % np.uint64(DIM)).astype(np.int64), 1.0 - 2.0 * ((parts >> np.uint64(15)) & np.uint64(1)).astype(np.float32)
 
@@ -113,8 +125,56 @@ def index_vectors(names: list[str]) -> np.ndarray:
     return out
 
 
+def slots(cores: list[str]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, encoded(cores)), np.int64, len(cores)) % SLOTS
+
+
 def slot(core: str) -> int:
-    return zlib.crc32(core.encode("utf-8", "surrogatepass")) % SLOTS
+    return int(slots([core])[0])
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n rows at least."""
+    if n <= len(a):
+        return a
+    out = np.zeros((2 * n, *a.shape[1:]), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+class Known(dict):
+    """Numbers of raw words, found out by ``learn`` when a word is first looked up."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = self.learn(word)
+        return got
+
+    def of(self, words) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+class Cores:
+    """Numbers of cores from 1, and by number their entries and slot, hashed once each; 0 is no core, with signs of 0 and a
+    slot after the last."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {"": 0}
+        self.place, self.sign, self.slot = np.zeros((1024, NONZERO), np.int16), np.zeros((1024, NONZERO), np.float32), np.full(1024, SLOTS, np.int32)
+        self.done = 1
+
+    def of(self, word: str) -> int:
+        return self.number.setdefault(core_of(word), len(self.number))
+
+    def hash(self) -> None:
+        """Entries and slots of the cores that are new."""
+        a, n = self.done, len(self.number)
+        if a < n:
+            fresh = list(islice(reversed(self.number), n - a))[::-1]
+            self.place, self.sign, self.slot = _grown(self.place, n), _grown(self.sign, n), _grown(self.slot, n)
+            (self.place[a:n], self.sign[a:n]), self.slot[a:n], self.done = entries(fresh), slots(fresh), n
 
 
 class Neighbours:
@@ -127,51 +187,36 @@ class Neighbours:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.cores: dict[str, int] = {"": 0}
-        self.names: list[str] = [""]
-        self.place, self.sign, self.base = np.zeros((0, NONZERO), np.int64), np.zeros((0, NONZERO), np.float32), np.zeros(0, np.int64)
-
-    def _id(self, word: str) -> int:
-        core = core_of(word)
-        got = self.cores.get(core)
-        if got is None:
-            got = self.cores[core] = len(self.names)
-            self.names.append(core)
-        self.known[word] = got
-        return got
+        self.cores = Cores()
+        self.known = Known(self.cores.of)
 
     def add(self, words: list[str]) -> None:
         """One text's words."""
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            ids = [self._id(w) if i is None else i for w, i in zip(words, ids)]
-        self.held += [np.array(ids, np.int64), np.zeros(WINDOW, np.int64)]
+        self.held += [self.known.of(words), np.zeros(WINDOW, np.int64)]
         self.size += len(words)
         if self.size > TOKENS:
             self.flush()
 
     def flush(self) -> None:
-        """Pairs of cores are counted first, so a pair that comes often is added up once; entries are hashed once a core."""
+        """Pairs of a slot and a core beside it are counted first, so a pair that comes often is added up once, and slot after
+        slot; entries are hashed once a core."""
         if not self.held:
             return
-        s, fresh = np.concatenate(self.held), self.names[len(self.base) :]
-        if fresh:
-            place, sign = entries(fresh)
-            self.place, self.sign = np.concatenate([self.place, place]), np.concatenate([self.sign, sign])
-            self.base = np.concatenate([self.base, np.array([slot(c) for c in fresh], np.int64) * DIM])
-        n = len(self.names)
+        self.cores.hash()
+        s, n, slot = np.concatenate(self.held), len(self.cores.number), self.cores.slot.astype(np.int64)
         for i in range(0, len(s), TOKENS):
             keys = []
             for d in range(1, WINDOW + 1):
                 b = s[i + d : i + d + TOKENS]
                 a = s[i : i + len(b)]
                 ok = (a > 0) & (b > 0)
-                keys.append(a[ok] * n + b[ok])
-            pairs, times = np.unique(np.concatenate(keys), return_counts=True)
-            a, b = np.divmod(pairs, n)
-            for x, y in ((a, b), (b, a)):
-                self.sums += np.bincount((self.base[x][:, None] + self.place[y]).ravel(), (self.sign[y] * times[:, None]).ravel(), SLOTS * DIM)
+                a, b = a[ok], b[ok]
+                keys += [slot[a] * n + b, slot[b] * n + a]
+            keys = np.sort(np.concatenate(keys))
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            x, y = np.divmod(keys[first], n)
+            times = np.diff(first, append=len(keys)).astype(np.float32)
+            self.sums += np.bincount(((x * DIM)[:, None] + self.cores.place[y]).ravel(), (self.cores.sign[y] * times[:, None]).ravel(), SLOTS * DIM)
         self.held, self.size = [], 0
         if len(self.known) > ROOM:
             self._reset()
@@ -183,15 +228,6 @@ def near_vectors(sums: np.ndarray) -> np.ndarray:
     return (sums / np.maximum(length, 1e-9) * (NEAR * NONZERO**0.5)).astype(np.float32)
 
 
-def _grown(a: np.ndarray, n: int) -> np.ndarray:
-    """The array with room for n rows at least."""
-    if n <= len(a):
-        return a
-    out = np.zeros((2 * n, *a.shape[1:]), a.dtype)
-    out[: len(a)] = a
-    return out
-
-
 @lru_cache(maxsize=4096)
 def whole_vectors(names: tuple[str, ...]) -> np.ndarray:
     """Index vectors of a document's own units, of which there are few combinations."""
@@ -199,58 +235,54 @@ def whole_vectors(names: tuple[str, ...]) -> np.ndarray:
 
 
 class Pooler:
-    """Documents to pooled vectors. known: a bounded memory of the units of words."""
+    """Documents to pooled vectors. known: a bounded memory of the units of words. A core's vector is made of its entries and
+    its slot's row of ``near`` when it is used; shapes and marks have few vectors, which are kept."""
 
     def __init__(self, near: np.ndarray):
         self.near = near
+        self.rows = np.concatenate([near, np.zeros((1, DIM), near.dtype)])  # the last is of words without a core
         self._reset()
 
     def __reduce__(self):
         return Pooler, (self.near,)
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.index: dict = {}
-        #: By word: its core's row, and that of its other units.
-        self.core_of, self.rest_of = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        #: Sums of index vectors by row, and how many units each is of.
+        self.cores = Cores()
+        self.known = Known(self.learn)
+        #: Shapes and marks that come together: their number, and by it the sum of their vectors and how many they are.
+        self.rest: dict = {}
         self.vectors, self.units = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.float32)
-        self.index[()] = 0  # no unit
+        self.summed = 0
 
     def vectors_of(self, names: list[str]) -> np.ndarray:
         """Index vectors, and for cores the neighbours' part."""
         out = index_vectors(names)
         core = [i for i, u in enumerate(names) if u[0] != "~"]
         if core:
-            out[core] += self.near[[slot(names[i]) for i in core]]
+            out[core] += self.near[slots([names[i] for i in core])]
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """A word's units are two rows: its core, and its shape and marks together. Most new words are letters only, and
-        come once, so these take a short way."""
-        index, start = self.index, len(self.known)
-        first = len(index)
-        ends: list = []
-        for w in words:
-            if w.isalpha():
-                u = (w.lower(), "~lower" if w.islower() else shape(w))
-            elif (u := units(w))[0].startswith("~"):
-                u = ((), u)
-            else:
-                u = (u[0], u[1] if len(u) == 2 else u[1:])
-            ends += u
-        rows = [index.setdefault(x, len(index)) for x in ends]
-        self.known.update(zip(words, range(start, start + len(words))))
-        self.core_of, self.rest_of = _grown(self.core_of, len(self.known)), _grown(self.rest_of, len(self.known))
-        self.core_of[start : len(self.known)], self.rest_of[start : len(self.known)] = rows[::2], rows[1::2]
-        fresh = list(islice(reversed(index), len(index) - first))[::-1]
-        if fresh:
-            self.vectors, self.units = _grown(self.vectors, len(index)), _grown(self.units, len(index))
-            each = [p if isinstance(p, tuple) else (p,) for p in fresh]
-            n = np.array(list(map(len, each)))
-            made = self.vectors_of(list(chain.from_iterable(each)))
-            self.vectors[first : len(index)] = made if n.max() == 1 else np.add.reduceat(made, np.cumsum(n) - n, axis=0)
-            self.units[first : len(index)] = n
+    def learn(self, word: str) -> int:
+        """The number of the word's core, and in the lower 32 bits that of its shape and marks. Most new words are lower-case
+        letters only, and come once, so these take a short way."""
+        if word.isalpha():
+            core, rest = word.lower(), "~lower" if word.islower() else shape(word)
+        elif (u := units(word))[0].startswith("~"):
+            core, rest = "", u
+        else:
+            core, rest = u[0], u[1:]
+        number = self.cores.number
+        return number.setdefault(core, len(number)) << 32 | self.rest.setdefault(rest, len(self.rest))
+
+    def sum_rest(self) -> None:
+        """Vectors of the shapes and marks that are new."""
+        a, n = self.summed, len(self.rest)
+        if a < n:
+            self.vectors, self.units = _grown(self.vectors, n), _grown(self.units, n)
+            for i, x in enumerate(list(islice(reversed(self.rest), n - a))[::-1], a):
+                each = [x] if isinstance(x, str) else list(x)
+                self.vectors[i], self.units[i] = index_vectors(each).sum(0), len(each)
+            self.summed = n
 
     def pool(self, text: str) -> np.ndarray:
         """Means over the words' cores, over their shapes and marks, and over the document's own units, side by side."""
@@ -258,18 +290,20 @@ class Pooler:
         if len(self.known) > ROOM:
             self._reset()
         distinct = Counter(words)
-        ids = list(map(self.known.get, distinct))
-        if None in ids:
-            fresh = count(len(self.known))
-            self.learn([w for w, i in zip(distinct, ids) if i is None])
-            ids = [next(fresh) if i is None else i for i in ids]
         out = np.zeros(3 * DIM, np.float32)
-        if ids:
-            k, n = np.array(ids, np.int64), np.fromiter(distinct.values(), np.float32, len(ids))
-            for part, rows in ((0, self.core_of[k]), (1, self.rest_of[k])):
-                if total := n @ self.units[rows]:
-                    out[part * DIM : (part + 1) * DIM] = (n / total) @ self.vectors[rows]
-        out[2 * DIM :] = whole_vectors(tuple(whole_units(text, words))).mean(0)
+        if distinct:
+            k, n = self.known.of(distinct), np.fromiter(distinct.values(), np.float32, len(distinct))
+            self.cores.hash()
+            self.sum_rest()
+            core, rest = k >> 32, k & 0xFFFFFFFF
+            if total := n @ (core > 0):
+                own = np.bincount(self.cores.place[core].ravel(), (self.cores.sign[core] * n[:, None]).ravel(), DIM)
+                out[:DIM] = own / total + (n / total) @ self.rows[self.cores.slot[core]]
+            times = np.bincount(rest, n)  # whole numbers, as are the vectors: sums do not depend on what was learnt before
+            met = np.flatnonzero(times)
+            if total := times[met] @ self.units[met]:
+                out[DIM : 2 * DIM] = times[met] @ self.vectors[met] / total
+        out[2 * DIM :] = whole_vectors(tuple(whole_units(text, words, len(distinct)))).mean(0)
         return out
 
     def matrix(self, texts) -> np.ndarray:

@@ -282,3 +282,22 @@ def test_pooled_vectors_are_means_of_units(monkeypatch):
         for part, mine in ((0, [u for u in units if u[0] != "~"]), (1, [u for u in units if u[0] == "~"])):
             want = pooler.vectors_of(mine).mean(0) if mine else np.zeros(quality.DIM)
             assert np.allclose(got[part * quality.DIM : (part + 1) * quality.DIM], want, atol=1e-5)
+
+
+def test_no_vector_is_kept_for_a_core():
+    """Cores are kept as entries and slots, vectors only for shapes and marks; what was learnt before changes no bit."""
+    near = np.random.default_rng(2).normal(size=(quality.SLOTS, quality.DIM)).astype(np.float32)
+    text = " ".join(f"w{chr(97 + i % 26)}{'bcdfg'[i % 5]}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" + (",", "", "!")[i % 3] for i in range(6000)) + " -- (x)"
+    pooler, fresh = quality.Pooler(near), quality.Pooler(near)
+    pooler.pool("One \"more\" text, that comes first! iPad 12 ...")
+    assert pooler.pool(text).tobytes() == fresh.pool(text).tobytes()
+    assert len(fresh.known) > 5000 and len(fresh.vectors) <= 1024
+
+
+def test_one_mark_at_the_end_as_by_the_pattern():
+    for word in ["end.", "end_", "a1,", "ab-", "don't", "x'", "É!", "²)", "a²", "é", "ab́", ".", "..", "_", "a.b", "a..", "12%", "ß‍"]:
+        m = quality._CORE.search(word)
+        assert quality.core_of(word) == (m[0].lower() if m else "")
+        after = word[m.end() :] if m else ""
+        marks = ([f"~before {word[: m.start()]}"] if m and m.start() else []) + (["~broken" if quality._CORE.search(after) else f"~after {after}"] if after else [])
+        assert quality.units(word) == ((m[0].lower(), quality.shape(m[0]), *marks) if m else (f"~only {word}",))
