@@ -97,7 +97,8 @@ def _from_prefix(rows: DataFrame, end: End, seed: int) -> DataFrame:
     draw = key(seed, end.role, F.col("neg_pos"))
     if end.weights is None:
         nodes = number_rows(nodes, ["t", "id"], "_place")
-        upto = search_sorted(nodes.select("t"), rows.select(F.col("t").alias("_t")).distinct(), "t", "_t", "_many")
+        times = end.time.where(F.col("t").isNotNull()).groupBy("t").agg(F.count("*").alias("_n"))
+        upto = search_sorted(times, rows.select(F.col("t").alias("_t")).distinct(), "t", "_t", "_many", count="_n")
         placed = rows.join(upto, F.col("t").eqNullSafe(F.col("_t")), "left").withColumn("_at", F.when(F.col("_many") > 0, key_int(draw) % F.col("_many")).otherwise(0).cast("long"))
         return placed.join(nodes.select(F.col("_place").alias("_at"), F.col("id").cast("long").alias(end.name)), "_at", "left").select(*rows.columns, end.name)
     weighted = nodes.join(end.weights.where("w > 0").select("id", F.col("w").cast("double").alias("w")), "id")
@@ -201,12 +202,13 @@ def balanced(links: DataFrame, label: str, seed: int) -> DataFrame:
 
 def interleave(positives: DataFrame, negatives: DataFrame, n_pos: int, n_neg: int, batch_size: int) -> DataFrame:
     """Link batches: ceil(n_pos / batch_size) batches, positives first in each with label 1, then their share of the
-    negatives with label 0 and input id -1."""
+    negatives with label 0 and input id -1; with times t, if both have them."""
     batches = max(1, ceil(n_pos / batch_size))
     share = max(1, ceil(n_neg / batches))
-    a = positives.select(F.floor(F.col("pos") / batch_size).cast("long").alias("batch_id"), (F.col("pos") % batch_size).cast("long").alias("pos"), F.col("pos").alias("input_id"), "nbr", "ctr", F.lit(1.0).alias("label"))
+    t = ["t"] if "t" in positives.columns and "t" in negatives.columns else []
+    a = positives.select(F.floor(F.col("pos") / batch_size).cast("long").alias("batch_id"), (F.col("pos") % batch_size).cast("long").alias("pos"), F.col("pos").alias("input_id"), "nbr", "ctr", F.lit(1.0).alias("label"), *t)
     size = F.least(F.lit(batch_size), F.lit(n_pos) - F.floor(F.col("neg_pos") / share) * batch_size)
-    b = negatives.select(F.floor(F.col("neg_pos") / share).cast("long").alias("batch_id"), (size + F.col("neg_pos") % share).cast("long").alias("pos"), F.lit(-1).cast("long").alias("input_id"), "nbr", "ctr", F.lit(0.0).alias("label"))
+    b = negatives.select(F.floor(F.col("neg_pos") / share).cast("long").alias("batch_id"), (size + F.col("neg_pos") % share).cast("long").alias("pos"), F.lit(-1).cast("long").alias("input_id"), "nbr", "ctr", F.lit(0.0).alias("label"), *t)
     return a.unionByName(b)
 
 

@@ -75,15 +75,15 @@ def prefix_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     return _with_base(own, before, kind).withColumn(name, (F.col("_base") + F.col(name)).cast(kind)).drop("_at", "_base")
 
 
-def search_sorted(values: DataFrame, probes: DataFrame, value: str, probe: str, name: str, by: tuple[str, ...] = (), inclusive: bool = True) -> DataFrame:
+def search_sorted(values: DataFrame, probes: DataFrame, value: str, probe: str, name: str, by: tuple[str, ...] = (), inclusive: bool = True, count: str | None = None) -> DataFrame:
     """``probes`` with ``name``: how many of all ``values``, ordered by ``by`` and value, come before the probe; equal ones
-    count if ``inclusive``. The next value, if any, is the one with that number in the same order.
+    count if ``inclusive``, and a value as often as its column ``count`` says. The next value, if any, is the one with that number in the same order.
 
     Values and probes are range-sorted together and values counted as a prefix sum, so no side is sent to all tasks and a
     value that many probes share, or the reverse, is not one task's work."""
     first, second = (0, 1) if inclusive else (1, 0)
     tie = F.monotonically_increasing_id()
-    v = values.select(*by, F.col(value).alias("_x"), F.lit(first).alias("_kind"), tie.alias("_tie"), F.lit(1).cast("long").alias("_one"))
+    v = values.select(*by, F.col(value).alias("_x"), F.lit(first).alias("_kind"), tie.alias("_tie"), (F.col(count) if count else F.lit(1)).cast("long").alias("_one"))
     p = probes.select(*by, F.col(probe).alias("_x"), F.lit(second).alias("_kind"), tie.alias("_tie"), F.lit(0).cast("long").alias("_one"), F.struct(*probes.columns).alias("_row"))
     both = v.unionByName(p, allowMissingColumns=True)
     counted = prefix_sum(both, [*by, "_x", "_kind", "_tie"], "_one", "_before")

@@ -6,11 +6,12 @@ A loader's tables are lazy; ``write`` stores them as files of whole batches, whi
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from math import prod
+from functools import cached_property
+from math import ceil, prod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neighborflow.functions.keys import epoch_seed, key
@@ -20,17 +21,32 @@ from neighborflow.operators.numbering import number_rows
 from neighborflow.operators.sample import COMPARE, Options, call_groups, neighbor_sample, renumber, seed_batches
 from neighborflow.plans.batches import open_batches, write_batches
 from neighborflow.plans.stores import FeatureStore, GraphStore
-from neighborflow.scratch import folder
+from neighborflow.scratch import folder, written
+
+#: Most links of a batch that one task numbers the ends of.
+BATCH_LINKS = 1 << 20
 
 
 @dataclass
 class Sampled:
-    """edges (with row, col), nodes (with local_id) and the batch's inputs."""
+    """edges (with row, col), nodes (with local_id) and the batch's inputs. Edges and nodes are sampled when one of them is
+    first asked for."""
 
-    edges: DataFrame
-    nodes: DataFrame
+    sample: Callable[[], tuple[DataFrame, DataFrame]]
     inputs: DataFrame
 
+    @cached_property
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        return self.sample()
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._tables[0]
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._tables[1]
+
     def positives(self) -> DataFrame:
         """The inputs that were given: drawn negatives have an input id of -1."""
         return self.inputs.where("input_id >= 0")
@@ -133,7 +149,17 @@ def _in_calls(out: Sampled, batch_size: int, per_call: int | None) -> Sampled:
         return out
     if per_call < 1:
         raise ValueError("a call takes one seed at least")
-    return Sampled(*[call_groups(df, batch_size, per_call) for df in (out.edges, out.nodes, out.inputs)])
+    return Sampled(lambda: tuple(call_groups(df, batch_size, per_call) for df in (out.edges, out.nodes)), call_groups(out.inputs, batch_size, per_call))
+
+
+def _numbered_ends(pairs: DataFrame) -> DataFrame:
+    """pairs with edge_label_row and edge_label_col, where the ends are of two types: a batch's seeds of a type come first in
+    the order of their first places, so their local ids follow from its pairs alone. One shuffle by batch."""
+    out = pairs.repartition("batch_id")
+    for end, name in (("nbr", "edge_label_row"), ("ctr", "edge_label_col")):
+        out = out.withColumn("_first", F.min("pos").over(Window.partitionBy("batch_id", end)))
+        out = out.withColumn(name, (F.dense_rank().over(Window.partitionBy("batch_id").orderBy("_first")) - 1).cast("long")).drop("_first")
+    return out.where("nbr IS NOT NULL AND ctr IS NOT NULL")
 
 
 def check_weights(counts: dict[str, int], **weights) -> None:
@@ -177,7 +203,7 @@ def neighbor_loader(
         raise ValueError(f"temporal_comparison must be one of {sorted(COMPARE)}")
     edges, nodes = neighbor_sample(graph.edges(), batches, fanout_by_type(num_neighbors, types), Options(weighted, replace, temporal_comparison, disjoint, seed))
     edges, nodes = renumber(edges, nodes)
-    return _in_calls(Sampled(edges, nodes, batches.select("batch_id", "pos", "input_id", "id")), batch_size, local_seeds_per_call)
+    return _in_calls(Sampled(lambda: (edges, nodes), batches.select("batch_id", "pos", "input_id", "id")), batch_size, local_seeds_per_call)
 
 
 def link_neighbor_loader(
@@ -200,38 +226,43 @@ def link_neighbor_loader(
     t = EdgeType(*edge_type)
     n = links.count()
     has_t = "t" in links.columns
+    if has_t and temporal_comparison is not None and temporal_comparison not in COMPARE:
+        raise ValueError(f"temporal_comparison must be one of {sorted(COMPARE)}")
+    fanout, largest = fanout_by_type(num_neighbors, graph.edge_types()), batch_size
     if negatives:
         counts, many = graph.counts(), negative.how_many(n, amount, batch_size)
         check_weights(counts, src=(t.nbr, src_weights), dst=(t.ctr, dst_weights))
         timed = has_t and node_time is not None
         if timed:
-            rows = links.sparkSession.range(many).select(F.col("id").alias("neg_pos"), (F.col("id") % max(1, n)).alias("_p")).join(links.select(F.col("pos").alias("_p"), "t"), "_p").drop("_p")
+            # A link lends its time to the negatives at its place, counted round.
+            places = F.sequence(F.col("pos").cast("long"), F.lit(many - 1).cast("long"), F.lit(max(1, n)).cast("long"))
+            rows = links.where(F.col("pos") < many).select(F.explode(places).alias("neg_pos"), "t")
             src, dst = (negative.End(role, col, counts[v], node_time[v], w) for role, col, v, w in (("src", "nbr", t.nbr, src_weights), ("dst", "ctr", t.ctr, dst_weights)))
             if negatives == "binary":
-                neg = negative.temporal_links(rows, [src, dst], seed, temporal_retries).drop("t")
+                neg = negative.temporal_links(rows, [src, dst], seed, temporal_retries)
             else:
-                picked = negative.draw_uniform(negative.temporal_links(rows, [dst], seed, temporal_retries).drop("t"), seed, "pick", max(1, n), "pos")
-                neg = picked.join(links.select("pos", "nbr"), "pos").select("neg_pos", "nbr", "ctr")
+                picked = negative.draw_uniform(negative.temporal_links(rows, [dst], seed, temporal_retries), seed, "pick", max(1, n), "pos")
+                neg = picked.join(links.select("pos", "nbr"), "pos").select("neg_pos", "nbr", "ctr", "t")
         elif negatives == "binary":
             neg = negative.binary_negatives(links.sparkSession, n, amount, batch_size, counts[t.nbr], counts[t.ctr], seed, src_weights, dst_weights)
         else:
             neg = negative.triplet_negatives(links, n, amount, batch_size, counts[t.ctr], seed, dst_weights)
-        pairs = negative.interleave(links, neg, n, many, batch_size)
-        if has_t:  # a negative has the time of the positive at its place, counted round
-            times = links.select(F.col("pos").alias("_p"), "t")
-            share = max(1, -(-many // max(1, -(-n // batch_size))))
-            size = F.least(F.lit(batch_size), F.lit(n) - F.col("batch_id") * batch_size)
-            at = F.when(F.col("input_id") >= 0, F.col("input_id")).otherwise((F.col("batch_id") * share + F.col("pos") - size) % max(1, n))
-            pairs = pairs.join(times, at == times["_p"]).drop("_p")
+        if has_t and not timed:
+            neg = neg.withColumn("_p", F.col("neg_pos") % max(1, n)).join(links.select(F.col("pos").alias("_p"), "t"), "_p").drop("_p")
+        pairs = negative.interleave(links, written(neg, "negatives"), n, many, batch_size)  # read for inputs and for seeds
+        largest += ceil(many / max(1, ceil(n / batch_size)))
     else:
         label = F.col("label").cast("double") if "label" in links.columns else F.lit(1.0)
         pairs = links.select(F.floor(F.col("pos") / batch_size).cast("long").alias("batch_id"), (F.col("pos") % batch_size).cast("long").alias("pos"), F.col("pos").alias("input_id"), "nbr", "ctr", label.alias("label"), *(["t"] if has_t else []))
     ends = F.explode(F.array(F.struct(F.lit(t.nbr).alias("vtype"), F.col("nbr").alias("id"), (F.col("pos") * 2).alias("p")), F.struct(F.lit(t.ctr).alias("vtype"), F.col("ctr").alias("id"), (F.col("pos") * 2 + 1).alias("p"))))
     seeds = pairs.withColumn("e", ends).select("batch_id", F.col("e.vtype").alias("vtype"), F.col("e.id").alias("id"), F.col("e.p").alias("pos"), *(["t"] if has_t else []))
-    edges, nodes = neighbor_sample(graph.edges(), seeds, fanout_by_type(num_neighbors, graph.edge_types()), Options(weighted, replace, temporal_comparison if has_t else None, disjoint, seed))
-    edges, nodes = renumber(edges, nodes)
-    local = nodes.select("batch_id", "vtype", "id", "local_id")
-    a = local.where(F.col("vtype") == t.nbr).select("batch_id", F.col("id").alias("nbr"), F.col("local_id").alias("edge_label_row"))
-    b = local.where(F.col("vtype") == t.ctr).select("batch_id", F.col("id").alias("ctr"), F.col("local_id").alias("edge_label_col"))
-    inputs = pairs.join(a, ["batch_id", "nbr"]).join(b, ["batch_id", "ctr"])
-    return _in_calls(Sampled(edges, nodes, inputs), batch_size, local_seeds_per_call)
+    options = Options(weighted, replace, temporal_comparison if has_t else None, disjoint, seed)
+    out = Sampled(lambda: renumber(*neighbor_sample(graph.edges(), seeds, fanout, options)), pairs)
+    if t.nbr != t.ctr and largest <= BATCH_LINKS:
+        out.inputs = _numbered_ends(pairs)
+    else:
+        local = out.nodes.select("batch_id", "vtype", "id", "local_id")
+        a = local.where(F.col("vtype") == t.nbr).select("batch_id", F.col("id").alias("nbr"), F.col("local_id").alias("edge_label_row"))
+        b = local.where(F.col("vtype") == t.ctr).select("batch_id", F.col("id").alias("ctr"), F.col("local_id").alias("edge_label_col"))
+        out.inputs = pairs.join(a, ["batch_id", "nbr"]).join(b, ["batch_id", "ctr"])
+    return _in_calls(out, batch_size, local_seeds_per_call)

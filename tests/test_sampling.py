@@ -355,3 +355,34 @@ def test_pointers_expand(spark):
     g = edges(spark, list(range(20)), [3 if i % 2 else i % 7 for i in range(20)])
     got = rows(layout.expand_pointers(layout.row_pointers(g, 9)), "pos", "row")
     assert got == list(enumerate(sorted(3 if i % 2 else i % 7 for i in range(20))))
+
+
+def test_local_ids_of_links_follow_from_their_batch(spark, monkeypatch):
+    """Numbered from the batch's pairs alone, without sampling, and from the sampled nodes: the same ids."""
+    from neighborflow.plans import loaders
+
+    g = GraphStore(spark)
+    g.put_edge_index(edges(spark, [0, 1, 2, 3, 3, 0], [0, 1, 2, 3, 4, 5]), WRITES, size=(4, 6))
+    links = spark.createDataFrame([(i, i * 7 % 4, i * 5 % 6, i // 3) for i in range(11)], "pos long, nbr long, ctr long, t long")
+    times = {"author": spark.createDataFrame([(i, i) for i in range(4)], "id long, t long"), "paper": spark.createDataFrame([(i, i // 2) for i in range(6)], "id long, t long")}
+    for more in ({}, {"node_time": times}):
+        for kind, amount in (("binary", 2.5), ("triplet", 0.3), (None, 1.0)):
+            got = []
+            for bound in (loaders.BATCH_LINKS, 0):
+                with monkeypatch.context() as m:
+                    m.setattr(loaders, "BATCH_LINKS", bound)
+                    if bound:
+                        m.setattr(loaders, "neighbor_sample", None)
+                    out = link_neighbor_loader(g, {WRITES: [2]}, links, WRITES, batch_size=4, negatives=kind, amount=amount, **more)
+                    got.append(rows(out.inputs, "batch_id", "pos", "input_id", "nbr", "ctr", "label", "t", "edge_label_row", "edge_label_col"))
+            assert got[0] == got[1] and len({x[:2] for x in got[0]}) == len(got[0]) == 11 + {"binary": 28, "triplet": 4, None: 0}[kind]
+            assert all(x[6] == x[2] // 3 for x in got[0] if x[2] >= 0)
+    local = {(r["batch_id"], r["id"]): r["local_id"] for r in out.nodes.where("vtype = 'paper'").collect()}
+    assert all(local[x[0], x[4]] == x[8] for x in got[0])
+
+
+def test_search_counts_values_as_often_as_told(spark):
+    from neighborflow.operators.numbering import search_sorted
+
+    v, p = spark.createDataFrame([(1, 4), (3, 2), (8, 1)], "v long, n long"), spark.createDataFrame([(None,), (0,), (1,), (5,), (9,)], "p long")
+    assert {r["p"]: r["k"] for r in search_sorted(v, p, "v", "p", "k", count="n").collect()} == {None: 0, 0: 0, 1: 4, 5: 6, 9: 7}
